@@ -106,20 +106,25 @@ def doc_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     full = np.flatnonzero(n)
     if len(full):
         top[full] = np.maximum.reduceat(p, first[:-1][full])
-    top = np.clip(top, 1e-6, 1 - 1e-6)
-    return np.stack([np.ones(len(n)), np.log(top / (1 - top)), np.log1p(total), np.log1p(1000 * total / np.maximum(n, 1)), np.log1p(n)], 1)
+    top = np.clip(top, 1e-4, 1 - 1e-4)
+    return np.stack([np.ones(len(n)), np.log(top / (1 - top)), np.log1p(total)], 1)
 
 
-def _distinct(w: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Which texts aren't near copies of an earlier one (they share no minimum of four hashes of word triples)."""
-    seen: set[tuple[int, int]] = set()
+def _distinct(w: np.ndarray, first: np.ndarray, judged: np.ndarray, share: float = 0.15) -> np.ndarray:
+    """Which texts aren't near copies of an earlier one: of the ``judged`` ones, those with few word triples in common."""
     keep = np.ones(len(first) - 1, bool)
-    for d in range(len(keep)):
-        own = w[first[d] : first[d + 1]]
-        g = gram_hashes(own, min(3, len(own))) if len(own) else np.zeros(1, U)
-        keys = {(j, int(mix(g + U(j * 77777)).min())) for j in range(4)}
-        keep[d] = not keys & seen
-        seen |= keys
+    holders: dict[int, list[int]] = {}
+    for d in np.flatnonzero(judged).tolist():
+        g = np.unique(gram_hashes(w[first[d] : first[d + 1]], 3)).tolist()
+        common: dict[int, int] = {}
+        for x in g:
+            for other in holders.get(x, ()):
+                common[other] = common.get(other, 0) + 1
+        if g and max(common.values(), default=0) >= share * len(g):
+            keep[d] = False
+            continue
+        for x in g:
+            holders.setdefault(x, []).append(d)
     return keep
 
 
@@ -127,11 +132,11 @@ def train(texts: list[str], labels: list[int], rounds: int = 40) -> dict:
     """A model from labelled texts. Without texts of both labels every score is the share of label 1 (or 0)."""
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
-        return {"w": np.zeros(1 << BITS, np.float32), "bias": -4.0, "trans": np.zeros((2, 2)), "top": np.array([-9.0 if not len(y) or not y[0] else 9.0, 0, 0, 0, 0])}
+        return {"w": np.zeros(1 << BITS, np.float32), "bias": -4.0, "trans": np.zeros((2, 2)), "top": np.array([-9.0 if not len(y) or not y[0] else 9.0, 0, 0])}
     raw = [(t or "").encode("utf-8", "replace") for t in texts]
     data, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
     _, _, first, feats, words = tokens(data, off)
-    keep = _distinct(words, first)
+    keep = _distinct(words, first, y == 1)
     doc = owners(first)
     nt, nc = int((keep & (y == 1)).sum()), int((keep & (y == 0)).sum())
     tok = np.zeros(len(doc), bool)
@@ -141,7 +146,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 40) -> dict:
         t = np.bincount(f[keep[d] & (y[d] == 1)], minlength=1 << BITS)
         c = np.bincount(f[keep[d] & (y[d] == 0)], minlength=1 << BITS)
         odds = np.log((t + 0.5) / (nt + 1)) - np.log((c + 0.5) / (nc + 1))
-        tok |= ((t >= max(3, 0.004 * nt)) & (odds > np.log(12)))[kind]
+        tok |= ((t >= max(3, 0.012 * nt)) & (odds > np.log(12)))[kind]
     target = tok & (y[doc] == 1)
     use = keep[doc]
     w, step = np.zeros(1 << BITS), np.full(1 << BITS, 0.5)
@@ -170,11 +175,11 @@ def train(texts: list[str], labels: list[int], rounds: int = 40) -> dict:
         theta[1:] = np.clip(theta[1:], -4, 4)
     w = w.astype(np.float32)
     p = marginals(theta[0] + w[feats].sum(0), first, theta[1:].reshape(2, 2))
-    x, top = doc_features(p, first)[keep], np.zeros(5)
+    x, top = doc_features(p, first)[keep], np.zeros(3)
     t = y[keep]
     for _ in range(30):  # Newton's method with a ridge
         q = 1 / (1 + np.exp(-x @ top))
-        h = (x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(5)
+        h = (x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(3)
         top += np.clip(np.linalg.solve(h, x.T @ (t - q) - 0.1 * top), -2, 2)
     return {"w": w, "bias": float(theta[0]), "trans": theta[1:].reshape(2, 2).copy(), "top": top}
 
