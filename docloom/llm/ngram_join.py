@@ -36,6 +36,7 @@ COUNT_CHUNKS = 64
 BLOCK = 256  # candidates verified at once
 RUN = 1 << 18  # rows of a cell in memory at once in the first round
 PAIRS = 1 << 16
+PARITY = 1024
 
 
 def digest(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -96,8 +97,35 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], t: np.ndarray, mu: fl
     return count >= t
 
 
+def parities(h: np.ndarray, doc: np.ndarray, n: int) -> pa.Array:
+    """For each set, whether the number of its members in each of PARITY buckets is odd.
+
+    Two sets differ in as many members at least as their parities do in bits.
+    """
+    counts = np.bincount(doc * PARITY + (mix(h) >> U(40)).astype(np.int64) % PARITY, minlength=n * PARITY)
+    return blobs(np.packbits((counts & 1).astype(np.uint8)), np.full(n, PARITY // 8))
+
+
+def _near_enough(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Without the pairs whose parities already differ too much; nothing that is similar goes."""
+    need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    own = rows.join(need, "cls", "left_semi").select("cls", F.col("n").alias("size"), "data").dropDuplicates(["cls"])
+    side = lambda x: own.select(F.col("cls").alias(x), F.col("size").alias(f"n_{x}"), F.col("data").alias(f"data_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "data_a", "data_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), U).reshape(-1, PARITY // 64) for i in (4, 5))
+                n1, n2 = (batch.column(i).to_numpy() for i in (2, 3))
+                ok = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= n1 + n2 - 2 * needed(n1, n2, percent)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _first_scan(docs: DataFrame, k: int) -> DataFrame:
-    """kind 0: a document's set size and class. kind 1: parts of a task's table of counts."""
+    """kind 0: a document's set size, class and parities. kind 1: parts of a task's table of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNT_BITS, np.int32)
@@ -107,7 +135,7 @@ def _first_scan(docs: DataFrame, k: int) -> DataFrame:
                 h, doc = shingle_sets(data, off, k)
                 counts += np.bincount((h >> U(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS).astype(np.int32)
                 n = b - a
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0).slice(a, n), pa.array(np.bincount(doc, minlength=n).astype(np.int64)), pa.array(signed(digest(h, doc, n))), pa.nulls(n, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0).slice(a, n), pa.array(np.bincount(doc, minlength=n).astype(np.int64)), pa.array(signed(digest(h, doc, n))), parities(h, doc, n)], names)
         size = len(counts) // COUNT_CHUNKS
         for c in range(COUNT_CHUNKS):
             part = counts[c * size : (c + 1) * size]
@@ -274,24 +302,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "block", "role", "cls", "members").repartition(n, "a", "block").sortWithinPartitions("a", "block", "role").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, bits, k: int) -> DataFrame:
-    """The members of the classes that the filter passes."""
+def _key(cls, doc_id):
+    """Of a class and its document with the smallest id."""
+    return cls ^ (doc_id << 17) ^ doc_id
+
+
+def _sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """cls, members of the classes in ``pairs``, from one document of each (hardly ever more).
+
+    A Bloom filter over (class, document) picks them in a scan, so texts and other
+    sets aren't shuffled; the join that follows is exact.
+    """
+    named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(reps, "cls")
+    least = F.coalesce("least", F.lit(-1))
+    key = F.col("cls").bitwiseXOR(F.shiftleft(least, 17)).bitwiseXOR(least)
+    bits = docs.sparkSession.sparkContext.broadcast(bloom.build(named.select(key.alias("key")), "key", 24))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column(0).fill_null(-1).to_numpy()
             for a, b, data, off in slices(batch, "text"):
                 h, doc = shingle_sets(data, off, k)
                 cls = digest(h, doc, b - a)
-                _, one = np.unique(cls, return_index=True)
-                own = np.zeros(b - a, bool)
-                own[one] = True
-                own &= bloom.passes(bits.value, signed(cls))
+                own = bloom.passes(bits.value, _key(signed(cls), ids[a:b]))
                 keep = own[doc]
                 if keep.any():
                     n = np.bincount(doc[keep], minlength=b - a)[own]
                     yield pa.RecordBatch.from_arrays([pa.array(signed(cls[own])), blobs(h[keep], n)], ["cls", "members"])
 
-    return docs.select("text").mapInArrow(run, "cls long, members binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "cls long, members binary")
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -307,29 +346,28 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """
     spark = docs.sparkSession
     scan = materialize(_first_scan(docs, k), "scan")
-    rows = scan.filter("kind = 0").select("doc_id", "n", "cls")
+    full = scan.filter("kind = 0").select("doc_id", "n", "cls", "data")
+    rows = full.drop("data")
     got = bloom.add_up(scan.filter("kind = 1").select(F.col("n").cast("int").alias("chunk"), "data"), "int32", np.add)
     size = (1 << COUNT_BITS) // COUNT_CHUNKS
     counts = spark.sparkContext.broadcast(np.frombuffer(b"".join(got.get(c, bytes(4 * size)) for c in range(COUNT_CHUNKS)), np.int32))
     n = parts(spark)
-    dealt = _prefixes(docs, counts, k, percent).repartition(n, "h").sortWithinPartitions("h", "cls")
-    cells = materialize(dealt.mapInArrow(_cells, CELL), "cells")
-    bits = spark.sparkContext.broadcast(bloom.build(cells.select("cls").distinct(), "cls", 24))
-    sets = materialize(_sets(docs, bits, k).dropDuplicates(["cls"]), "sets")
+    reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size"))
+    cells = materialize(_prefixes(docs, counts, k, percent).repartition(n, "h").sortWithinPartitions("h", "cls").mapInArrow(_cells, CELL), "cells")
     possible = F.least(F.col("n") - F.col("pos"), F.col("head_n") - F.col("head_pos")) >= F.ceil(percent * (F.col("n") + F.col("head_n")) / (100.0 + percent) - 1e-9)
     stars = cells.filter(F.col("cls") != F.col("head")).filter(possible).select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
-    links = materialize(_verified(stars, sets, percent), "links")
+    stars = materialize(_near_enough(stars, full, percent), "stars")
+    links = materialize(_verified(stars, _sets(docs, stars, reps.select("cls", "least"), k), percent), "links")
     comp = materialize(components(links), "comp")
     named = cells.select("h", "cls", "n", "pos").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "n", "pos", F.coalesce("root", "cls").alias("comp"))
-    mixed = named.repartition(n, "h").sortWithinPartitions("h")
-    more = materialize(mixed.mapInArrow(_open_pairs(percent), "a long, b long").distinct(), "pairs")
+    more = named.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_open_pairs(percent), "a long, b long").distinct()
+    more = materialize(_near_enough(materialize(more, "open"), full, percent), "pairs")
     if not more.isEmpty():
-        extra = materialize(_verified(more, sets, percent), "links")
+        extra = materialize(_verified(more, _sets(docs, more, reps.select("cls", "least"), k), percent), "links")
         if not extra.isEmpty():
             comp = materialize(components(links.unionByName(extra)), "comp")
     # Classes to documents: the least id of each class, then of each component.
-    classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size"))
-    classes = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    classes = reps.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = classes.join(roots, "root").select("cls", "component_id", "class_size")
     linked = rows.filter("n > 0").join(classes, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("cls").alias("class_id"), "class_size")

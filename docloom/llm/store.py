@@ -33,6 +33,7 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/{tag}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark remove shuffle files of finished stages early
     return out
