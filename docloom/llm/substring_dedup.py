@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .store import materialize, parts
-from .words import U, blobs, gram_hashes, inside, owners, signed, slices, spans, word_hashes
+from .words import U, gram_hashes, inside, signed, slices, spans, word_hashes
 
 GRAM = 6
 FLUSH = 2_000_000
+HASH_BITS = 40
 
 
 def sliding(x: np.ndarray, n: int, op) -> np.ndarray:
@@ -39,26 +40,29 @@ def sliding(x: np.ndarray, n: int, op) -> np.ndarray:
     return got
 
 
-def anchors(w: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Chosen grams: (hashes, positions). A gram is chosen if it is the least of some min_words words of its text."""
+def anchors(w: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chosen grams: (hashes, positions), and the least gram of each window, at the window's first word.
+
+    A gram is chosen if it is the least of some min_words words of its text.
+    """
     reach = min_words - GRAM + 1
     at, _ = inside(first, min_words)
     if not len(at):
-        return np.zeros(0, U), np.zeros(0, np.int64)
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(len(w), U)
     g = gram_hashes(w, GRAM) | U(1)
     least = np.zeros(len(w), U)
     least[at] = sliding(g, reach, np.minimum)[at]
     padded = np.concatenate([np.zeros(reach - 1, U), least])
     most = sliding(padded, reach, np.maximum)[: len(g)]
     pos = np.flatnonzero(most == g)
-    return g[pos], pos
+    return g[pos], pos, least
 
 
-def covered(hit: np.ndarray, n: int, k: int) -> np.ndarray:
-    """Which of n words lie in k words from one of the positions."""
+def covered(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Which of n words lie in one of the stretches."""
     d = np.zeros(n + 1, np.int64)
-    np.add.at(d, hit, 1)
-    np.add.at(d, np.minimum(hit + k, n), -1)
+    np.add.at(d, np.minimum(start, n), 1)
+    np.add.at(d, np.minimum(end, n), -1)
     return np.cumsum(d[:-1]) > 0
 
 
@@ -67,22 +71,22 @@ def _words(data: np.ndarray, off: np.ndarray):
     return word_hashes(data, starts, ends), starts, ends, first
 
 
-def candidates(bits: np.ndarray, w: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows (positions, texts) that hold an anchor which the filter passes."""
-    g, pos = anchors(w, first, min_words)
+def candidates(bits: np.ndarray, w: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that hold an anchor which the filter passes: positions, texts, least anchors."""
+    g, pos, least = anchors(w, first, min_words)
     ok = np.zeros(len(w) + 1, np.int64)
     if len(pos):
         ok[pos[bloom.passes(bits, g)] + 1] = 1
     ok = np.cumsum(ok)
     at, doc = inside(first, min_words)
     keep = ok[at + min_words - GRAM + 1] > ok[at]
-    return at[keep], doc[keep]
+    return at[keep], doc[keep], least[at[keep]]
 
 
 def repeats(docs: DataFrame, min_words: int = 50, log2_bits: int = 26) -> tuple[DataFrame, DataFrame]:
-    """(positions, docs that may have some): starts of repeated windows, packed per document and task.
+    """(runs of repeated windows, filter of anchors). runs: doc_id, start (a word number), n windows from there on.
 
-    positions: doc_id, starts (int32 word numbers as bytes). A window of a document is
+    A window of a document is
     a repeat if its words also start in a document with a smaller doc_id.
     """
     spark = docs.sparkSession
@@ -93,7 +97,7 @@ def repeats(docs: DataFrame, min_words: int = 50, log2_bits: int = 26) -> tuple[
             ids = batch.column(0).to_numpy()
             for a, _, data, off in slices(batch, "text"):
                 w, _, _, first = _words(data, off)
-                g, pos = anchors(w, first, min_words)
+                g, pos, _ = anchors(w, first, min_words)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(g)), pa.array(ids[a + np.searchsorted(first, pos, "right") - 1])], ["h", "doc_id"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +125,10 @@ def repeats(docs: DataFrame, min_words: int = 50, log2_bits: int = 26) -> tuple[
             ids = batch.column(0).to_numpy()
             for a, _, data, off in slices(batch, "text"):
                 w, _, _, first = _words(data, off)
-                at, doc = candidates(held.value, w, first, min_words)
+                at, doc, least = candidates(held.value, w, first, min_words)
                 if len(at):
-                    h = gram_hashes(w, min_words)[at]
+                    # The upper bits are the least anchor's, so that windows next to each other stay together.
+                    h = least >> U(HASH_BITS) << U(HASH_BITS) | gram_hashes(w, min_words)[at] >> U(64 - HASH_BITS)
                     yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(ids[a + doc]), pa.array((at - first[doc]).astype(np.int32))], ["h", "doc_id", "pos"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +139,8 @@ def repeats(docs: DataFrame, min_words: int = 50, log2_bits: int = 26) -> tuple[
             d, p = (np.concatenate(x) for x in zip(*kept, strict=True))
             order = np.lexsort((p, d))
             d, p = d[order], p[order]
-            cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-            return pa.RecordBatch.from_arrays([pa.array(d[cut]), blobs(p.astype(np.int32), np.diff(np.append(cut, len(d))))], ["doc_id", "starts"])
+            cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1)]))
+            return pa.RecordBatch.from_arrays([pa.array(d[cut]), pa.array(p[cut].astype(np.int32)), pa.array((p[np.append(cut[1:], len(p)) - 1] - p[cut] + 1).astype(np.int32))], ["doc_id", "start", "n"])
 
         for batch in batches:
             h, d, p = (batch.column(i).to_numpy() for i in range(3))
@@ -155,8 +160,8 @@ def repeats(docs: DataFrame, min_words: int = 50, log2_bits: int = 26) -> tuple[
         if kept:
             yield flush()
 
-    rows = src.mapInArrow(windows, "h long, doc_id long, pos int").repartition(n, "h").sortWithinPartitions("h", "doc_id")
-    return materialize(rows.mapInArrow(judge, "doc_id long, starts binary"), "starts"), held
+    rows = src.mapInArrow(windows, "h long, doc_id long, pos int").repartition(n, F.shiftrightunsigned("h", HASH_BITS)).sortWithinPartitions("h", "doc_id")
+    return materialize(rows.mapInArrow(judge, "doc_id long, start int, n int"), "starts"), held
 
 
 def remove_repeats(docs: DataFrame, min_words: int = 50, log2_bits: int = 26, with_text: bool = False) -> DataFrame:
@@ -181,9 +186,9 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, log2_bits: int = 26, wi
         for i in range(len(off) - 1):
             a, b = int(first[i]), int(first[i + 1])
             n, cut, runs = b - a, np.zeros(b - a, bool), []
-            if positions is not None and len(positions[i]):
-                p = positions[i]
-                cut = covered(p[p <= n - min_words], n, min_words)
+            if positions is not None and len(positions[i][0]):
+                start, many = positions[i]
+                cut = covered(start, start + many - 1 + min_words, n)
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], cut.view(np.int8), [0]])))
                 runs = [{"start": x, "end": y} for x, y in edge.reshape(-1, 2).tolist()]
             keep = np.flatnonzero(~cut) + a
@@ -204,7 +209,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, log2_bits: int = 26, wi
                 ids = batch.column(0)
                 for a, b, data, off in slices(batch, "text"):
                     w, _, _, first = _words(data, off)
-                    _, doc = candidates(held.value, w, first, min_words)
+                    _, doc, _ = candidates(held.value, w, first, min_words)
                     some = np.zeros(b - a, bool)
                     some[doc] = True
                     some &= np.asarray(ids.slice(a, b - a).is_valid())
@@ -219,13 +224,16 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, log2_bits: int = 26, wi
 
     src = docs.select("doc_id", "text")
     texts = src.mapInArrow(split(True), "doc_id long, text string")
-    marks = starts.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
+    marks = starts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("starts"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, off in slices(batch, "text"):
-                p = [np.unique(np.concatenate([np.frombuffer(y, np.int32) for y in x])) if x else () for x in batch.column(2).slice(a, b - a).to_pylist()]
-                yield batch_of(batch.column(0).slice(a, b - a), finish(data, off, p))
+                runs = batch.column(2).slice(a, b - a).fill_null([])
+                each = runs.flatten()
+                start, n = each.field("start").to_numpy(), each.field("n").to_numpy()
+                at = np.concatenate([[0], np.cumsum(runs.value_lengths().to_numpy())])
+                yield batch_of(batch.column(0).slice(a, b - a), finish(data, off, [(start[x:y], n[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]))
 
     done = texts.join(marks, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(apply, out)
     result = done.unionByName(src.mapInArrow(split(False), out))
