@@ -73,7 +73,7 @@ def plan(sizes: DataFrame, **target) -> DataFrame:
     tokens = np.array([r.tokens for r in rows], float)
     alpha = bisect_exponent(tokens, **target)
     w = weights(tokens / max(tokens.sum(), 1), alpha)
-    passes = repetitions(tokens, w, target.get("budget"))
+    passes = np.round(repetitions(tokens, w, target.get("budget")), 9)  # a whole number of passes stays one
     return spark.createDataFrame([(r["key"], int(r.tokens), float(x), float(p), alpha) for r, x, p in zip(rows, w, passes, strict=True)], "key string, tokens long, weight double, passes double, alpha double")
 
 
