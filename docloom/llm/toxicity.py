@@ -113,18 +113,21 @@ def doc_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _distinct(w: np.ndarray, first: np.ndarray, judged: np.ndarray, share: float = 0.15) -> np.ndarray:
     """Which texts aren't near copies of an earlier one: of the ``judged`` ones, those with few word triples in common."""
     keep = np.ones(len(first) - 1, bool)
-    holders: dict[int, list[int]] = {}
-    for d in np.flatnonzero(judged).tolist():
-        g = np.unique(gram_hashes(w[first[d] : first[d + 1]], 3)).tolist()
-        common: dict[int, int] = {}
-        for x in g:
-            for other in holders.get(x, ()):
-                common[other] = common.get(other, 0) + 1
-        if g and max(common.values(), default=0) >= share * len(g):
+    grams = {d: np.unique(gram_hashes(w[first[d] : first[d + 1]], 3)) for d in np.flatnonzero(judged).tolist()}
+    if not grams:
+        return keep
+    every, count = np.unique(np.concatenate(list(grams.values())), return_counts=True)
+    shared = every[count > 1]  # what only one text has can't be common
+    holders: list[list[int]] = [[] for _ in range(len(shared))]
+    for d, g in grams.items():
+        at = np.searchsorted(shared, g)
+        own = at[(at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == g)] if len(shared) else at[:0]
+        common = np.bincount(np.array([o for x in own.tolist() for o in holders[x]], np.int64)) if len(own) else np.zeros(1)
+        if len(g) and common.max(initial=0) >= share * len(g):
             keep[d] = False
             continue
-        for x in g:
-            holders.setdefault(x, []).append(d)
+        for x in own.tolist():
+            holders[x].append(d)
     return keep
 
 
@@ -135,7 +138,15 @@ def train(texts: list[str], labels: list[int], rounds: int = 40) -> dict:
         return {"w": np.zeros(1 << BITS, np.float32), "bias": -4.0, "trans": np.zeros((2, 2)), "top": np.array([-9.0 if not len(y) or not y[0] else 9.0, 0, 0])}
     raw = [(t or "").encode("utf-8", "replace") for t in texts]
     data, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-    _, _, first, feats, words = tokens(data, off)
+    del raw
+    pieces, a = [], 0
+    while a < len(off) - 1:  # about a MB at a time, to keep the driver small
+        b = max(a + 1, int(np.searchsorted(off, off[a] + (1 << 20), "right")) - 1)
+        pieces.append(tokens(data[off[a] : off[b]], off[a : b + 1] - off[a])[2:])
+        a = b
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[0]) for x in pieces]))])
+    feats, words = np.concatenate([x[1] for x in pieces], 1), np.concatenate([x[2] for x in pieces])
+    del data, pieces
     keep = _distinct(words, first, y == 1)
     doc = owners(first)
     nt, nc = int((keep & (y == 1)).sum()), int((keep & (y == 0)).sum())
@@ -156,7 +167,9 @@ def train(texts: list[str], labels: list[int], rounds: int = 40) -> dict:
     same[1:] = doc[1:] == doc[:-1]
     use_pair = same & use
     for _ in range(rounds):
-        s = theta[0] + w[feats].sum(0)
+        s = np.full(len(doc), theta[0])
+        for f in feats:
+            s += w[f]
         trans = theta[1:].reshape(2, 2)
         p = marginals(s, first, trans)
         miss = (target - p) * use
@@ -174,7 +187,10 @@ def train(texts: list[str], labels: list[int], rounds: int = 40) -> dict:
             o[:] = g
         theta[1:] = np.clip(theta[1:], -4, 4)
     w = w.astype(np.float32)
-    p = marginals(theta[0] + w[feats].sum(0), first, theta[1:].reshape(2, 2))
+    s = np.full(len(doc), theta[0])
+    for f in feats:
+        s += w[f]
+    p = marginals(s, first, theta[1:].reshape(2, 2))
     x, top = doc_features(p, first)[keep], np.zeros(3)
     t = y[keep]
     for _ in range(30):  # Newton's method with a ridge
@@ -205,7 +221,7 @@ def score_batch(model: dict, data: np.ndarray, off: np.ndarray) -> tuple[np.ndar
     return score, n_bad, found, np.diff(first)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1200, max_clean: int = 2400, learn=None) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: int = 2400, learn=None) -> dict:
     """Train on at most ``max_toxic`` + ``max_clean`` labelled documents, those with the smallest hashes of their ids.
 
     ``learn``: a condition on doc_id; other rows are never learnt from.
