@@ -158,6 +158,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 40) -> dict:
         c = np.bincount(f[keep[d] & (y[d] == 0)], minlength=1 << BITS)
         odds = np.log((t + 0.5) / (nt + 1)) - np.log((c + 0.5) / (nc + 1))
         tok |= ((t >= max(3, 0.012 * nt)) & (odds > np.log(12)))[kind]
+    del words, pairs, d, f
     target = tok & (y[doc] == 1)
     use = keep[doc]
     w, step = np.zeros(1 << BITS), np.full(1 << BITS, 0.5)
