@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ COUNT_CHUNKS = 64
 BLOCK = 256  # candidates verified at once
 RUN = 1 << 18  # rows of a cell in memory at once in the first round
 PAIRS = 1 << 16
-PARITY = 1024
+LEAST_BITS, MOST_BITS = 64, 1 << 24  # of a set's parities
 
 
 def digest(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -98,12 +99,23 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], t: np.ndarray, mu: fl
 
 
 def parities(h: np.ndarray, doc: np.ndarray, n: int) -> pa.Array:
-    """For each set, whether the number of its members in each of PARITY buckets is odd.
+    """For each set, whether the number of its members in each bucket is odd, in two to four buckets a member.
 
     Two sets differ in as many members at least as their parities do in bits.
     """
-    counts = np.bincount(doc * PARITY + (mix(h) >> U(40)).astype(np.int64) % PARITY, minlength=n * PARITY)
-    return blobs(np.packbits((counts & 1).astype(np.uint8)), np.full(n, PARITY // 8))
+    size = np.bincount(doc, minlength=n)
+    m = np.minimum(np.int64(1) << np.ceil(np.log2(np.maximum(2 * size, LEAST_BITS))).astype(np.int64), MOST_BITS)
+    base = np.cumsum(m) - m
+    odd = np.bincount(base[doc] + ((mix(h) >> U(40)).astype(np.int64) & (m[doc] - 1)), minlength=int(m.sum())) & 1
+    return blobs(np.packbits(odd.astype(np.uint8)), m // 8)
+
+
+def folded(x: np.ndarray, width: int) -> np.ndarray:
+    """Parities of rows in fewer buckets: those that fall together are added."""
+    while x.shape[1] > width:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return x
 
 
 def _near_enough(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -115,11 +127,14 @@ def _near_enough(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), U).reshape(-1, PARITY // 64) for i in (4, 5))
-                n1, n2 = (batch.column(i).to_numpy() for i in (2, 3))
-                ok = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= n1 + n2 - 2 * needed(n1, n2, percent)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], ["a", "b"])
+            n1, n2 = (batch.column(i).to_numpy() for i in (2, 3))
+            wide = np.array([pc.binary_length(batch.column(i)).to_numpy() for i in (4, 5)]).T.reshape(-1, 2)
+            ok = np.zeros(batch.num_rows, bool)
+            for w in np.unique(wide, axis=0):
+                at = np.flatnonzero((wide == w).all(1))
+                x, y = (folded(np.frombuffer(b"".join(batch.column(i).take(pa.array(at)).to_pylist()), U).reshape(len(at), -1), int(w.min()) // 8) for i in (4, 5))
+                ok[at] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= (n1 + n2 - 2 * needed(n1, n2, percent))[at]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -310,17 +325,19 @@ def _key(cls, doc_id):
 def _sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     """cls, members of the classes in ``pairs``, from one document of each (hardly ever more).
 
-    A Bloom filter over (class, document) picks them in a scan, so texts and other
-    sets aren't shuffled; the join that follows is exact.
+    A Bloom filter over documents, and over (class, document), picks them in a scan, so
+    other texts aren't cut into shingles or shuffled; the join that follows is exact.
     """
     named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(reps, "cls")
     least = F.coalesce("least", F.lit(-1))
     key = F.col("cls").bitwiseXOR(F.shiftleft(least, 17)).bitwiseXOR(least)
-    bits = docs.sparkSession.sparkContext.broadcast(bloom.build(named.select(key.alias("key")), "key", 24))
+    bits = docs.sparkSession.sparkContext.broadcast(bloom.build(named.select(F.explode(F.array(key, least)).alias("key")), "key", 24))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).fill_null(-1).to_numpy()
+            asked = bloom.passes(bits.value, ids)
+            batch, ids = batch.filter(pa.array(asked)), ids[asked]
             for a, b, data, off in slices(batch, "text"):
                 h, doc = shingle_sets(data, off, k)
                 cls = digest(h, doc, b - a)
