@@ -37,6 +37,7 @@ COUNT_CHUNKS = 64
 BLOCK = 256  # candidates verified at once
 RUN = 1 << 18  # rows of a cell in memory at once in the first round
 PAIRS = 1 << 16
+SENT = 1 << 20  # candidate pairs that are sent to the sets; more are joined by a shuffle of both
 LEAST_BITS, MOST_BITS = 64, 1 << 24  # of a set's parities
 
 
@@ -287,7 +288,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dealt = pairs.join(degree, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     cands = dealt.select("a", "block", F.col("b").alias("cls"))
     asks = degree.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("cls"))
-    rows = cands.select("a", "block", "cls", F.lit(1).alias("role")).unionByName(asks.select("a", "block", "cls", F.lit(0).alias("role"))).join(sets, "cls")
+    rows = cands.select("a", "block", "cls", F.lit(1).alias("role")).unionByName(asks.select("a", "block", "cls", F.lit(0).alias("role")))
+    rows = sets.join(F.broadcast(rows) if pairs.count() <= SENT else rows, "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, query, ids, own = None, None, [], []
