@@ -80,3 +80,34 @@ def blockers(edges: DataFrame, quality: DataFrame) -> DataFrame:
     x = edges.filter(F.col("strength").isin("required", "blocking") & ~F.coalesce(F.col("to_uid").cast("string"), F.lit("")).startswith("section::"))
     x = x.join(quality.select(F.col("section_uid").alias("from_uid"), F.col("status").alias("q")), "from_uid", "left").filter("q is null or q <> 'ok'")
     return x.groupBy(F.col("to_uid").alias("blocked_uid"), F.col("from_uid").alias("blocker_uid")).agg(F.when(F.max(F.when(F.col("strength") == "blocking", 1).otherwise(0)) == 1, "H").otherwise("M").alias("severity"))
+
+
+def document_score(m: DataFrame) -> DataFrame:
+    """One row per document with its profile's bounds -> score, status.
+
+    m: doc_uid, sections, placeholders, missing_required, checkboxes, phase_bullets, links_without_rationale,
+    unresolved, and of the profile min_sections, max_placeholder_ratio, min_checkboxes, require_phases, min_phase_bullets.
+    """
+    c = F.col
+    ratio = F.when(c("sections") > 0, c("placeholders") / c("sections")).otherwise(1.0)
+    few, hollow, gaps, unchecked, bare = c("sections") < c("min_sections"), ratio > c("max_placeholder_ratio"), c("missing_required") > 0, c("checkboxes") < c("min_checkboxes"), c("links_without_rationale") > 0
+    lost = ((few, 20), (hollow, 25), (gaps, 30), (unchecked, 10), (c("require_phases") & (c("phase_bullets") < c("min_phase_bullets")), 20), (bare, 10), (c("unresolved") > 0, 5))
+    score = F.lit(100)
+    for cond, points in lost:
+        score = score - F.when(cond, points).otherwise(0)
+    status = F.when(gaps | few, "needs_structure").when(hollow | unchecked, "needs_content").when(bare, "needs_links").otherwise("ok")
+    return m.select("doc_uid", F.greatest(score, F.lit(0)).cast("long").alias("score"), status.alias("status"))
+
+
+def with_profile(docs: DataFrame, profiles: DataFrame, name: str = "origin") -> DataFrame:
+    """docs with the columns of their profile (profiles has one row a name, and one named default)."""
+    cols = [c for c in profiles.columns if c != name]
+    known = profiles.select(F.col(name).alias("__known"))
+    x = docs.join(known, docs[name] == F.col("__known"), "left").withColumn("__use", F.coalesce("__known", F.lit("default")))
+    return x.join(profiles.withColumnRenamed(name, "__name"), F.col("__use") == F.col("__name")).select(*docs.columns, *cols)
+
+
+def phase_mapping(sections: DataFrame, docs: DataFrame, phases: DataFrame) -> DataFrame:
+    """doc_uid, phase_id of sections whose anchor is ``phase-N``; phases: phase_number, phase_id."""
+    x = sections.filter(F.col("anchor").ilike("phase-%") & (F.length("anchor") <= 9)).select("doc_uid", F.expr("try_cast(substring(anchor, 7) as int)").alias("phase_number")).distinct()
+    return x.join(docs.select("doc_uid").distinct(), "doc_uid", "left_semi").join(phases.filter("phase_id is not null and phase_id <> 0"), "phase_number").select("doc_uid", "phase_id")

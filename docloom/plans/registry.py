@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import text as T
+from docloom.functions import unicode as U
 from docloom.operators import analytics as A
-from docloom.operators import fixes, graph, history, links, matching, quality
+from docloom.operators import fixes, graph, history, links, matching, packages, quality, raci, sections, services
 from docloom.sources import sinks
 
 from . import bindings as B
@@ -180,6 +181,38 @@ over("o1_page", "mapping", lambda m: m.distinct().orderBy(F.desc_nulls_last("con
 over("o6_limit_per_group", "mapping", lambda m: m.select("standard_code", "doc_path").distinct().withColumn("n", F.row_number().over(Window.partitionBy("standard_code").orderBy("doc_path"))).filter("n <= 3"), "SELECT standard_code, doc_path, row_number() OVER (PARTITION BY standard_code ORDER BY doc_path)::INT AS n FROM (SELECT DISTINCT standard_code, doc_path FROM mapping) QUALIFY n <= 3")
 
 
+def _raci_docs(s, d):
+    """Every third part has a table with a separator, a row and a long action; the others only a title."""
+    k = F.col("p_partkey")
+    table = F.concat(F.lit("# T\nx\n| Działanie | Informed | Responsible |\n|---|:-:|---|\n| "), "p_name", F.lit(" | "), "p_brand", F.lit(" | "), "p_type", F.lit(" |\n| " + "long " * 21 + "| a | b |\nend\n| not | read |\n"))
+    title = F.concat(F.when(k % 2 == 0, "Test ").otherwise("Plan "), "p_name")
+    return B.read(s, d, "part").select(k.alias("doc_id"), title.alias("title"), F.when(k % 3 == 0, table).otherwise("no table").alias("text"))
+
+
+query("r15_x38_raci", "SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS seq, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE CASE WHEN p_partkey % 2 = 0 THEN 'Test ' ELSE 'Plan ' END || p_name END AS action, CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN p_partkey % 2 = 0 THEN 'QA' ELSE 'DEV' END AS responsible, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE 'PM' END AS accountable, CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 2 = 0 THEN 'DEV' ELSE 'BA' END AS consulted, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 2 = 0 THEN 'BA' ELSE 'OPS' END AS informed FROM part")(lambda s, d: raci.derive(_raci_docs(s, d)))
+
+
+def _scores(s, d):
+    o = B.read(s, d, "orders").withColumn("k", F.col("o_orderkey"))
+    m = o.select(F.col("k").alias("doc_uid"), (F.col("k") % 7).alias("sections"), (F.col("k") % 3).alias("placeholders"), (F.col("k") % 5 == 0).cast("int").alias("missing_required"), (F.col("k") % 4).alias("checkboxes"), (F.col("k") % 2).alias("phase_bullets"), (F.col("k") % 11 == 0).cast("int").alias("links_without_rationale"), F.lit(0).alias("unresolved"), F.when(F.col("k") % 3 == 0, "core").otherwise("else").alias("origin"))
+    p = s.createDataFrame([("core", 3, 0.4, 2, True, 1), ("default", 1, 0.8, 1, False, 0)], "origin string, min_sections int, max_placeholder_ratio double, min_checkboxes int, require_phases boolean, min_phase_bullets int")
+    return quality.document_score(quality.with_profile(m, p))
+
+
+query("r19_j35_document_score", "WITH m AS (SELECT o_orderkey AS k, o_orderkey % 7 AS s, CASE WHEN o_orderkey % 7 > 0 THEN (o_orderkey % 3)::DOUBLE / (o_orderkey % 7) ELSE 1 END AS r, o_orderkey % 3 = 0 AS core FROM orders), f AS (SELECT k, s < CASE WHEN core THEN 3 ELSE 1 END AS few, r > CASE WHEN core THEN 0.4::DOUBLE ELSE 0.8::DOUBLE END AS hollow, k % 5 = 0 AS gaps, k % 4 < CASE WHEN core THEN 2 ELSE 1 END AS unchecked, core AND k % 2 < 1 AS nophase, k % 11 = 0 AS bare FROM m) SELECT k AS doc_uid, greatest(0, 100 - 20 * few::INT - 25 * hollow::INT - 30 * gaps::INT - 10 * unchecked::INT - 20 * nophase::INT - 10 * bare::INT)::BIGINT AS score, CASE WHEN gaps OR few THEN 'needs_structure' WHEN hollow OR unchecked THEN 'needs_content' WHEN bare THEN 'needs_links' ELSE 'ok' END AS status FROM f")(_scores)
+query("r17_x43_phases", "SELECT DISTINCT p_brand AS doc_uid, (p_size % 12) * 10 AS phase_id FROM part WHERE p_size % 12 BETWEEN 1 AND 6")(lambda s, d: quality.phase_mapping(B.read(s, d, "part").select(F.col("p_brand").alias("doc_uid"), F.concat(F.lit("phase-"), F.lpad((F.col("p_size") % 12).cast("string"), 2, "0")).alias("anchor")), B.read(s, d, "part").select(F.col("p_brand").alias("doc_uid")), s.range(7).select(F.col("id").cast("int").alias("phase_number"), (F.col("id") * 10).alias("phase_id"))))
+over("x34_front_matter", "markdown", lambda m: m.select("doc_id", sections.front_matter("text")["title"].alias("title"), sections.front_matter("text")["status"].alias("status")), "SELECT doc_id, CASE WHEN doc_id % 9 <> 0 AND doc_id % 8 <> 0 THEN p_name END AS title, CASE WHEN doc_id % 9 <> 0 THEN 'x' END AS status FROM markdown JOIN part ON p_partkey = doc_id")
+over("x37_section_map", "markdown", lambda m: m.select("doc_id", sections.section_map("text")["Cel dokumentu"].alias("body"), F.size(sections.section_map("text")).cast("long").alias("n")), "SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN 'Text.' || chr(10) || '- [ ] a' END AS body, (1 + (doc_id % 4 <> 0)::INT + (doc_id % 6 <> 0)::INT + (doc_id % 10 = 0)::INT + (doc_id % 5 <> 0)::INT)::BIGINT AS n FROM markdown")
+over("r12_patch_append", "markdown", lambda m: m.select("doc_id", F.sha2(sections.patch("text", "Cel dokumentu", "append", "more").cast("binary"), 256).alias("h")), "SELECT doc_id, sha256(replace(text, 'Text.' || chr(10) || '- [ ] a' || chr(10), 'Text.' || chr(10) || '- [ ] a' || chr(10) || 'more' || chr(10))) AS h FROM markdown")
+over("r10_inject", "markdown", lambda m: m.select("doc_id", F.sha2(sections.inject("text", "Nowa", "b", ("Zakres",)).cast("binary"), 256).alias("h")), "SELECT doc_id, sha256(CASE WHEN contains(text, '## Zakres') THEN replace(text, '## Zakres', '## Nowa' || chr(10) || chr(10) || 'b' || chr(10) || chr(10) || '## Zakres') ELSE rtrim(text, chr(10)) || chr(10) || chr(10) || '## Nowa' || chr(10) || chr(10) || 'b' || chr(10) END) AS h FROM markdown")
+query("j22_best_donor", "WITH w AS (SELECT p_partkey AS k, list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z]+'), lambda t: length(t) > 2)) AS x FROM part), d AS (SELECT k, x, unnest(x) AS t FROM w), h AS (SELECT a.k AS p_partkey, b.k AS donor, count(*)::DOUBLE / (any_value(len(a.x)) + any_value(len(b.x)) - count(*)) AS score FROM d a JOIN (SELECT * FROM d WHERE k % 10 = 0) b USING (t) WHERE a.k <> b.k GROUP BY 1, 2) SELECT * FROM h WHERE score >= 0.01 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, donor) = 1")(lambda s, d: sections.best_donors(B.read(s, d, "part"), B.read(s, d, "part").filter("p_partkey % 10 = 0"), "p_partkey", "p_name"))
+query("x33_r27_mojibake", "SELECT c_custkey, c_name || ' żółć' AS name FROM customer")(lambda s, d: U.repair(B.read(s, d, "customer").select("c_custkey", F.concat("c_name", F.lit(" \u017c\u00f3\u0142\u0107".encode().decode("cp1252"))).alias("name")), ["name"]).drop("changed"))
+query("x6_dash_slug", "SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') || '-ecole' AS slug FROM part")(lambda s, d: B.read(s, d, "part").select("p_partkey", U.dash_slug(F.concat("p_name", F.lit("  \u00c9cole!"))).alias("slug")))
+query("w11_r23_packages")(lambda s, d: packages.packages(B.read(s, d, "customer").groupBy(F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("code")).agg(F.count(F.lit(1)).alias("n")).withColumn("tag", F.lit("t"))))
+over("e4_templates_page", "mapping", lambda m: services.templates(m.distinct(), "STD-3", 0.5, 50, 10), "SELECT * FROM (SELECT DISTINCT * FROM mapping) WHERE confidence >= 0.5 AND standard_code = 'STD-3' ORDER BY confidence DESC, doc_path, standard_code, match_reason LIMIT 50 OFFSET 10")
+over("e4_review", "mapping", lambda m: services.review(m, m.select("doc_path", "standard_code").distinct().select("doc_path", "standard_code", (F.col("standard_code") != "STD-1").alias("approve"), F.when(F.col("standard_code") == "STD-2", 0.9).alias("confidence")).filter("standard_code in ('STD-1', 'STD-2', 'STD-3')"), ["doc_path", "standard_code"]), "SELECT doc_path, standard_code, CASE WHEN standard_code IN ('STD-2', 'STD-3') THEN 'expert_reviewed' ELSE match_reason END AS match_reason, CASE standard_code WHEN 'STD-2' THEN 0.9::DOUBLE WHEN 'STD-3' THEN greatest(coalesce(confidence, 0), 0.8::DOUBLE) ELSE confidence END AS confidence FROM mapping WHERE standard_code <> 'STD-1'")
+
+
 def queries() -> dict:
     return dict(_Q)
 
