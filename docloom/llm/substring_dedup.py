@@ -5,8 +5,13 @@ six-word gram is chosen by its content alone, so a passage that two documents sh
 has an anchor in both. Anchors of two documents or more are joined (one shuffle of a
 fifth of all positions). Around them matches are grown to both sides, window by
 window: a window is a repeat if a smaller document has it, told by the smallest
-document of the window's hash, so a passage of a million documents costs a million
-rows and no pairs. Adjoining repeats form the maximal ones.
+document of the window's hash, so no pairs are listed. Adjoining repeats form the
+maximal ones.
+
+A passage that very many documents share would send all of them to the task of its
+anchor. So both shuffles are preceded by a partial aggregation over ``FLUSH`` rows of
+a task: of an anchor its smallest and largest document go on, of a window the smallest
+document; the others are repeats for certain, which travel as runs dealt by document.
 
 What marks the shared anchors in the second pass is a Bloom filter of fixed size
 (``log2_bits``): a full filter makes more windows candidates and changes no result.
@@ -26,7 +31,7 @@ from .store import materialize, parts
 from .words import U, gram_hashes, inside, signed, slices, spans, word_hashes
 
 GRAM = 6
-FLUSH = 2_000_000
+FLUSH = 1_000_000  # rows that a task aggregates at once
 HASH_BITS = 40
 
 
@@ -66,6 +71,52 @@ def covered(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(d[:-1]) > 0
 
 
+def gathered(parts: Iterator[tuple[np.ndarray, ...]], limit: int) -> Iterator[list[np.ndarray]]:
+    """Rows (as tuples of columns) put together to about ``limit`` at a time, however many batches they come in."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= limit:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, size = [], 0
+    if size:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal hashes together, and where each hash begins in it."""
+    order = np.argsort(h)
+    s = h[order]
+    return order, np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+
+
+def ends_of(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each hash its smallest and its largest document, if that is another."""
+    order, head = _grouped(h)
+    s, own = d[order], h[order[head]]
+    low, high = np.minimum.reduceat(s, head), np.maximum.reduceat(s, head)
+    two = high > low
+    return np.concatenate([own, own[two]]), np.concatenate([low, high[two]])
+
+
+def later(h: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which rows have a smaller document with the same hash among these rows."""
+    order, head = _grouped(h)
+    s = d[order]
+    out = np.empty(len(h), bool)
+    out[order] = s > np.repeat(np.minimum.reduceat(s, head), np.diff(np.append(head, len(h))))
+    return out
+
+
+def runs_of(d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (document, position) as runs: document, first position, how many."""
+    order = np.lexsort((p, d))
+    d, p = d[order], p[order]
+    cut = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1)))
+    return d[cut], p[cut].astype(np.int32), (p[np.append(cut[1:], len(p)) - 1] - p[cut] + 1).astype(np.int32)
+
+
 def _words(data: np.ndarray, off: np.ndarray):
     starts, ends, first = spans(data, off)
     return word_hashes(data, starts, ends), starts, ends, first
@@ -93,12 +144,17 @@ def repeats(docs: DataFrame, min_words: int = 50, log2_bits: int = 26) -> tuple[
     src = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for a, _, data, off in slices(batch, "text"):
-                w, _, _, first = _words(data, off)
-                g, pos, _ = anchors(w, first, min_words)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(g)), pa.array(ids[a + np.searchsorted(first, pos, "right") - 1])], ["h", "doc_id"])
+        def found() -> Iterator[tuple[np.ndarray, ...]]:
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                for a, _, data, off in slices(batch, "text"):
+                    w, _, _, first = _words(data, off)
+                    g, pos, _ = anchors(w, first, min_words)
+                    yield g, ids[a + np.searchsorted(first, pos, "right") - 1]
+
+        for g, d in gathered(found(), FLUSH):
+            g, d = ends_of(g, d)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(g)), pa.array(d)], ["h", "doc_id"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Hashes with two documents or more; rows come sorted by hash."""
@@ -115,52 +171,62 @@ def repeats(docs: DataFrame, min_words: int = 50, log2_bits: int = 26) -> tuple[
                 told = hits[-1] if hits[-1] == last_h else told
                 yield pa.RecordBatch.from_arrays([pa.array(hits)], ["h"])
 
-    n = parts(spark)
-    by_hash = src.mapInArrow(seed, "h long, doc_id long").repartition(n, "h").sortWithinPartitions("h")
+    by_hash = src.mapInArrow(seed, "h long, doc_id long").repartition(parts(spark), "h").sortWithinPartitions("h")
     bits = bloom.build(materialize(by_hash.mapInArrow(shared, "h long"), "shared"), "h", log2_bits)
     held = spark.sparkContext.broadcast(bits)
 
+    names = ["h", "doc_id", "pos", "n"]
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for a, _, data, off in slices(batch, "text"):
-                w, _, _, first = _words(data, off)
-                at, doc, least = candidates(held.value, w, first, min_words)
-                if len(at):
-                    # The upper bits are the least anchor's, so that windows next to each other stay together.
-                    h = least >> U(HASH_BITS) << U(HASH_BITS) | gram_hashes(w, min_words)[at] >> U(64 - HASH_BITS)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(ids[a + doc]), pa.array((at - first[doc]).astype(np.int32))], ["h", "doc_id", "pos"])
+        """Windows to be judged (n = 0), and runs of those that are repeats already by what this task has seen."""
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by hash and document: the first of a hash is its smallest document."""
-        last_h, least, kept, size = None, None, [], 0
+        def found() -> Iterator[tuple[np.ndarray, ...]]:
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                for a, _, data, off in slices(batch, "text"):
+                    w, _, _, first = _words(data, off)
+                    at, doc, least = candidates(held.value, w, first, min_words)
+                    if len(at):
+                        # The upper bits are the least anchor's, so that windows next to each other stay together.
+                        h = least >> U(HASH_BITS) << U(HASH_BITS) | gram_hashes(w, min_words)[at] >> U(64 - HASH_BITS)
+                        yield h, ids[a + doc], (at - first[doc]).astype(np.int32)
+
+        for h, d, p in gathered(found(), FLUSH):
+            again = later(h, d)
+            rest = ~again
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h[rest])), pa.array(d[rest]), pa.array(p[rest]), pa.array(np.zeros(int(rest.sum()), np.int32))], names)
+            if again.any():
+                d, p, n = runs_of(d[again], p[again])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(d), np.int64)), pa.array(d), pa.array(p), pa.array(n)], names)
 
-        def flush() -> pa.RecordBatch:
-            d, p = (np.concatenate(x) for x in zip(*kept, strict=True))
-            order = np.lexsort((p, d))
-            d, p = d[order], p[order]
-            cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1)]))
-            return pa.RecordBatch.from_arrays([pa.array(d[cut]), pa.array(p[cut].astype(np.int32)), pa.array((p[np.append(cut[1:], len(p)) - 1] - p[cut] + 1).astype(np.int32))], ["doc_id", "start", "n"])
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows come sorted by hash and document: the first of a hash is its smallest document. Runs pass."""
 
-        for batch in batches:
-            h, d, p = (batch.column(i).to_numpy() for i in range(3))
-            if not len(h):
-                continue
-            new = np.concatenate([[last_h is None or h[0] != last_h], h[1:] != h[:-1]])
-            head = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-            low = np.where(head >= 0, d[np.maximum(head, 0)], least if least is not None else 0)
-            last_h, least = h[-1], low[-1]
-            again = d > low
-            if again.any():
-                kept.append((d[again], p[again]))
-                size += int(again.sum())
-                if size > FLUSH:
-                    yield flush()
-                    kept, size = [], 0
-        if kept:
-            yield flush()
-
-    rows = src.mapInArrow(windows, "h long, doc_id long, pos int").repartition(n, F.shiftrightunsigned("h", HASH_BITS)).sortWithinPartitions("h", "doc_id")
+        def found() -> Iterator[tuple[np.ndarray, ...]]:
+            last_h = least = None
+            for batch in batches:
+                h, d, p, n = (batch.column(i).to_numpy() for i in range(4))
+                run = n > 0
+                if run.any():
+                    yield d[run], p[run], n[run]
+                    h, d, p = h[~run], d[~run], p[~run]
+                if not len(h):
+                    continue
+                new = np.append(last_h is None or h[0] != last_h, h[1:] != h[:-1])
+                head = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+                low = np.where(head >= 0, d[np.maximum(head, 0)], least if least is not None else 0)
+                last_h, least = h[-1], low[-1]
+                again = d > low
+                if again.any():
+                    yield d[again], p[again], np.ones(int(again.sum()), np.int32)
+
+        for d, p, n in gathered(found(), FLUSH):
+            one = n == 1
+            cols = [np.concatenate(x) for x in zip(runs_of(d[one], p[one]), (d[~one], p[~one], n[~one]), strict=True)] if one.any() else [d, p, n]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["doc_id", "start", "n"])
+
+    dealt = F.when(F.col("n") > 0, F.xxhash64("doc_id")).otherwise(F.shiftrightunsigned("h", HASH_BITS))
+    rows = src.mapInArrow(windows, "h long, doc_id long, pos int, n int").repartition(parts(spark), dealt).sortWithinPartitions("h", "doc_id")
     return materialize(rows.mapInArrow(judge, "doc_id long, start int, n int"), "starts"), held
 
 

@@ -104,11 +104,28 @@ def test_remove_repeats(spark, docs):
         gone = {k for j in range(len(w) - 12) if least[tuple(w[j : j + 13])] < i for k in range(j, j + 13)}
         kept = [x for k, x in enumerate(w) if k not in gone]
         want.append((i, len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest(), " ".join(kept)))
-    for bits in (26, 9):  # a full filter changes nothing
-        got = substring_dedup.remove_repeats(docs, 13, log2_bits=bits, with_text=True).collect()
+    spread = docs.repartition(7, "text").sortWithinPartitions(F.desc("doc_id"))  # many tasks, each in falling order
+    for table, bits in ((docs, 26), (docs, 9), (spread, 26)):  # a full filter changes nothing
+        got = substring_dedup.remove_repeats(table, 13, log2_bits=bits, with_text=True).collect()
         assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got) == sorted(want)
 
 
+def test_partial_aggregation_of_windows():
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 50, 400):
+        h, d = rng.integers(0, 9, size).astype(np.uint64), rng.integers(0, 7, size)
+        own = {}
+        for x, y in zip(h.tolist(), d.tolist(), strict=True):
+            own.setdefault(x, []).append(y)
+        assert substring_dedup.later(h, d).tolist() == [y > min(own[x]) for x, y in zip(h.tolist(), d.tolist(), strict=True)]
+        got = sorted(zip(*(x.tolist() for x in substring_dedup.ends_of(h, d)), strict=True))
+        assert got == sorted({(x, y) for x, ys in own.items() for y in (min(ys), max(ys))})
+    d, p, n = substring_dedup.runs_of(np.array([2, 1, 2, 2, 1]), np.array([4, 0, 3, 9, 1], np.int32))
+    assert list(zip(d.tolist(), p.tolist(), n.tolist(), strict=True)) == [(1, 0, 2), (2, 3, 2), (2, 9, 1)]
+    parts = [(np.arange(3), np.arange(3)), (np.arange(4), np.arange(4)), (np.arange(1), np.arange(1))]
+    assert [len(x[0]) for x in substring_dedup.gathered(iter(parts), 5)] == [7, 1]
+
+
 def test_exact_groups(spark, docs):
     groups = {}
     for i, t in corpus():
