@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import LOWER, NOT_LETTER, U, gram_hashes, mix, owners, slices, spans, word_hashes
+from .words import LOWER, NOT_LETTER, U, gram_hashes, mix, owners, slices, spans, text_bytes, word_hashes
 
 BITS = 18
 PREFIXES = (3, 4, 5, 6)
 SEGMENT = 64
+BLOCK = 1 << 17  # tokens of the sample worked off at once in training
 OUT = "score double, n_tokens long, n_toxic_tokens long, spans array<struct<start:int,end:int>>"
 
 
@@ -131,54 +132,78 @@ def _distinct(w: np.ndarray, first: np.ndarray, judged: np.ndarray, share: float
     return keep
 
 
+def _blocks(first: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of texts with about ``BLOCK`` tokens each, a longer text alone."""
+    out, a = [], 0
+    while a < len(first) - 1:
+        b = max(a + 1, int(np.searchsorted(first, first[a] + BLOCK, "right")) - 1)
+        out.append((a, b))
+        a = b
+    return out
+
+
 def train(texts: list[str], labels: list[int], rounds: int = 40) -> dict:
     """A model from labelled texts. Without texts of both labels every score is the share of label 1 (or 0)."""
+    raw = [(t or "").encode("utf-8", "replace") for t in texts]
+    return train_bytes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64), labels, rounds)
+
+
+def train_bytes(data: np.ndarray, off: np.ndarray, labels: list[int], rounds: int = 40) -> dict:
+    """``train`` on texts given as UTF-8 bytes and offsets. Beyond 30 bytes a token, memory is that of a block."""
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return {"w": np.zeros(1 << BITS, np.float32), "bias": -4.0, "trans": np.zeros((2, 2)), "top": np.array([-9.0 if not len(y) or not y[0] else 9.0, 0, 0])}
-    raw = [(t or "").encode("utf-8", "replace") for t in texts]
-    data, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-    del raw
     pieces, a = [], 0
     while a < len(off) - 1:  # about a MB at a time, to keep the driver small
         b = max(a + 1, int(np.searchsorted(off, off[a] + (1 << 20), "right")) - 1)
         pieces.append(tokens(data[off[a] : off[b]], off[a : b + 1] - off[a])[2:])
         a = b
+    del data
     first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[0]) for x in pieces]))])
-    feats, words = np.concatenate([x[1] for x in pieces], 1), np.concatenate([x[2] for x in pieces])
-    del data, pieces
+    words = np.concatenate([x[2] for x in pieces])
+    pieces = [x[1] for x in pieces]
+    feats = np.concatenate(pieces, 1)
+    del pieces
     keep = _distinct(words, first, y == 1)
-    doc = owners(first)
+    del words
+    blocks = _blocks(first)
     nt, nc = int((keep & (y == 1)).sum()), int((keep & (y == 0)).sum())
-    tok = np.zeros(len(doc), bool)
+    tok = np.zeros(int(first[-1]), bool)
     for kind in feats:
-        pairs = np.unique(doc.astype(np.int64) << BITS | kind)
-        d, f = pairs >> BITS, pairs & ((1 << BITS) - 1)
-        t = np.bincount(f[keep[d] & (y[d] == 1)], minlength=1 << BITS)
-        c = np.bincount(f[keep[d] & (y[d] == 0)], minlength=1 << BITS)
+        t, c = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+        for a, b in blocks:
+            pairs = np.unique(owners(first[a : b + 1]).astype(np.int64) << BITS | kind[first[a] : first[b]])
+            d, f = (pairs >> BITS) + a, pairs & ((1 << BITS) - 1)
+            t += np.bincount(f[keep[d] & (y[d] == 1)], minlength=1 << BITS)
+            c += np.bincount(f[keep[d] & (y[d] == 0)], minlength=1 << BITS)
         odds = np.log((t + 0.5) / (nt + 1)) - np.log((c + 0.5) / (nc + 1))
         tok |= ((t >= max(3, 0.012 * nt)) & (odds > np.log(12)))[kind]
-    del words, pairs, d, f
-    target = tok & (y[doc] == 1)
-    use = keep[doc]
     w, step = np.zeros(1 << BITS), np.full(1 << BITS, 0.5)
     theta, tstep = np.array([-4.0, 0, 0, 0, 0]), np.full(5, 0.3)  # bias, transitions
     old, told = np.zeros(1 << BITS), np.zeros(5)
-    same = np.zeros(len(doc), bool)
-    same[1:] = doc[1:] == doc[:-1]
-    use_pair = same & use
-    for _ in range(rounds):
-        s = np.full(len(doc), theta[0])
+
+    def field(a: int, b: int) -> np.ndarray:
+        """Marginals of the tokens of texts a to b."""
+        at = slice(first[a], first[b])
+        s = np.full(int(first[b] - first[a]), theta[0])
         for f in feats:
-            s += w[f]
-        trans = theta[1:].reshape(2, 2)
-        p = marginals(s, first, trans)
-        miss = (target - p) * use
-        grad = sum(np.bincount(f, miss, 1 << BITS) for f in feats) - 0.02 * w
-        # Pair marginals, with the two tokens taken as independent given the field (a mean-field step for the transitions).
-        a, b = p[:-1][use_pair[1:]], p[1:][use_pair[1:]]
-        ta, tb = target[:-1][use_pair[1:]], target[1:][use_pair[1:]]
-        tgrad = np.array([miss.sum(), *((x * z).sum() - (u * v).sum() for x, z, u, v in (((1 - ta), (1 - tb), 1 - a, 1 - b), ((1 - ta), tb, 1 - a, b), (ta, (1 - tb), a, 1 - b), (ta, tb, a, b)))]) - 0.02 * theta
+            s += w[f[at]]
+        return marginals(s, first[a : b + 1] - first[a], theta[1:].reshape(2, 2))
+
+    for _ in range(rounds):
+        grad, tgrad = -0.02 * w, -0.02 * theta
+        for d0, d1 in blocks:
+            at = slice(first[d0], first[d1])
+            doc = owners(first[d0 : d1 + 1]) + d0
+            target, use, p = tok[at] & (y[doc] == 1), keep[doc], field(d0, d1)
+            miss = (target - p) * use
+            for f in feats:
+                grad += np.bincount(f[at], miss, 1 << BITS)
+            # Pair marginals, with the two tokens taken as independent given the field (a mean-field step for the transitions).
+            pair = (doc[1:] == doc[:-1]) & use[1:]
+            a, b = p[:-1][pair], p[1:][pair]
+            ta, tb = target[:-1][pair], target[1:][pair]
+            tgrad += np.array([miss.sum(), *((x * z).sum() - (u * v).sum() for x, z, u, v in (((1 - ta), (1 - tb), 1 - a, 1 - b), ((1 - ta), tb, 1 - a, b), (ta, (1 - tb), a, 1 - b), (ta, tb, a, b)))])
         for g, o, st, x in ((grad, old, step, w), (tgrad, told, tstep, theta)):
             sign = g * o
             st *= np.where(sign > 0, 1.2, np.where(sign < 0, 0.5, 1.0))
@@ -188,11 +213,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 40) -> dict:
             o[:] = g
         theta[1:] = np.clip(theta[1:], -4, 4)
     w = w.astype(np.float32)
-    s = np.full(len(doc), theta[0])
-    for f in feats:
-        s += w[f]
-    p = marginals(s, first, theta[1:].reshape(2, 2))
-    x, top = doc_features(p, first)[keep], np.zeros(3)
+    x, top = np.concatenate([doc_features(field(a, b), first[a : b + 1] - first[a]) for a, b in blocks])[keep], np.zeros(3)
     t = y[keep]
     for _ in range(30):  # Newton's method with a ridge
         q = 1 / (1 + np.exp(-x @ top))
@@ -231,8 +252,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: in
     own = own if learn is None else own.filter(learn)
     some = [own.filter(F.col("toxic") == v).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in ((1, max_toxic), (0, max_clean))]
     sample = F.broadcast(some[0].unionByName(some[1]))  # max_toxic + max_clean rows at most
-    got = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).orderBy("doc_id").collect()
-    return train([r.text for r in got], [r.toxic for r in got])
+    got = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).orderBy("doc_id").select("toxic", "text").toArrow()
+    data, off = text_bytes(got.column("text"))
+    return train_bytes(data, off, got.column("toxic").to_pylist())
 
 
 def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
