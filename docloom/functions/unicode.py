@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .text import PLAIN, POLISH, to_slug
+
 
 def _repaired(s: str | None) -> str | None:
     try:
@@ -33,6 +35,18 @@ def dash_slug(c: pd.Series) -> pd.Series:
     return c.map(lambda s: re.sub("[^a-z0-9]+", "-", _plain(s).lower()).strip("-"))
 
 
+@F.pandas_udf(StringType())
+def ascii_only(c: pd.Series) -> pd.Series:
+    """Accents off, then everything that isn't ASCII dropped."""
+    return c.map(lambda s: "".join(x for x in _plain(s) if x.isascii()))
+
+
+def snake_slug(c):
+    """``text.to_slug`` for letters of any alphabet: Polish ones spelt plainly, others without accents or dropped."""
+    plain = F.translate(c, POLISH + POLISH.upper(), PLAIN + PLAIN.upper())
+    return to_slug(ascii_only(plain))
+
+
 @F.pandas_udf(StringType())
 def without_accents(c: pd.Series) -> pd.Series:
     return c.map(_plain)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 
+from . import quality
 from .matching import top_similar
 
 OPERATIONS = ("replace", "append", "prepend", "delete", "rename", "deduplicate")
@@ -68,6 +69,25 @@ def inject(text, section: str, body: str, anchors: tuple[str, ...]) -> Column:
     return F.when(t.rlike(rf"(?m)^##[ \t]+\Q{section}\E[ \t]*$"), t).when(at > 0, inside).otherwise(end)
 
 
+# Fixed values of the documents' language: the section of phases and the word before a phase's number.
+PHASES, PHASE = "Fazy cyklu życia", "Faza"
+
+
+def phase_bullets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Phases listed as bullets below the heading of phases: key, start_line, end_line, level, heading, anchor, ordinal, status.
+
+    A bullet is ``- Faza 2: name``; what follows a second colon isn't part of the name. It
+    counts as a section one level below, up to the end of its heading's, always as the
+    first of its kind and as a placeholder. Both sides are filtered before they meet.
+    """
+    docs = docs.select(key, F.col(text).alias("text"))
+    bullet = rf"(?iu)^\s*[-*]\s*{PHASE}\s+(\d{{1,2}})\s*:\s*(\S.*?)\s*$"
+    heads = quality.headings(docs, key).filter(T.heading_norm(F.col("heading")) == T.heading_norm(F.lit(PHASES))).select(key, F.col("line_no").alias("__from"), "end_line", (F.col("level") + 1).alias("level"))
+    found = quality.lines(docs, key).filter(F.col("line").rlike(bullet)).select(key, F.col("line_no").alias("start_line"), F.regexp_extract("line", bullet, 1).cast("int").alias("__n"), T.strip(F.substring_index(F.regexp_extract("line", bullet, 2), ":", 1)).alias("__name"))
+    both = found.join(heads, key).filter(F.col("start_line").between(F.col("__from"), F.col("end_line")))
+    return both.select(key, "start_line", "end_line", "level", F.concat(F.lit(f"{PHASE} "), F.col("__n").cast("string"), F.lit(": "), F.col("__name")).alias("heading"), F.format_string("phase-%02d", "__n").alias("anchor"), F.lit(1).alias("ordinal"), F.lit("placeholder").alias("status"))
+
+
 def best_donors(docs: DataFrame, donors: DataFrame, key: str, title: str, least: float = 0.01, stop: tuple[str, ...] = ()) -> DataFrame:
     """key, donor, score: the donor with the most similar title; ties go to the smallest key, never the document itself."""
     words = T.tokens(F.col(title), 3, stop)

@@ -71,3 +71,17 @@ def test_contract_and_doctor(spark, tmp_path):
         services.contract(c, "v")
     got = {r.check: r.status for r in services.doctor(spark, "legacy-runtime", {"there": str(tmp_path), "gone": str(tmp_path / "x")}).collect()}
     assert got == {"profile": "FAIL", "there": "OK", "gone": "FAIL"}
+
+
+def test_phase_bullets(spark):
+    text = "# T\n- Faza 1: outside\n## Fazy cyklu życia\n- Faza 1: Plan: more\n* faza 12 :  Do \n- Faza x: no\n- Faza 3:\n## Next\n- Faza 2: outside"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string")
+    got = sorted(tuple(r) for r in sections.phase_bullets(docs).collect())
+    assert got == [(1, 4, 7, 3, "Faza 1: Plan", "phase-01", 1, "placeholder"), (1, 5, 7, 3, "Faza 12: Do", "phase-12", 1, "placeholder")]
+    assert sections.phase_bullets(docs.filter("doc_id > 3")).isEmpty()
+
+
+def test_snake_slug(spark):
+    cases = {"Zażółć Gęślą": "zazolc_gesla", "ŁÓDŹ – plan #2": "lodz_plan_2", "Crème brûlée": "creme_brulee", "漢字": "", "a漢b": "ab", "": "", None: ""}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", U.snake_slug(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in rows} == cases
