@@ -5,8 +5,8 @@ six-word gram is chosen by its content alone, so a passage that two documents sh
 has an anchor in both. Anchors of two documents or more are joined (one shuffle of a
 fifth of all positions). Around them matches are grown to both sides, window by
 window: a window is a repeat if a smaller document has it, told by the smallest
-document of the window's hash, so no pairs are listed. Adjoining repeats form the
-maximal ones.
+document of the window's 64-bit hash and its least anchor, so no pairs are listed.
+Adjoining repeats form the maximal ones.
 
 A passage that very many documents share would send all of them to the task of its
 anchor. So both shuffles are preceded by a partial aggregation over ``FLUSH`` rows of
@@ -32,7 +32,6 @@ from .words import U, gram_hashes, inside, signed, slices, spans, word_hashes
 
 GRAM = 6
 FLUSH = 1_000_000  # rows that a task aggregates at once
-HASH_BITS = 40
 
 
 def sliding(x: np.ndarray, n: int, op) -> np.ndarray:
@@ -100,9 +99,12 @@ def ends_of(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([own, own[two]]), np.concatenate([low, high[two]])
 
 
-def later(h: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Which rows have a smaller document with the same hash among these rows."""
+def later(h: np.ndarray, d: np.ndarray, a: np.ndarray | None = None) -> np.ndarray:
+    """Which rows have a smaller document with the same hash (and the same a) among these rows."""
     order, head = _grouped(h)
+    if a is not None and (a[order] != np.repeat(a[order[head]], np.diff(np.append(head, len(h))))).any():
+        order = np.lexsort((a, h))
+        head = np.flatnonzero(np.append(True, (np.diff(h[order]) != 0) | (np.diff(a[order]) != 0)))
     s = d[order]
     out = np.empty(len(h), bool)
     out[order] = s > np.repeat(np.minimum.reduceat(s, head), np.diff(np.append(head, len(h))))
@@ -175,7 +177,7 @@ def repeats(docs: DataFrame, min_words: int = 50, log2_bits: int = 26) -> tuple[
     bits = bloom.build(materialize(by_hash.mapInArrow(shared, "h long"), "shared"), "h", log2_bits)
     held = spark.sparkContext.broadcast(bits)
 
-    names = ["h", "doc_id", "pos", "n"]
+    names = ["a", "h", "doc_id", "pos", "n"]
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows to be judged (n = 0), and runs of those that are repeats already by what this task has seen."""
@@ -187,35 +189,34 @@ def repeats(docs: DataFrame, min_words: int = 50, log2_bits: int = 26) -> tuple[
                     w, _, _, first = _words(data, off)
                     at, doc, least = candidates(held.value, w, first, min_words)
                     if len(at):
-                        # The upper bits are the least anchor's, so that windows next to each other stay together.
-                        h = least >> U(HASH_BITS) << U(HASH_BITS) | gram_hashes(w, min_words)[at] >> U(64 - HASH_BITS)
-                        yield h, ids[a + doc], (at - first[doc]).astype(np.int32)
+                        yield least, gram_hashes(w, min_words)[at], ids[a + doc], (at - first[doc]).astype(np.int32)
 
-        for h, d, p in gathered(found(), FLUSH):
-            again = later(h, d)
+        for a, h, d, p in gathered(found(), FLUSH):
+            again = later(h, d, a)
             rest = ~again
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h[rest])), pa.array(d[rest]), pa.array(p[rest]), pa.array(np.zeros(int(rest.sum()), np.int32))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(a[rest])), pa.array(signed(h[rest])), pa.array(d[rest]), pa.array(p[rest]), pa.array(np.zeros(int(rest.sum()), np.int32))], names)
             if again.any():
                 d, p, n = runs_of(d[again], p[again])
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(d), np.int64)), pa.array(d), pa.array(p), pa.array(n)], names)
+                none = pa.array(np.zeros(len(d), np.int64))
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(d), pa.array(p), pa.array(n)], names)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows come sorted by hash and document: the first of a hash is its smallest document. Runs pass."""
+        """Windows come sorted by hash, anchor and document: the first of both is their smallest document. Runs pass."""
 
         def found() -> Iterator[tuple[np.ndarray, ...]]:
-            last_h = least = None
+            last_a = last_h = least = None
             for batch in batches:
-                h, d, p, n = (batch.column(i).to_numpy() for i in range(4))
+                a, h, d, p, n = (batch.column(i).to_numpy() for i in range(5))
                 run = n > 0
                 if run.any():
                     yield d[run], p[run], n[run]
-                    h, d, p = h[~run], d[~run], p[~run]
+                    a, h, d, p = a[~run], h[~run], d[~run], p[~run]
                 if not len(h):
                     continue
-                new = np.append(last_h is None or h[0] != last_h, h[1:] != h[:-1])
+                new = np.append(last_h is None or h[0] != last_h or a[0] != last_a, (h[1:] != h[:-1]) | (a[1:] != a[:-1]))
                 head = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
                 low = np.where(head >= 0, d[np.maximum(head, 0)], least if least is not None else 0)
-                last_h, least = h[-1], low[-1]
+                last_a, last_h, least = a[-1], h[-1], low[-1]
                 again = d > low
                 if again.any():
                     yield d[again], p[again], np.ones(int(again.sum()), np.int32)
@@ -225,8 +226,9 @@ def repeats(docs: DataFrame, min_words: int = 50, log2_bits: int = 26) -> tuple[
             cols = [np.concatenate(x) for x in zip(runs_of(d[one], p[one]), (d[~one], p[~one], n[~one]), strict=True)] if one.any() else [d, p, n]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["doc_id", "start", "n"])
 
-    dealt = F.when(F.col("n") > 0, F.xxhash64("doc_id")).otherwise(F.shiftrightunsigned("h", HASH_BITS))
-    rows = src.mapInArrow(windows, "h long, doc_id long, pos int, n int").repartition(parts(spark), dealt).sortWithinPartitions("h", "doc_id")
+    # Dealt by the least anchor, so that windows next to each other stay together.
+    dealt = F.when(F.col("n") > 0, F.xxhash64("doc_id")).otherwise(F.col("a"))
+    rows = src.mapInArrow(windows, "a long, h long, doc_id long, pos int, n int").repartition(parts(spark), dealt).sortWithinPartitions("h", "a", "doc_id")
     return materialize(rows.mapInArrow(judge, "doc_id long, start int, n int"), "starts"), held
 
 

@@ -110,6 +110,18 @@ def test_remove_repeats(spark, docs):
         assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got) == sorted(want)
 
 
+def test_windows_of_one_anchor_are_told_apart(spark):
+    """Different windows with the same least anchor, in pairs whose hashes agree in 40 bits."""
+    anchor = " w35 w84 w225 w189 w234 w242"
+    heads = ["w247 w286 w249 w183 w174 w231 w282", "w290 w140 w20 w55 w264 w167 w245", "w211 w87 w121 w58 w149 w194 w109", "w126 w219 w104 w273 w45 w4 w236", "w122 w53 w85 w262 w114 w115 w72", "w245 w266 w104 w63 w265 w152 w134"]
+    rows = [(i, x + anchor) for i, x in enumerate([*heads, heads[0]])]
+    for n in (1, 7):  # windows meet in a task, or in the shuffle
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        assert sorted((r.doc_id, r.n_removed) for r in substring_dedup.remove_repeats(docs, 13).collect()) == [(i, 13 * (i == 6)) for i in range(7)]
+    h, d, a = np.array([5, 5, 5, 5], np.uint64), np.array([1, 2, 3, 4]), np.array([1, 3, 1, 3], np.uint64)
+    assert substring_dedup.later(h, d, a).tolist() == [False, False, True, True]
+
+
 def test_partial_aggregation_of_windows():
     rng = np.random.default_rng(3)
     for size in (1, 2, 50, 400):
