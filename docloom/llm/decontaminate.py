@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced seeds.
 
 Two fixed masks of nine words ignore three positions each; together they hit every
-passage of 13 words with at most two substituted words. Masked windows of the
-benchmark and of the documents are joined by hash; around each hit the aligned
+passage of 13 words with at most two substituted words. Three shorter masks of five
+words hit every item of 9 to 12 words with as many as a fifth substituted. Masked
+windows of the benchmark and of the documents are joined by hash; around each hit the aligned
 words are compared, so a match may have substitutions. Benchmarks up to
 ``MAX_BYTES`` are sent to the tasks and the texts aren't shuffled; larger ones are
 joined by hash with a shuffle.
@@ -18,20 +19,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import materialize
 from .words import LOWER, U, gram_hashes, inside, mix, signed, slices, spans, word_hashes
 
 MASKS = ("100101111", "111011001")
+SHORT_MASKS = ("111011", "1101011", "1110011")  # for items of SPAN to WINDOW - 1 words
 SPAN = 9
 WINDOW = 13  # words compared around a hit
 SHARE = 0.8  # of them that must agree
 SHORT = 5  # shorter items never match; items of 5 to 8 words match as a whole
+#: Masks, and the least and the most words of the items that they are for.
+SEEDS = (*((m, WINDOW, 1 << 62) for m in MASKS), *((m, SPAN, WINDOW - 1) for m in SHORT_MASKS), *(("1" * n, n, n) for n in range(SHORT, SPAN)))
 MAX_BYTES = 32 << 20
 _C = 0xD1342543DE82EF95
 OVERLAPS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("doc_word", T.IntegerType()), T.StructField("item_word", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("n_equal", T.IntegerType())]))
 
 
 def masked_hashes(w: np.ndarray, mask: str) -> np.ndarray:
-    n = len(w) - SPAN + 1
+    n = len(w) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, U)
     total, c = np.zeros(n, U), 1
@@ -48,10 +53,19 @@ def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return word_hashes(low, starts, ends), first
 
 
-def seeds(w: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, word positions) for each mask."""
-    at, _ = inside(first, SPAN)
-    return [(h[at] if len(at) else h[:0], at) for h in (masked_hashes(w, m) for m in MASKS)]
+def seeds(w: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes under a mask, and their word positions."""
+    at, _ = inside(first, len(mask))
+    return masked_hashes(w, mask)[at] if len(at) else np.zeros(0, U), at
+
+
+def item_seeds(w: np.ndarray, first: np.ndarray, seed: tuple[str, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for the texts whose length the mask is for."""
+    mask, least, most = seed
+    h, at = seeds(w, first, mask)
+    n = np.diff(first)[np.searchsorted(first, at, "right") - 1]
+    own = (n >= least) & (n <= most)
+    return h[own], at[own]
 
 
 def verify(dw: np.ndarray, iw: np.ndarray, shift: int) -> tuple[int, int, int, int] | None:
@@ -76,11 +90,14 @@ class Benchmark:
         self.ids = ids
         self.words, self.first = words_of(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
         self.seeds = []
-        for h, at in seeds(self.words, self.first):
+        for seed in SEEDS:
+            h, at = item_seeds(self.words, self.first, seed)
+            if not len(h) or seed[1] < SPAN:  # items below SPAN words match as a whole
+                continue
             order = np.argsort(h, kind="stable")
             bits = np.zeros(1 << 20, bool)
             bits[(h >> U(44)).astype(np.int64)] = True
-            self.seeds.append((h[order], at[order], bits))
+            self.seeds.append((seed[0], h[order], at[order], bits))
         n = np.diff(self.first)
         self.short: dict[int, dict[int, list[int]]] = {}
         for i in np.flatnonzero((n >= SHORT) & (n < SPAN)).tolist():
@@ -90,7 +107,8 @@ class Benchmark:
     def overlaps(self, w: np.ndarray, first: np.ndarray) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in range(len(first) - 1)]
         diagonals: list[np.ndarray] = []
-        for (h, at), (known, where, bits) in zip(seeds(w, first), self.seeds, strict=True):
+        for mask, known, where, bits in self.seeds:
+            h, at = seeds(w, first, mask)
             some = np.flatnonzero(bits[(h >> U(44)).astype(np.int64)])
             lo, hi = np.searchsorted(known, h[some], "left"), np.searchsorted(known, h[some], "right")
             n = hi - lo
@@ -125,7 +143,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = Non
     src = docs.select(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)], F.col("text").alias("__text"))
     bench = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     if (bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > max_bytes:
-        return _joined(docs, bench, src, name)
+        return _joined(bench, src, name)
     rows = bench.orderBy("item_id", "text").collect()  # at most max_bytes
     held = docs.sparkSession.sparkContext.broadcast(Benchmark([r.item_id for r in rows], [r.text for r in rows]))
     schema = T.StructType([*src.schema.fields[:-1], T.StructField(name, OVERLAPS)])
@@ -140,39 +158,47 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = Non
     return src.mapInArrow(run, schema)
 
 
-def _joined(docs: DataFrame, bench: DataFrame, src: DataFrame, name: str) -> DataFrame:
-    """For benchmarks too large to send around: seeds of both sides joined by hash, then each pair of texts verified once."""
+def _joined(bench: DataFrame, src: DataFrame, name: str) -> DataFrame:
+    """For benchmarks too large to send around: seeds of both sides joined by hash, then each pair of texts verified once.
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
-            for a, _, data, off in slices(batch, batch.schema.names[1]):
-                w, first = words_of(data, off)
-                grams = [(m, *x) for m, x in enumerate(seeds(w, first))]
-                grams += [(n, gram_hashes(w, n)[at] if len(at) else np.zeros(0, U), at) for n in range(SHORT, SPAN) for at, _ in [inside(first, n)]]
-                for m, h, at in grams:
-                    doc = np.searchsorted(first, at, "right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a + doc], pa.int64()), pa.array(np.full(len(at), m), pa.int32()), pa.array(signed(h)), pa.array((at - first[doc]).astype(np.int32))], ["id", "mask", "h", "pos"])
-
-    seeds_of = lambda df: df.mapInArrow(emit, "id long, mask int, h long, pos int")
-    rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    d, i = seeds_of(rows), seeds_of(bench)
-    pairs = d.join(i.select(F.col("id").alias("item_id"), "mask", "h", F.col("pos").alias("item_pos")), ["mask", "h"]).select(F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
-    both = pairs.join(bench.withColumnRenamed("text", "item"), "item_id").join(rows, "doc_id")
+    Rows of both sides are known by numbers that are written with them, not by their ids.
+    """
+    src = materialize(src.withColumn("__row", F.monotonically_increasing_id()), "docs")
+    bench = materialize(bench.withColumn("item", F.monotonically_increasing_id()), "items")
+
+    def seeds_of(df: DataFrame, kinds: list[int], of) -> DataFrame:
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                for a, _, data, off in slices(batch, batch.schema.names[1]):
+                    w, first = words_of(data, off)
+                    for k in kinds:
+                        h, at = of(w, first, SEEDS[k])
+                        doc = np.searchsorted(first, at, "right") - 1
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[a + doc]), pa.array(np.full(len(at), k), pa.int32()), pa.array(signed(h)), pa.array((at - first[doc]).astype(np.int32))], ["id", "mask", "h", "pos"])
+
+        return df.mapInArrow(emit, "id long, mask int, h long, pos int")
+
+    i = materialize(seeds_of(bench.select("item", "text"), list(range(len(SEEDS))), item_seeds), "seeds")
+    kinds = [r.mask for r in i.select("mask").distinct().collect()]
+    rows = src.select("__row", "__text").filter(F.col("__text").isNotNull())
+    d = seeds_of(rows, kinds, lambda w, first, seed: seeds(w, first, seed[0]))
+    pairs = d.withColumnRenamed("id", "__row").join(i.select(F.col("id").alias("item"), "mask", "h", F.col("pos").alias("item_pos")), ["mask", "h"]).select("__row", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    both = pairs.join(bench, "item").join(rows, "__row").select("__row", "item_id", "shift", "__text", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, item_id, shift, text, item in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "shift", "text", "item")), strict=True):
-                (dw, _), (iw, _) = (words_of(np.frombuffer(r, np.uint8), np.array([0, len(r)])) for r in (text.encode(), item.encode()))
+            for row, item_id, shift, text, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                (dw, _), (iw, _) = (words_of(np.frombuffer(r, np.uint8), np.array([0, len(r)])) for r in (text.encode("utf-8", "replace"), item.encode("utf-8", "replace")))
                 got = verify(dw, iw, shift)
-                if got and len(iw) >= SHORT and (len(iw) >= SPAN or got[3] == len(iw)):
-                    out.append((doc_id, item_id, *got))
+                if got and (len(iw) >= SPAN or got[3] == len(iw)):
+                    out.append((row, item_id, *got))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["doc_id", "item_id", "doc_word", "item_word", "n_words", "n_equal"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["__id", "item_id", "doc_word", "item_word", "n_words", "n_equal"])
 
-    found = both.mapInArrow(check, "doc_id long, item_id long, doc_word long, item_word long, n_words long, n_equal long")
+    found = both.mapInArrow(check, "__id long, item_id long, doc_word long, item_word long, n_words long, n_equal long")
     row = F.struct("item_id", *(F.col(c).cast("int").alias(c) for c in ("doc_word", "item_word", "n_words", "n_equal")))
-    lists = found.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(row).alias(name))
-    keyed = src.withColumn("__id", F.col("doc_id"))
-    return keyed.join(lists, "__id", "left").select(*src.columns[:-1], F.coalesce(F.col(name), F.array().cast(OVERLAPS)).alias(name))
+    lists = found.groupBy("__id").agg(F.collect_list(row).alias("__found"))
+    keep = [F.col(f"`{c}`") for c in src.columns[:-2]]
+    return src.join(lists, F.col("__row") == F.col("__id"), "left").select(*keep, F.coalesce("__found", F.array().cast(OVERLAPS)).alias(name))

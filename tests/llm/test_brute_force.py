@@ -184,6 +184,25 @@ def test_overlaps(spark):
     assert decontaminate.overlaps(docs, bench.limit(0), ["doc_id"]).filter("size(overlaps) > 0").isEmpty()
 
 
+def test_overlaps_of_short_items(spark):
+    """Items of 9 to 12 words with every allowed substitution; rows without doc_id and with a repeated one."""
+    items = [(n, " ".join(f"i{n}x{j}" for j in range(n))) for n in range(9, 13)]
+    rows, want = [], []
+    for n, text in items:
+        for many in range(4):
+            for bad in itertools.combinations(range(n), many):
+                w = ["no" if j in bad else x for j, x in enumerate(text.split())]
+                k = len(rows)
+                rows.append((None if k % 3 == 0 else 7 if k % 3 == 1 else k, k, " ".join(["a", "b", *w, "c"])))
+                want += [(k, n, 2, 0, n, n - many)] if 5 * many <= n else []
+    docs = spark.createDataFrame(rows, "doc_id long, key long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for most in (1 << 20, 0):
+        got = decontaminate.overlaps(docs, bench, ["doc_id", "key"], max_bytes=most)
+        assert sorted(r.key for r in got.collect()) == list(range(len(rows)))
+        assert sorted(tuple(r) for r in got.select("key", F.explode("overlaps").alias("o")).select("key", "o.*").collect()) == want
+
+
 def test_masks_hit_two_substitutions():
     for bad in itertools.combinations(range(13), 2):
         assert any(all(o + p not in bad for p, b in enumerate(m) if b == "1") for m in decontaminate.MASKS for o in range(5))
