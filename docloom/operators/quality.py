@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from docloom.functions import text as T
@@ -38,10 +42,27 @@ def headings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def parents(sections: DataFrame) -> DataFrame:
     """doc_uid, ordinal, level -> ordinal of the nearest section above with a lower level (null: the document) and kind."""
-    w = Window.partitionBy("doc_uid").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    above = F.collect_list(F.struct("level", "ordinal")).over(w)
-    hit = F.filter(above, lambda s: s["level"] < F.col("level"))
-    return sections.select("doc_uid", "ordinal", "level", F.try_element_at(hit, F.lit(-1))["ordinal"].alias("parent"), F.when(F.col("level") == 2, "sec").otherwise("subsec").alias("kind"))
+    x = sections.select("doc_uid", "ordinal", "level")
+    schema = StructType([*x.schema.fields, StructField("parent", x.schema["ordinal"].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, open_ = None, []  # the sections above that may still be parents, by rising level
+        for batch in batches:
+            out = []
+            for d, o, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if d != doc:
+                    doc, open_ = d, []
+                if v is None:
+                    out.append(None)
+                    continue
+                while open_ and open_[-1][0] >= v:
+                    open_.pop()
+                out.append(open_[-1][1] if open_ else None)
+                open_.append((v, o))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, batch.column(1).type)], names=schema.names)
+
+    found = x.repartition("doc_uid").sortWithinPartitions("doc_uid", "ordinal").mapInArrow(run, schema)
+    return found.select("doc_uid", "ordinal", "level", "parent", F.when(F.col("level") == 2, "sec").otherwise("subsec").alias("kind"))
 
 
 def line_metrics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -108,7 +108,7 @@ query("a11_line_metrics", r"SELECT doc_id, length(text)::BIGINT AS chars, len(st
 query("a12_rollup", "SELECT source, sum(length(text))::BIGINT AS chars, sum(len(string_split(text, chr(10))))::BIGINT AS lines FROM documents GROUP BY 1")(lambda s, d: quality.line_metrics(B.read(s, d, "documents")).join(B.read(s, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("chars").alias("chars"), F.sum("lines").alias("lines")))
 over("a13_required_coverage", "markdown", quality.required_coverage, "SELECT doc_id, (contains(text, '## Cel dokumentu')::INT + contains(text, '## Zakres i granice')::INT + contains(text, '## Wejścia i wyjścia')::INT)::BIGINT AS n_required FROM markdown")
 over("w1_w4_headings", "markdown", quality.headings)
-over("w8_parents", "sections", lambda s: quality.parents(s.filter("section_uid <= 5000").select("doc_uid", F.col("section_uid").alias("ordinal"), (F.col("section_uid") % 4 + 1).alias("level"))), "SELECT doc_uid, section_uid AS ordinal, section_uid % 4 + 1 AS level, (SELECT max(b.section_uid) FROM sections b WHERE b.doc_uid = a.doc_uid AND b.section_uid < a.section_uid AND b.section_uid % 4 < a.section_uid % 4) AS parent, CASE WHEN section_uid % 4 + 1 = 2 THEN 'sec' ELSE 'subsec' END AS kind FROM sections a WHERE section_uid <= 5000")
+over("w8_parents", "sections", lambda s: quality.parents(s.select("doc_uid", F.col("section_uid").alias("ordinal"), (F.col("section_uid") % 4 + 1).alias("level"))), "SELECT doc_uid, section_uid AS ordinal, section_uid % 4 + 1 AS level, (SELECT max(b.section_uid) FROM sections b WHERE b.doc_uid = a.doc_uid AND b.section_uid < a.section_uid AND b.section_uid % 4 < a.section_uid % 4) AS parent, CASE WHEN section_uid % 4 + 1 = 2 THEN 'sec' ELSE 'subsec' END AS kind FROM sections a WHERE section_uid <= 5000")
 over("r2_findings", "markdown", fixes.findings)
 over("r4_r5_apply_safe", "markdown", lambda m: fixes.apply_safe(m, fixes.findings(m)).select("path", "hash_before", "hash_after"))
 over("r9_violations", "markdown", fixes.violations)

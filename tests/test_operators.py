@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import analytics, fixes, graph, history, links, matching, quality
+from docloom.plans import registry
 from docloom.sources import files, sinks
 
 
@@ -93,3 +94,14 @@ def test_matching_and_history(spark):
     old, new = (spark.createDataFrame(x, "path string, hash string") for x in ([("a", "1"), ("b", "2"), ("c", "3")], [("a", "1"), ("d", "2"), ("e", "4")]))
     assert sorted(r.kind for r in history.transitions(old, new).collect()) == ["added", "kept", "moved", "removed"]
     assert analytics.totals(spark.createDataFrame([], "path string"), spark.createDataFrame([], "doc_path string")).first().pct == 0.0
+
+
+def test_parents_of_the_whole_table(spark, tmp_path):
+    keys = [*range(1, 30), *range(4990, 5040)]
+    spark.createDataFrame([(k, f"B{k % 3}", f"n {k}") for k in keys], "p_partkey long, p_brand string, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.ordinal: (r.level, r.parent) for r in registry.queries()["w8_parents"](spark, str(tmp_path)).collect()}
+    assert got == {k: (k % 4 + 1, max((j for j in keys if j < k and j % 3 == k % 3 and j % 4 < k % 4), default=None)) for k in keys}
+    rows = [(d, i, (i * i * 7 + d * 5) % 11) for d in range(3) for i in range(60)]  # more than six levels
+    want = sorted((d, i, max((j for e, j, m in rows if e == d and j < i and m < v), default=-1)) for d, i, v in rows)
+    found = quality.parents(spark.createDataFrame(rows, "doc_uid long, ordinal long, level long")).collect()
+    assert sorted((r.doc_uid, r.ordinal, -1 if r.parent is None else r.parent) for r in found) == want
