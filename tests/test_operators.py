@@ -105,3 +105,10 @@ def test_parents_of_the_whole_table(spark, tmp_path):
     want = sorted((d, i, max((j for e, j, m in rows if e == d and j < i and m < v), default=-1)) for d, i, v in rows)
     found = quality.parents(spark.createDataFrame(rows, "doc_uid long, ordinal long, level long")).collect()
     assert sorted((r.doc_uid, r.ordinal, -1 if r.parent is None else r.parent) for r in found) == want
+
+
+def test_contained_short_slugs(spark):
+    slugs = spark.createDataFrame([("abc",), ("xy",), ("plan",), ("none",)], "slug string")
+    files = spark.createDataFrame([("0123456789abc-file",), ("the-long-xy-a",), ("the-long-xy-b",), ("plan",), ("a-long-plan-too",)], "file string")
+    got = {r.slug: (r.file, r.tier) for r in links.contained(slugs, files).collect()}
+    assert got == {"abc": ("0123456789abc-file", 2), "xy": (None, None), "plan": ("plan", 1), "none": (None, None)}
