@@ -18,10 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import slices, spans, word_hashes
+from .words import distinct_words, slices, spans
 
 MARK = "▁"
 CACHE = 300_000  # word counts kept in a task at most
+CACHED = 64  # bytes of the longest word kept
 DEFAULT_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -109,17 +110,20 @@ def count_tokens(docs: DataFrame, vocabulary: str | list[str] = DEFAULT_VOCABULA
         for batch in batches:
             for a, b, data, off in slices(batch, "text"):
                 starts, ends, first = spans(data, off)
-                hashes, index, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+                index, number = distinct_words(data, starts, ends)
                 raw = data.tobytes()
                 if len(cache) > CACHE:
                     cache.clear()
-                counts = np.empty(len(hashes), np.int64)
-                for i, (h, s, e) in enumerate(zip(hashes.tolist(), starts[index].tolist(), ends[index].tolist(), strict=True)):
-                    n = cache.get(h)
+                counts = np.empty(len(index), np.int64)
+                for i, (s, e) in enumerate(zip(starts[index].tolist(), ends[index].tolist(), strict=True)):
+                    word = raw[s:e]
+                    n = cache.get(word)
                     if n is None:
-                        cache[h] = n = auto.count(mark + raw[s:e].decode("utf-8", "replace"))
+                        n = auto.count(mark + word.decode("utf-8", "replace"))
+                        if e - s <= CACHED:
+                            cache[word] = n
                     counts[i] = n
-                sums = np.concatenate([[0], np.cumsum(counts[inverse])])
+                sums = np.concatenate([[0], np.cumsum(counts[number])])
                 cols = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(first), pa.int64()), pa.array(np.diff(sums[first]), pa.int64())], [*keep, "n_words", "n_tokens"])
 

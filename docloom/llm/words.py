@@ -7,6 +7,7 @@ that or by the longest single text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,22 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-TABLE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
-_B = 0x5851F42D4C957F2D
-_pow: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    got = _pow.get(base)
-    if got is None or len(got) < n:
-        got = np.full(max(n, 1 << 16), U(base))
-        got[0] = 1
-        got = np.cumprod(got)
-        if len(got) <= 2 * SLICE:
-            _pow[base] = got
-    return got[:n]
-
-
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary array (nulls are empty) and the rows' offsets."""
     if isinstance(col, pa.ChunkedArray):
@@ -100,28 +85,82 @@ def spans(data: np.ndarray, off: np.ndarray, sep: np.ndarray = SPACE) -> tuple[n
     return starts, np.flatnonzero(word & ~after) + 1, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words: polynomials over random byte values, by differences of prefix sums."""
-    n = len(data)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(TABLE[data] * powers(_B, n), out=sums[1:])
-    inverse = powers(pow(_B, -1, 1 << 64), n + 1)
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+#: Masks that keep the first 0 to 8 bytes of a block, and what a word's length adds to its hash.
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+LONG = 256  # longer words are hashed by BLAKE2
+_C, _D = 0xD1342543DE82EF95, 0x9E3779B97F4A7C15
+
 
+def _blocks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as a number (zeros follow the end)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
 
-_C = 0xD1342543DE82EF95
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, block by block of eight bytes.
+
+    Each block goes through a bijection before the next is added, so regular words don't
+    meet by construction; words of one length up to eight bytes never do.
+    """
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, U)
+    blocks = _blocks(data)
+    h = mix((blocks[starts] & KEEP[np.minimum(size, 8)]) ^ size.astype(U) * U(_D))
+    at, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(at):
+        h[at] = mix(h[at] * U(_C) + (blocks[starts[at] + k] & KEEP[np.minimum(size[at] - k, 8)]))
+        k += 8
+        at = at[size[at] > k]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of one of each distinct word, number of its word for each). Equal hashes are compared byte by byte."""
+    _, index, number = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    if not len(starts):
+        return index, number
+    size, one, blocks = ends - starts, index[number], _blocks(data)
+    short = KEEP[np.minimum(size, 8)]
+    same = (size == size[one]) & (blocks[starts] & short == blocks[starts[one]] & short)
+    at, k = np.flatnonzero(same & (size > 8) & (size <= LONG)), 8
+    while len(at):
+        k = np.minimum(k, size[at] - 8)  # the last block ends with the word
+        same[at] = blocks[starts[at] + k] == blocks[starts[one[at]] + k]
+        more = same[at] & (size[at] > k + 8)
+        at, k = at[more], k[more] + 8
+    for i in np.flatnonzero(same & (size > LONG)).tolist():
+        same[i] = np.array_equal(data[starts[i] : ends[i]], data[starts[one[i]] : ends[one[i]]])
+    if not same.all():
+        own: dict[bytes, int] = {}
+        for i in np.flatnonzero(~same).tolist():
+            number[i] = own.setdefault(data[starts[i] : ends[i]].tobytes(), len(index) + len(own))
+        extra = {n: i for i, n in zip(np.flatnonzero(~same).tolist(), number[~same].tolist(), strict=True)}
+        index = np.append(index, [extra[n] for n in sorted(extra)])
+    return index, number
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of k words, at its first word; empty if there are fewer words."""
-    n = len(words) - k + 1
-    if n <= 0:
+    """Hash of each run of k words, at its first word; empty if there are fewer words.
+
+    Runs are joined two by two (the last two may overlap), each time through a bijection.
+    """
+    if len(words) < k:
         return np.zeros(0, U)
-    total, c = np.zeros(n, U), 1
-    for j in range(k):
-        total += words[j : j + n] * U(c)
-        c = c * _C % (1 << 64)
-    return mix(total)
+    got, width = words.astype(U, copy=True), 1
+    while width < k:
+        step = min(width, k - width)
+        new = got[: len(got) - step] * U(_C)
+        new += got[step:]
+        new ^= new >> U(32)
+        new *= U(_D)
+        got, width = new, width + step
+    got ^= got >> U(29)
+    return mix(got)
 
 
 def owners(first: np.ndarray) -> np.ndarray:
