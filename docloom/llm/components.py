@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (node, root): the smallest node that each node of a link reaches.
 
     Nodes are longs. Loops and repeated links change nothing; an empty table gives
-    an empty one. Every round is written to the shared folder; its joins are plain
-    equi-joins that adaptive execution may split at hubs.
+    an empty one. Every round is written to the shared folder, as is the result; its joins
+    are plain equi-joins that adaptive execution may split at hubs.
     """
     edges = materialize(_ordered(links.select("a", "b")), "edges")
     while True:
         large = _star(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), F.col("b") > F.col("a"))
         small = materialize(_ordered(_star(_ordered(large), None)), "edges")
+        discard(edges)
         # Done when every edge points at a node that has no smaller neighbour itself.
         if small.join(small.select(F.col("a").alias("b")), "b", "left_semi").isEmpty() and small.groupBy("a").agg(F.countDistinct("b").alias("n")).filter("n > 1").isEmpty():
             break
         edges = small
     roots = small.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-    return roots.unionByName(small.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = materialize(roots.unionByName(small.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "components")
+    discard(small)
+    return out
 
 
 def _ordered(e: DataFrame) -> DataFrame:

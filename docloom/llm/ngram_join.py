@@ -1,6 +1,6 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip, lossless, without listing all pairs.
 
-1. Documents with the same shingle set are one class (a 64-bit digest of the set).
+1. Documents with the same shingle set are one class (told by two 64-bit hashes of the set).
 2. Shingles get one global order: by a fixed-size table of counts over all documents
    (rare first), then by hash. Two sets similar enough share a shingle of their
    prefixes, so only prefixes are dealt out by shingle; a cell is a shingle with two
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .components import components
-from .store import materialize, parts
+from .store import discard, materialize, parts
 from .words import U, blobs, mix, shingle_sets, signed, slices
 
 COUNT_BITS = 20
@@ -38,18 +38,31 @@ BLOCK = 256  # candidates verified at once
 RUN = 1 << 18  # rows of a cell in memory at once in the first round
 PAIRS = 1 << 16
 SENT = 1 << 20  # candidate pairs that are sent to the sets; more are joined by a shuffle of both
+MOST_SHARED = 10_000  # hashes that different sets share
+BUCKETS = 64  # of a component, on the way down
 LEAST_BITS, MOST_BITS = 64, 1 << 24  # of a set's parities
 
 
-def digest(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each set: sums of mixed members, so the order of members doesn't matter; 0 for an empty set."""
+def digest(h: np.ndarray, doc: np.ndarray, n: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set: of sums of mixed members, so the order of members doesn't matter; 0 for an empty set.
+
+    The first, of ``bits`` bits, names a class as long as no other set has it.
+    """
     counts = np.bincount(doc, minlength=n)
-    out = np.zeros(n, U)
+    one, two = np.zeros(n, U), np.zeros(n, U)
     full = np.flatnonzero(counts)
     if len(full):
         at = (np.cumsum(counts) - counts)[full]
-        out[full] = mix(np.add.reduceat(mix(h ^ U(0xA5A5A5A5)), at) ^ mix(np.add.reduceat(mix(h ^ U(0x3C3C3C3C)), at)) * U(0x9E3779B97F4A7C15))
-    return out
+        x, y = np.add.reduceat(mix(h ^ U(0xA5A5A5A5)), at), np.add.reduceat(mix(h ^ U(0x3C3C3C3C)), at)
+        one[full] = mix(x ^ mix(y) * U(0x9E3779B97F4A7C15)) >> U(64 - bits)
+        two[full] = mix(y ^ mix(x ^ U(0x5A5A)) * U(0xD1342543DE82EF95))
+    return one, two
+
+
+def classes_of(h: np.ndarray, doc: np.ndarray, n: int, bits: int, shared: np.ndarray) -> np.ndarray:
+    """The class of each set: its first hash, or its second if the first is one that different sets have."""
+    one, two = digest(h, doc, n, bits)
+    return np.where(np.isin(one, shared), two, one) if len(shared) else one
 
 
 def needed(a, b, percent: int):
@@ -140,37 +153,38 @@ def _near_enough(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _first_scan(docs: DataFrame, k: int) -> DataFrame:
-    """kind 0: a document's set size, class and parities. kind 1: parts of a task's table of counts."""
+def _first_scan(docs: DataFrame, k: int, bits: int) -> DataFrame:
+    """kind 0: a document's set size, hashes and parities. kind 1: parts of a task's table of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNT_BITS, np.int32)
-        names = ["kind", "doc_id", "n", "cls", "data"]
+        names = ["kind", "doc_id", "n", "one", "two", "data"]
         for batch in batches:
             for a, b, data, off in slices(batch, "text"):
                 h, doc = shingle_sets(data, off, k)
                 counts += np.bincount((h >> U(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS).astype(np.int32)
                 n = b - a
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0).slice(a, n), pa.array(np.bincount(doc, minlength=n).astype(np.int64)), pa.array(signed(digest(h, doc, n))), parities(h, doc, n)], names)
+                one, two = digest(h, doc, n, bits)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0).slice(a, n), pa.array(np.bincount(doc, minlength=n).astype(np.int64)), pa.array(signed(one)), pa.array(signed(two)), parities(h, doc, n)], names)
         size = len(counts) // COUNT_CHUNKS
         for c in range(COUNT_CHUNKS):
             part = counts[c * size : (c + 1) * size]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, batch_type), pa.array([c], pa.int64()), pa.array([0], pa.int64()), pa.array([part.tobytes()], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, batch_type), pa.array([c], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([part.tobytes()], pa.binary())], names)
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     batch_type = pa.int64()
-    return src.mapInArrow(run, "kind int, doc_id long, n long, cls long, data binary")
+    return src.mapInArrow(run, "kind int, doc_id long, n long, one long, two long, data binary")
 
 
-def _prefixes(docs: DataFrame, counts, k: int, percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, counts, k: int, percent: int, bits: int, shared) -> DataFrame:
     """Prefix shingles of every class: h, cls, n, pos."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, off in slices(batch, "text"):
                 h, doc = shingle_sets(data, off, k)
-                cls = digest(h, doc, b - a)
+                cls = classes_of(h, doc, b - a, bits, shared.value)
                 _, one = np.unique(cls, return_index=True)  # copies next to each other once
                 own = np.zeros(b - a, bool)
                 own[one] = True
@@ -324,7 +338,7 @@ def _key(cls, doc_id):
     return cls ^ (doc_id << 17) ^ doc_id
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+def _sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, class_bits: int, shared) -> DataFrame:
     """cls, members of the classes in ``pairs``, from one document of each (hardly ever more).
 
     A Bloom filter over documents, and over (class, document), picks them in a scan, so
@@ -342,7 +356,7 @@ def _sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int) -> DataFra
             batch, ids = batch.filter(pa.array(asked)), ids[asked]
             for a, b, data, off in slices(batch, "text"):
                 h, doc = shingle_sets(data, off, k)
-                cls = digest(h, doc, b - a)
+                cls = classes_of(h, doc, b - a, class_bits, shared.value)
                 own = bloom.passes(bits.value, _key(signed(cls), ids[a:b]))
                 keep = own[doc]
                 if keep.any():
@@ -352,7 +366,7 @@ def _sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "cls long, members binary")
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75, class_bits: int = 64) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, class_id, class_size.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. A document's set holds its
@@ -362,33 +376,52 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     reachable by links. Repeated rows are copies of each other; a row without doc_id
     can link others, and its component_id is null only if nothing with an id is
     reachable. Other columns are ignored. class_id joins documents with equal sets.
+    Shingles are told by 64-bit hashes. Fewer ``class_bits`` only make more classes go by
+    their second hash.
     """
     spark = docs.sparkSession
-    scan = materialize(_first_scan(docs, k), "scan")
-    full = scan.filter("kind = 0").select("doc_id", "n", "cls", "data")
+    scan = materialize(_first_scan(docs, k, class_bits), "scan")
+    full = scan.filter("kind = 0")
+    both = full.filter("n > 0").groupBy("one").agg(F.min("two").alias("a"), F.max("two").alias("b")).filter("a <> b")
+    # Different sets with one hash: n sets have n * n / 2 ** 65 of them, a few hundred in 10 ** 11.
+    found = [r.one for r in both.select("one").limit(MOST_SHARED + 1).collect()]
+    if len(found) > MOST_SHARED:
+        raise ValueError("more sets share a hash than chance can give")
+    shared = spark.sparkContext.broadcast(np.array(sorted(found), np.int64).view(U))
+    full = full.select("doc_id", "n", (F.when(F.col("one").isin(found), F.col("two")).otherwise(F.col("one")) if found else F.col("one")).alias("cls"), "data")
     rows = full.drop("data")
     got = bloom.add_up(scan.filter("kind = 1").select(F.col("n").cast("int").alias("chunk"), "data"), "int32", np.add)
     size = (1 << COUNT_BITS) // COUNT_CHUNKS
-    counts = spark.sparkContext.broadcast(np.frombuffer(b"".join(got.get(c, bytes(4 * size)) for c in range(COUNT_CHUNKS)), np.int32))
+    table = np.frombuffer(b"".join(got.get(c, bytes(4 * size)) for c in range(COUNT_CHUNKS)), np.int32)
+    counts = spark.sparkContext.broadcast(table)
     n = parts(spark)
     reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size"))
-    cells = materialize(_prefixes(docs, counts, k, percent).repartition(n, "h").sortWithinPartitions("h", "cls").mapInArrow(_cells, CELL), "cells")
+    cells = materialize(_prefixes(docs, counts, k, percent, class_bits, shared).repartition(n, "h").sortWithinPartitions("h", "cls").mapInArrow(_cells, CELL), "cells")
     possible = F.least(F.col("n") - F.col("pos"), F.col("head_n") - F.col("head_pos")) >= F.ceil(percent * (F.col("n") + F.col("head_n")) / (100.0 + percent) - 1e-9)
     stars = cells.filter(F.col("cls") != F.col("head")).filter(possible).select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
     stars = materialize(_near_enough(stars, full, percent), "stars")
-    links = materialize(_verified(stars, _sets(docs, stars, reps.select("cls", "least"), k), percent), "links")
-    comp = materialize(components(links), "comp")
+    links = materialize(_verified(stars, _sets(docs, stars, reps.select("cls", "least"), k, class_bits, shared), percent), "links")
+    comp = components(links)
     named = cells.select("h", "cls", "n", "pos").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "n", "pos", F.coalesce("root", "cls").alias("comp"))
-    more = named.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_open_pairs(percent), "a long, b long").distinct()
-    more = materialize(_near_enough(materialize(more, "open"), full, percent), "pairs")
+    opened = materialize(named.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_open_pairs(percent), "a long, b long").distinct(), "open")
+    discard(cells, stars)
+    more = materialize(_near_enough(opened, full, percent), "pairs")
+    discard(opened)
     if not more.isEmpty():
-        extra = materialize(_verified(more, _sets(docs, more, reps.select("cls", "least"), k), percent), "links")
+        extra = materialize(_verified(more, _sets(docs, more, reps.select("cls", "least"), k, class_bits, shared), percent), "links")
         if not extra.isEmpty():
-            comp = materialize(components(links.unionByName(extra)), "comp")
-    # Classes to documents: the least id of each class, then of each component.
-    classes = reps.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(roots, "root").select("cls", "component_id", "class_size")
-    linked = rows.filter("n > 0").join(classes, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("cls").alias("class_id"), "class_size")
+            discard(comp)
+            comp = components(links.unionByName(extra))
+        discard(extra)
+    discard(links, more)
+    # Classes to documents: the least id of each class, then of each component, which goes down by way of its buckets,
+    # so that a component of very many classes doesn't meet in one task.
+    named = reps.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
+    linked = named.filter("root is not null").withColumn("bucket", F.pmod(F.xxhash64("cls"), F.lit(BUCKETS)))
+    low = linked.groupBy("root", "bucket").agg(F.min("least").alias("least"))
+    top = low.groupBy("root").agg(F.min("least").alias("component_id"))
+    down = low.select("root", "bucket").join(top, "root")
+    classes = linked.join(down, ["root", "bucket"]).select("cls", "component_id", "class_size").unionByName(named.filter("root is null").select("cls", F.col("least").alias("component_id"), "class_size"))
+    out = rows.filter("n > 0").join(classes, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("cls").alias("class_id"), "class_size")
     alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return linked.unionByName(alone)
+    return out.unionByName(alone)

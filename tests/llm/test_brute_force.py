@@ -62,7 +62,8 @@ def test_jaccard_groups(spark, docs):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     want = sorted((i, len(s), find(i)) for i, s in sets.items())
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(docs).collect()) == want
+    for bits in (64, 3):  # with three bits all sets share their first hash with others
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(docs, class_bits=bits).collect()) == want
     assert len({w[2] for w in want}) < len(want) - 10
 
 
