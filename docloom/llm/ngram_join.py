@@ -191,7 +191,8 @@ def _prefixes(docs: DataFrame, counts, k: int, percent: int, bits: int, shared)
                 keep = own[doc]
                 h, doc = h[keep], doc[keep]
                 n = np.bincount(doc, minlength=b - a)
-                order = np.lexsort((h, counts.value[(h >> U(64 - COUNT_BITS)).astype(np.int64)], doc))
+                order = np.argsort(counts.value[(h >> U(64 - COUNT_BITS)).astype(np.int64)], kind="stable")  # members come sorted
+                order = order[np.argsort(doc[order].astype(np.uint16 if b - a < 1 << 16 else np.int64), kind="stable")]
                 pos = np.arange(len(h)) - (np.cumsum(n) - n)[doc]
                 keep = pos < prefix_length(n, percent)[doc]
                 doc, pos, h = doc[keep], pos[keep], h[order][keep]
@@ -393,7 +394,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75, class_bits: i
     got = bloom.add_up(scan.filter("kind = 1").select(F.col("n").cast("int").alias("chunk"), "data"), "int32", np.add)
     size = (1 << COUNT_BITS) // COUNT_CHUNKS
     table = np.frombuffer(b"".join(got.get(c, bytes(4 * size)) for c in range(COUNT_CHUNKS)), np.int32)
-    counts = spark.sparkContext.broadcast(table)
+    counts = spark.sparkContext.broadcast((np.log2(np.maximum(table, 0) + 1.0) * 2000).astype(np.uint16))  # finer than one per cent
     n = parts(spark)
     reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size"))
     cells = materialize(_prefixes(docs, counts, k, percent, class_bits, shared).repartition(n, "h").sortWithinPartitions("h", "cls").mapInArrow(_cells, CELL), "cells")

@@ -190,8 +190,11 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     if len(short):
         own = np.array([int(gram_hashes(w[first[d] : first[d + 1]], int(n[d]))[0]) for d in short], U)
         h, doc = np.concatenate([h, mix(own ^ U(0x1234567))]), np.concatenate([doc, short])
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
+        order = np.argsort(doc, kind="stable")
+        h, doc = h[order], doc[order]
+    cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else np.zeros(0, np.int64)
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        h[a:b].sort()
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     return h[new], doc[new]
