@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -106,8 +107,9 @@ def test_remove_repeats(spark, docs):
         kept = [x for k, x in enumerate(w) if k not in gone]
         want.append((i, len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest(), " ".join(kept)))
     spread = docs.repartition(7, "text").sortWithinPartitions(F.desc("doc_id"))  # many tasks, each in falling order
-    for table, bits in ((docs, 26), (docs, 9), (spread, 26)):  # a full filter changes nothing
-        got = substring_dedup.remove_repeats(table, 13, log2_bits=bits, with_text=True).collect()
+    # A full filter changes nothing, nor does it whether anchors are extended or their windows are dealt one by one.
+    for table, bits, hot in ((docs, 26, 4096), (docs, 9, 4096), (spread, 26, 1 << 40), (spread, 26, 0), (spread, 26, 5)):
+        got = substring_dedup.remove_repeats(table, 13, log2_bits=bits, with_text=True, hot=hot).collect()
         assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got) == sorted(want)
 
 
@@ -116,11 +118,29 @@ def test_windows_of_one_anchor_are_told_apart(spark):
     anchor = " w35 w84 w225 w189 w234 w242"
     heads = ["w247 w286 w249 w183 w174 w231 w282", "w290 w140 w20 w55 w264 w167 w245", "w211 w87 w121 w58 w149 w194 w109", "w126 w219 w104 w273 w45 w4 w236", "w122 w53 w85 w262 w114 w115 w72", "w245 w266 w104 w63 w265 w152 w134"]
     rows = [(i, x + anchor) for i, x in enumerate([*heads, heads[0]])]
-    for n in (1, 7):  # windows meet in a task, or in the shuffle
+    for n, hot in ((1, 1 << 40), (7, 1 << 40), (1, 0), (7, 0)):  # windows meet in a task, or in the shuffle
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
-        assert sorted((r.doc_id, r.n_removed) for r in substring_dedup.remove_repeats(docs, 13).collect()) == [(i, 13 * (i == 6)) for i in range(7)]
+        assert sorted((r.doc_id, r.n_removed) for r in substring_dedup.remove_repeats(docs, 13, hot=hot).collect()) == [(i, 13 * (i == 6)) for i in range(7)]
     h, d, a = np.array([5, 5, 5, 5], np.uint64), np.array([1, 2, 3, 4]), np.array([1, 3, 1, 3], np.uint64)
-    assert substring_dedup.later(h, d, a).tolist() == [False, False, True, True]
+    assert substring_dedup.later(h, a, d).tolist() == [False, False, True, True]
+
+
+def test_extension_decides(spark):
+    """Texts around one shared gram: how far they agree to both sides, with different partners on each, is what counts."""
+    core = "c1 c2 c3 c4 c5 c6 c7"
+    left, right = [f"l{i}" for i in range(9)], [f"r{i}" for i in range(9)]
+    shapes = [(9, 0), (0, 9), (3, 3), (2, 3), (9, 9), (3, 9), (9, 3), (1, 5), (6, 0), (5, 0)]
+    rows = [(i, " ".join([*(f"u{i}x{j}" for j in range(9 - a)), *left[9 - a :], core, *right[:b], *(f"v{i}x{j}" for j in range(9 - b))])) for i, (a, b) in enumerate(shapes)]
+    words = {i: t.split() for i, t in rows}
+    least = {}
+    for i in sorted(words):
+        for j in range(len(words[i]) - 12):
+            least.setdefault(tuple(words[i][j : j + 13]), i)
+    want = [(i, len({k for j in range(len(w) - 12) if least[tuple(w[j : j + 13])] < i for k in range(j, j + 13)})) for i, w in words.items()]
+    assert 0 < sum(n > 0 for _, n in want) < len(want) - 2
+    for n in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        assert sorted((r.doc_id, r.n_removed) for r in substring_dedup.remove_repeats(docs, 13, hot=1 << 40).collect()) == want
 
 
 def test_partial_aggregation_of_windows():
@@ -130,9 +150,10 @@ def test_partial_aggregation_of_windows():
         own = {}
         for x, y in zip(h.tolist(), d.tolist(), strict=True):
             own.setdefault(x, []).append(y)
-        assert substring_dedup.later(h, d).tolist() == [y > min(own[x]) for x, y in zip(h.tolist(), d.tolist(), strict=True)]
+        assert substring_dedup.later(h, h, d).tolist() == [y > min(own[x]) for x, y in zip(h.tolist(), d.tolist(), strict=True)]
         got = sorted(zip(*(x.tolist() for x in substring_dedup.ends_of(h, d)), strict=True))
-        assert got == sorted({(x, y) for x, ys in own.items() for y in (min(ys), max(ys))})
+        assert [x[:2] for x in got] == sorted({(x, y) for x, ys in own.items() for y in (min(ys), max(ys))})
+        assert {x: sum(n for z, _, n in got if z == x) for x in own} == {x: len(ys) for x, ys in own.items()}
     d, p, n = substring_dedup.runs_of(np.array([2, 1, 2, 2, 1]), np.array([4, 0, 3, 9, 1], np.int32))
     assert list(zip(d.tolist(), p.tolist(), n.tolist(), strict=True)) == [(1, 0, 2), (2, 3, 2), (2, 9, 1)]
     parts = [(np.arange(3), np.arange(3)), (np.arange(4), np.arange(4)), (np.arange(1), np.arange(1))]
@@ -321,13 +342,73 @@ def test_feistel_is_a_permutation(spark):
 
 
 def test_exponents():
-    tokens = np.array([900.0, 50, 50, 0])
-    a = mixing.bisect_exponent(tokens, repetition_limit=3.0)
-    reps = mixing.repetitions(tokens, mixing.weights(tokens / 1000, a), None)
-    assert abs(reps.max() - 3) < 1e-6 and abs(reps[0] - 1) < 1e-9 and reps[3] == 1
-    a = mixing.bisect_exponent(tokens, target_entropy=1.0)
-    assert abs(mixing.entropy(mixing.weights(tokens / 1000, a)) - 1) < 1e-6
-    assert mixing.bisect_exponent(np.array([5.0, 5.0]), repetition_limit=2.0) == 0.0
+    def bisect(tokens, **goal):
+        shares = np.array([t for t in tokens if t]) / sum(tokens)
+        moments = lambda xs: [((shares**a).sum(), (shares**a * np.log(shares)).sum()) for a in xs]
+        return mixing.bisect_exponent(moments, sum(tokens), min(t for t in tokens if t), max(tokens), **goal), shares
+
+    a, shares = bisect([900.0, 50, 50, 0], repetition_limit=3.0)
+    w = shares**a / (shares**a).sum()
+    passes = w / shares
+    assert abs((passes / passes.min()).max() - 3) < 1e-6
+    a, shares = bisect([900.0, 50, 50, 0], target_entropy=1.0)
+    w = shares**a / (shares**a).sum()
+    assert abs(-(w * np.log(w)).sum() - 1) < 1e-6
+    a, shares = bisect([900.0, 90, 10], repetition_limit=4.0, budget=1000.0)
+    w = shares**a / (shares**a).sum()
+    assert abs((w * 1000 / (shares * 1000)).max() - 4) < 1e-6
+    assert bisect([5.0, 5.0], repetition_limit=2.0)[0] == 0.0 and bisect([9.0, 1.0])[0] == 1.0
+
+
+def by_hand(rows, limit, block_tokens):
+    """Without a budget: weights, and how often each document comes, at least and at most. rows: id, source, tokens."""
+    size = {}
+    for _, s, n in rows:
+        size[s] = size.get(s, 0) + n
+    some = [t for t in size.values() if t]
+    lo, hi = 0.0, 1.0  # the smallest exponent whose smallest source has at most limit passes
+    if some and (max(some) / min(some)) > limit:
+        for _ in range(100):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (max(some) / min(some)) ** (1 - mid) > limit else (lo, mid)
+    else:
+        hi = 0.0
+    z = sum((t / sum(some)) ** hi for t in some)
+    weight = {s: (t / sum(some)) ** hi / z if t else 0.0 for s, t in size.items()}
+    passes = {s: (max(some) / t) ** (1 - hi) if t else 1.0 for s, t in size.items()}
+    return weight, {i: ((1, 1) if not n else (int(passes[s] + 1e-9), math.ceil(passes[s] - 1e-9))) for i, s, n in rows}
+
+
+@pytest.mark.parametrize("case", ["mixed", "bare", "one bare source", "one row", "repeated"])
+def test_mix_by_hand(spark, case):
+    """Every copy by a plain computation: which come, how often, what they weigh; every block is a permutation."""
+    rng = random.Random(11)
+    rows = {
+        "mixed": [(i, rng.choice("abc") if i % 4 else None, rng.choice([0, 0, 1, 5, 30])) for i in range(400)],
+        "bare": [(i, "a", 0) for i in range(50)],
+        "one bare source": [(0, "a", 3), *((i, "a", 0) for i in range(1, 10)), *((i, "b", 0) for i in range(10, 20))],
+        "one row": [(7, None, 4)],
+        "repeated": [(1, "a", 2), (1, "a", 2), (1, "b", 9), (None, "b", 0), (None, "b", 0)],
+    }[case]
+    docs = spark.createDataFrame([(i, " ".join(["x"] * n) if n else (None if k % 2 else " \n"), s) for k, (i, s, n) in enumerate(rows)], "doc_id long, text string, source string")
+    got = mixing.mix(docs.withColumn("u", F.lit(1)).withColumn("bucket", F.lit(2)), repetition_limit=2.0, block_tokens=100).collect()
+    keyed = [((k,), s, n) for k, (_, s, n) in enumerate(rows)]
+    weight, times = by_hand(keyed, 2.0, 100)
+    want = {}
+    for k, (i, s, n) in enumerate(rows):
+        low, high = times[(k,)]
+        a, b = want.get((i, s, n), (0, 0))
+        want[i, s, n] = (a + low, b + high)
+    seen = {}
+    for r in got:
+        seen[r.doc_id, r.source, r.n_tokens] = seen.get((r.doc_id, r.source, r.n_tokens), 0) + 1
+        assert abs(r.weight - weight[r.source]) < 1e-6
+    assert seen.keys() == want.keys() and all(want[k][0] <= n <= want[k][1] for k, n in seen.items())
+    blocks = {}
+    for r in got:
+        blocks.setdefault(r.block, []).append(r.position)
+    assert all(sorted(p) == list(range(len(p))) for p in blocks.values())
+    assert case != "mixed" or len({r.block for r in got if not r.n_tokens}) > len(blocks) // 2
 
 
 def test_mix(spark, docs):
