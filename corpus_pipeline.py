@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.llm import decontaminate, exact_dedup, mixing, ngram_join, toxicity
-from docloom.llm.store import materialize
+from docloom.llm.store import discard, materialize
 
 #: No SQL: the first stage is a trained model. Tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -42,10 +42,16 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    groups = ngram_join.jaccard_groups(docs)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    """Of each group of near copies the row with the smallest id stays (rows without one come last, then the first row).
+
+    Rows are known by a number that is written with them, so repeated and missing ids do no harm.
+    """
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    groups = ngram_join.jaccard_groups(rows.select(F.col("__row").alias("doc_id"), "text"))
+    named = groups.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", F.col("doc_id").alias("__id")), "__row")
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("b"))
+    gone = groups.select(F.col("doc_id").alias("__row")).join(best.select(F.col("b.__row").alias("__row")), "__row", "left_anti")
+    return rows.join(gone, "__row", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +69,10 @@ STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("n-gram Jacca
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = before = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if name != STAGES[0][0]:
+            discard(before)  # the table of documents isn't ours to delete
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
