@@ -1,7 +1,7 @@
 """Personal data replaced by format-preserving Feistel pseudonyms, in SQL functions only.
 
 Card numbers, telephone numbers, IP addresses, social security numbers and dates
-are found by one pattern, validated (Luhn digit, number ranges, calendar) and
+are found by one pattern, validated (Luhn digit, area codes, number ranges, calendar) and
 permuted by a keyed Feistel network within their format: a pseudonym is again
 valid and has the same punctuation, and equal values get equal pseudonyms in every
 document. Local parts of e-mail addresses become keyed digests. What isn't
@@ -22,19 +22,19 @@ PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(
 IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w])(?!\.\d)"
 CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"
 ANY = "|".join((EMAIL, DATE, SSN, PHONE, IP, CARD))
-#: The Gregorian cycle of 400 years has 146097 = 27 * 5411 days; dates from 1800 on are permuted in it.
-CYCLE_A, CYCLE_B, EPOCH = 27, 5411, "1800-01-01"
+FIRST_YEAR, YEARS = 1800, 400  # dates outside stay
+WALK = 16  # tries to land on a valid date, each of which fails in 1 of 25 cases at most
 
 
 def _number(s: Column) -> Column:
     return F.coalesce(s.try_cast("long"), F.lit(0))
 
 
-def feistel(kind: str, key: str, left: Column, right: Column, size_left: Column, size_right: Column) -> Column:
+def feistel(kind: str | Column, key: str, left: Column, right: Column, size_left: Column, size_right: Column) -> Column:
     """struct(l, r): a keyed permutation of the pairs (0..size_left-1, 0..size_right-1)."""
 
     def noise(i: Column, x: Column) -> Column:
-        text = F.concat_ws(":", F.lit(key), F.lit(kind), size_left.cast("string"), size_right.cast("string"), i.cast("string"), x.cast("string"))
+        text = F.concat_ws(":", F.lit(key), kind if isinstance(kind, Column) else F.lit(kind), size_left.cast("string"), size_right.cast("string"), i.cast("string"), x.cast("string"))
         return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 14), 16, 10).cast("long")
 
     start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
@@ -95,7 +95,18 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    return _with(F.regexp_replace(m, "[^0-9]", ""), lambda d: _with(F.concat(d.substr(F.lit(1), F.length(d) - 10), permute_digits("phone", key, F.right(d, F.lit(10)))), lambda f: refill(m, f)))
+    """North American numbers (no country code, or 1): area and exchange start with 2 to 9. Of other countries the last ten digits."""
+
+    def run(d: Column) -> Column:
+        area, exchange, line = (_number(F.substring(F.right(d, F.lit(10)), i, n)) for i, n in ((1, 3), (4, 3), (7, 4)))
+        home = F.length(d).isin(10, 11) & ((F.length(d) == 10) | (F.left(d, F.lit(1)) == "1"))
+        s = feistel("phone", key, area - 200, (exchange - 200) * 10000 + line, F.lit(800), F.lit(8_000_000))
+        valid = (area >= 200) & (exchange >= 200)
+        here = lambda v: F.concat((v["l"] + 200).cast("string"), (F.floor(v["r"] / 10000) + 200).cast("string"), F.lpad((v["r"] % 10000).cast("string"), 4, "0"))
+        ten = F.when(home & valid, _with(s, here)).when(~home, permute_digits("phone", key, F.right(d, F.lit(10))))
+        return _with(F.concat(d.substr(F.lit(1), F.length(d) - 10), ten), lambda f: refill(m, f))
+
+    return _with(F.regexp_replace(m, "[^0-9]", ""), run)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -119,30 +130,58 @@ def _ssn(m: Column, key: str) -> Column:
     return _with(F.transform(F.split(m, "-"), lambda x: x.cast("long")), run)
 
 
+def _days(year: Column, month: Column) -> Column:
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    return F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+
+
 def _date(m: Column, key: str) -> Column:
-    """Year-month-day, or day and month before the year; the day comes first unless only the other order is valid."""
+    """Year-month-day, or day and month before the year; the day comes first unless only the other order is valid.
+
+    A date is permuted among those of its form: the order of its parts, and for day and
+    month how many digits they have (one: 1 to 9; two: up to 31 or 12). With the month first the
+    day is above 12, before and after, so that no date can be read in two ways only one
+    of which has this pseudonym.
+    """
     p = F.split(m, r"[./-]")
     iso = m.rlike(r"^\d{4}-")
 
-    def day(y: Column, mo: Column, d: Column) -> Column:
-        return F.try_to_date(F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
-
     def run(x: Column) -> Column:
-        index = F.date_diff(F.coalesce(x["ymd"], x["dmy"], x["mdy"]), F.lit(EPOCH).cast("date"))
-        valid = (index >= 0) & (index < CYCLE_A * CYCLE_B)
-        s = feistel("date", key, F.floor(index / CYCLE_B), index % CYCLE_B, F.lit(CYCLE_A), F.lit(CYCLE_B))
+        text, n = x["p"], F.transform(x["p"], _number)
+        year = F.when(iso, n[0]).otherwise(n[2])
+        ok = lambda month, day: (month >= 1) & (month <= 12) & (day >= 1) & (day <= _days(year, month))
+        order = F.when(iso, F.when(ok(n[1], n[2]), "ymd")).when(ok(n[1], n[0]), "dmy").when(ok(n[0], n[1]), "mdy")
+        at = lambda which: F.when(order == "ymd", which[0]).when(order == "dmy", which[1]).otherwise(which[2])
+        month, day = at((n[1], n[1], n[0])), at((n[2], n[0], n[1]))
+        wide_m, wide_d = F.length(at((text[1], text[1], text[0]))), F.length(at((text[2], text[0], text[1])))
+        return F.struct(order.alias("order"), year.alias("y"), month.alias("m"), day.alias("d"), wide_m.alias("wm"), wide_d.alias("wd"))
+
+    def permuted(x: Column) -> Column:
+        months = F.when(x["wm"] == 1, 9).otherwise(12)
+        first = F.when(x["order"] == "mdy", 13).otherwise(1)
+        days = F.when(x["order"] == "mdy", 19).when(x["wd"] == 1, 9).otherwise(31)
+        kind = F.concat(F.lit("date:"), x["order"], x["wm"].cast("string"), x["wd"].cast("string"))
+
+        def step(s: Column, _: Column) -> Column:
+            def checked(v: Column) -> Column:
+                year, month = F.floor(v["l"] / months) + FIRST_YEAR, v["l"] % months + 1
+                return F.struct(v["l"].alias("l"), v["r"].alias("r"), (v["r"] + first <= _days(year, month)).alias("done"))
+
+            return F.when(s["done"], s).otherwise(_with(feistel(kind, key, s["l"], s["r"], months * YEARS, days), checked))
+
+        start = F.struct(((x["y"] - FIRST_YEAR) * months + x["m"] - 1).cast("long").alias("l"), (x["d"] - first).cast("long").alias("r"), F.lit(False).alias("done"))
+        new = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, step)
 
         def text(v: Column) -> Column:
-            new = F.date_add(F.lit(EPOCH).cast("date"), (v["l"] * CYCLE_B + v["r"]).cast("int"))
-            sep = F.regexp_extract(m, "[./]", 0)
-            sep2 = F.regexp_extract(m, r"[./]\d+([./])", 1)
-            parts = lambda a, b: F.concat(F.date_format(new, a), sep, F.date_format(new, b), sep2, F.date_format(new, "yyyy"))
-            return F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(x["dmy"].isNotNull(), parts("dd", "MM")).otherwise(parts("MM", "dd"))
+            year = (F.floor(v["l"] / months) + FIRST_YEAR).cast("string")
+            month, day = F.lpad((v["l"] % months + 1).cast("string"), x["wm"], F.lit("0")), F.lpad((v["r"] + first).cast("string"), x["wd"], F.lit("0"))
+            digits = F.when(x["order"] == "ymd", F.concat(year, month, day)).when(x["order"] == "dmy", F.concat(day, month, year)).otherwise(F.concat(month, day, year))
+            return F.when(v["done"], refill(m, digits))
 
-        return F.when(valid, _with(s, text))
+        valid = x["order"].isNotNull() & x["y"].between(FIRST_YEAR, FIRST_YEAR + YEARS - 1)
+        return F.when(valid, _with(new, text))
 
-    forms = F.struct(F.when(iso, day(p[0], p[1], p[2])).alias("ymd"), F.when(~iso, day(p[2], p[1], p[0])).alias("dmy"), F.when(~iso, day(p[2], p[0], p[1])).alias("mdy"))
-    return _with(forms, run)
+    return _with(F.struct(p.alias("p")), lambda x: _with(run(x), permuted))
 
 
 def _email(m: Column, key: str) -> Column:
