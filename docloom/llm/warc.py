@@ -2,15 +2,19 @@
 
 Archives are gzipped text files written by Spark's text writer, so they land in
 any store that Spark can write to; a gzipped file is read by one task in order.
-Payloads over ``CHUNK`` bytes are written piece by piece at line ends. Reading
+Payloads over ``CHUNK`` bytes are written in HTTP's chunked transfer encoding, each chunk
+a line of its own, so neither writing nor reading meets a longer line, whether or not
+the payload has line feeds; digests are of the payload without the encoding. Reading
 streams lines and never holds a record: it yields rows of record identifier and
-chunk number that carry the digest so far.
+chunk number that carry the digest so far. (A foreign archive's line without end is read
+as one piece.)
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,17 +37,20 @@ def _records(chunk: int, date: str):
 
     def rows(page_id, url, body: bytes, digest: str, kind: str, first) -> Iterator[bytes]:
         url = "".join(c if " " < c < "\x7f" or c > "\xa0" else "".join(f"%{x:02X}" for x in c.encode()) for c in url or "").encode("utf-8", "replace")
-        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
-        kept = len(body) if kind == "response" else 0
+        cuts = range(0, len(body), chunk) if kind == "response" and len(body) > chunk else ()
+        length = "Transfer-Encoding: chunked" if cuts else f"Content-Length: {len(body)}"
+        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{length}\r\n\r\n".encode()
+        sizes = [min(chunk, len(body) - i) for i in cuts]
+        kept = sum(len(f"{n:x}") + 4 + n for n in sizes) + 5 if cuts else len(body) if kind == "response" else 0
         head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{ID}{'' if page_id is None else page_id}>\r\nWARC-Date: {date}\r\nWARC-Payload-Digest: sha1:{digest}\r\n".encode()
         head += b"WARC-Target-URI: " + url + b"\r\n" if url else b""
         head += f"WARC-Refers-To: <{ID}{first}>\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n".encode() if kind == "revisit" else b""
         head += f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(http) + kept}\r\n\r\n".encode() + http
-        at = 0
-        while kept - at > chunk and (cut := body.find(b"\n", at + chunk)) >= 0:
-            yield head + body[at:cut]
-            at, head = cut + 1, b""
-        yield head + body[at:kept] + b"\r\n\r"
+        for at, n in zip(cuts, sizes, strict=True):
+            yield head + f"{n:x}\r".encode()
+            yield body[at : at + n] + b"\r"
+            head = b""
+        yield b"0\r\n\r\n\r\n\r" if cuts else head + body[:kept] + b"\r\n\r"
 
     return rows
 
@@ -100,6 +107,7 @@ class _Reader:
             else:
                 self.in_head, self.left = False, int(self.head.get(b"content-length", 0))
                 self.http, self.size, self.kept, self.no, self.sha, self.pieces = b"", 0, 0, 0, hashlib.sha1(), []
+                self.chunked, self.need, self.skip, self.line, self.over = False, 0, 0, b"", False
                 self.in_http = b"http" in self.head.get(b"content-type", b"")
                 if not self.left:
                     yield self.row(True)
@@ -113,6 +121,28 @@ class _Reader:
             if end < 0:
                 return
             piece, self.http, self.in_http = self.http[end + 4 :], self.http[:end], False
+            self.chunked = bool(re.search(rb"(?im)^transfer-encoding:.*\bchunked\s*$", self.http))
+        for whole in self.plain(piece) if self.chunked else (piece,):
+            yield from self.payload(whole)
+
+    def plain(self, piece: bytes) -> Iterator[bytes]:
+        """What is payload in a piece of a chunked body: sizes, line ends and what follows the last chunk go."""
+        while piece and not self.over:
+            if self.need:
+                part, piece = piece[: self.need], piece[self.need :]
+                self.need -= len(part)
+                self.skip = 0 if self.need else 2
+                yield part
+            elif self.skip:
+                self.skip, piece = max(0, self.skip - len(piece)), piece[self.skip :]
+            else:
+                line, end, piece = piece.partition(b"\n")
+                self.line += line
+                if end:
+                    self.need, self.line = int(self.line.partition(b";")[0].strip() or b"0", 16), b""
+                    self.over = not self.need
+
+    def payload(self, piece: bytes) -> Iterator[tuple]:
         for i in range(0, len(piece), self.chunk):
             part = piece[i : i + self.chunk]
             self.sha.update(part)
