@@ -1,7 +1,7 @@
 """Toxicity by a linear-chain conditional random field with two states.
 
 Training runs on the driver on a bounded sample of labelled documents
-(``max_toxic`` and ``max_clean`` are its documented bounds). Document labels are
+(``max_toxic``, ``max_clean`` and ``max_bytes`` are its documented bounds). Document labels are
 turned into token labels first: in toxic documents, tokens with a word or prefix
 that is far more frequent among toxic than among clean documents count as toxic.
 Near copies inside the sample are left out, as they would make every word of a
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import discard, materialize
 from .words import LOWER, NOT_LETTER, U, gram_hashes, mix, owners, slices, spans, text_bytes, word_hashes
 
 BITS = 18
@@ -49,13 +50,27 @@ def _segments(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def marginals(s: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """P(state 1) of each token by forward-backward over each whole text.
+    """P(state 1) of each token by forward-backward over each whole text."""
+    r, b = ratios(s, first, trans)
+    x = r * b
+    return x / (1 + x)
+
+
+def pair_marginals(r: np.ndarray, eb: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """P(00), P(01), P(10), P(11) of tokens with forward ratios r and their next ones with emission times backward ratio eb."""
+    a = np.exp(trans)
+    p = np.stack([np.full(len(r), a[0, 0]), a[0, 1] * eb, a[1, 0] * r, a[1, 1] * r * eb])
+    return p / p.sum(0)
+
+
+def ratios(s: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward sums of state 1 over those of state 0.
 
     All segments of all texts are worked off side by side; what a segment passes
     to the next is fed back until nothing changes, so the chain isn't cut.
     """
     if not len(s):
-        return np.zeros(0)
+        return np.zeros(0), np.zeros(0)
     e, a = np.exp(np.clip(s, -30, 30)), np.exp(trans)
     start, length, head = _segments(first)
     order = np.argsort(-length, kind="stable")
@@ -95,8 +110,7 @@ def marginals(s: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray
         if np.allclose(new[~tail], come[~tail], rtol=1e-9, atol=1e-12):
             break
         come = new
-    x = r * b
-    return x / (1 + x)
+    return r, b
 
 
 def doc_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -162,48 +176,53 @@ def train_bytes(data: np.ndarray, off: np.ndarray, labels: list[int], rounds: in
     first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[0]) for x in pieces]))])
     words = np.concatenate([x[2] for x in pieces])
     pieces = [x[1] for x in pieces]
-    feats = np.concatenate(pieces, 1)
+    # A word's features are those of its type, so sums over tokens are taken by type first.
+    _, one, kind = np.unique(words, return_index=True, return_inverse=True)
+    kind = kind.astype(np.int32)
+    feats = np.concatenate(pieces, 1)[:, one]
     del pieces
     keep = _distinct(words, first, y == 1)
     del words
     blocks = _blocks(first)
     nt, nc = int((keep & (y == 1)).sum()), int((keep & (y == 0)).sum())
-    tok = np.zeros(int(first[-1]), bool)
-    for kind in feats:
+    bad = np.zeros(len(one), bool)  # types that are typical of label 1
+    held = [np.unique(owners(first[a : b + 1]).astype(np.int64) << 32 | kind[first[a] : first[b]]) for a, b in blocks]
+    for f in feats:
         t, c = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
-        for a, b in blocks:
-            pairs = np.unique(owners(first[a : b + 1]).astype(np.int64) << BITS | kind[first[a] : first[b]])
-            d, f = (pairs >> BITS) + a, pairs & ((1 << BITS) - 1)
-            t += np.bincount(f[keep[d] & (y[d] == 1)], minlength=1 << BITS)
-            c += np.bincount(f[keep[d] & (y[d] == 0)], minlength=1 << BITS)
+        for (a, _), pairs in zip(blocks, held, strict=True):
+            pairs = np.unique((pairs >> 32) << BITS | f[pairs & 0xFFFFFFFF])
+            d, g = (pairs >> BITS) + a, pairs & ((1 << BITS) - 1)
+            t += np.bincount(g[keep[d] & (y[d] == 1)], minlength=1 << BITS)
+            c += np.bincount(g[keep[d] & (y[d] == 0)], minlength=1 << BITS)
         odds = np.log((t + 0.5) / (nt + 1)) - np.log((c + 0.5) / (nc + 1))
-        tok |= ((t >= max(3, 0.012 * nt)) & (odds > np.log(12)))[kind]
+        bad |= ((t >= max(3, 0.012 * nt)) & (odds > np.log(12)))[f]
+    del held
     w, step = np.zeros(1 << BITS), np.full(1 << BITS, 0.5)
     theta, tstep = np.array([-4.0, 0, 0, 0, 0]), np.full(5, 0.3)  # bias, transitions
     old, told = np.zeros(1 << BITS), np.zeros(5)
 
-    def field(a: int, b: int) -> np.ndarray:
-        """Marginals of the tokens of texts a to b."""
-        at = slice(first[a], first[b])
-        s = np.full(int(first[b] - first[a]), theta[0])
-        for f in feats:
-            s += w[f[at]]
-        return marginals(s, first[a : b + 1] - first[a], theta[1:].reshape(2, 2))
+    def field(a: int, b: int, by_type: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Marginals of the tokens of texts a to b, forward ratios, and emissions times backward ratios."""
+        s = by_type[kind[first[a] : first[b]]]
+        r, back = ratios(s, first[a : b + 1] - first[a], theta[1:].reshape(2, 2))
+        x = r * back
+        return x / (1 + x), r, np.exp(np.clip(s, -30, 30)) * back
 
     for _ in range(rounds):
         grad, tgrad = -0.02 * w, -0.02 * theta
+        by_type, sums = theta[0] + w[feats].sum(0), np.zeros(len(one))
         for d0, d1 in blocks:
-            at = slice(first[d0], first[d1])
+            own = kind[first[d0] : first[d1]]
             doc = owners(first[d0 : d1 + 1]) + d0
-            target, use, p = tok[at] & (y[doc] == 1), keep[doc], field(d0, d1)
+            target, use, (p, r, eb) = bad[own] & (y[doc] == 1), keep[doc], field(d0, d1, by_type)
             miss = (target - p) * use
-            for f in feats:
-                grad += np.bincount(f[at], miss, 1 << BITS)
-            # Pair marginals, with the two tokens taken as independent given the field (a mean-field step for the transitions).
-            pair = (doc[1:] == doc[:-1]) & use[1:]
-            a, b = p[:-1][pair], p[1:][pair]
-            ta, tb = target[:-1][pair], target[1:][pair]
-            tgrad += np.array([miss.sum(), *((x * z).sum() - (u * v).sum() for x, z, u, v in (((1 - ta), (1 - tb), 1 - a, 1 - b), ((1 - ta), tb, 1 - a, b), (ta, (1 - tb), a, 1 - b), (ta, tb, a, b)))])
+            sums += np.bincount(own, miss, len(one))
+            # Transitions: pairs as labelled less their marginals.
+            pair = np.flatnonzero((doc[1:] == doc[:-1]) & use[1:])
+            state = 2 * target[pair] + target[pair + 1]
+            tgrad += np.append(miss.sum(), np.bincount(state, minlength=4) - pair_marginals(r[pair], eb[pair + 1], theta[1:].reshape(2, 2)).sum(1))
+        for f in feats:
+            grad += np.bincount(f, sums, 1 << BITS)
         for g, o, st, x in ((grad, old, step, w), (tgrad, told, tstep, theta)):
             sign = g * o
             st *= np.where(sign > 0, 1.2, np.where(sign < 0, 0.5, 1.0))
@@ -212,8 +231,9 @@ def train_bytes(data: np.ndarray, off: np.ndarray, labels: list[int], rounds: in
             x += np.sign(g) * st
             o[:] = g
         theta[1:] = np.clip(theta[1:], -4, 4)
+    by_type = theta[0] + w[feats].sum(0)
     w = w.astype(np.float32)
-    x, top = np.concatenate([doc_features(field(a, b), first[a : b + 1] - first[a]) for a, b in blocks])[keep], np.zeros(3)
+    x, top = np.concatenate([doc_features(field(a, b, by_type)[0], first[a : b + 1] - first[a]) for a, b in blocks])[keep], np.zeros(3)
     t = y[keep]
     for _ in range(30):  # Newton's method with a ridge
         q = 1 / (1 + np.exp(-x @ top))
@@ -243,18 +263,28 @@ def score_batch(model: dict, data: np.ndarray, off: np.ndarray) -> tuple[np.ndar
     return score, n_bad, found, np.diff(first)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: int = 2400, learn=None) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: int = 2400, learn=None, max_bytes: int = 64 << 20) -> dict:
     """Train on at most ``max_toxic`` + ``max_clean`` labelled documents, those with the smallest hashes of their ids.
 
+    Of these, texts that would bring the total in this order above ``max_bytes`` don't count.
     ``learn``: a condition on doc_id; other rows are never learnt from.
     """
     own = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     own = own if learn is None else own.filter(learn)
     some = [own.filter(F.col("toxic") == v).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in ((1, max_toxic), (0, max_clean))]
     sample = F.broadcast(some[0].unionByName(some[1]))  # max_toxic + max_clean rows at most
-    got = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).orderBy("doc_id").select("toxic", "text").toArrow()
-    data, off = text_bytes(got.column("text"))
-    return train_bytes(data, off, got.column("toxic").to_pylist())
+    got = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    got = materialize(got.withColumn("size", F.octet_length(F.coalesce("text", F.lit("")))), "sample")
+    chosen, room = [], max_bytes
+    for r in got.select("doc_id", "toxic", "size").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").collect():
+        if r["size"] <= room:
+            room -= r["size"]
+            chosen.append((r.doc_id, r.toxic))
+    ids = docs.sparkSession.createDataFrame(chosen, got.select("doc_id", "toxic").schema)
+    table = got.join(F.broadcast(ids), ["doc_id", "toxic"]).orderBy("doc_id", "toxic").select("toxic", "text").toArrow()
+    discard(got)
+    data, off = text_bytes(table.column("text"))
+    return train_bytes(data, off, table.column("toxic").to_pylist())
 
 
 def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
