@@ -255,6 +255,8 @@ def test_marginals_and_training():
     first = np.array([0, 0, 3, 10, 210, 211])
     s, tr = rng.normal(0, 2, 211), rng.normal(0, 1, (2, 2))
     p = toxicity.marginals(s, first, tr)
+    r, back = toxicity.ratios(s, first, tr)
+    pairs = toxicity.pair_marginals(r[:-1], (np.exp(s) * back)[1:], tr)
     for a, b in zip(first[:-1], first[1:], strict=True):
         e, m = [np.array([1, np.exp(x)]) for x in s[a:b]], np.exp(tr)
         f, g = [], [np.ones(2)]
@@ -266,6 +268,9 @@ def test_marginals_and_training():
             g.append(v / v.sum())
         for k, (x, y) in enumerate(zip(f, g[::-1], strict=True)) if b > a else ():
             assert abs(p[a + k] - x[1] * y[1] / (x @ y)) < 1e-9
+        for k in range(b - a - 1):
+            q = np.outer(f[k], e[k + 1] * g[::-1][k + 1]) * m
+            assert np.allclose(pairs[:, a + k], (q / q.sum()).ravel(), atol=1e-9)
     r = random.Random(8)
     texts = [" ".join(r.choices([f"q{chr(97 + i)}{chr(97 + j)}x" for i in range(9) for j in range(9)], k=50)) for _ in range(300)]
     labels = [int(i % 3 == 0) for i in range(300)]
@@ -299,7 +304,8 @@ def test_url_filter(spark):
 
 def test_warc_round_trip(spark, tmp_path):
     big = ("x" * 3000 + "\n") * 40 + "é"
-    rows = [(5, "http://a/ b\n", "one"), (3, None, "one"), (4, "u", None), (1, "u", ""), (7, "u", big), (9, "u", big), (11, "u", "a\r\n\r\nWARC/1.1\r\n\n"), (12, "u", "\n"), (13, "u", "no end\n\n")]
+    solid = "0a\r" * 14_000  # no line feed at all, and what looks like a chunk's size
+    rows = [(20, "u", solid), (21, "u", solid), (22, "u", "é" * 5000), (23, "u", "x" * 10_000), (24, "u", "\n" * 10_001), (5, "http://a/ b\n", "one"), (3, None, "one"), (4, "u", None), (1, "u", ""), (7, "u", big), (9, "u", big), (11, "u", "a\r\n\r\nWARC/1.1\r\n\n"), (12, "u", "\n"), (13, "u", "no end\n\n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
     warc.write_archives(pages, str(tmp_path / "w"), chunk=10_000)
     chunks = warc.read_chunks(spark, str(tmp_path / "w"), chunk=10_000)
@@ -309,7 +315,9 @@ def test_warc_round_trip(spark, tmp_path):
     want = sorted((i, len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), "response" if first[h or ""] == i else "revisit", None if first[h or ""] == i else first[h or ""]) for i, _, h in rows)
     assert sorted(tuple(r) for r in warc.records(chunks).collect()) == want
     parts = sorted((r.record_id, r.chunk_no, bytes(r.data)) for r in chunks.filter("record_type = 'response'").collect())
-    assert max(len(p[2]) for p in parts) < 20_000
+    assert max(len(p[2]) for p in parts) <= 20_000
+    lines = spark.read.option("lineSep", "\n").text(str(tmp_path / "w"))
+    assert lines.agg(F.max(F.octet_length("value"))).first()[0] <= 10_600
     back = {k: b"".join(x[2] for x in g) for k, g in itertools.groupby(parts, key=lambda p: p[0])}
     assert {int(k.rpartition(":")[2]): v.decode() for k, v in back.items()} == {first[h or ""]: h or "" for _, _, h in rows}
 
