@@ -15,12 +15,45 @@ NUMBER_PREFIX = r"^(\d+[.)]\s+)+"
 META_PREFIX = r"^meta\s*[:\-–—]\s*"
 POLISH, PLAIN = "ąćęłńóśźż", "acelnoszz"
 PLACEHOLDERS = ("...", "todo", "tbd")
+#: Code points that count as emoji, by who asks.
+EMOJI = {
+    "template": ((0x1F600, 0x1F64F), (0x1F300, 0x1F5FF), (0x1F680, 0x1F6FF), (0x1F700, 0x1F77F), (0x1F780, 0x1F7FF), (0x1F800, 0x1F8FF), (0x1F900, 0x1F9FF), (0x1FA00, 0x1FA6F), (0x1FA70, 0x1FAFF), (0x2702, 0x27B0), (0x24C2, 0x1F251)),
+    "rules": ((0x1F300, 0x1F5FF), (0x1F600, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F700, 0x1F77F), (0x1F780, 0x1F7FF), (0x1F800, 0x1F8FF), (0x1F900, 0x1F9FF), (0x1FA00, 0x1FA6F), (0x1FA70, 0x1FAFF), (0x2600, 0x26FF), (0x2700, 0x27BF), (0xFE00, 0xFE0F), (0x1F1E6, 0x1F1FF)),
+    "gate": ((0x1F300, 0x1F6FF), (0x1F700, 0x1F77F), (0x1F780, 0x1F7FF), (0x1F800, 0x1F8FF), (0x1F900, 0x1F9FF), (0x1FA00, 0x1FA6F), (0x1FA70, 0x1FAFF), (0x1FB00, 0x1FBFF), (0x1F1E6, 0x1F1FF), (0x2600, 0x26FF), (0x2700, 0x27BF), (0x2300, 0x23FF), (0x1F000, 0x1F02F), (0x1F0A0, 0x1F0FF), (0xFE00, 0xFE0F)),
+    "astral": ((0x10000, 0x10FFFF),),
+}
+#: Words that don't count in titles of controls, and in titles of documents.
+CONTROL_STOP = (
+    "and", "or", "of", "the", "in", "to", "for", "a", "an", "with", "on",
+    "at", "by", "from", "as", "is", "are", "be", "it", "its", "this", "that",
+    "their", "other", "use", "used", "using", "within", "during", "after",
+    "before", "not", "no", "any", "all", "each", "into", "via", "per",
+    "information", "security",
+)
+TITLE_STOP = (
+    "and", "or", "the", "a", "an", "of", "in", "for", "to", "with",
+    "plan", "document", "dokumentu", "i", "w", "z", "do", "na", "dla",
+    "oraz", "lub", "jak", "jest", "nie", "co", "sie",
+)
+#: What marks a section's body as not filled in.
+BODY_MARKERS = (
+    "Uzupełnij zgodnie z kontekstem", "Opisz co wchodzi w zakres", "Dla każdej fazy określ", "[akcja i odpowiedzialny]",
+    "Faza 1 – Koncepcja i Wizja: [", "[Rola / interesariusz]", "[Wejścia:", "Wejścia: [dokumenty", "Konsumuje: [dokumenty wejściowe",
+    "Dostarcza do: [dokumenty wyjściowe", "[Założenie 1", "[Pytanie 1", "Wymaga odniesienia do: [", "Konsumuje: [dokumenty", "[Termin 1]",
+    "[Przykład 1", "[Ryzyko 1", "[Decyzja 1", "[Dokument A]", "[Dokument X", "[Pojęcie 1]", "[Standard 1", "[Sekcja A]", "[Wejście]",
+    "[Artefakt 1", "[Decyzja]", "[Kto zatwierdza]", "[Metryka 1", "[Kryterium 1",
+)
 
 
 def _s(c) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def emoji(which: str) -> str:
+    """A character class of one of the emoji sets."""
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in EMOJI[which]) + "]"
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -84,6 +117,21 @@ def tokens(c, min_length: int = 3, stop: tuple[str, ...] = ()) -> Column:
     return F.array_except(got, F.array(*map(F.lit, stop))) if stop else got
 
 
+def title_words(c) -> Column:
+    """Distinct lower-cased words of Latin and Polish letters, three letters or more, without TITLE_STOP."""
+    words = F.regexp_extract_all(F.lower(_s(c)), F.lit(f"[a-z{POLISH}]+"), F.lit(0))
+    return F.array_except(F.array_distinct(F.filter(words, lambda t: F.length(t) > 2)), F.array(*map(F.lit, TITLE_STOP)))
+
+
+def control_words(c) -> Column:
+    return tokens(c, 3, CONTROL_STOP)
+
+
+def plain_words(c, stop: tuple[str, ...] = CONTROL_STOP) -> Column:
+    """Tokens with Polish letters spelt plainly, as the backfill of confidences compares them."""
+    return tokens(polish_plain(c), 3, stop)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     n = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(n / F.size(F.array_union(a, b)))
@@ -97,6 +145,42 @@ def placeholder_status(c) -> Column:
     return F.when(bad, "placeholder").otherwise("filled")
 
 
+def rebuilt_status(c) -> Column:
+    """A section's status when one document is rebuilt: only ``TODO`` in capitals and ``...`` count."""
+    x = _s(c)
+    return F.when(x.contains("TODO") | x.contains("..."), "placeholder").otherwise("unknown")
+
+
+def placeholder_body(c) -> Column:
+    """Whether a body is empty, has a marker, or consists of bracketed lines by more than half."""
+    x = strip(_s(c))
+    lines = F.filter(F.transform(F.split(x, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"), strip), lambda s: s != "")
+    marked = F.lit(False)
+    for m in BODY_MARKERS:
+        marked = marked | x.contains(m)
+    hollow = F.size(F.filter(lines, lambda s: s.rlike(r"^\[.+\]$|^-\s*\[.+\]$")))
+    return (x == "") | marked | (hollow * 2 > F.size(lines))
+
+
+def path_norm(path) -> Column:
+    """Any run of dots and slashes off the front, then the folder of generated templates."""
+    return F.regexp_replace(F.regexp_replace(_s(path), r"^[./]+", ""), "^generated_templates/", "")
+
+
+def after_first(c, delimiter: str = "::") -> Column:
+    """What follows the first delimiter, null without one."""
+    x = F.col(c) if isinstance(c, str) else c
+    at = F.instr(x, delimiter)
+    return F.when(at > 0, F.substring(x, at + len(delimiter), F.length(x)))
+
+
+def title_of_file(text, path) -> Column:
+    """The first top heading, else the file's name with spaces for underscores and without ``.md`` anywhere."""
+    h1 = strip(F.regexp_extract(_s(text), r"(?m)^# ([^\n]+)$", 1))
+    name = F.replace(F.replace(F.regexp_extract(_s(path), "([^/]*)$", 1), F.lit("_"), F.lit(" ")), F.lit(".md"), F.lit(""))
+    return F.when(h1 != "", h1).otherwise(name)
+
+
 def source_of(path) -> Column:
     p = F.regexp_replace(_s(path), r"\\", "/")
     return (

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
-from .text import PLAIN, POLISH, to_slug
+from .text import ASTRAL, PLAIN, POLISH, _s, collapse, strip, to_slug
 
 
 def _repaired(s: str | None) -> str | None:
@@ -52,6 +53,19 @@ def without_accents(c: pd.Series) -> pd.Series:
     return c.map(_plain)
 
 
+def key_norm(c):
+    """Matching key of a label: no astral characters, ``meta:`` or list numbers, no accents, lower case, single spaces."""
+    x = F.regexp_replace(F.regexp_replace(strip(_s(c)), "\ufeff", ""), ASTRAL, "")
+    x = F.regexp_replace(F.regexp_replace(x, r"(?i)^\s*meta\s*[:\-–—]\s*", ""), r"^\s*(\d+[.)]\s+)+", "")
+    return strip(collapse(F.lower(without_accents(x))))
+
+
+@F.pandas_udf(DoubleType())
+def line_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of equal lines in order, by difflib: 1 for equal texts, 0 for texts without a common line."""
+    return pd.Series([SequenceMatcher(None, (x or "").splitlines(), (y or "").splitlines()).ratio() for x, y in zip(a, b, strict=True)])
+
+
 def repair(df, columns: list[str]):
     """The columns repaired, with ``changed`` where any of them differs."""
     new = {c: mojibake(F.col(c)) for c in columns}

@@ -1,43 +1,130 @@
-"""Rules over Markdown documents: findings, plans and their application."""
+"""Rules over Markdown documents: findings, plans, and their application."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .quality import REQUIRED
+from docloom.functions import text as T
+from docloom.sources import files, sinks
+
+from .templates import REQUIRED
+
+#: Rules (id, severity, may be applied without review, action), and what a missing section is filled with.
+RULES = (
+    ("DOC.SECTION.MISSING", "ERROR", True, "insert_section"),
+    ("DOC.EMOJI.FORBIDDEN", "WARNING", True, "strip_emoji"),
+    ("DOC.FRONTMATTER.MISSING", "ERROR", False, "report_only"),
+    ("DOC.FRONTMATTER.NO_TITLE", "WARNING", False, "report_only"),
+)
+PARSE_ERROR = ("DOC.PARSE.ERROR", "ERROR", False, "report_only")
+PLACEHOLDERS = {
+    "## Cel dokumentu": "<!-- TODO: Opisz cel dokumentu -->\n",
+    "## Zakres i granice": "<!-- TODO: Opisz zakres i granice -->\n",
+    "## Wejścia i wyjścia": "<!-- TODO: Opisz wejścia i wyjścia -->\n",
+}
+OTHER_PLACEHOLDER = "<!-- TODO -->\n"
+MODES = ("analyze", "dry-run", "apply")
+EMOJI = T.emoji("rules")
+FRONT = r"(?s)\A---\s*\n(.*?)\n---\s*\n"
 
-PLACEHOLDER = "[DO UZUPEŁNIENIA]"
-EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
+
+def rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(RULES, "rule_id string, severity string, safe boolean, action string")
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """path, seq, rule_id, severity, action, section, safe: front matter first, then missing sections, then emoji."""
+    """path, seq, rule_id, severity, action, section, safe: front matter first, then missing sections, then emoji. A null text can't be parsed."""
     t = F.col("text")
-    front = t.rlike(r"(?s)^---\s*\n.*?\n---\s*\n")
-    titled = F.regexp_extract(t, r"(?s)^---\s*\n(.*?)\n---\s*\n", 1).rlike(r"(?m)^title:")
-    row = lambda rule, sev, action, section, safe: F.struct(F.lit(rule).alias("rule_id"), F.lit(sev).alias("severity"), F.lit(action).alias("action"), F.lit(section).cast("string").alias("section"), F.lit(safe).alias("safe"))
-    found = [F.when(~front, row("DOC.FRONTMATTER.MISSING", "ERROR", "report_only", None, False)), F.when(front & ~titled, row("DOC.FRONTMATTER.NO_TITLE", "WARNING", "report_only", None, False))]
-    found += [F.when(~t.rlike(rf"(?m)^##\s+{h}\s*$"), row("DOC.SECTION.MISSING", "ERROR", "insert_section", h, True)) for h in REQUIRED]
-    found.append(F.when(t.rlike(EMOJI), row("DOC.EMOJI.FORBIDDEN", "WARNING", "strip_emoji", None, True)))
-    x = docs.select("path", F.posexplode(F.array(*found)).alias("seq", "f")).filter("f is not null")
+    front = t.rlike(FRONT)
+    titled = F.regexp_extract(t, FRONT, 1).rlike(r"(?m)^\s*title\s*:")
+    body = F.regexp_replace(t, FRONT, "")
+    known = {r[0]: r for r in (*RULES, PARSE_ERROR)}
+
+    def row(rule: str, section: str | None = None) -> Column:
+        name, severity, safe, action = known[rule]
+        return F.struct(F.lit(name).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(action).alias("action"), F.lit(section).cast("string").alias("section"), F.lit(safe).alias("safe"))
+
+    found = [F.when(t.isNull(), row("DOC.PARSE.ERROR")), F.when(~front, row("DOC.FRONTMATTER.MISSING")), F.when(front & ~titled, row("DOC.FRONTMATTER.NO_TITLE"))]
+    found += [F.when(~body.rlike(rf"(?m)^\Q{h}\E\s*$"), row("DOC.SECTION.MISSING", h)) for h in REQUIRED]
+    found.append(F.when(t.rlike(EMOJI), row("DOC.EMOJI.FORBIDDEN")))
+    x = docs.select("path", F.posexplode(F.array_compact(F.array(*found))).alias("seq", "f"))
     return x.select("path", "seq", "f.*")
 
 
-def apply_safe(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """docs (path, text) with the safe changes of a plan made in order, and hashes before and after."""
-    safe = plan.filter("safe").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "section"))).alias("todo"))
+def apply_plan(docs: DataFrame, plan: DataFrame, only_safe: bool = True) -> DataFrame:
+    """The documents of a plan (path, seq, action, section, safe), each changed in order.
+
+    path, text, new_text, hash_before, hash_after, status: changed, skipped (nothing to do,
+    or no difference) or error (no such document).
+    """
+    use = (F.col("action") != "report_only") & (F.col("safe") | F.lit(not only_safe))
+    todo = plan.groupBy("path").agg(F.array_sort(F.collect_list(F.when(use, F.struct("seq", "action", "section")))).alias("todo"))
+    filled = F.create_map(*(F.lit(x) for pair in PLACEHOLDERS.items() for x in pair))
 
-    def one(text, c):
-        grown = F.concat(F.regexp_replace(text, r"\n+\z", ""), F.lit("\n\n## "), c["section"], F.lit(f"\n\n{PLACEHOLDER}\n"))
+    def one(text: Column, c: Column) -> Column:
+        grown = F.concat(F.regexp_replace(text, r"\n+\z", ""), F.lit("\n\n"), c["section"], F.lit("\n"), F.coalesce(filled[c["section"]], F.lit(OTHER_PLACEHOLDER)))
         return F.when(c["action"] == "insert_section", grown).when(c["action"] == "strip_emoji", F.regexp_replace(text, EMOJI, "")).otherwise(text)
 
-    new = F.aggregate(F.coalesce("todo", F.array().cast("array<struct<seq:int,action:string,section:string>>")), F.col("text"), one)
-    x = docs.join(safe, "path", "left").select("path", "text", new.alias("new_text"))
+    x = todo.join(docs.select("path", "text"), "path", "left").withColumn("new_text", F.aggregate("todo", F.col("text"), one))
+    h = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    status = F.when(F.col("text").isNull(), "error").when(F.col("text") == F.col("new_text"), "skipped").otherwise("changed")
+    return x.select("path", "text", "new_text", h("text").alias("hash_before"), h("new_text").alias("hash_after"), status.alias("status"))
+
+
+def apply_safe(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """All documents after a plan's safe changes, with hashes before and after."""
+    done = apply_plan(docs, plan).select("path", F.col("new_text").alias("__new"))
+    x = docs.join(done, "path", "left").select("path", "text", F.coalesce("__new", "text").alias("new_text"))
     h = lambda c: F.sha2(F.col(c).cast("binary"), 256)
     return x.select("path", "text", "new_text", h("text").alias("hash_before"), h("new_text").alias("hash_after"))
 
 
+def save_plan(plan: DataFrame, path: str, run_id: str, mode: str, root: str) -> None:
+    """A plan as JSON lines, one a change."""
+    plan.select(F.lit(run_id).alias("run_id"), F.lit(mode).alias("mode"), F.lit(root).alias("root"), "*").write.mode("overwrite").json(path)
+
+
+def load_plan(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("run_id string, mode string, root string, path string, seq int, rule_id string, severity string, action string, section string, safe boolean").json(path)
+
+
+def run(spark: SparkSession, root: str, mode: str, output_plan: str, run_id: str, only_safe: bool = True, target: str | None = None, backup: str | None = None, on_error: Callable[[str], None] | None = None) -> DataFrame:
+    """Plan, save the plan, and by ``mode`` stop there, show diffs, or write the changed documents.
+
+    analyze returns the plan; dry-run path and diff of each document that would change;
+    apply path, hashes and status. apply writes the changed texts to ``target`` and the old ones to
+    ``backup`` as tables (path, text): Spark's commit makes each appear as a whole or not
+    at all. ``on_error`` is told of documents that aren't there.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode {mode!r} is none of {', '.join(MODES)}")
+    if mode == "apply" and not (target and backup):
+        raise ValueError("apply needs a target and a backup folder")
+    docs = files.texts(spark, root, [".md"], [], keep_bad=True)
+    save_plan(findings(docs), output_plan, run_id, mode, root)
+    plan = load_plan(spark, output_plan)
+    if mode == "analyze":
+        return plan
+    done = apply_plan(docs, plan, only_safe or mode == "dry-run")
+    if mode == "dry-run":
+        return sinks.unified_diff(done.filter("status = 'changed'"), "text", "new_text", "path").select("path", "diff")
+    changed = done.filter("status = 'changed'")
+    changed.select("path", "text").write.mode("overwrite").parquet(backup)
+    changed.select("path", F.col("new_text").alias("text")).write.mode("overwrite").parquet(target)
+    out = done.select("path", "hash_before", "hash_after", "status")
+    if on_error:
+        for r in out.filter("status = 'error'").toLocalIterator():
+            on_error(f"{r.path}: not found")
+    return out
+
+
+def plan_summary(plan: DataFrame) -> DataFrame:
+    return plan.groupBy("rule_id", "severity", "safe").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("files"))
+
+
 def violations(docs: DataFrame) -> DataFrame:
     """path, violation_type, severity of the schema: front matter, title, required sections, empty sections."""
     t = F.col("text")
@@ -46,6 +133,7 @@ def violations(docs: DataFrame) -> DataFrame:
     v = lambda k, s: F.struct(F.lit(k).alias("violation_type"), F.lit(s).alias("severity"))
     found = [F.when(~front, v("FRONTMATTER_MISSING", "ERROR")), F.when(front & ~head.rlike("(?m)^title:"), v("NO_TITLE", "WARNING"))]
     for h in REQUIRED:
-        found.append(F.when(~t.rlike(rf"(?m)^## {h}\s*$"), v(f"SECTION_MISSING:{h}", "ERROR")))
-        found.append(F.when(t.rlike(rf"(?m)^## {h}\s*(?:\n##|\z)"), v(f"EMPTY_SECTION:{h}", "WARNING")))
+        name = h.removeprefix("## ")
+        found.append(F.when(~t.rlike(rf"(?m)^\Q{h}\E\s*$"), v(f"SECTION_MISSING:{name}", "ERROR")))
+        found.append(F.when(t.rlike(rf"(?m)^\Q{h}\E\s*(?:\n##|\z)"), v(f"EMPTY_SECTION:{name}", "WARNING")))
     return docs.select("path", F.explode(F.array_compact(F.array(*found))).alias("v")).select("path", "v.*")

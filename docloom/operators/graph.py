@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import quality
+
 
 def downstream(edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
     """(node, distance) reached from start (node) within ``depth`` steps, each at its least distance.
@@ -24,6 +26,33 @@ def upstream(edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
     return downstream(edges.select(F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node")), start, depth)
 
 
+def walk(edges: DataFrame, start: DataFrame, depth: int = 2, up: bool = False) -> DataFrame:
+    """The edges of a traversal: distance, from_node, to_node, edge_type. ``up`` follows edges backwards.
+
+    An edge counts at the distance of the node that it is reached from, plus one; edges
+    (from_node, to_node, edge_type) may be repeated by type.
+    """
+    e = edges.select("from_node", "to_node", "edge_type").distinct()
+    near, far = ("to_node", "from_node") if up else ("from_node", "to_node")
+    reached = start.select("node", F.lit(0).alias("distance")).distinct()
+    if depth > 1:
+        reached = reached.unionByName(downstream(e.select(F.col(near).alias("from_node"), F.col(far).alias("to_node")), start, depth - 1))
+    return reached.join(e, F.col("node") == F.col(near)).select((F.col("distance") + 1).alias("distance"), "from_node", "to_node", "edge_type")
+
+
+def nodes(docs: DataFrame, sections: DataFrame) -> DataFrame:
+    """node_uid, kind, parent_node_uid, title: a node per document, and per section below its nearest section of a higher level or its document.
+
+    sections (section_uid, doc_uid, heading, level, ordinal); a document's sections of level 2 are
+    ``sec``, deeper ones ``subsec``.
+    """
+    above = quality.parents(sections.select("doc_uid", "ordinal", "level")).select("doc_uid", "ordinal", "parent", "kind")
+    uid = sections.select("doc_uid", F.col("ordinal").alias("parent"), F.col("section_uid").alias("parent_uid"))
+    x = sections.join(above, ["doc_uid", "ordinal"]).join(uid, ["doc_uid", "parent"], "left")
+    sec = x.select(F.col("section_uid").alias("node_uid"), "kind", F.coalesce("parent_uid", "doc_uid").alias("parent_node_uid"), F.col("heading").alias("title"))
+    return docs.select(F.col("doc_uid").alias("node_uid"), F.lit("doc").alias("kind"), F.lit(None).cast("string").alias("parent_node_uid"), "title").unionByName(sec)
+
+
 def two_hops(edges: DataFrame) -> DataFrame:
     """Inferred edges: pairs two steps apart that have no edge of their own. The rule is our own."""
     e = edges.select("from_node", "to_node").distinct()

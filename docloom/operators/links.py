@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.functions import text as T
+
+
+def _keys():
+    return F.array_distinct(F.array("heading_norm", F.regexp_replace("heading_norm", " ", "-"), F.lower("anchor")))
+
 
 def label_index(sections: DataFrame, by_doc: bool) -> DataFrame:
     """key (and doc_uid) -> number of sections and the smallest one; keys are heading, heading with dashes, anchor."""
-    keys = F.array_distinct(F.array("heading_norm", F.regexp_replace("heading_norm", " ", "-"), F.lower("anchor")))
-    rows = sections.select("section_uid", "doc_uid", F.explode(keys).alias("key")).filter("key is not null and key <> ''")
+    rows = sections.select("section_uid", "doc_uid", F.explode(_keys()).alias("key")).filter("key is not null and key <> ''")
     return rows.groupBy(*(["doc_uid"] if by_doc else []), "key").agg(F.countDistinct("section_uid").alias("n"), F.min("section_uid").alias("uid"))
 
 
@@ -24,9 +29,10 @@ def resolve(links: DataFrame, sections: DataFrame, overrides: DataFrame | None =
     An override comes first; then the label in its context document if it is unique
     there; if it is ambiguous there, that ends the search; then the whole library.
     """
-    own = label_index(sections, True).select(F.col("doc_uid").alias("context_doc_uid"), F.col("key").alias("to_ref"), F.col("n").alias("n_doc"), F.col("uid").alias("uid_doc"))
-    whole = label_index(sections, False).select(F.col("key").alias("to_ref"), F.col("n").alias("n_all"), F.col("uid").alias("uid_all"))
-    x = links.join(own, ["context_doc_uid", "to_ref"], "left").join(whole, "to_ref", "left")
+    own = label_index(sections, True).select(F.col("doc_uid").alias("context_doc_uid"), "key", F.col("n").alias("n_doc"), F.col("uid").alias("uid_doc"))
+    whole = label_index(sections, False).select("key", F.col("n").alias("n_all"), F.col("uid").alias("uid_all"))
+    # Whatever a label with spaces finds, its dashed form finds too, as every heading is indexed by both.
+    x = links.withColumn("key", F.replace("to_ref", F.lit(" "), F.lit("-"))).join(own, ["context_doc_uid", "key"], "left").join(whole, "key", "left")
     if overrides is not None:
         x = x.join(overrides.select(F.col("label_norm").alias("to_ref"), F.col("section_uid").alias("uid_over")), "to_ref", "left")
     else:
@@ -46,10 +52,95 @@ def both_ends(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "id").select("id", "from_uid", "to_uid", F.when(F.col("m1") == F.col("m2"), F.col("m1")).otherwise("mixed").alias("method"), F.least("c1", "c2").alias("confidence"))
 
 
+#: The forms of a reference. Letters of any case.
+EXPLICIT = r"(?i)^doc::([0-9A-Z]{26})::section::([a-z0-9\-]+)(?:::(\d+))?$"
+LABEL = r"(?i)^section::(.+)$"
+TITLED = r"(?i)^document::(.+?)::section::(.+)$"
+
+
 def explicit(refs: DataFrame) -> DataFrame:
     """``doc::<uid>::section::<anchor>[::n]`` taken apart; the ordinal is 1 if absent."""
-    p = r"^doc::([A-Za-z0-9#]+)::section::([^:]+?)(?:::(\d+))?$"
-    return refs.filter(F.col("ref").rlike(p)).select("ref", F.regexp_extract("ref", p, 1).alias("doc_uid"), F.regexp_extract("ref", p, 2).alias("anchor"), F.coalesce(F.expr(rf"try_cast(regexp_extract(ref, r'{p}', 3) as int)"), F.lit(1)).alias("ordinal"))
+    part = lambda i: F.regexp_extract("ref", EXPLICIT, i)
+    return refs.filter(F.col("ref").rlike(EXPLICIT)).select("ref", part(1).alias("doc_uid"), part(2).alias("anchor"), F.coalesce(part(3).try_cast("int"), F.lit(1)).alias("ordinal"))
+
+
+def resolve_refs(refs: DataFrame, sections: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """refs (id, ref, context_doc_uid) of the first two forms -> id, to_uid, method, confidence; other refs have no row.
+
+    An explicit reference is a place (uid, anchor, ordinal) and is there or missing; a
+    label is normalised and resolved as ``resolve`` does.
+    """
+    refs = refs.select("id", F.trim("ref").alias("ref"), "context_doc_uid")
+    at = explicit(refs.select("ref").distinct())
+    there = sections.groupBy("doc_uid", "anchor", "ordinal").agg(F.min("section_uid").alias("uid"))
+    found = at.join(there, ["doc_uid", "anchor", "ordinal"], "left").select("ref", "uid")
+    direct = refs.join(found, "ref").select("id", F.col("uid").alias("to_uid"), F.when(F.col("uid").isNull(), "missing").otherwise("explicit").alias("method"), F.when(F.col("uid").isNull(), 0.0).otherwise(1.0).alias("confidence"))
+    label = T.norm_label(F.regexp_extract("ref", LABEL, 1))
+    named = refs.filter(F.col("ref").rlike(LABEL)).select("id", label.alias("to_ref"), "context_doc_uid")
+    return direct.unionByName(resolve(named, sections, overrides))
+
+
+def resolve_titled(refs: DataFrame, docs: DataFrame, sections: DataFrame) -> DataFrame:
+    """refs (id, ref) of the form title and section -> id, to_uid, method (context_doc, missing_doc, missing_section), confidence.
+
+    Titles are compared lower-cased and trimmed, the first uid of equal titles counts;
+    of sections with one anchor the last does.
+    """
+    title = lambda c: F.trim(F.lower(c))
+    asked = refs.filter(F.col("ref").rlike(TITLED)).select("id", title(F.regexp_extract("ref", TITLED, 1)).alias("t"), T.to_anchor(F.regexp_extract("ref", TITLED, 2), phases=False).alias("anchor"))
+    known = docs.filter("title is not null").groupBy(title(F.col("title")).alias("t")).agg(F.min("doc_uid").alias("doc_uid"))
+    there = sections.filter("anchor is not null").groupBy("doc_uid", "anchor").agg(F.max("section_uid").alias("uid"))
+    x = asked.join(known, "t", "left").join(there, ["doc_uid", "anchor"], "left")
+    method = F.when(F.col("doc_uid").isNull(), "missing_doc").when(F.col("uid").isNull(), "missing_section").otherwise("context_doc")
+    return x.select("id", F.col("uid").alias("to_uid"), method.alias("method"), F.when(F.col("uid").isNull(), 0.0).otherwise(0.85).alias("confidence"))
+
+
+def document_dependencies(refs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Dependencies from links between ``document::Title`` ends; an unknown origin falls back to the context document.
+
+    Of equal titles the last uid counts.
+    """
+    known = docs.filter("title <> ''").groupBy(F.trim(F.lower("title")).alias("t")).agg(F.max("doc_uid").alias("uid"))
+    title = lambda c: F.trim(F.lower(F.regexp_replace(c, r"^.*?::", "")))
+    x = refs.filter(F.expr("to_type = 'document' and from_ref ilike 'document::%' and to_ref ilike 'document::%'"))
+    x = x.select(title("from_ref").alias("f"), title("to_ref").alias("t"), "context_doc_uid", "required")
+    x = x.join(known.select(F.col("t").alias("f"), F.col("uid").alias("from_uid")), "f", "left").join(known.withColumnRenamed("uid", "to_doc"), "t")
+    return dependencies(x.select(F.coalesce("from_uid", "context_doc_uid").alias("from_doc"), "to_doc", "required"))
+
+
+EDGE = ["from_kind", "from_uid", "to_kind", "to_uid", "link_type", "direction", "rationale", "strength", "source", "source_row_id"]
+
+
+def doc_edges(doc_links: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_links (id, doc_title, depends_on_title, dependency_type, rationale): edges where both titles are known; of equal titles the last uid counts."""
+    known = docs.groupBy(T.title_norm_plain(F.col("title")).alias("t")).agg(F.max("doc_uid").alias("uid"))
+    x = doc_links.withColumns({"a": T.title_norm_plain(F.col("doc_title")), "b": T.title_norm_plain(F.col("depends_on_title"))})
+    x = x.join(known.select(F.col("t").alias("a"), F.col("uid").alias("from_uid")), "a").join(known.select(F.col("t").alias("b"), F.col("uid").alias("to_uid")), "b")
+    kind = F.lower(F.coalesce(F.nullif("dependency_type", F.lit("")), F.lit("depends_on")))
+    return x.select(F.lit("doc").alias("from_kind"), "from_uid", F.lit("doc").alias("to_kind"), "to_uid", kind.alias("link_type"), F.lit("forward").alias("direction"), "rationale", F.lit("navigational").alias("strength"), F.lit("doc_doc_links").alias("source"), F.col("id").alias("source_row_id"))
+
+
+def section_edges(section_links: DataFrame, docs: DataFrame, sections: DataFrame) -> DataFrame:
+    """section_links (id, doc_title, section_title, link_type, direction, rationale): edges to a document's section, that with ordinal 1 first."""
+    known = docs.groupBy(T.title_norm_plain(F.col("title")).alias("t")).agg(F.max("doc_uid").alias("from_uid"))
+    # The first of equal headings unless another one has ordinal 1; of several with it the last.
+    best = F.coalesce(F.max(F.when(F.col("ordinal") == 1, F.col("section_uid"))), F.min("section_uid"))
+    there = sections.groupBy(F.col("doc_uid").alias("from_uid"), F.col("heading_norm").alias("h")).agg(best.cast("string").alias("to_uid"))
+    x = section_links.withColumns({"t": T.title_norm_plain(F.col("doc_title")), "h": T.title_norm_plain(F.col("section_title"))}).join(known, "t").join(there, ["from_uid", "h"])
+    return x.select(F.lit("doc").alias("from_kind"), "from_uid", F.lit("section").alias("to_kind"), "to_uid", "link_type", "direction", "rationale", F.lit("navigational").alias("strength"), F.lit("doc_section_links").alias("source"), F.col("id").alias("source_row_id"))
+
+
+def raw_edges(content_links: DataFrame) -> DataFrame:
+    """Content links as edges between their raw references."""
+    kind = lambda c: F.when(F.col(c) == "section", "section").otherwise("doc")
+    return content_links.select(kind("from_type").alias("from_kind"), F.col("from_ref").alias("from_uid"), kind("to_type").alias("to_kind"), F.col("to_ref").alias("to_uid"), "link_type", "direction", "rationale", T.strength("required").alias("strength"), F.lit("content_links").alias("source"), F.col("id").alias("source_row_id"))
+
+
+def materialize_edges(doc_links: DataFrame, section_links: DataFrame, content_links: DataFrame, docs: DataFrame, sections: DataFrame, link_types: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges of all three sources, link types that aren't registered yet)."""
+    edges = doc_edges(doc_links, docs).unionByName(section_edges(section_links, docs, sections)).unionByName(raw_edges(content_links)).select(EDGE)
+    new = edges.select(F.col("link_type").alias("code")).filter("code is not null").distinct().join(link_types.select("code").distinct(), "code", "left_anti")
+    return edges, new.withColumn("description", F.lit("auto-imported from doc_doc_links"))
 
 
 def one_of(df: DataFrame, key: list[str], order: list, last: bool = False) -> DataFrame:

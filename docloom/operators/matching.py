@@ -7,17 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _best(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
+    """The first k rows of each group, with their rank. Spark keeps k rows a group in each task before it shuffles."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
+
+
 def top_similar(left: DataFrame, right: DataFrame, least: float, k: int) -> DataFrame:
-    """left (a, tokens), right (b, tokens) -> a, b, score: the k best b of each a, by Jaccard and then b.
+    """left (a, tokens), right (b, tokens) -> a, b, score, rank: the k best b of each a, by Jaccard and then b.
 
-    Token sets meet token by token and overlaps are summed, so no pair without a
-    common token is ever made and no text travels.
+    Rows with the same token set are worked off as one, so many equal titles cost one.
+    Sets meet token by token and overlaps are summed: no pair without a common token is
+    ever made and no text travels.
     """
-    l, r = (x.select(n, F.size("tokens").alias(f"n_{n}"), F.explode("tokens").alias("t")) for x, n in ((left, "a"), (right, "b")))
-    hits = l.join(r, "t").groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"))
-    score = F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c"))
-    w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    return hits.select("a", "b", score.alias("score")).filter(F.col("score") >= least).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    keyed = lambda x, n: x.select(n, F.array_sort("tokens").alias("tokens")).filter(F.size("tokens") > 0).withColumn("set", F.sha2(F.array_join("tokens", " ").cast("binary"), 256))
+    l, r = keyed(left, "a"), keyed(right, "b")
+    tokens = lambda x, s: x.groupBy("set").agg(F.any_value("tokens").alias("tokens")).select(F.col("set").alias(s), F.size("tokens").alias(f"n_{s}"), F.explode("tokens").alias("t"))
+    hits = tokens(l, "x").join(tokens(r, "y"), "t").groupBy("x", "y", "n_x", "n_y").agg(F.count(F.lit(1)).alias("c"))
+    score = F.col("c") / (F.col("n_x") + F.col("n_y") - F.col("c"))
+    pairs = hits.select("x", "y", score.alias("score")).filter(F.col("score") >= least)
+    members = _best(r.select(F.col("set").alias("y"), "b"), "y", ["b"], k).drop("rank")
+    best = _best(pairs.join(members, "y").select("x", "b", "score"), "x", [F.desc("score"), "b"], k)
+    return l.select("a", F.col("set").alias("x")).join(best, "x").select("a", "b", "score", "rank")
 
 
 def keyword_rules(docs: DataFrame, rules: list[tuple[str, str]], key: str, text: str) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from docloom.functions import text as T
 
-REQUIRED = ("Cel dokumentu", "Zakres i granice", "Wejścia i wyjścia")
+#: Headings that every document should have, normalised.
+REQUIRED = ("metadane", "cel dokumentu", "fazy cyklu życia", "szybkie powiązania", "checklisty jakości", "jak używać dokumentu")
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -65,42 +66,81 @@ def parents(sections: DataFrame) -> DataFrame:
     return found.select("doc_uid", "ordinal", "level", "parent", F.when(F.col("level") == 2, "sec").otherwise("subsec").alias("kind"))
 
 
+#: What makes a line a checkbox, a bullet, part of a table, a link, and a phase.
+LINES = {
+    "checkboxes": r"^\s*[-*]\s*\[\s*[xX ]\s*\]\s+",
+    "bullets": r"^\s*[-*]\s+",
+    "tables": r"^\s*\|.+\|\s*$",
+    "links": r"\[[^\]]+\]\([^)]+\)|https?://\S+",
+    "phases": r"(?i)^\s*[-*]\s*Faza\s+(\d{1,2})\s*:",
+}
+
+
 def line_metrics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """chars, lines, and lines that are checkboxes, bullets, table-like, link-like; counted in place without exploding."""
+    """chars, lines, and how many lines are of each kind in LINES; counted in place without exploding."""
     ls = F.split(F.col(text), "\n")
-    n = lambda p: F.size(F.filter("ls", lambda x: x.rlike(p))).cast("long")
-    return docs.select(key, text, ls.alias("ls")).select(key, F.length(text).cast("long").alias("chars"), F.size("ls").cast("long").alias("lines"), n(r"^\s*- \[[ xX]\]").alias("checkboxes"), n(r"^\s*[-*] ").alias("bullets"), n(r"\|.*\|").alias("tables"), n(r"https?://|\]\(").alias("links"))
+    count = lambda p: F.size(F.filter("ls", lambda x: x.rlike(p))).cast("long")
+    counts = [count(p).alias(name) for name, p in LINES.items()]
+    return docs.select(key, text, ls.alias("ls")).select(key, F.length(text).cast("long").alias("chars"), F.size("ls").cast("long").alias("lines"), *counts)
 
 
 def section_score(m: DataFrame) -> DataFrame:
     """section_uid, lines, placeholder, gates_missed -> score, status (the first downgrade counts)."""
     score = 100 - F.when(F.col("placeholder"), 40).otherwise(0) - F.when(F.col("lines") < 3, 20).otherwise(0) - 10 * F.col("gates_missed")
     score = F.when(F.col("lines") == 0, 0).otherwise(F.greatest(score, F.lit(0)))
-    status = F.when(F.col("lines") == 0, "needs_structure").when(F.col("placeholder"), "needs_content").when(F.col("lines") < 3, "needs_content").when(F.col("gates_missed") > 0, "needs_gates").otherwise("ok")
+    status = F.when(F.col("lines") == 0, "needs_structure").when(F.col("placeholder"), "needs_content").when(F.col("lines") < 3, "needs_content").when(F.col("gates_missed") > 0, "needs_content").otherwise("ok")
     return m.select("section_uid", score.cast("long").alias("score"), status.alias("status"))
 
 
 def required_coverage(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """How many required headings a document has, by prefix."""
-    hs = F.regexp_extract_all(F.col("text"), F.lit(r"(?m)^##\s+([^\n]+)$"), F.lit(1))
-    has = lambda r: F.exists("hs", lambda h: h.startswith(r)).cast("long")
-    n = sum((has(r) for r in REQUIRED), F.lit(0).cast("long"))
-    return docs.select(key, hs.alias("hs")).select(key, n.alias("n_required"))
+    """How many of the required headings a document has, and how many it lacks."""
+    hs = F.transform(F.regexp_extract_all(F.col("text"), F.lit(r"(?m)^#{1,6}[ \t]+([^\n]+)$"), F.lit(1)), T.heading_norm)
+    n = F.size(F.array_intersect(F.array(*map(F.lit, REQUIRED)), F.col("hs"))).cast("long")
+    return docs.select(key, hs.alias("hs")).select(key, n.alias("n_required"), (F.lit(len(REQUIRED)) - n).alias("n_missing"))
 
 
 def edge_health(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """edges (id, to_uid, strength, rationale) -> status and reasons against the existing nodes (uid)."""
+    """edges (id, to_uid, strength, rationale; source if there is one) -> status and reasons against the existing nodes (uid).
+
+    Content links hold raw references, so they are unresolved (warn) and their targets aren't looked for.
+    """
     x = edges.join(nodes.select(F.col("uid").alias("to_uid")).distinct().withColumn("there", F.lit(True)), "to_uid", "left")
+    raw = F.col("source") == "content_links" if "source" in edges.columns else F.lit(False)
     blank = F.trim(F.coalesce("rationale", F.lit(""))) == ""
-    missing, blocked, weak = F.col("there").isNull(), blank & (F.col("strength") == "blocking"), blank & (F.col("strength") == "required")
-    return x.select("id", F.when(missing | blocked, "fail").when(weak, "warn").otherwise("ok").alias("status"), F.array_join(F.array_compact(F.array(F.when(missing, "missing_target"), F.when(blocked | weak, "missing_rationale"))), ",").alias("reasons"))
+    missing, blocked, weak = ~raw & F.col("there").isNull(), blank & (F.col("strength") == "blocking"), blank & (F.col("strength") == "required")
+    reasons = F.array(F.when(raw, "unresolved_content_link"), F.when(missing, "missing_target"), F.when(blocked | weak, "missing_rationale"))
+    return x.select("id", F.when(missing | blocked, "fail").when(raw | weak, "warn").otherwise("ok").alias("status"), F.array_join(F.array_compact(reasons), ",").alias("reasons"))
 
 
 def blockers(edges: DataFrame, quality: DataFrame) -> DataFrame:
-    """Required or blocking edges from a section that isn't ok (an unknown one counts as not ok), one per pair."""
+    """Required or blocking edges from a section that isn't ok (an unknown one counts as not ok), one per pair, with the strongest edge's strength."""
     x = edges.filter(F.col("strength").isin("required", "blocking") & ~F.coalesce(F.col("to_uid").cast("string"), F.lit("")).startswith("section::"))
     x = x.join(quality.select(F.col("section_uid").alias("from_uid"), F.col("status").alias("q")), "from_uid", "left").filter("q is null or q <> 'ok'")
-    return x.groupBy(F.col("to_uid").alias("blocked_uid"), F.col("from_uid").alias("blocker_uid")).agg(F.when(F.max(F.when(F.col("strength") == "blocking", 1).otherwise(0)) == 1, "H").otherwise("M").alias("severity"))
+    # "blocking" comes before "required".
+    x = x.groupBy(F.col("to_uid").alias("blocked_uid"), F.col("from_uid").alias("blocker_uid")).agg(F.min("strength").alias("strength"))
+    return x.select("blocked_uid", "blocker_uid", F.when(F.col("strength") == "blocking", "H").otherwise("M").alias("severity"), F.lit("UPSTREAM_REQUIRED_NOT_OK").alias("reason_code"), F.to_json(F.struct("strength")).alias("evidence_json"))
+
+
+def gates_missed(metrics: DataFrame, gates: DataFrame) -> DataFrame:
+    """metrics (section_uid, doc_uid, checkboxes), gates (scope_kind, scope_uid, gates_json) -> section_uid, gates_missed, missing_json.
+
+    A section's own contract counts, else its document's; bad JSON has no gates. The only
+    known gate is ``min_checkboxes`` with ``min``.
+    """
+    kind = "array<struct<gate:string,min:int>>"
+    known = gates.select("scope_kind", "scope_uid", F.coalesce(F.from_json("gates_json", kind), F.array().cast(kind)).alias("g"))
+    pick = lambda k, n: known.filter(F.col("scope_kind") == k).groupBy(F.col("scope_uid").alias(n)).agg(F.max_by("g", F.to_json("g")).alias(f"g_{k}"))
+    x = metrics.join(pick("section", "section_uid"), "section_uid", "left").join(pick("doc", "doc_uid"), "doc_uid", "left")
+    x = x.withColumn("g", F.coalesce("g_section", "g_doc", F.array().cast(kind)))
+    have = F.coalesce("checkboxes", F.lit(0))
+    missed = F.filter("g", lambda g: (g["gate"] == "min_checkboxes") & (have < F.coalesce(g["min"], F.lit(0))))
+    return x.select("section_uid", F.size(missed).alias("gates_missed"), F.to_json(F.transform(missed, lambda g: F.struct(g["gate"].alias("gate"), F.coalesce(g["min"], F.lit(0)).alias("min"), have.alias("have")))).alias("missing_json"))
+
+
+def scan_sections(sections: DataFrame, metrics: DataFrame, gates: DataFrame) -> DataFrame:
+    """sections (section_uid, doc_uid, status), metrics (section_uid, lines, checkboxes; may lack some) and contracts -> score and status of each."""
+    m = sections.join(metrics.select("section_uid", "lines", "checkboxes"), "section_uid", "left").select("section_uid", "doc_uid", (F.col("status") == "placeholder").alias("placeholder"), F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("checkboxes", F.lit(0)).alias("checkboxes"))
+    return section_score(m.join(gates_missed(m, gates).select("section_uid", "gates_missed"), "section_uid"))
 
 
 def document_score(m: DataFrame) -> DataFrame:

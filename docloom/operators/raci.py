@@ -27,6 +27,9 @@ DEFAULTS = {
     "zgodnos": ("AUDIT", "CISO", "MGR", "LEGAL"),
 }
 DEFAULT = ("DEV", "PM", "BA", "OPS")
+DEFAULT_ACTION = "Ogólna odpowiedzialność"
+#: The section of roles, up to the next heading of its level.
+SECTION = r"(?isu)##\s+RACI\s+i\s+role\b(.*?)(?=\n##\s|\z)"
 LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 LONGEST_ACTION = 100
 
@@ -89,7 +92,7 @@ def default_roles(title: str = "title") -> list[Column]:
 
 
 def derive(docs: DataFrame, key: str = "doc_id", title: str = "title", text: str = "text") -> DataFrame:
-    """Rows of each document's table, else one default row whose action is the title."""
-    rows = table_rows(docs, key, text)
+    """Rows of the table in each document's section of roles, else one default row by the title."""
+    rows = table_rows(docs.select(key, F.regexp_extract(T._s(text), SECTION, 1).alias(text)), key, text)
     bare = docs.select(key, title).join(rows.select(key).distinct(), key, "left_anti")
-    return rows.unionByName(bare.select(key, F.lit(0).alias("seq"), F.col(title).alias("action"), *default_roles(title)))
+    return rows.unionByName(bare.select(key, F.lit(0).alias("seq"), F.lit(DEFAULT_ACTION).alias("action"), *default_roles(title)))

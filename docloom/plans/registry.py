@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from docloom.functions import text as T
 from docloom.functions import unicode as U
 from docloom.operators import analytics as A
-from docloom.operators import fixes, graph, history, links, matching, packages, quality, raci, sections, services
+from docloom.operators import graph, history, links, matching, packages, quality, raci, sections, services
 from docloom.sources import sinks
 
 from . import bindings as B
@@ -41,7 +41,7 @@ over("a4_totals", "docs mapping", A.totals, f"SELECT total, mapped, total - mapp
 over("a5_standard_summary", "mapping", lambda m: A.standard_summary(m, "STD-3"), "SELECT count(*) AS total, count(*) FILTER (confidence >= 0.7) AS sure, count(*) FILTER (confidence < 0.7) AS unsure, count(*) FILTER (confidence IS NULL) AS unknown FROM mapping WHERE standard_code = 'STD-3'")
 over("a6_histograms", "sections docs", lambda s, d: A.histogram(s, "status", "section").unionByName(A.histogram(d, "origin", "doc")), "SELECT 'section' AS kind, status, count(*) AS n FROM sections GROUP BY 2 UNION ALL SELECT 'doc', origin, count(*) FROM docs GROUP BY 2")
 over("a7_filtered_count", "links", lambda x: x.filter("required = 1 and trim(coalesce(rationale, '')) = ''").groupBy("context_doc_uid").agg(F.count(F.lit(1)).alias("n")), "SELECT context_doc_uid, count(*) AS n FROM links WHERE required = 1 AND trim(coalesce(rationale, '')) = '' GROUP BY 1")
-_IDX = "idx AS (SELECT DISTINCT unnest([heading_norm, replace(heading_norm, ' ', '-'), lower(anchor)]) AS key, doc_uid, section_uid FROM sections), own AS (SELECT doc_uid, key, count(*) AS n, min(section_uid) AS uid FROM idx GROUP BY 1, 2), alls AS (SELECT key, count(*) AS n, min(section_uid) AS uid FROM idx GROUP BY 1), res AS (SELECT id, CASE WHEN own.n = 1 THEN 'context_doc' WHEN own.n > 1 THEN 'ambiguous' WHEN alls.n = 1 THEN 'global_unique' WHEN alls.n > 1 THEN 'ambiguous' ELSE 'missing' END AS method, own.uid AS u1, alls.uid AS u2 FROM links LEFT JOIN own ON own.doc_uid = context_doc_uid AND own.key = to_ref LEFT JOIN alls ON alls.key = to_ref), out AS (SELECT id, CASE method WHEN 'context_doc' THEN u1 WHEN 'global_unique' THEN u2 END AS to_uid, method, CASE method WHEN 'context_doc' THEN 0.95::DOUBLE WHEN 'global_unique' THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM res)"
+_IDX = "idx AS (SELECT DISTINCT unnest([heading_norm, replace(heading_norm, ' ', '-'), lower(anchor)]) AS key, doc_uid, section_uid FROM sections), own AS (SELECT doc_uid, key, count(*) AS n, min(section_uid) AS uid FROM idx GROUP BY 1, 2), alls AS (SELECT key, count(*) AS n, min(section_uid) AS uid FROM idx GROUP BY 1), res AS (SELECT id, CASE WHEN own.n = 1 THEN 'context_doc' WHEN own.n > 1 THEN 'ambiguous' WHEN alls.n = 1 THEN 'global_unique' WHEN alls.n > 1 THEN 'ambiguous' ELSE 'missing' END AS method, own.uid AS u1, alls.uid AS u2 FROM links LEFT JOIN own ON own.doc_uid = context_doc_uid AND own.key = replace(to_ref, ' ', '-') LEFT JOIN alls ON alls.key = replace(to_ref, ' ', '-')), out AS (SELECT id, CASE method WHEN 'context_doc' THEN u1 WHEN 'global_unique' THEN u2 END AS to_uid, method, CASE method WHEN 'context_doc' THEN 0.95::DOUBLE WHEN 'global_unique' THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM res)"
 
 
 def _res(sql: str) -> str:
@@ -52,14 +52,6 @@ query("j11_resolve_links", _res("SELECT * FROM out"))(lambda s, d: links.resolve
 query("j12_label_index", V("sections", "SELECT key, count(DISTINCT section_uid) AS n, min(section_uid) AS uid FROM (SELECT unnest([heading_norm, replace(heading_norm, ' ', '-'), lower(anchor)]) AS key, section_uid FROM sections) GROUP BY 1"))(lambda s, d: links.label_index(B.sections(s, d), False))
 
 
-def _two_ends(s, d):
-    x, sec = B.links(s, d), B.sections(s, d)
-    return links.both_ends(links.resolve(x, sec), links.resolve(x.withColumn("context_doc_uid", F.lit("Brand#11")), sec))
-
-
-query("j13_both_ends")(_two_ends)
-
-
 def _resolution(s, d):
     x = B.links(s, d)
     return A.resolution(x, links.resolve(x, B.sections(s, d)).filter("to_uid is not null"))
@@ -84,7 +76,7 @@ over("j7_unmapped_by_category", "docs mapping", lambda d, m: A.unmapped_by_categ
 over("j15_dependencies", "edges", lambda e: links.dependencies(e.select(F.col("from_node").alias("from_doc"), F.col("to_node").alias("to_doc"), (F.col("weight") > 0.05).cast("int").alias("required"))), "SELECT from_node AS from_doc, to_node AS to_doc, CASE WHEN max((weight > 0.05)::INT) = 1 THEN 'requires' ELSE 'relates_to' END AS dependency_type FROM edges WHERE from_node <> to_node GROUP BY 1, 2")
 over("j16_g5_migrate_edges", "edges sections", lambda e, s: links.migrate(e.select(F.col("to_node").alias("id"), F.when(F.col("to_node") % 3 == 0, "doc").when(F.col("to_node") % 3 == 1, "section").otherwise("file").alias("kind"), F.when(F.col("to_node") % 10 == 0, F.lit("section::x")).otherwise(F.col("to_node").cast("string")).alias("uid")).distinct(), s.select(F.lit("section").alias("kind"), F.col("section_uid").cast("string").alias("uid"), F.concat(F.lit("n"), "section_uid").alias("node_uid"))), "SELECT DISTINCT to_node AS id, CASE WHEN to_node % 10 <> 0 AND to_node % 3 = 1 AND section_uid IS NOT NULL THEN 'n' || to_node END AS node_uid, CASE WHEN to_node % 10 = 0 THEN 'raw_section_ref' WHEN to_node % 3 = 2 THEN 'unsupported_kind' WHEN to_node % 3 = 1 AND section_uid IS NOT NULL THEN NULL ELSE 'missing_map' END AS reason FROM edges LEFT JOIN sections ON section_uid = to_node")
 over("j18_r20_edge_health", "edges sections", lambda e, s: quality.edge_health(e.select(F.col("from_node").alias("id"), F.col("to_node").alias("to_uid"), F.when(F.col("weight") > 0.07, "blocking").when(F.col("weight") > 0.03, "required").otherwise("navigational").alias("strength"), F.when(F.col("weight") < 0.09, "x").alias("rationale")), s.filter("ordinal <> 2").select(F.col("section_uid").alias("uid"))).groupBy("status", "reasons").agg(F.count(F.lit(1)).alias("n")), "SELECT status, reasons, count(*) AS n FROM (SELECT CASE WHEN to_node % 3 = 2 OR (weight >= 0.09 AND weight > 0.07) THEN 'fail' ELSE 'ok' END AS status, CASE WHEN to_node % 3 = 2 AND weight >= 0.09 THEN 'missing_target,missing_rationale' WHEN to_node % 3 = 2 THEN 'missing_target' WHEN weight >= 0.09 THEN 'missing_rationale' ELSE '' END AS reasons FROM edges) GROUP BY 1, 2")
-over("j19_blockers", "edges sections", lambda e, s: quality.blockers(e.select(F.col("from_node").alias("from_uid"), F.col("to_node").alias("to_uid"), F.when(F.col("weight") > 0.07, "blocking").when(F.col("weight") > 0.03, "required").alias("strength")), s.select("section_uid", F.when(F.col("status") == "filled", "ok").otherwise("bad").alias("status"))), "SELECT to_node AS blocked_uid, from_node AS blocker_uid, CASE WHEN max((weight > 0.07)::INT) = 1 THEN 'H' ELSE 'M' END AS severity FROM edges WHERE weight > 0.03 AND from_node % 5 = 0 GROUP BY 1, 2")
+over("j19_blockers", "edges sections", lambda e, s: quality.blockers(e.select(F.col("from_node").alias("from_uid"), F.col("to_node").alias("to_uid"), F.when(F.col("weight") > 0.07, "blocking").when(F.col("weight") > 0.03, "required").alias("strength")), s.select("section_uid", F.when(F.col("status") == "filled", "ok").otherwise("bad").alias("status"))), "SELECT to_node AS blocked_uid, from_node AS blocker_uid, CASE WHEN max((weight > 0.07)::INT) = 1 THEN 'H' ELSE 'M' END AS severity, 'UPSTREAM_REQUIRED_NOT_OK' AS reason_code, CASE WHEN max((weight > 0.07)::INT) = 1 THEN '{\"strength\":\"blocking\"}' ELSE '{\"strength\":\"required\"}' END AS evidence_json FROM edges WHERE weight > 0.03 AND from_node % 5 = 0 GROUP BY 1, 2")
 over("j29_collisions", "sections", lambda s: A.collisions(s.withColumn("k", F.concat("doc_uid", F.lit("|"), "heading_norm")), "k").select("section_uid", "k"), "SELECT section_uid, doc_uid || '|' || heading_norm AS k FROM sections QUALIFY count(*) OVER (PARTITION BY doc_uid, heading_norm) > 1")
 over("j32_find_by_standard", "mapping docs standards", lambda m, d, s: m.filter(F.col("standard_code").ilike("%std-1%")).join(d, m.doc_path == d.path).join(s, "standard_code").groupBy("doc_path", "title", "standard_code").agg(F.count(F.lit(1)).alias("n")), "SELECT doc_path, title, standard_code, count(*) AS n FROM mapping JOIN docs ON doc_path = path JOIN standards USING (standard_code) WHERE standard_code ILIKE '%std-1%' GROUP BY 1, 2, 3")
 over("j24_keyword_rules", "sections", lambda s: matching.keyword_rules(s, [("metal", "M"), ("red", "R"), ("green", "G"), ("small", "S")], "section_uid", "heading_norm"), "SELECT section_uid, array_to_string(list_sort(list_filter([CASE WHEN contains(heading_norm, 'metal') THEN 'M' END, CASE WHEN contains(heading_norm, 'red') THEN 'R' END, CASE WHEN contains(heading_norm, 'green') THEN 'G' END, CASE WHEN contains(heading_norm, 'small') THEN 'S' END], lambda x: x IS NOT NULL)), ',') AS codes FROM sections WHERE heading_norm SIMILAR TO '.*(metal|red|green|small).*'")
@@ -93,26 +85,22 @@ over("w6_last_wins", "edges", lambda e: links.one_of(e, ["from_node"], ["to_node
 over("w7_prefer_ordinal", "sections", lambda s: links.one_of(s, ["doc_uid", "heading_norm"], [F.desc(F.col("ordinal") == 1), "section_uid"]).select("doc_uid", "heading_norm", "section_uid"), "SELECT doc_uid, heading_norm, section_uid FROM sections QUALIFY row_number() OVER (PARTITION BY doc_uid, heading_norm ORDER BY (ordinal = 1) DESC, section_uid) = 1")
 over("w10_sessions", "changelog", lambda c: history.sessions(c.withColumn("user", F.col("template_path")), "user", "ts", 60).groupBy("user").agg(F.max("session").alias("n")), "SELECT template_path AS user, sum(x)::BIGINT AS n FROM (SELECT template_path, CASE WHEN ts - lag(ts) OVER (PARTITION BY template_path ORDER BY ts, id) > INTERVAL 60 MINUTE THEN 1 ELSE 0 END AS x FROM changelog) GROUP BY 1")
 over("w9_retention", "changelog", lambda c: history.retention(c.select(F.col("id").alias("snapshot_id"), F.col("ts").alias("at"))), "SELECT DISTINCT snapshot_id FROM ((SELECT arg_min(id, (ts, id)) AS snapshot_id, date_trunc('week', ts) AS p FROM changelog GROUP BY p ORDER BY p DESC LIMIT 12) UNION ALL (SELECT arg_min(id, (ts, id)), date_trunc('month', ts) AS p FROM changelog GROUP BY p ORDER BY p DESC LIMIT 12))")
-query("w13_snapshot_deltas", V("changelog", "SELECT snapshot_id, n, n - lag(n) OVER (ORDER BY snapshot_id) AS delta, CASE WHEN n - lag(n) OVER (ORDER BY snapshot_id) > 50 THEN 'FAIL' WHEN n - lag(n) OVER (ORDER BY snapshot_id) > 5 THEN 'WARN' ELSE 'OK' END AS status FROM (SELECT substr(changed_at, 1, 10) AS snapshot_id, count(*) AS n FROM changelog GROUP BY 1)"))(lambda s, d: history.deltas(A.per_day(B.changelog(s, d)).withColumnRenamed("day", "snapshot_id"), 5, 50))
-query("w14_transitions", "WITH o AS (SELECT p_name || p_size AS hash, min('a/' || p_partkey) AS from_path FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), n AS (SELECT p_name || p_size AS hash, min(CASE WHEN p_partkey % 4 = 0 THEN 'a/' ELSE 'b/' END || p_partkey) AS to_path FROM part WHERE p_partkey % 3 = 0 GROUP BY 1) SELECT from_path, to_path, CASE WHEN from_path IS NULL THEN 'added' WHEN to_path IS NULL THEN 'removed' WHEN from_path = to_path THEN 'kept' ELSE 'moved' END AS kind FROM o FULL JOIN n USING (hash)")(
+query("w13_snapshot_deltas", V("changelog", "SELECT metric, snapshot_id, n, n - lag(n) OVER w AS delta, CASE WHEN metric = 'click' AND n - lag(n) OVER w > 50 OR metric = 'view' AND n - lag(n) OVER w > 20 THEN 'FAIL' WHEN metric = 'click' AND n - lag(n) OVER w > 5 OR metric = 'view' AND n - lag(n) OVER w > 2 THEN 'WARN' ELSE 'OK' END AS status FROM (SELECT change_type AS metric, substr(changed_at, 1, 10) AS snapshot_id, count(*) AS n FROM changelog GROUP BY 1, 2) WINDOW w AS (PARTITION BY metric ORDER BY snapshot_id)"))(lambda s, d: history.deltas(B.changelog(s, d).groupBy(F.col("change_type").alias("metric"), F.substring("changed_at", 1, 10).alias("snapshot_id")).agg(F.count(F.lit(1)).alias("n")), {"click": (5, 50), "view": (2, 20)}))
+query("w14_transitions", "WITH o AS (SELECT DISTINCT p_name || p_size AS hash, 'a/' || p_partkey AS path FROM part WHERE p_partkey % 2 = 0), n AS (SELECT DISTINCT p_name || p_size AS hash, CASE WHEN p_partkey % 4 = 0 THEN 'a/' ELSE 'b/' END || p_partkey AS path FROM part WHERE p_partkey % 3 = 0), k AS (SELECT * FROM o INTERSECT SELECT * FROM n), x AS (SELECT hash, path AS from_path, row_number() OVER (PARTITION BY hash ORDER BY path) AS i FROM o ANTI JOIN k USING (hash, path)), y AS (SELECT hash, path AS to_path, row_number() OVER (PARTITION BY hash ORDER BY path) AS i FROM n ANTI JOIN k USING (hash, path)) SELECT path AS from_path, path AS to_path, 'kept' AS kind FROM k UNION ALL SELECT from_path, to_path, CASE WHEN from_path IS NULL THEN 'added' WHEN to_path IS NULL THEN 'removed' ELSE 'moved' END FROM x FULL JOIN y USING (hash, i)")(
     lambda s, d: history.transitions(*(B.read(s, d, "part").filter(f"p_partkey % {k} = 0").select(F.concat("p_name", "p_size").alias("hash"), F.concat(p, "p_partkey").alias("path")) for k, p in ((2, F.lit("a/")), (3, F.when(F.col("p_partkey") % 4 == 0, "a/").otherwise("b/")))))
 )
 over("a14_top_templates", "changelog", lambda c: A.top(c, "template_path", 10), "SELECT template_path, count(*) AS n FROM changelog GROUP BY 1 ORDER BY n DESC, template_path LIMIT 10")
 over("a15_per_day", "changelog", A.per_day, "SELECT substr(changed_at, 1, 10) AS day, count(*) AS n FROM changelog GROUP BY 1")
 query("a16_longest_tag", "SELECT p_size, sum(n)::BIGINT AS n, arg_min(t, (-length(t), t)) AS tag FROM (SELECT p_size, p_type AS t, count(*) AS n FROM part GROUP BY 1, 2) GROUP BY 1")(lambda s, d: A.longest_tag(B.read(s, d, "part"), "p_size", "p_type"))
-over("a17_counts_by_rule", "markdown", lambda m: fixes.findings(m).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("files")), "SELECT rule_id, severity, count(*) AS n, count(DISTINCT path) AS files FROM (SELECT path, unnest(list_filter([CASE WHEN NOT starts_with(text, '---') THEN ['DOC.FRONTMATTER.MISSING', 'ERROR'] END, CASE WHEN starts_with(text, '---') AND NOT contains(text, 'title:') THEN ['DOC.FRONTMATTER.NO_TITLE', 'WARNING'] END, CASE WHEN NOT contains(text, '## Cel dokumentu') THEN ['DOC.SECTION.MISSING', 'ERROR'] END, CASE WHEN NOT contains(text, '## Zakres i granice') THEN ['DOC.SECTION.MISSING', 'ERROR'] END, CASE WHEN NOT contains(text, '## Wejścia i wyjścia') THEN ['DOC.SECTION.MISSING', 'ERROR'] END], lambda x: x IS NOT NULL)) AS f FROM markdown), LATERAL (SELECT f[1] AS rule_id, f[2] AS severity) GROUP BY 1, 2")
 query("a20_duplicate_content", "SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")(lambda s, d: A.duplicates(B.read(s, d, "documents"), "text", "doc_id"))
 over("a23_tiers", "mapping", A.tiers, "SELECT CASE WHEN confidence IS NULL THEN 'none' WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END AS tier, count(*) AS n FROM mapping GROUP BY 1")
 over("a25_cap_violations", "mapping", lambda m: A.cap_violations(m, ["doc_path", "standard_code"], 5), "SELECT doc_path, standard_code, count(*) AS n FROM mapping GROUP BY 1, 2 HAVING count(*) > 5")
-query("a11_line_metrics", r"SELECT doc_id, length(text)::BIGINT AS chars, len(string_split(text, chr(10)))::BIGINT AS lines, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*- \[[ xX]\]')))::BIGINT AS checkboxes, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*[-*] ')))::BIGINT AS bullets, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\|.*\|')))::BIGINT AS tables, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, 'https?://|\]\(')))::BIGINT AS links FROM documents")(lambda s, d: quality.line_metrics(B.read(s, d, "documents")))
+_LINES = "string_split(text, chr(10))"
+query("a11_line_metrics", "SELECT doc_id, length(text)::BIGINT AS chars, len(" + _LINES + ")::BIGINT AS lines, " + ", ".join(f"len(list_filter({_LINES}, lambda x: regexp_matches(x, '{p}')))::BIGINT AS {name}" for name, p in quality.LINES.items()) + " FROM documents")(lambda s, d: quality.line_metrics(B.read(s, d, "documents")))
 query("a12_rollup", "SELECT source, sum(length(text))::BIGINT AS chars, sum(len(string_split(text, chr(10))))::BIGINT AS lines FROM documents GROUP BY 1")(lambda s, d: quality.line_metrics(B.read(s, d, "documents")).join(B.read(s, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("chars").alias("chars"), F.sum("lines").alias("lines")))
-over("a13_required_coverage", "markdown", quality.required_coverage, "SELECT doc_id, (contains(text, '## Cel dokumentu')::INT + contains(text, '## Zakres i granice')::INT + contains(text, '## Wejścia i wyjścia')::INT)::BIGINT AS n_required FROM markdown")
-over("w1_w4_headings", "markdown", quality.headings)
-over("w8_parents", "sections", lambda s: quality.parents(s.select("doc_uid", F.col("section_uid").alias("ordinal"), (F.col("section_uid") % 4 + 1).alias("level"))), "SELECT doc_uid, section_uid AS ordinal, section_uid % 4 + 1 AS level, (SELECT max(b.section_uid) FROM sections b WHERE b.doc_uid = a.doc_uid AND b.section_uid < a.section_uid AND b.section_uid % 4 < a.section_uid % 4) AS parent, CASE WHEN section_uid % 4 + 1 = 2 THEN 'sec' ELSE 'subsec' END AS kind FROM sections a WHERE section_uid <= 5000")
-over("r2_findings", "markdown", fixes.findings)
-over("r4_r5_apply_safe", "markdown", lambda m: fixes.apply_safe(m, fixes.findings(m)).select("path", "hash_before", "hash_after"))
-over("r9_violations", "markdown", fixes.violations)
-over("r18_section_score", "sections", lambda s: quality.section_score(s.select("section_uid", (F.col("section_uid") % 6).alias("lines"), (F.col("status") == "placeholder").alias("placeholder"), (F.col("section_uid") % 4).alias("gates_missed"))), "SELECT section_uid, (CASE WHEN l = 0 THEN 0 ELSE greatest(100 - CASE WHEN p THEN 40 ELSE 0 END - CASE WHEN l < 3 THEN 20 ELSE 0 END - 10 * g, 0) END)::BIGINT AS score, CASE WHEN l = 0 THEN 'needs_structure' WHEN p OR l < 3 THEN 'needs_content' WHEN g > 0 THEN 'needs_gates' ELSE 'ok' END AS status FROM (SELECT section_uid, section_uid % 6 AS l, status = 'placeholder' AS p, section_uid % 4 AS g FROM sections)")
+over("a13_required_coverage", "markdown", quality.required_coverage, "SELECT doc_id, (contains(text, '## Cel dokumentu')::INT + (doc_id % 5 = 1)::INT)::BIGINT AS n_required, (6 - contains(text, '## Cel dokumentu')::INT - (doc_id % 5 = 1)::INT)::BIGINT AS n_missing FROM markdown")
+over("w8_parents", "sections", lambda s: quality.parents(s.select("doc_uid", F.col("section_uid").alias("ordinal"), (F.col("section_uid") % 4 + 1).alias("level"))), "SELECT doc_uid, ordinal, level, CASE level WHEN 2 THEN m1 WHEN 3 THEN greatest(m1, m2) WHEN 4 THEN greatest(m1, m2, m3) END AS parent, CASE WHEN level = 2 THEN 'sec' ELSE 'subsec' END AS kind FROM (SELECT doc_uid, section_uid AS ordinal, section_uid % 4 + 1 AS level, max(CASE WHEN section_uid % 4 = 0 THEN section_uid END) OVER w AS m1, max(CASE WHEN section_uid % 4 = 1 THEN section_uid END) OVER w AS m2, max(CASE WHEN section_uid % 4 = 2 THEN section_uid END) OVER w AS m3 FROM sections WINDOW w AS (PARTITION BY doc_uid ORDER BY section_uid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))")
+over("r18_section_score", "sections", lambda s: quality.section_score(s.select("section_uid", (F.col("section_uid") % 6).alias("lines"), (F.col("status") == "placeholder").alias("placeholder"), (F.col("section_uid") % 4).alias("gates_missed"))), "SELECT section_uid, (CASE WHEN l = 0 THEN 0 ELSE greatest(100 - CASE WHEN p THEN 40 ELSE 0 END - CASE WHEN l < 3 THEN 20 ELSE 0 END - 10 * g, 0) END)::BIGINT AS score, CASE WHEN l = 0 THEN 'needs_structure' WHEN p OR l < 3 OR g > 0 THEN 'needs_content' ELSE 'ok' END AS status FROM (SELECT section_uid, section_uid % 6 AS l, status = 'placeholder' AS p, section_uid % 4 AS g FROM sections)")
 query("x41_x40_guidance_links", V("guidance", "SELECT DISTINCT id, unnest(CASE WHEN json_valid(refs) THEN from_json(refs, '[\"VARCHAR\"]') END) AS code FROM guidance"))(lambda s, d: B.guidance(s, d).select("id", F.explode(T.json_list("refs")).alias("code")).distinct())
 over("u5_ordered_union", "guidance", lambda g: g.select("id", F.array_join(F.filter(F.array_distinct(F.concat(T.json_list("refs"), F.array(F.lit("Z"), F.lit("Brand#11")))), lambda x: x != "Brand#12"), ",").alias("codes")), "SELECT id, array_to_string(list_filter(l || CASE WHEN list_contains(l, 'Brand#11') THEN ['Z'] ELSE ['Z', 'Brand#11'] END, lambda x: x <> 'Brand#12'), ',') AS codes FROM (SELECT id, coalesce(CASE WHEN json_valid(refs) THEN from_json(refs, '[\"VARCHAR\"]') END, []) AS l FROM guidance)")
 query("x1_anchor", r"SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name || ' -- ' || p_type)), '\s+', '-', 'g'), '-+', '-', 'g') AS anchor FROM part")(lambda s, d: B.read(s, d, "part").select("p_partkey", T.to_anchor(F.concat_ws(" -- ", "p_name", "p_type")).alias("anchor")))
@@ -147,7 +135,7 @@ def _walk(up: bool):
 
 for _name, _a, _b in (("g1_downstream", "from_node", "to_node"), ("g2_upstream", "to_node", "from_node")):
     query(_name, V("edges", f"SELECT {_b} AS node, 1 AS distance FROM edges WHERE {_a} = 1 AND {_b} <> 1 UNION SELECT f.{_b}, 2 FROM edges e JOIN edges f ON e.{_b} = f.{_a} WHERE e.{_a} = 1 AND f.{_b} <> 1 AND f.{_b} NOT IN (SELECT {_b} FROM edges WHERE {_a} = 1)"))(_walk(_name.startswith("g2")))
-over("g6_two_hops", "edges", lambda e: graph.two_hops(e.filter("from_node % 50 < 2 or to_node % 50 < 2")).groupBy("from_node").agg(F.count(F.lit(1)).alias("n")), "SELECT from_node, count(*) AS n FROM (SELECT a.from_node, b.to_node FROM edges a JOIN edges b ON a.to_node = b.from_node WHERE (a.from_node % 50 < 2 OR a.to_node % 50 < 2) AND (b.from_node % 50 < 2 OR b.to_node % 50 < 2) AND a.from_node <> b.to_node EXCEPT SELECT from_node, to_node FROM edges WHERE from_node % 50 < 2 OR to_node % 50 < 2) GROUP BY 1")
+over("g6_two_hops", "edges", lambda e: graph.two_hops(e).groupBy("from_node").agg(F.count(F.lit(1)).alias("n")), "SELECT from_node, count(*) AS n FROM (SELECT a.from_node, b.to_node FROM (SELECT DISTINCT from_node, to_node FROM edges) a JOIN (SELECT DISTINCT from_node, to_node FROM edges) b ON a.to_node = b.from_node WHERE a.from_node <> b.to_node EXCEPT SELECT from_node, to_node FROM edges) GROUP BY 1")
 over("g7_degree", "edges", lambda e: graph.influence(e).select("node", "degree"), "SELECT node, count(*) AS degree FROM (SELECT from_node AS node FROM edges UNION ALL SELECT to_node FROM edges) GROUP BY 1")
 
 
@@ -184,12 +172,12 @@ over("o6_limit_per_group", "mapping", lambda m: m.select("standard_code", "doc_p
 def _raci_docs(s, d):
     """Every third part has a table with a separator, a row and a long action; the others only a title."""
     k = F.col("p_partkey")
-    table = F.concat(F.lit("# T\nx\n| Działanie | Informed | Responsible |\n|---|:-:|---|\n| "), "p_name", F.lit(" | "), "p_brand", F.lit(" | "), "p_type", F.lit(" |\n| " + "long " * 21 + "| a | b |\nend\n| not | read |\n"))
+    table = F.concat(F.lit("# T\n| Responsible |\n| not | here |\n## RACI i role\nx\n| Działanie | Informed | Responsible |\n|---|:-:|---|\n| "), "p_name", F.lit(" | "), "p_brand", F.lit(" | "), "p_type", F.lit(" |\n| " + "long " * 21 + "| a | b |\nend\n| not | read |\n## Next\n| Responsible |\n| no | no |\n"))
     title = F.concat(F.when(k % 2 == 0, "Test ").otherwise("Plan "), "p_name")
     return B.read(s, d, "part").select(k.alias("doc_id"), title.alias("title"), F.when(k % 3 == 0, table).otherwise("no table").alias("text"))
 
 
-query("r15_x38_raci", "SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS seq, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE CASE WHEN p_partkey % 2 = 0 THEN 'Test ' ELSE 'Plan ' END || p_name END AS action, CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN p_partkey % 2 = 0 THEN 'QA' ELSE 'DEV' END AS responsible, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE 'PM' END AS accountable, CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 2 = 0 THEN 'DEV' ELSE 'BA' END AS consulted, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 2 = 0 THEN 'BA' ELSE 'OPS' END AS informed FROM part")(lambda s, d: raci.derive(_raci_docs(s, d)))
+query("r15_x38_raci", "SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS seq, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'Ogólna odpowiedzialność' END AS action, CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN p_partkey % 2 = 0 THEN 'QA' ELSE 'DEV' END AS responsible, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE 'PM' END AS accountable, CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 2 = 0 THEN 'DEV' ELSE 'BA' END AS consulted, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 2 = 0 THEN 'BA' ELSE 'OPS' END AS informed FROM part")(lambda s, d: raci.derive(_raci_docs(s, d)))
 
 
 def _scores(s, d):
@@ -205,7 +193,7 @@ over("x34_front_matter", "markdown", lambda m: m.select("doc_id", sections.front
 over("x37_section_map", "markdown", lambda m: m.select("doc_id", sections.section_map("text")["Cel dokumentu"].alias("body"), F.size(sections.section_map("text")).cast("long").alias("n")), "SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN 'Text.' || chr(10) || '- [ ] a' END AS body, (1 + (doc_id % 4 <> 0)::INT + (doc_id % 6 <> 0)::INT + (doc_id % 10 = 0)::INT + (doc_id % 5 <> 0)::INT)::BIGINT AS n FROM markdown")
 over("r12_patch_append", "markdown", lambda m: m.select("doc_id", F.sha2(sections.patch("text", "Cel dokumentu", "append", "more").cast("binary"), 256).alias("h")), "SELECT doc_id, sha256(replace(text, 'Text.' || chr(10) || '- [ ] a' || chr(10), 'Text.' || chr(10) || '- [ ] a' || chr(10) || 'more' || chr(10))) AS h FROM markdown")
 over("r10_inject", "markdown", lambda m: m.select("doc_id", F.sha2(sections.inject("text", "Nowa", "b", ("Zakres",)).cast("binary"), 256).alias("h")), "SELECT doc_id, sha256(CASE WHEN contains(text, '## Zakres') THEN replace(text, '## Zakres', '## Nowa' || chr(10) || chr(10) || 'b' || chr(10) || chr(10) || '## Zakres') ELSE rtrim(text, chr(10)) || chr(10) || chr(10) || '## Nowa' || chr(10) || chr(10) || 'b' || chr(10) END) AS h FROM markdown")
-query("j22_best_donor", "WITH w AS (SELECT p_partkey AS k, list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z]+'), lambda t: length(t) > 2)) AS x FROM part), d AS (SELECT k, x, unnest(x) AS t FROM w), h AS (SELECT a.k AS p_partkey, b.k AS donor, count(*)::DOUBLE / (any_value(len(a.x)) + any_value(len(b.x)) - count(*)) AS score FROM d a JOIN (SELECT * FROM d WHERE k % 10 = 0) b USING (t) WHERE a.k <> b.k GROUP BY 1, 2) SELECT * FROM h WHERE score >= 0.01 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, donor) = 1")(lambda s, d: sections.best_donors(B.read(s, d, "part"), B.read(s, d, "part").filter("p_partkey % 10 = 0"), "p_partkey", "p_name"))
+query("j22_best_donor", "WITH w AS (SELECT p_name, list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z]+'), lambda t: length(t) > 2)) AS x, count(*) AS n, min(p_partkey) AS d1, min(p_partkey) FILTER (p_partkey > m) AS d2 FROM part JOIN (SELECT p_name, min(p_partkey) AS m FROM part GROUP BY 1) USING (p_name) GROUP BY 1), c AS (SELECT a.p_name, s.score, unnest([b.d1, b.d2]) AS donor FROM w a, w b, LATERAL (SELECT len(list_intersect(a.x, b.x))::DOUBLE / len(list_distinct(a.x || b.x)) AS score) s WHERE s.score >= 0.01) SELECT p_partkey, donor, score FROM part JOIN c USING (p_name) WHERE donor <> p_partkey QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, donor) = 1")(lambda s, d: sections.best_donors(B.read(s, d, "part"), B.read(s, d, "part"), "p_partkey", "p_name"))
 query("x33_r27_mojibake", "SELECT c_custkey, c_name || ' żółć' AS name FROM customer")(lambda s, d: U.repair(B.read(s, d, "customer").select("c_custkey", F.concat("c_name", F.lit(" \u017c\u00f3\u0142\u0107".encode().decode("cp1252"))).alias("name")), ["name"]).drop("changed"))
 query("x6_dash_slug", "SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') || '-ecole' AS slug FROM part")(lambda s, d: B.read(s, d, "part").select("p_partkey", U.dash_slug(F.concat("p_name", F.lit("  \u00c9cole!"))).alias("slug")))
 query("w11_r23_packages")(lambda s, d: packages.packages(B.read(s, d, "customer").groupBy(F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("code")).agg(F.count(F.lit(1)).alias("n")).withColumn("tag", F.lit("t"))))
@@ -213,6 +201,9 @@ over("e4_templates_page", "mapping", lambda m: services.templates(m.distinct(),
 over("e4_review", "mapping", lambda m: services.review(m, m.select("doc_path", "standard_code").distinct().select("doc_path", "standard_code", (F.col("standard_code") != "STD-1").alias("approve"), F.when(F.col("standard_code") == "STD-2", 0.9).alias("confidence")).filter("standard_code in ('STD-1', 'STD-2', 'STD-3')"), ["doc_path", "standard_code"]), "SELECT doc_path, standard_code, CASE WHEN standard_code IN ('STD-2', 'STD-3') THEN 'expert_reviewed' ELSE match_reason END AS match_reason, CASE standard_code WHEN 'STD-2' THEN 0.9::DOUBLE WHEN 'STD-3' THEN greatest(coalesce(confidence, 0), 0.8::DOUBLE) ELSE confidence END AS confidence FROM mapping WHERE standard_code <> 'STD-1'")
 
 
+from . import more  # noqa: E402, F401  registers its own queries
+
+
 def queries() -> dict:
     return dict(_Q)
 

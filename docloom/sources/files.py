@@ -12,13 +12,19 @@ def markdown(spark: SparkSession, root: str, recursive: bool = True) -> DataFram
     return reader.text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def texts(spark: SparkSession, root: str, extensions: list[str], skip: list[str]) -> DataFrame:
-    """path, text of files with an extension; a skipped name may stand anywhere in the path; undecodable files are left out."""
+def texts(spark: SparkSession, root: str, extensions: list[str], skip: list[str], keep_bad: bool = False) -> DataFrame:
+    """path, text of files with an extension; a skipped name may stand anywhere in the path below ``root``.
+
+    Files that aren't UTF-8 are left out, or have a null text with ``keep_bad``.
+    """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     df = df.filter(F.lower("path").rlike("(" + "|".join(e.replace(".", r"\.") for e in extensions) + ")$"))
+    top = root.rstrip("/").rpartition("://")[2].removeprefix("file:")
+    below = F.substring_index("path", f"{top}/", -1) if top else F.col("path")
     for s in skip:
-        df = df.filter(~F.col("path").contains(s))
-    return df.select("path", F.expr("try_validate_utf8(cast(content as string))").alias("text")).filter("text is not null")
+        df = df.filter(~below.contains(s))
+    df = df.select("path", F.expr("try_validate_utf8(cast(content as string))").alias("text"))
+    return df if keep_bad else df.filter("text is not null")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -25,19 +25,31 @@ def insert_if_absent(old: DataFrame, new: DataFrame, key: list[str], order: list
     return old.unionByName(one.join(old.select(*key).distinct(), key, "left_anti").select(old.columns))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """New rows, and old rows whose key has none."""
+def upsert(old: DataFrame, new: DataFrame, key: list[str], order: list | None = None) -> DataFrame:
+    """New rows, and old rows whose key has none. With ``order`` the first new row of each key by it, else all."""
+    if order is not None:
+        new = new.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("__n = 1").drop("__n")
     return old.join(new.select(*key).distinct(), key, "left_anti").select(old.columns).unionByName(new)
 
 
-def update_by_key(old: DataFrame, changes: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """Columns of old replaced where changes (one row a key) has a value."""
-    new = changes.select(*key, *(F.col(c).alias(f"__{c}") for c in columns))
-    return old.join(new, key, "left").select(*(F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in old.columns))
+def update_by_key(old: DataFrame, changes: DataFrame, key: list[str], columns: list[str], order: list | None = None, blank: bool = False) -> DataFrame:
+    """Columns of old replaced by those of the change with its key: the first by ``order`` (else by the columns), so no row is repeated.
 
+    A null leaves the old value, unless ``blank``, when it replaces it too.
+    """
+    by = columns if order is None else order
+    new = changes.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*by))).filter("__n = 1").select(*key, *(F.col(c).alias(f"__{c}") for c in columns), F.lit(True).alias("__there"))
+    value = lambda c: F.when(F.col("__there"), F.col(f"__{c}")).otherwise(F.col(c)) if blank else F.coalesce(f"__{c}", c)
+    return old.join(new, key, "left").select(*(value(c).alias(c) if c in columns else F.col(c) for c in old.columns))
 
-def delete_by_key(old: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
-    return old.join(keys.select(*key).distinct(), key, "left_anti").select(old.columns)
+
+def delete_by_key(old: DataFrame, keys: DataFrame, key: list[str], unless=None) -> DataFrame:
+    """Old rows without a key among ``keys``; rows for which ``unless`` holds stay in any case."""
+    named = keys.select(*key).distinct()
+    if unless is None:
+        return old.join(named, key, "left_anti").select(old.columns)
+    stay = F.coalesce(unless, F.lit(False))
+    return old.filter(stay).unionByName(old.filter(~stay).join(named, key, "left_anti").select(old.columns))
 
 
 def run_log(spark, run_id: str, ran_at: str, kind: str, status: str, notes: str, path: str) -> None:
