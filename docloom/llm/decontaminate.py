@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bloom
 from .store import materialize
 from .words import LOWER, U, gram_hashes, inside, mix, signed, slices, spans, word_hashes
 
@@ -166,7 +167,7 @@ def _joined(bench: DataFrame, src: DataFrame, name: str) -> DataFrame:
     src = materialize(src.withColumn("__row", F.monotonically_increasing_id()), "docs")
     bench = materialize(bench.withColumn("item", F.monotonically_increasing_id()), "items")
 
-    def seeds_of(df: DataFrame, kinds: list[int], of) -> DataFrame:
+    def seeds_of(df: DataFrame, kinds: list[int], of, known=None) -> DataFrame:
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(0).to_numpy()
@@ -174,6 +175,9 @@ def _joined(bench: DataFrame, src: DataFrame, name: str) -> DataFrame:
                     w, first = words_of(data, off)
                     for k in kinds:
                         h, at = of(w, first, SEEDS[k])
+                        if known is not None:
+                            some = bloom.passes(known.value, h)
+                            h, at = h[some], at[some]
                         doc = np.searchsorted(first, at, "right") - 1
                         yield pa.RecordBatch.from_arrays([pa.array(ids[a + doc]), pa.array(np.full(len(at), k), pa.int32()), pa.array(signed(h)), pa.array((at - first[doc]).astype(np.int32))], ["id", "mask", "h", "pos"])
 
@@ -182,7 +186,8 @@ def _joined(bench: DataFrame, src: DataFrame, name: str) -> DataFrame:
     i = materialize(seeds_of(bench.select("item", "text"), list(range(len(SEEDS))), item_seeds), "seeds")
     kinds = [r.mask for r in i.select("mask").distinct().collect()]
     rows = src.select("__row", "__text").filter(F.col("__text").isNotNull())
-    d = seeds_of(rows, kinds, lambda w, first, seed: seeds(w, first, seed[0]))
+    known = src.sparkSession.sparkContext.broadcast(bloom.build(i, "h"))  # few seeds of documents go beyond their task
+    d = seeds_of(rows, kinds, lambda w, first, seed: seeds(w, first, seed[0]), known)
     pairs = d.withColumnRenamed("id", "__row").join(i.select(F.col("id").alias("item"), "mask", "h", F.col("pos").alias("item_pos")), ["mask", "h"]).select("__row", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     both = pairs.join(bench, "item").join(rows, "__row").select("__row", "item_id", "shift", "__text", "text")
 

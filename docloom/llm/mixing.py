@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import materialize
+from .store import discard, materialize
 
 BUCKET_ROWS = 1_000
 SECTIONS = 32  # exponents tried at once
@@ -96,7 +96,9 @@ def mix(docs: DataFrame, repetition_limit: float | None = 2.0, target_entropy: f
     rows = materialize(rows, "sizes")
     bare = F.col("n_tokens") == 0
     sizes = rows.groupBy("key").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"), F.count_if(bare).alias("bare"))
-    spec = materialize(plan(materialize(sizes, "sources"), repetition_limit, target_entropy, budget), "plan")
+    sizes = materialize(sizes, "sources")
+    spec = materialize(plan(sizes, repetition_limit, target_entropy, budget), "plan")
+    discard(sizes)
     total, docs_, bare_ = spec.agg(F.sum(F.col("tokens") * F.col("passes")), F.sum("docs"), F.sum("bare")).first()
     n_blocks = max(1, math.ceil((total or 0) / block_tokens), math.ceil((bare_ or 0) / block_tokens))
     buckets = max(1, math.ceil((docs_ or 0) / BUCKET_ROWS))

@@ -57,6 +57,17 @@ def discard(*tables: DataFrame) -> None:
         _delete(t._folder)
 
 
+def written() -> set[str]:
+    """Folders that were written and not deleted yet."""
+    return set(_written)
+
+
+def sweep(before: set[str], *keep: DataFrame) -> None:
+    """Delete what was written since ``before`` but for the tables to keep. Nothing else that is still to be read may depend on it."""
+    for folder in written() - before - {t._folder for t in keep}:
+        _delete(folder)
+
+
 def _delete(folder: str) -> None:
     spark = _written.pop(folder, None)
     if spark is not None:
