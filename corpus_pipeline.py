@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.llm import decontaminate, exact_dedup, mixing, ngram_join, toxicity
-from docloom.llm.store import discard, materialize
+from docloom.llm.store import materialize, sweep, written
 
 #: No SQL: the first stage is a trained model. Tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -69,10 +69,8 @@ STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("n-gram Jacca
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = before = _table(spark, sf_dir, "documents")
+    docs, before = _table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        if name != STAGES[0][0]:
-            discard(before)  # the table of documents isn't ours to delete
-        before = docs
+        sweep(before, docs)  # all but this stage's result
     return STAGES[-1][1](spark, docs, sf_dir)
