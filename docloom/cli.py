@@ -6,11 +6,12 @@ import argparse
 import json
 import os
 import sys
+from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import fixes, graph, services
+from docloom.operators import analytics, audit, fixes, graph, services
 from docloom.sources import files
 
 
@@ -19,11 +20,12 @@ def _table(spark: SparkSession, args, name: str):
 
 
 def find(spark, args) -> int:
-    """Mapped documents of standards that contain the text; at most ``--limit`` lines, then how many more."""
+    """Mapped documents of standards (or regulations) that contain the text; at most ``--limit`` lines, then how many more."""
     docs = _table(spark, args, "docs").select(F.col("path").alias("doc_path"), "title")
-    x = _table(spark, args, "mapping").filter(F.col("standard_code").contains(args.standard)).join(docs, "doc_path").select("doc_path", "standard_code", "title").distinct()
-    rows, n = x.orderBy("doc_path", "standard_code", "title").limit(args.limit).collect(), x.count()
-    print(*(f"{r.doc_path}  [{r.standard_code}]  {r.title or ''}" for r in rows), sep="\n")
+    name, code, text = ("mapping", "standard_code", args.standard) if args.standard else ("regulation_mapping", "regulation_code", args.regulation)
+    x = _table(spark, args, name).filter(F.col(code).contains(text)).join(docs, "doc_path").select("doc_path", code, "title").distinct()
+    rows, n = x.orderBy("doc_path", code, "title").limit(args.limit).collect(), x.count()
+    print(*(f"{r.doc_path}  [{r[code]}]  {r.title or ''}" for r in rows), sep="\n")
     if n > len(rows):
         print(f"... and {n - len(rows)} more")
     return 0
@@ -54,28 +56,119 @@ def check(spark, args) -> int:
 
 
 def rhythm(spark, args) -> int:
+    """What must come before a node and what comes after it, edge by edge."""
     edges, start = _table(spark, args, "edges"), spark.range(1).select(F.lit(args.uid).alias("node"))
-    edges = edges.select(F.col("from_node").cast("string").alias("from_node"), F.col("to_node").cast("string").alias("to_node"))
-    for name, walk in (("upstream", graph.upstream), ("downstream", graph.downstream)):
+    kind = F.col("edge_type") if "edge_type" in edges.columns else F.lit("")
+    edges = edges.select(F.col("from_node").cast("string").alias("from_node"), F.col("to_node").cast("string").alias("to_node"), kind.alias("edge_type"))
+    for name, up in (("upstream", True), ("downstream", False)):
         print(f"{name}:")
-        for r in walk(edges, start, args.depth).orderBy("distance", "node").toLocalIterator():
-            print(f"  {r.distance}  {r.node}")
+        for r in graph.walk(edges, start, args.depth, up).orderBy("distance", "from_node", "to_node", "edge_type").toLocalIterator():
+            print(f"  d={r.distance}  {r.from_node} --[{r.edge_type}]--> {r.to_node}")
     return 0
 
 
+def coverage(spark, args) -> int:
+    """Documents per standard, those with few (``--gaps`` below ``--least``), and the totals."""
+    m, docs = _table(spark, args, "mapping"), _table(spark, args, "docs")
+    x = analytics.below(m, args.least) if args.gaps else analytics.coverage_by_standard(m)
+    for r in x.orderBy(F.desc("n_docs"), "standard_code").toLocalIterator():
+        print(f"{r.standard_code}  {r.n_docs}")
+    t = analytics.totals(docs, m).first()
+    print(f"{t.mapped} of {t.total} documents, {t.pct:.1f}%")
+    return 0
+
+
+def audit_all(spark, args) -> int:
+    """Statistics of the tables that are there and, with ``--ci``, 1 unless all gates hold."""
+    there = lambda n: _table(spark, args, n) if _exists(spark, f"{args.tables.rstrip('/')}/{n}.parquet") else None
+    m, v, docs = there("mapping"), there("template_violations"), there("docs")
+    stats = audit.statistics(m, v)
+    for name, value in stats.first().asDict().items():
+        print(f"{name}  {value}")
+    if not args.ci or m is None or docs is None:
+        return int(args.ci)
+    bad = 0
+    for r in audit.continuous(stats, m, docs, args.standard, args.least).toLocalIterator():
+        print(f"{'OK' if r.ok else 'FAIL'}  {r.gate}  {r.value:g}")
+        bad |= not r.ok
+    return int(bad)
+
+
+def fix(spark, args) -> int:
+    """Plan fixes of a folder of Markdown, and show or write them."""
+    run_id = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    out = fixes.run(spark, args.root, args.mode, args.plan, run_id, args.only_safe, args.target, args.backup, lambda m: print(m, file=sys.stderr))
+    if args.mode == "dry-run":
+        for r in out.orderBy("path").toLocalIterator():
+            print(r["diff"])
+    elif args.mode == "analyze":
+        _summary(out)
+    else:
+        for r in out.groupBy("status").count().orderBy("status").collect():
+            print(f"{r.status}  {r['count']}")
+    return 0
+
+
+def _summary(plan) -> None:
+    for r in fixes.plan_summary(plan).orderBy("rule_id").collect():
+        print(f"{r.severity}  {r.rule_id}  {r.n} in {r.files} files{'' if r.safe else ', for review'}")
+
+
+def review(spark, args) -> int:
+    """What a saved plan holds."""
+    _summary(fixes.load_plan(spark, args.plan))
+    return 0
+
+
+def bootstrap(spark, args) -> int:
+    """Empty tables of a profile that aren't there yet, with a key column each."""
+    for name in services.PROFILES[args.profile]:
+        path = f"{args.tables.rstrip('/')}/{name}.parquet"
+        if not _exists(spark, path):
+            spark.createDataFrame([], "id string").write.parquet(path)
+            print(f"made {path}")
+    return 0
+
+
+def _exists(spark, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+COMMANDS = {f.__name__.removesuffix("_all"): f for f in (find, contract, validate, check, rhythm, coverage, audit_all, fix, review, bootstrap)}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="docloom")
     p.add_argument("--tables", default=os.environ.get("DOCLOOM_TABLES", "."), help="folder of the tables, NAME.parquet each")
     sub = p.add_subparsers(dest="command", required=True)
     f = sub.add_parser("find")
-    f.add_argument("--standard", required=True)
+    what = f.add_mutually_exclusive_group(required=True)
+    what.add_argument("--standard")
+    what.add_argument("--regulation")
     f.add_argument("--limit", type=int, default=20)
     sub.add_parser("contract").add_argument("uid")
     sub.add_parser("validate").add_argument("path")
-    sub.add_parser("check").add_argument("--profile", choices=sorted(services.PROFILES), default="legacy-runtime")
+    for name in ("check", "bootstrap"):
+        sub.add_parser(name).add_argument("--profile", choices=sorted(services.PROFILES), default="legacy-runtime")
     r = sub.add_parser("rhythm")
     r.add_argument("uid")
     r.add_argument("--depth", type=int, default=2)
+    c = sub.add_parser("coverage")
+    c.add_argument("--gaps", action="store_true")
+    c.add_argument("--least", type=int, default=1)
+    a = sub.add_parser("audit")
+    a.add_argument("--ci", action="store_true")
+    a.add_argument("--standard", default="ISO/IEC 27001")
+    a.add_argument("--least", type=float, default=audit.LEAST_COVERAGE)
+    x = sub.add_parser("fix")
+    x.add_argument("root")
+    x.add_argument("--mode", choices=fixes.MODES, default="analyze")
+    x.add_argument("--plan", required=True)
+    x.add_argument("--only-safe", action=argparse.BooleanOptionalAction, default=True)
+    x.add_argument("--target")
+    x.add_argument("--backup")
+    sub.add_parser("review").add_argument("plan")
     return p
 
 
@@ -83,7 +176,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("docloom").getOrCreate()
     try:
-        return {"find": find, "contract": contract, "validate": validate, "check": check, "rhythm": rhythm}[args.command](spark, args)
+        return COMMANDS[args.command](spark, args)
     except services.QueryError as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
