@@ -204,6 +204,11 @@ def strength(required) -> Column:
     return F.when(F.col(required) == 1, "required").otherwise("navigational")
 
 
+def profile_of(origin) -> Column:
+    """The quality profile of an origin."""
+    return F.when(origin.isin("core", "imported_template"), origin).otherwise("default")
+
+
 def hash_v2(c) -> Column:
     """SHA-256 over line feeds only."""
     return F.sha2(F.regexp_replace(_s(c), "\r\n?", "\n").cast("binary"), 256)
@@ -227,5 +232,31 @@ def json_list(c) -> Column:
     return F.filter(F.coalesce(got, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
 
 
+def json_list_error(c) -> Column:
+    """Why a text is no JSON list: ``bad JSON``, ``not a list``, or null if it is one, null or empty."""
+    x = F.col(c)
+    parsed = F.expr(f"try_parse_json(`{c}`)")
+    return F.when(x.isNull() | (F.trim(x) == ""), None).when(parsed.isNull(), "bad JSON").when(~F.expr(f"schema_of_variant(try_parse_json(`{c}`))").startswith("ARRAY"), "not a list")
+
+
+#: Forms of headings: any level, second level only, and second level with or without a space.
+HEADING_FORMS = {"all": r"(?m)^(?:#{1,6})\s+(.+)$", "second": r"(?m)^##\s+(.+)$", "loose": r"(?m)^(?:#{1,6})\s*([^#\s].*)$"}
+
+
+def headings_of(c, form: str = "all") -> Column:
+    """The texts of a document's headings; fenced code isn't left out."""
+    return F.regexp_extract_all(_s(c), F.lit(HEADING_FORMS[form]), F.lit(1))
+
+
+def nocase(c) -> Column:
+    """For ordering: A to Z as a to z, all other letters as they are."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def utc_text(c) -> Column:
+    """A timestamp as text to the second, in UTC."""
+    return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def approved_confidence(override, current) -> Column:
     return F.coalesce(override, F.greatest(F.coalesce(current, F.lit(0.0)), F.lit(0.8)))

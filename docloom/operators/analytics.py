@@ -36,9 +36,44 @@ def totals(docs: DataFrame, mapping: DataFrame) -> DataFrame:
     return d.crossJoin(m).select("total", "mapped", (F.col("total") - F.col("mapped")).alias("unmapped"), F.when(F.col("total") > 0, F.col("mapped") * 100.0 / F.col("total")).otherwise(0.0).alias("pct"))
 
 
-def standard_summary(mapping: DataFrame, code: str, sure: float = 0.7) -> DataFrame:
-    m = mapping.filter(F.col("standard_code") == code)
-    return m.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("confidence") >= sure).alias("sure"), F.count_if(F.col("confidence") < sure).alias("unsure"), F.count_if(F.col("confidence").isNull()).alias("unknown"))
+def standard_summary(mapping: DataFrame, code: str, edges: tuple[float, float] = (0.5, 0.7)) -> DataFrame:
+    """A row of one standard: its mappings, those at or above two confidences, those without one, and the first share in percent. No row if unknown."""
+    m = mapping.filter(F.col("standard_code") == code).groupBy("standard_code")
+    x = m.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("confidence") >= e).alias(n) for e, n in zip(edges, ("sure", "very_sure"), strict=True)), F.count_if(F.col("confidence").isNull()).alias("unknown"))
+    return x.withColumn("pct", F.bround(F.col("sure") * 100.0 / F.col("total"), 1))
+
+
+def mapping_statistics(mapping: DataFrame, threshold: float, audited: tuple[str, ...]) -> DataFrame:
+    """kind (total, reason, tier, pending), value, n."""
+    total = mapping.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("kind"), F.lit(None).cast("string").alias("value"), "n")
+    reasons = mapping.groupBy(F.col("match_reason").alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("reason").alias("kind"), "value", "n")
+    by_tier = tiers(mapping).select(F.lit("tier").alias("kind"), F.col("tier").alias("value"), "n")
+    wait = pending(mapping, threshold, audited).agg(F.count(F.lit(1)).alias("n")).select(F.lit("pending").alias("kind"), F.lit(None).cast("string").alias("value"), "n")
+    return total.unionByName(reasons).unionByName(by_tier).unionByName(wait)
+
+
+def not_in(df: DataFrame, column: str, other: DataFrame) -> DataFrame:
+    """Rows whose value isn't in the first column of other, as SQL's NOT IN: none at all if that has a null, and none with a null."""
+    return df.sparkSession.sql(f"SELECT * FROM {{a}} WHERE `{column}` NOT IN (SELECT `{other.columns[0]}` FROM {{b}})", a=df, b=other)
+
+
+def health_report(docs: DataFrame, mapping: DataFrame, least: int = 5, most: int = 10) -> str:
+    """The state of the library as Markdown: totals, most mapped standards, reasons, standards below ``least``, unmapped categories."""
+    t, n = totals(docs, mapping).first(), mapping.count()
+    cov = coverage_by_standard(mapping)
+    top_, few = cov.orderBy(F.desc("n_docs"), "standard_code").limit(most).collect(), below(mapping, least).orderBy("n_docs", "standard_code").limit(most).collect()
+    reasons = count_by_reason(mapping).orderBy(F.desc("n"), "match_reason").collect()
+    cats = unmapped_by_category(docs, mapping).orderBy(F.desc("n"), "category").limit(most).collect()
+    table = lambda head, rows: "\n".join([f"| {' | '.join(head)} |", "|" + "-|" * len(head), *(f"| {' | '.join(str(v) for v in r)} |" for r in rows)])
+    parts = [
+        "# Health of the library",
+        "## Summary\n\n" + table(("Metric", "Value"), [("Documents", t.total), ("Mapped", f"{t.mapped} ({t.pct:.1f}%)"), ("Unmapped", t.unmapped), ("Mappings", n), ("Standards", cov.count())]),
+        "## Standards\n\n" + table(("Standard", "Documents"), [(r.standard_code, r.n_docs) for r in top_]),
+        "## Reasons\n\n" + table(("Reason", "Mappings"), [(r.match_reason or "(none)", r.n) for r in reasons]),
+    ]
+    parts += [f"## Below {least} documents\n\n" + table(("Standard", "Documents"), [(r.standard_code, r.n_docs) for r in few])] if few else []
+    parts += ["## Unmapped categories\n\n" + table(("Category", "Documents"), [(r.category, r.n) for r in cats])] if cats else []
+    return "\n\n".join(parts) + "\n"
 
 
 def tiers(mapping: DataFrame) -> DataFrame:

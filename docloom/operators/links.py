@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import text as T
+from docloom.functions import unicode as U
 
 
 def _keys():
@@ -46,10 +47,21 @@ def resolve(links: DataFrame, sections: DataFrame, overrides: DataFrame | None =
 
 
 def both_ends(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Links of which both ends are resolved: the smaller confidence; ``mixed`` if the methods differ."""
+    """Links of which both ends are resolved: the smaller confidence; ``mixed`` if the methods differ; notes if the context decided."""
     x = a.filter("to_uid is not null").select("id", F.col("to_uid").alias("from_uid"), F.col("method").alias("m1"), F.col("confidence").alias("c1"))
     y = b.filter("to_uid is not null").select("id", "to_uid", F.col("method").alias("m2"), F.col("confidence").alias("c2"))
-    return x.join(y, "id").select("id", "from_uid", "to_uid", F.when(F.col("m1") == F.col("m2"), F.col("m1")).otherwise("mixed").alias("method"), F.least("c1", "c2").alias("confidence"))
+    both = x.join(y, "id").select("id", "from_uid", "to_uid", F.when(F.col("m1") == F.col("m2"), F.col("m1")).otherwise("mixed").alias("method"), F.least("c1", "c2").alias("confidence"))
+    return both.withColumn("notes", F.when(F.col("method") == "context_doc", "context document"))
+
+
+def label_audit(links: DataFrame, sections: DataFrame) -> DataFrame:
+    """links (id, ref): every normalised label with the first link that has it, the number of sections and whether that is unique, ambiguous or missing."""
+    label = F.regexp_extract(F.trim("ref"), LABEL, 1)
+    x = links.filter(F.trim("ref").rlike(LABEL)).select("id", label.alias("raw"), U.key_norm(label).alias("label"))
+    first = x.groupBy("label").agg(F.min(F.struct("id", "raw")).alias("f"))
+    known = sections.groupBy(U.key_norm(F.col("heading_norm")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    y = first.join(known, "label", "left").select("label", "f.raw", F.col("f.id").alias("first_id"), F.coalesce("n", F.lit(0)).alias("n"))
+    return y.withColumn("status", F.when(F.col("n") == 0, "missing").when(F.col("n") == 1, "unique").otherwise("ambiguous"))
 
 
 #: The forms of a reference. Letters of any case.

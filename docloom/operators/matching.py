@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.functions import text as T
+
 
 def _best(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
     """The first k rows of each group, with their rank. Spark keeps k rows a group in each task before it shuffles."""
@@ -30,6 +32,21 @@ def top_similar(left: DataFrame, right: DataFrame, least: float, k: int) -> Data
     return l.select("a", F.col("set").alias("x")).join(best, "x").select("a", "b", "score", "rank")
 
 
+def map_controls(docs: DataFrame, controls: DataFrame, least: float = 0.05, k: int = 5) -> DataFrame:
+    """docs (path, title or null), controls (standard_code, seq, control_id, title) -> for each document and standard the k most similar controls.
+
+    path, standard_code, control_id, confidence to four digits, rank; ties by seq. A document without a
+    title goes by its file's name. Words are marked with the standard, so only those of one meet.
+    """
+    mark = lambda code, words: F.transform(words, lambda t: F.concat(code, F.lit(" "), t))
+    codes = controls.select("standard_code").distinct()
+    name = F.coalesce(F.nullif(F.trim("title"), F.lit("")), T.title_of_path(F.col("path")))
+    left = docs.select("path", T.control_words(name).alias("w")).crossJoin(F.broadcast(codes))  # a dimension: some standards
+    left = left.select(F.struct("path", "standard_code").alias("a"), mark(F.col("standard_code"), F.col("w")).alias("tokens"))
+    right = controls.select(F.struct("seq", "control_id").alias("b"), mark(F.col("standard_code"), T.control_words("title")).alias("tokens"))
+    return top_similar(left, right, least, k).select("a.path", "a.standard_code", "b.control_id", F.bround("score", 4).alias("confidence"), "rank")
+
+
 def keyword_rules(docs: DataFrame, rules: list[tuple[str, str]], key: str, text: str) -> DataFrame:
     """Codes whose keyword occurs in a document, any case, sorted and distinct. Rules are a short list in the plan."""
     low = F.lower(text)

@@ -41,6 +41,17 @@ def headings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return x.select(key, "line_no", "end_line", "level", "heading", "anchor", "ordinal", path.alias("heading_path"))
 
 
+def short_paths(docs: DataFrame, key: str = "doc_id", title: str = "title", text: str = "text") -> DataFrame:
+    """Second- and third-level headings with their path: the first top heading (else the title), the last second-level one, the heading."""
+    top = F.trim(F.regexp_extract(text, r"(?m)^#[ \t]+([^\n]+)$", 1))
+    x = docs.select(key, F.when(top != "", top).otherwise(F.col(title)).alias("top"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    x = x.filter(F.col("line").rlike(r"^#{2,3}\s+\S")).select(key, "top", "line_no", F.length(F.regexp_extract("line", "^(#+)", 1)).alias("level"), F.trim(F.regexp_extract("line", r"^#+\s+(.*)$", 1)).alias("heading"))
+    x = x.withColumn("anchor", T.to_anchor(F.col("heading"), phases=False)).filter("anchor <> ''")
+    above = F.last(F.when(F.col("level") == 2, F.col("heading")), ignorenulls=True).over(Window.partitionBy(key).orderBy("line_no"))
+    path = F.when(F.col("level") == 2, F.concat_ws(" > ", "top", "heading")).otherwise(F.concat_ws(" > ", "top", F.coalesce("above", "top"), "heading"))
+    return x.withColumn("above", above).select(key, (F.col("line_no") + 1).alias("line_no"), "level", "heading", path.alias("heading_path"), "anchor")
+
+
 def parents(sections: DataFrame) -> DataFrame:
     """doc_uid, ordinal, level -> ordinal of the nearest section above with a lower level (null: the document) and kind."""
     x = sections.select("doc_uid", "ordinal", "level")
@@ -124,12 +135,12 @@ def blockers(edges: DataFrame, quality: DataFrame) -> DataFrame:
 def gates_missed(metrics: DataFrame, gates: DataFrame) -> DataFrame:
     """metrics (section_uid, doc_uid, checkboxes), gates (scope_kind, scope_uid, gates_json) -> section_uid, gates_missed, missing_json.
 
-    A section's own contract counts, else its document's; bad JSON has no gates. The only
-    known gate is ``min_checkboxes`` with ``min``.
+    A section's own contract counts, else its document's, of several of one scope the last version;
+    bad JSON has no gates. The only known gate is ``min_checkboxes`` with ``min``.
     """
     kind = "array<struct<gate:string,min:int>>"
-    known = gates.select("scope_kind", "scope_uid", F.coalesce(F.from_json("gates_json", kind), F.array().cast(kind)).alias("g"))
-    pick = lambda k, n: known.filter(F.col("scope_kind") == k).groupBy(F.col("scope_uid").alias(n)).agg(F.max_by("g", F.to_json("g")).alias(f"g_{k}"))
+    known = gates.select("scope_kind", "scope_uid", (F.col("version") if "version" in gates.columns else F.col("gates_json")).alias("by"), F.coalesce(F.from_json("gates_json", kind), F.array().cast(kind)).alias("g"))
+    pick = lambda k, n: known.filter(F.col("scope_kind") == k).groupBy(F.col("scope_uid").alias(n)).agg(F.max_by("g", "by").alias(f"g_{k}"))
     x = metrics.join(pick("section", "section_uid"), "section_uid", "left").join(pick("doc", "doc_uid"), "doc_uid", "left")
     x = x.withColumn("g", F.coalesce("g_section", "g_doc", F.array().cast(kind)))
     have = F.coalesce("checkboxes", F.lit(0))

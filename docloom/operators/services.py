@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hmac
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 
+from . import analytics
+
 #: The tables that a profile needs.
 PROFILES = {
     "legacy-runtime": ("docs", "sections", "standards", "compliance_regulations", "content_links", "content_links_resolved", "rhythm_edges", "contracts", "flags", "_schema_version"),
@@ -15,6 +20,10 @@ PROFILES = {
 LEAST_LIMIT, MOST_LIMIT, LIMIT = 1, 500, 50
 
 
+class SchemaError(RuntimeError):
+    """A table that is needed isn't there."""
+
+
 class QueryError(LookupError):
     """What was asked for isn't there."""
 
@@ -39,18 +48,78 @@ def require(there: set[str], profile: str) -> None:
         raise RuntimeError(f"expected profile {profile}, found {got}; missing: {lacks}")
 
 
-def doctor(spark: SparkSession, profile: str, paths: dict[str, str]) -> DataFrame:
-    """check, status, note: the tables' profile and whether each path can be listed."""
+def has_tables(there: set[str], names: set[str]) -> bool:
+    return names <= there
+
+
+def validate(spark: SparkSession, profile: str = "legacy-runtime", on_error: Callable[[str], None] | None = None) -> list[str]:
+    """What is wrong with a profile's tables: another profile, or else every empty one (told by its first row)."""
     got, lacks = detect(tables(spark))
-    rows = [("profile", "OK" if got == profile else "FAIL", got if got == profile else "missing: " + ", ".join(lacks))]
+    errors = [f"expected profile {profile}, found {got}; missing: {lacks}"] if got != profile else [f"empty table: {t}" for t in sorted(PROFILES[profile]) if spark.table(t).isEmpty()]
+    for e in errors if on_error else ():
+        on_error(e)
+    return errors
+
+
+def link_resolution(spark: SparkSession) -> DataFrame:
+    """Links, resolved ones and their ratio from the tables of that name; without the tables an error."""
+    lacks = sorted({"content_links", "content_links_resolved"} - tables(spark))
+    if lacks:
+        raise SchemaError(f"no tables {', '.join(lacks)}")
+    links = spark.table("content_links").select("id")
+    return analytics.resolution(links, spark.table("content_links_resolved").select(F.col("content_link_id").alias("id")))
+
+
+def coverage(mapping: DataFrame, code: str) -> DataFrame:
+    """The summary of a standard; an unknown one is an error."""
+    x = analytics.standard_summary(mapping, code)
+    if x.isEmpty():
+        raise QueryError(f"no standard {code}")
+    return x
+
+
+def violations(found: DataFrame | None, spark: SparkSession, severity: str | None = None) -> DataFrame:
+    """Violations by severity and path; none if there is no such table."""
+    if found is None:
+        return spark.createDataFrame([], "path string, violation_type string, severity string")
+    x = found if severity is None else found.filter(F.col("severity") == severity.upper())
+    return x.orderBy("severity", "path", "violation_type")
+
+
+def health(spark: SparkSession) -> dict[str, object]:
+    """Whether the session answers, and how many tables there are."""
+    return {"status": "ok" if spark.range(1).count() == 1 else "failed", "tables": len(tables(spark))}
+
+
+def allowed(token: str | None, secret: str | None) -> None:
+    """Reviews need the token; without a secret none are taken."""
+    if not secret or not hmac.compare_digest((token or "").encode(), secret.encode()):
+        raise PermissionError("token missing or wrong")
+
+
+def doctor(spark: SparkSession, profiles: dict[str, str | None], paths: dict[str, str], policy: dict | None = None) -> DataFrame:
+    """check, status, note: the profile of each database, whether each path is there, and that the policy's scripts are.
+
+    ``profiles``: profile by check's name and database (null: the current one); ``policy`` is the
+    parsed policy, whose ``commands`` are lists of words.
+    """
+    rows = []
+    for database, profile in profiles.items():
+        got, lacks = detect(tables(spark, None if database == "current" else database))
+        rows.append((database, "OK" if got == profile else "FAIL", got if got == profile else "missing: " + ", ".join(missing(tables(spark, None if database == "current" else database), profile) or lacks)))
+    scripts = {f"policy: {w}": w for words in (policy or {}).get("commands", {}).values() for w in words if w.endswith(".py")}
     jvm = spark.sparkContext._jvm
-    for name, path in sorted(paths.items()):
+    for name, path in sorted({**paths, **scripts}.items()):
         p = jvm.org.apache.hadoop.fs.Path(path)
         there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
         rows.append((name, "OK" if there else "FAIL", path if there else f"missing: {path}"))
     return spark.createDataFrame(rows, "check string, status string, note string")
 
 
+def exit_code(checks: DataFrame, strict: bool) -> int:
+    return int(strict and not checks.filter("status = 'FAIL'").isEmpty())
+
+
 def contract(contracts: DataFrame, uid: str) -> DataFrame:
     """scope_uid, version and the lists of a contract; an unknown one is an error."""
     own = contracts.filter(F.col("scope_uid") == uid)

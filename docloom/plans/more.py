@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docloom.functions import text as T
 from docloom.functions import unicode as U
-from docloom.operators import audit, fixes, graph, guidance, links, quality, sections, sync, templates
+from docloom.operators import analytics, audit, fixes, graph, guidance, links, matching, quality, sections, services, sync, templates
 
 from . import bindings as B
 from .bindings import with_views as V
@@ -30,7 +31,7 @@ def _sides(f, x):
 
 
 query("j10_j11_references", _with("refs usections", _RESOLVED, "SELECT * FROM out"))(lambda s, d: _sides(lambda r: links.resolve_refs(r, B.usections(s, d)), B.refs(s, d)))
-query("j13_both_ends_of_references", _with("refs usections", _RESOLVED, "SELECT a.id, a.to_uid AS from_uid, b.to_uid, CASE WHEN a.method = b.method THEN a.method ELSE 'mixed' END AS method, least(a.confidence, b.confidence) AS confidence FROM out a JOIN out b ON a.id = b.id AND a.side = 'from' AND b.side = 'to' WHERE a.to_uid IS NOT NULL AND b.to_uid IS NOT NULL"))(
+query("j13_both_ends_of_references", _with("refs usections", _RESOLVED, "SELECT a.id, a.to_uid AS from_uid, b.to_uid, CASE WHEN a.method = b.method THEN a.method ELSE 'mixed' END AS method, least(a.confidence, b.confidence) AS confidence, CASE WHEN a.method = 'context_doc' AND b.method = 'context_doc' THEN 'context document' END AS notes FROM out a JOIN out b ON a.id = b.id AND a.side = 'from' AND b.side = 'to' WHERE a.to_uid IS NOT NULL AND b.to_uid IS NOT NULL"))(
     lambda s, d: links.both_ends(*(links.resolve_refs(B.refs(s, d).select("id", F.col(c).alias("ref"), "context_doc_uid"), B.usections(s, d)) for c in ("from_ref", "to_ref")))
 )
 query("j14_titled_references", _with("refs udocs usections", _ENDS, "SELECT e.id, e.side, s.section_uid AS to_uid, CASE WHEN u IS NULL THEN 'missing_doc' WHEN s.section_uid IS NULL THEN 'missing_section' ELSE 'context_doc' END AS method, CASE WHEN s.section_uid IS NULL THEN 0.0::DOUBLE ELSE 0.85::DOUBLE END AS confidence FROM (SELECT id, side, lower(trim(regexp_extract(ref, '^document::(.+?)::section::', 1))) AS t, replace(lower(trim(regexp_extract(ref, '::section::(.+)$', 1))), ' ', '-') AS a FROM ends WHERE ref ILIKE 'document::%::section::%') e LEFT JOIN (SELECT lower(title) AS t, min(doc_uid) AS u FROM udocs GROUP BY 1) USING (t) LEFT JOIN (SELECT doc_uid, anchor, max(section_uid) AS section_uid FROM usections GROUP BY 1, 2) s ON s.doc_uid = u AND anchor = a"))(
@@ -190,3 +191,35 @@ query("x46_mapping_confidence", "WITH m AS (SELECT DISTINCT l_partkey AS k, l_su
     )
 )
 over("r11_fill_from_donors", "markdown", lambda m: guidance.fill_from_donors(m.select(F.concat(F.lit("f/"), "doc_id").alias("path"), F.concat(F.lit("aligned_rev: 1\n"), F.when(F.col("doc_id") % 7 == 0, F.replace("text", F.lit("Text.\n- [ ] a"), F.lit("[Termin 1]"))).otherwise(F.col("text"))).alias("text")), templates.PLAIN, 60, 2).select(F.regexp_extract("path", r"(\d+)$", 1).cast("long").alias("doc_id"), F.regexp_extract("text", r"aligned_rev: (\d+)", 1).alias("rev"), F.col("text").contains("Text.").alias("filled")))
+
+# Smaller ones ----------------------------------------------------------------------------------
+over("a23_mapping_statistics", "mapping", lambda m: analytics.mapping_statistics(m, 0.3, ("N",)), "SELECT 'total' AS kind, NULL AS value, count(*) AS n FROM mapping UNION ALL SELECT 'reason', match_reason, count(*) FROM mapping GROUP BY 2 UNION ALL SELECT 'tier', CASE WHEN confidence IS NULL THEN 'none' WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END, count(*) FROM mapping GROUP BY 2 UNION ALL SELECT 'pending', NULL, count(*) FROM mapping WHERE confidence < 0.3 AND match_reason NOT IN ('N')")
+over("j5_not_in", "docs mapping", lambda x, m: analytics.not_in(x, "path", m.filter("confidence > 0.8").select("doc_path")), "SELECT * FROM docs WHERE path NOT IN (SELECT doc_path FROM mapping WHERE confidence > 0.8)")
+over("j33_label_audit_keys", "refs usections", lambda x, sc: links.label_audit(x.select("id", F.col("to_ref").alias("ref")), sc).drop("raw"), r"SELECT label, first_id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS status FROM (SELECT trim(regexp_replace(regexp_replace(lower(trim(substr(to_ref, 10))), '^meta\s*[:\-–—]\s*', ''), '^(\d+[.)]\s+)+', '')) AS label, min(id) AS first_id FROM refs WHERE to_ref ILIKE 'section::%' GROUP BY 1) LEFT JOIN (SELECT heading_norm AS label, count(*) AS n FROM usections GROUP BY 1) USING (label)")
+query("j21_map_controls", "WITH d AS (SELECT 'a/' || replace(p_name, ' ', '_') || '.md' AS path, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda t: length(t) > 2)) AS x FROM part GROUP BY ALL), c AS (SELECT CASE WHEN p_size % 2 = 0 THEN 'E' ELSE 'O' END AS standard_code, p_partkey AS seq, p_partkey::VARCHAR AS control_id, list_distinct(list_filter(string_split(lower(p_name || ' ' || p_type), ' '), lambda t: length(t) > 2)) AS y FROM part WHERE p_size < 10), s AS (SELECT path, standard_code, control_id, seq, len(list_intersect(x, y))::DOUBLE / len(list_distinct(x || y)) AS s FROM d, c) SELECT path, standard_code, control_id, round_even(s, 4) AS confidence, row_number() OVER (PARTITION BY path, standard_code ORDER BY s DESC, seq)::INT AS rank FROM s WHERE s >= 0.3 QUALIFY rank <= 5")(
+    lambda s, d: matching.map_controls(B.read(s, d, "part").select(F.concat(F.lit("a/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".md")).alias("path"), F.lit(None).cast("string").alias("title")).distinct(), B.read(s, d, "part").filter("p_size < 10").select(F.when(F.col("p_size") % 2 == 0, "E").otherwise("O").alias("standard_code"), F.col("p_partkey").alias("seq"), F.col("p_partkey").cast("string").alias("control_id"), F.concat_ws(" ", "p_name", "p_type").alias("title")), 0.3)
+)
+query("w4_short_paths", V("markdown", r"SELECT doc_id, i::INT AS line_no, level, heading, CASE WHEN level = 2 THEN p_name || ' > ' || heading ELSE p_name || ' > ' || above || ' > ' || heading END AS heading_path, regexp_replace(replace(regexp_replace(lower(heading), '[^a-z0-9 -]', '', 'g'), ' ', '-'), '-+', '-', 'g') AS anchor FROM (SELECT *, last_value(CASE WHEN level = 2 THEN heading END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS above FROM (SELECT doc_id, p_name, i, length(regexp_extract(l[i], '^(#+)', 1))::INT AS level, trim(regexp_extract(l[i], '^#+ (.*)$', 1)) AS heading FROM (SELECT doc_id, p_name, string_split(text, chr(10)) AS l FROM markdown JOIN part ON p_partkey = doc_id), unnest(range(1, len(l) + 1)) AS u(i) WHERE regexp_matches(l[i], '^#{2,3} ')))"))(lambda s, d: quality.short_paths(B.markdown(s, d).withColumn("title", F.lit("none"))))
+over("x40_json_errors", "guidance", lambda g: g.select("id", F.when(F.col("id") % 5 == 0, '{"a":1}').otherwise(F.col("refs")).alias("refs")).select("id", T.json_list_error("refs").alias("error")), "SELECT id, CASE WHEN id % 5 = 0 THEN 'not a list' WHEN refs IS NOT NULL AND NOT json_valid(refs) THEN 'bad JSON' END AS error FROM guidance")
+over("x36_heading_forms", "markdown", lambda m: m.select("doc_id", F.size(T.headings_of("text")).alias("n_all"), F.size(T.headings_of("text", "second")).alias("n_second"), F.size(T.headings_of(F.concat("text", F.lit("##Tight\n#\n")), "loose")).alias("n_loose")), "SELECT doc_id, len(regexp_extract_all(text, '(?m)^#+ '))::INT AS n_all, len(regexp_extract_all(text, '(?m)^## '))::INT AS n_second, (len(regexp_extract_all(text, '(?m)^#+ ')) + 1)::INT AS n_loose FROM markdown")
+query("o4_nocase_order", "SELECT n_name, row_number() OVER (ORDER BY translate(n, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), n)::INT AS i FROM (SELECT n_name, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE n_name END || 'Ż' AS n FROM nation)")(
+    lambda s, d: B.read(s, d, "nation").select("n_name", F.concat(F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).otherwise(F.col("n_name")), F.lit("Ż")).alias("n")).select("n_name", F.row_number().over(Window.orderBy(T.nocase(F.col("n")), "n")).alias("i"))
+)
+_BODY = "'Text.' || chr(10) || '- [ ] a' || chr(10)"
+for _op, _args, _new in (
+    ("replace", ("new",), "'new' || chr(10)"), ("replace_part", ("b", "a"), "'Text.' || chr(10) || '- [ ] b' || chr(10)"), ("prepend", ("first",), "'first' || chr(10) || " + _BODY), ("delete", (), None), ("rename", ("Goal",), None), ("deduplicate", (), "'Text.' || chr(10) || '- [ ] a' || chr(10)"),
+):
+    _h = "'## Cel dokumentu' || chr(10) || "
+    _to = {"delete": "''", "rename": "'## Goal' || chr(10) || " + _BODY}.get(_op) or _h + _new
+    query(f"r12_patch_{_op}", V("markdown", f"SELECT doc_id, sha256(replace(text, {_h}{_BODY}, {_to})) AS h FROM markdown"))(
+        lambda s, d, op=_op, a=_args: B.markdown(s, d).select("doc_id", F.sha2(sections.patch("text", "Cel dokumentu", op.partition("_")[0], *a).cast("binary"), 256).alias("h"))
+    )
+query("r25_gates", "SELECT 'duplicates' AS gate, count(*)::DOUBLE AS value, CASE WHEN count(*) > 200 THEN 'FAIL' WHEN count(*) > 10 THEN 'WARN' ELSE 'OK' END AS status FROM (SELECT text FROM documents GROUP BY 1 HAVING count(*) > 1)")(
+    lambda s, d: services.gates(analytics.duplicates(B.read(s, d, "documents"), "text", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("duplicates").alias("gate"), "value"), 10, 200)
+)
+query("r27_repair_columns", "SELECT c_custkey, c_name || ' żółć' AS a, c_name AS b, CASE WHEN c_custkey % 2 = 0 THEN 'ł' END AS c, TRUE AS changed FROM customer")(
+    lambda s, d: U.repair(B.read(s, d, "customer").select("c_custkey", F.concat("c_name", F.lit(" żółć".encode().decode("cp1252"))).alias("a"), F.col("c_name").alias("b"), F.when(F.col("c_custkey") % 2 == 0, "ł".encode().decode("cp1252")).alias("c")), ["a", "b", "c"])
+)
+query("f17_safe_changes", _with("markdown", _FOUND, "SELECT f[5] = 'y' AS safe, count(*) AS n FROM f GROUP BY 1"))(lambda s, d: fixes.findings(B.markdown(s, d)).groupBy("safe").agg(F.count(F.lit(1)).alias("n")))
+over("x18_x19_small", "links", lambda x: x.select("id", T.strength("required").alias("strength"), T.profile_of(F.when(F.col("id") % 3 == 0, "core").when(F.col("id") % 3 == 1, "imported_template").otherwise("odd")).alias("profile")), "SELECT id, CASE required WHEN 1 THEN 'required' ELSE 'navigational' END AS strength, CASE id % 3 WHEN 0 THEN 'core' WHEN 1 THEN 'imported_template' ELSE 'default' END AS profile FROM links")
+query("x48_utc_text", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")(lambda s, d: B.read(s, d, "events").select("event_id", T.utc_text(F.col("ts").cast("timestamp")).alias("at")))

@@ -38,7 +38,7 @@ over("a1_coverage_by_standard", "mapping", A.coverage_by_standard, "SELECT stand
 over("a2_count_by_reason", "mapping", A.count_by_reason, "SELECT match_reason, count(*) AS n FROM mapping GROUP BY 1")
 over("a3_below_threshold", "mapping", lambda m: A.below(m, 500), "SELECT standard_code, count(DISTINCT doc_path) AS n_docs FROM mapping GROUP BY 1 HAVING count(DISTINCT doc_path) < 500")
 over("a4_totals", "docs mapping", A.totals, f"SELECT total, mapped, total - mapped AS unmapped, CASE WHEN total > 0 THEN mapped * 100.0::DOUBLE / total ELSE 0.0::DOUBLE END AS pct FROM (SELECT count(*) AS total FROM docs WHERE {LIVE}), (SELECT count(DISTINCT doc_path) AS mapped FROM mapping)")
-over("a5_standard_summary", "mapping", lambda m: A.standard_summary(m, "STD-3"), "SELECT count(*) AS total, count(*) FILTER (confidence >= 0.7) AS sure, count(*) FILTER (confidence < 0.7) AS unsure, count(*) FILTER (confidence IS NULL) AS unknown FROM mapping WHERE standard_code = 'STD-3'")
+over("a5_standard_summary", "mapping", lambda m: A.standard_summary(m, "STD-3"), "SELECT standard_code, count(*) AS total, count(*) FILTER (confidence >= 0.5) AS sure, count(*) FILTER (confidence >= 0.7) AS very_sure, count(*) FILTER (confidence IS NULL) AS unknown, round_even(100.0::DOUBLE * count(*) FILTER (confidence >= 0.5) / count(*), 1) AS pct FROM mapping WHERE standard_code = 'STD-3' GROUP BY 1")
 over("a6_histograms", "sections docs", lambda s, d: A.histogram(s, "status", "section").unionByName(A.histogram(d, "origin", "doc")), "SELECT 'section' AS kind, status, count(*) AS n FROM sections GROUP BY 2 UNION ALL SELECT 'doc', origin, count(*) FROM docs GROUP BY 2")
 over("a7_filtered_count", "links", lambda x: x.filter("required = 1 and trim(coalesce(rationale, '')) = ''").groupBy("context_doc_uid").agg(F.count(F.lit(1)).alias("n")), "SELECT context_doc_uid, count(*) AS n FROM links WHERE required = 1 AND trim(coalesce(rationale, '')) = '' GROUP BY 1")
 _IDX = "idx AS (SELECT DISTINCT unnest([heading_norm, replace(heading_norm, ' ', '-'), lower(anchor)]) AS key, doc_uid, section_uid FROM sections), own AS (SELECT doc_uid, key, count(*) AS n, min(section_uid) AS uid FROM idx GROUP BY 1, 2), alls AS (SELECT key, count(*) AS n, min(section_uid) AS uid FROM idx GROUP BY 1), res AS (SELECT id, CASE WHEN own.n = 1 THEN 'context_doc' WHEN own.n > 1 THEN 'ambiguous' WHEN alls.n = 1 THEN 'global_unique' WHEN alls.n > 1 THEN 'ambiguous' ELSE 'missing' END AS method, own.uid AS u1, alls.uid AS u2 FROM links LEFT JOIN own ON own.doc_uid = context_doc_uid AND own.key = replace(to_ref, ' ', '-') LEFT JOIN alls ON alls.key = replace(to_ref, ' ', '-')), out AS (SELECT id, CASE method WHEN 'context_doc' THEN u1 WHEN 'global_unique' THEN u2 END AS to_uid, method, CASE method WHEN 'context_doc' THEN 0.95::DOUBLE WHEN 'global_unique' THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM res)"

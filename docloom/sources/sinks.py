@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,6 +57,25 @@ def run_log(spark, run_id: str, ran_at: str, kind: str, status: str, notes: str,
     spark.createDataFrame([(run_id, ran_at, kind, status, notes)], "sync_id string, ran_at_utc string, kind string, status string, notes string").write.mode("append").parquet(path)
 
 
+@contextmanager
+def logged(spark, run_id: str, ran_at: str, kind: str, path: str):
+    """A stage with its row in the run log: OK, WARN if the stage says that it skipped something, FAIL if it raises."""
+    skipped: list[str] = []
+    try:
+        yield skipped.append
+    except Exception as e:
+        run_log(spark, run_id, ran_at, kind, "FAIL", str(e)[:1000], path)
+        raise
+    run_log(spark, run_id, ran_at, kind, "WARN" if skipped else "OK", "; ".join(skipped), path)
+
+
+def json_report(df: DataFrame, path: str, most: int = 10_000) -> None:
+    """A small table as JSON lines in one file; more than ``most`` rows are an error."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows")
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
 def json_column(df: DataFrame, name: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias(name))
 

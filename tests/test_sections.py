@@ -69,8 +69,10 @@ def test_contract_and_doctor(spark, tmp_path):
     assert tuple(services.contract(c, "u").first()) == ("u", 1, ["a"], [])
     with pytest.raises(services.QueryError):
         services.contract(c, "v")
-    got = {r.check: r.status for r in services.doctor(spark, "legacy-runtime", {"there": str(tmp_path), "gone": str(tmp_path / "x")}).collect()}
-    assert got == {"profile": "FAIL", "there": "OK", "gone": "FAIL"}
+    policy = {"commands": {"build": ["python3", str(tmp_path / "build.py"), "--db"]}}
+    found = services.doctor(spark, {"current": "legacy-runtime"}, {"there": str(tmp_path), "gone": str(tmp_path / "x")}, policy)
+    assert {r.check: r.status for r in found.collect()} == {"current": "FAIL", "there": "OK", "gone": "FAIL", f"policy: {tmp_path / 'build.py'}": "FAIL"}
+    assert services.exit_code(found, True) == 1 and services.exit_code(found, False) == 0 == services.exit_code(found.filter("check = 'there'"), True)
 
 
 def test_phase_bullets(spark):
