@@ -81,19 +81,33 @@ def coverage(spark, args) -> int:
 def audit_all(spark, args) -> int:
     """Statistics of the tables that are there and, with ``--ci``, 1 unless all gates hold."""
     there = lambda n: _table(spark, args, n) if _exists(spark, f"{args.tables.rstrip('/')}/{n}.parquet") else None
-    m, v, docs = there("mapping"), there("template_violations"), there("docs")
+    m, v, standards = there("mapping"), there("template_violations"), there("standards")
     stats = audit.statistics(m, v)
     for name, value in stats.first().asDict().items():
         print(f"{name}  {value}")
-    if not args.ci or m is None or docs is None:
+    if not args.ci or m is None or standards is None:
         return int(args.ci)
     bad = 0
-    for r in audit.continuous(stats, m, docs, args.standard, args.least).toLocalIterator():
+    for r in audit.continuous(stats, m, standards, args.standard, args.least).toLocalIterator():
         print(f"{'OK' if r.ok else 'FAIL'}  {r.gate}  {r.value:g}")
         bad |= not r.ok
     return int(bad)
 
 
+def backfill(spark, args) -> int:
+    """Confidences for mappings without one, written to ``--target``; without it only their number is shown."""
+    x = audit.backfill(_table(spark, args, "mapping"), _table(spark, args, "standards"), _table(spark, args, "guided"))
+    if args.target:
+        x.drop("filled").write.mode("overwrite").parquet(args.target)
+    print(f"{x.filter('filled').count()} rows")
+    return 0
+
+
+def report(spark, args) -> int:
+    print(analytics.health_report(_table(spark, args, "docs"), _table(spark, args, "mapping")), end="")
+    return 0
+
+
 def fix(spark, args) -> int:
     """Plan fixes of a folder of Markdown, and show or write them."""
     run_id = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -135,7 +149,7 @@ def _exists(spark, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-COMMANDS = {f.__name__.removesuffix("_all"): f for f in (find, contract, validate, check, rhythm, coverage, audit_all, fix, review, bootstrap)}
+COMMANDS = {f.__name__.removesuffix("_all"): f for f in (find, contract, validate, check, rhythm, coverage, audit_all, backfill, report, fix, review, bootstrap)}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -159,8 +173,10 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--least", type=int, default=1)
     a = sub.add_parser("audit")
     a.add_argument("--ci", action="store_true")
-    a.add_argument("--standard", default="ISO/IEC 27001")
+    a.add_argument("--standard", default="%27001%")
     a.add_argument("--least", type=float, default=audit.LEAST_COVERAGE)
+    sub.add_parser("backfill").add_argument("--target")
+    sub.add_parser("report")
     x = sub.add_parser("fix")
     x.add_argument("root")
     x.add_argument("--mode", choices=fixes.MODES, default="analyze")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import analytics, guidance
+
 #: Coverage in percent that a continuous check asks for, and what a review may set.
 LEAST_COVERAGE = 5.0
 CONFIDENCES = ("exact", "high", "medium", "low")
@@ -96,15 +98,22 @@ def report(summary: DataFrame, gaps: DataFrame, extra: DataFrame, most: int = 50
     return "\n\n".join(f"{head}\n\n" + "\n".join(lines) for head, lines in parts) + "\n"
 
 
-def continuous(stats: DataFrame, mapping: DataFrame, docs: DataFrame, code: str, least: float = LEAST_COVERAGE) -> DataFrame:
-    """gate, value, ok: no violations of severity ERROR, and a share of documents on disk that a standard covers, in percent."""
-    live = docs.filter("path is not null and path <> '' and path <> 'ORPHAN'").agg(F.count(F.lit(1)).alias("n"))
-    has = mapping.filter(F.col("standard_code") == code).agg(F.countDistinct("doc_path").alias("m"))
-    share = live.crossJoin(has).select(F.lit(f"coverage {code}").alias("gate"), F.when(F.col("n") > 0, F.col("m") * 100.0 / F.col("n")).otherwise(0.0).alias("value"))
+def continuous(stats: DataFrame, mapping: DataFrame, standards: DataFrame, like: str = "%27001%", least: float = LEAST_COVERAGE) -> DataFrame:
+    """gate, value, ok: no violations of severity ERROR, and the coverage of a family of standards by mappings of 0.5 or more, in percent."""
+    share = analytics.family_coverage(mapping, standards, like, 0.5).select(F.lit(f"coverage {like}").alias("gate"), F.col("pct").cast("double").alias("value"))
     errors = stats.select(F.lit("error violations").alias("gate"), F.col("error_violations").cast("double").alias("value"))
     return errors.withColumn("ok", F.col("value") == 0).unionByName(share.withColumn("ok", F.col("value") >= least))
 
 
+def backfill(mapping: DataFrame, standards: DataFrame, guided: DataFrame) -> DataFrame:
+    """The mappings with confidence and evidence where there was no confidence; ``filled`` tells which."""
+    key = ["doc_path", "standard_code"]
+    todo = mapping.filter("confidence is null").select(*key).distinct()
+    new = guidance.mapping_confidence(todo, standards, guided).select(*key, F.col("confidence").alias("__new"), F.col("evidence").alias("__why"))
+    x = mapping.join(new, key, "left").withColumn("filled", F.col("confidence").isNull() & F.col("__new").isNotNull())
+    return x.withColumns({"evidence": F.when(F.col("filled"), F.col("__why")), "confidence": F.coalesce("confidence", "__new")}).drop("__new", "__why")
+
+
 def flow_summary(**tables: tuple[DataFrame, str]) -> DataFrame:
     """Rows per value of one column of each table: table, value, n."""
     out = None

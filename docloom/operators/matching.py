@@ -52,12 +52,3 @@ def keyword_rules(docs: DataFrame, rules: list[tuple[str, str]], key: str, text:
     low = F.lower(text)
     codes = F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(low.contains(k.lower()), F.lit(c)) for k, c in rules)))))
     return docs.select(key, F.array_join(codes, ",").alias("codes")).filter("codes <> ''")
-
-
-def first_rule(text, rules: list[tuple[str, str]], default: str):
-    """The value of the first rule whose keyword occurs."""
-    out = None
-    for k, v in rules:
-        cond = F.lower(text).contains(k)
-        out = F.when(cond, v) if out is None else out.when(cond, v)
-    return out.otherwise(default)

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from docloom.functions import text as T
 from docloom.functions import unicode as U
-from docloom.operators import analytics, audit, fixes, graph, guidance, links, matching, quality, sections, services, sync, templates
+from docloom.operators import analytics, audit, dimensions, fixes, graph, guidance, links, matching, quality, sections, services, sync, templates
 
 from . import bindings as B
 from .bindings import with_views as V
@@ -157,7 +157,7 @@ def _gaps(s, d):
 
 query("a24_gap_summary", "SELECT standard_code, coalesce(e, 0) AS entries, p AS present, mr AS missing_required, mo AS missing_recommended, lo AS low_confidence, CASE WHEN e > 0 THEN round(p * 100.0::DOUBLE / e, 1) ELSE 0.0::DOUBLE END AS coverage, CASE WHEN mr + mo = 0 THEN 'OK' ELSE 'GAPS' END AS status FROM (SELECT p_brand AS standard_code, count(*) FILTER (p_partkey % 3 <> 0) AS p, count(*) FILTER (p_partkey % 3 = 0 AND p_partkey % 2 = 1) AS mr, count(*) FILTER (p_partkey % 6 = 0) AS mo, count(*) FILTER (p_partkey % 3 <> 0 AND p_partkey % 5 = 0) AS lo FROM part GROUP BY 1) LEFT JOIN (SELECT p_brand AS standard_code, count(*) AS e FROM part WHERE p_size < 40 GROUP BY 1) USING (standard_code)")(lambda s, d: audit.gap_summary(*_gaps(s, d)))
 over("a24_unmapped", "docs mapping", lambda x, m: audit.unmapped(x, m.filter("confidence > 0.9")), "SELECT path, title FROM docs WHERE path IS NOT NULL AND path <> 'ORPHAN' AND path NOT IN (SELECT doc_path FROM mapping WHERE confidence > 0.9)")
-over("e7_continuous", "mapping docs markdown", lambda m, x, t: audit.continuous(audit.statistics(m, fixes.violations(t)), m, x, "STD-3"), "SELECT 'error violations' AS gate, sum((NOT starts_with(text, '---'))::INT + " + " + ".join(f"({c})::INT" for c in _LACK.values()) + ")::DOUBLE AS value, FALSE AS ok FROM markdown UNION ALL SELECT 'coverage STD-3', 100.0::DOUBLE * m / n, 100.0::DOUBLE * m / n >= 5 FROM (SELECT count(DISTINCT doc_path) AS m FROM mapping WHERE standard_code = 'STD-3'), (SELECT count(*) AS n FROM docs WHERE path IS NOT NULL AND path <> 'ORPHAN')")
+over("e7_continuous", "mapping standards markdown", lambda m, st, t: audit.continuous(audit.statistics(m, fixes.violations(t)), m, st, "%std-1%"), "SELECT 'error violations' AS gate, sum((NOT starts_with(text, '---'))::INT + " + " + ".join(f"({c})::INT" for c in _LACK.values()) + ")::DOUBLE AS value, FALSE AS ok FROM markdown UNION ALL SELECT 'coverage %std-1%', 100.0::DOUBLE * m / n, 100.0::DOUBLE * m / n >= 5 FROM (SELECT count(*) AS m FROM (SELECT DISTINCT doc_path, standard_code FROM mapping WHERE confidence >= 0.5 AND standard_code IN (SELECT standard_code FROM standards WHERE standard_code ILIKE '%std-1%'))), (SELECT count(*) AS n FROM standards WHERE standard_code ILIKE '%std-1%')")
 over("r22_flow_summary", "sections docs", lambda sc, x: audit.flow_summary(sections=(sc, "status"), docs=(x, "origin")), "SELECT 'sections' AS \"table\", status AS value, count(*) AS n FROM sections GROUP BY 2 UNION ALL SELECT 'docs', origin, count(*) FROM docs GROUP BY 2")
 
 # Guidance --------------------------------------------------------------------------------------
@@ -178,6 +178,9 @@ query("j26_branches", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 AND n_name
     lambda s, d: guidance.branches(B.read(s, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 == 1, "By title").when(F.col("c_custkey") % 4 == 2, "By Slüg").otherwise("none").alias("title"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_nationkey")).alias("branch_id")), s.createDataFrame([("By title", 3)], "title string, branch_id int"), s.createDataFrame([("by_slug", 4)], "slug string, branch_id int"), B.read(s, d, "nation").select(F.col("n_nationkey").alias("branch_id"), F.col("n_name").alias("isic_code"))).drop("title")
 )
 query("j27_branch_names", "SELECT c_custkey::VARCHAR AS code, coalesce(n_name, 'a tag') AS name FROM customer LEFT JOIN nation ON n_nationkey = c_custkey")(lambda s, d: guidance.branch_names(B.read(s, d, "customer").select(F.col("c_custkey").cast("string").alias("code"), F.lit(" a  tag ").alias("tag")), B.read(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name"))))
+query("s12_dimensions", "SELECT 'types' AS name, 20 AS n UNION ALL SELECT 'industries', 58 UNION ALL SELECT 'section standards', 25 UNION ALL SELECT 'section regulations', 5")(
+    lambda s, d: s.createDataFrame([(n, x.select(k).distinct().count()) for n, x, k in (("types", dimensions.document_types(s), "type_code"), ("industries", dimensions.industries(s), "code"), ("section standards", dimensions.section_codes(s), "section_norm"), ("section regulations", dimensions.section_codes(s, True), "section_norm"))], "name string, n int")
+)
 query("s13_controls", "SELECT 'ISO/IEC 27001' AS standard_code, count(*) AS n, 4 AS groups FROM range(93) UNION ALL SELECT 'NIST CSF 2.0', 22, 6")(lambda s, d: guidance.controls(s).groupBy("standard_code").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("theme").cast("int").alias("groups")))
 query("x49_guidance_texts", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Metrics (KPI) of ' || lower(p_name) || ', their source and rhythm.' ELSE 'Purpose, scope and owner of: ' || p_name || '.' END AS text, CASE WHEN p_partkey % 3 = 0 THEN 'Fill an AI canvas and plan a pilot.' END AS archetype FROM part")(
     lambda s, d: B.read(s, d, "part").select("p_partkey", guidance.pattern_guidance(F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " Tracking").otherwise(""))).alias("text"), guidance.archetype(F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " Blockchain").otherwise(""))).alias("archetype"))

@@ -60,3 +60,13 @@ def git_log(lines: DataFrame) -> DataFrame:
     return lines.withColumn("head", head).filter(F.col("line").rlike(r"^[AMDR]\d*\t")).select(
         c[1].alias("hash"), c[2].alias("date"), c[3].alias("subject"), c[4].alias("author"), F.substring("line", 1, 1).alias("status"), F.element_at(p, -1).alias("path"), F.when(F.size(p) > 2, p[1]).alias("old_path")
     )
+
+
+def policy(spark: SparkSession, path: str) -> dict:
+    """A policy in YAML as a dict, read on the driver (it is a page of settings). YAML is optional: without it an error says so."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("reading a policy needs PyYAML") from e
+    text = "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
+    return yaml.safe_load(text) or {}

@@ -187,7 +187,10 @@ def test_audit(spark):
     docs = spark.createDataFrame([("a", "A"), ("z", "Extra"), ("ORPHAN", "O")], "path string, title string")
     text = audit.report(summary, gaps, audit.unmapped(docs, m))
     assert "50.0% (1 of 2)" in text and "REQUIRED: I: Q" in text and "recommended: G: R" in text and "- Extra (z)" in text and "Orphan" not in text and "## 4." in text
-    assert {r.gate: r.ok for r in audit.continuous(audit.statistics(m, v), m, docs, "X").collect()} == {"error violations": False, "coverage X": True}
+    std = spark.createDataFrame([("ISO-1",), ("ISO-3",)], "standard_code string")
+    assert {r.gate: (r.value, r.ok) for r in audit.continuous(audit.statistics(m, v), m, std, "iso%").collect()} == {"error violations": (2.0, False), "coverage iso%": (50.0, True)}
+    filled = audit.backfill(m, spark.createDataFrame([("iso-2", "b words")], "standard_code string, description string"), m.select("doc_path", "standard_code"))
+    assert {(r.doc_path, r.standard_code): (r.confidence, r.filled) for r in filled.collect()} == {("a", "ISO-1"): (0.5, False), ("b", "iso-2"): (0.1, True), ("a", "X"): (0.1, False)}
 
 
 def test_guidance(spark):

@@ -124,3 +124,43 @@ def test_heading_forms(spark):
     df = spark.createDataFrame([("# A\n##B\n## C d\n```\n# in code\n```\n####### no\n",)], "x string")
     got = df.select(*(T.headings_of(F.col("x"), f).alias(f) for f in T.HEADING_FORMS)).first()
     assert (got["all"], got["second"], got["loose"]) == (["A", "C d", "in code"], ["C d"], ["A", "B", "C d", "in code"])
+
+
+def test_server(spark, tmp_path):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from docloom import server
+
+    m = spark.createDataFrame([(1, "a/b.md", "I", "R", 0.6), (2, "c.md", "I", "R", None)], "id long, doc_path string, standard_code string, match_reason string, confidence double")
+    m.write.parquet(str(tmp_path / "mapping.parquet"))
+    http = server.serve(server.Application(spark, str(tmp_path), "secret"), port=0)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+
+    def ask(path, body=None, token=None):
+        r = urllib.request.Request(f"http://127.0.0.1:{http.server_address[1]}{path}", None if body is None else json.dumps(body).encode(), {"Authorization": f"Bearer {token}"} if token else {})
+        try:
+            with urllib.request.urlopen(r, timeout=60) as x:
+                return x.status, json.load(x)
+        except urllib.error.HTTPError as e:
+            return e.code, json.load(e)
+
+    try:
+        assert ask("/health") == (200, {"status": "ok", "total_mappings": 2, "null_confidence": 1})
+        assert [x["doc_path"] for x in ask("/templates?standard=I&limit=5")[1]] == ["a/b.md"] and ask("/templates?limit=501")[0] == 422
+        assert ask("/coverage/I")[1]["pct"] == 50.0 and ask("/coverage/none")[0] == 404 and ask("/nothing")[0] == 404
+        assert ask("/mappings/a%2Fb.md")[1][0]["standard_code"] == "I" and ask("/mappings/x")[0] == 404 and ask("/violations") == (200, [])
+        assert ask("/review", {"mapping_id": 2, "approved": True})[0] == 401 and ask("/review", {"approved": True}, "secret")[0] == 422 and ask("/review", {"mapping_id": 9, "approved": True}, "secret")[0] == 404
+        assert ask("/review", {"mapping_id": 2, "approved": True}, "secret") == (200, {"mapping_id": 2, "action": "approved", "new_confidence": 0.8, "new_match_reason": "expert_reviewed"})
+        assert ask("/review", {"mapping_id": 1, "approved": False}, "secret")[1]["action"] == "rejected"
+        assert spark.read.parquet(str(tmp_path / "decisions.parquet")).count() == 2
+    finally:
+        http.shutdown()
+
+
+def test_policy(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "p.yaml").write_text("commands:\n  build:\n    - python3\n    - x.py\n")
+    assert files.policy(spark, str(tmp_path / "p.yaml")) == {"commands": {"build": ["python3", "x.py"]}}
