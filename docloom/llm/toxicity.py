@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .store import discard, materialize
 from .words import LOWER, NOT_LETTER, U, gram_hashes, mix, owners, slices, spans, text_bytes, word_hashes
 
-BITS = 18
+BITS = 20  # of the table of weights
 PREFIXES = (3, 4, 5, 6)
 SEGMENT = 64
 BLOCK = 1 << 17  # tokens of the sample worked off at once in training
@@ -32,12 +32,27 @@ OUT = "score double, n_tokens long, n_toxic_tokens long, spans array<struct<star
 
 
 def tokens(data: np.ndarray, off: np.ndarray):
-    """Runs of letters, A-Z lower-cased: starts, ends, first token of each text, feature ids (one row per kind)."""
+    """Runs of letters, A-Z lower-cased: starts, ends, first token of each text, hashes of features (one row per kind, the word first)."""
     low = LOWER[data]
     starts, ends, first = spans(low, off, NOT_LETTER)
     feats = [word_hashes(low, starts, ends)]
     feats += [mix(word_hashes(low, starts, np.minimum(ends, starts + k)) + U(k)) for k in PREFIXES]
-    return starts, ends, first, np.stack([(f >> U(64 - BITS)).astype(np.int32) for f in feats]), feats[0]
+    return starts, ends, first, np.stack(feats)
+
+
+def table_of(names: np.ndarray, w: np.ndarray) -> dict[str, np.ndarray]:
+    """Weights by the upper bits of a feature's hash, with its lower ones to tell it; of two at one place the heavier stays."""
+    order = np.argsort(np.abs(w), kind="stable")
+    at = (names[order] >> U(64 - BITS)).astype(np.int64)
+    out = {"w": np.zeros(1 << BITS, np.float32), "mark": np.zeros(1 << BITS, np.uint32)}
+    out["w"][at], out["mark"][at] = w[order], names[order].astype(np.uint32)
+    return out
+
+
+def weights(model: dict, feats: np.ndarray) -> np.ndarray:
+    """Weight of each feature; 0 for one that training hasn't seen."""
+    at = (feats >> U(64 - BITS)).astype(np.int32)
+    return np.where(model["mark"][at] == feats.astype(np.uint32), model["w"][at], np.float32(0))
 
 
 def _segments(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,43 +178,49 @@ def train(texts: list[str], labels: list[int], rounds: int = 40) -> dict:
 
 
 def train_bytes(data: np.ndarray, off: np.ndarray, labels: list[int], rounds: int = 40) -> dict:
-    """``train`` on texts given as UTF-8 bytes and offsets. Beyond 30 bytes a token, memory is that of a block."""
+    """``train`` on texts given as UTF-8 bytes and offsets. Beyond 12 bytes a token, memory is that of a block and of the words."""
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
-        return {"w": np.zeros(1 << BITS, np.float32), "bias": -4.0, "trans": np.zeros((2, 2)), "top": np.array([-9.0 if not len(y) or not y[0] else 9.0, 0, 0])}
-    pieces, a = [], 0
+        return {**table_of(np.zeros(0, U), np.zeros(0)), "bias": -4.0, "trans": np.zeros((2, 2)), "top": np.array([-9.0 if not len(y) or not y[0] else 9.0, 0, 0])}
+    sizes, words, known, kinds, a = [], [], [], [], 0
     while a < len(off) - 1:  # about a MB at a time, to keep the driver small
         b = max(a + 1, int(np.searchsorted(off, off[a] + (1 << 20), "right")) - 1)
-        pieces.append(tokens(data[off[a] : off[b]], off[a : b + 1] - off[a])[2:])
+        _, _, f, feats = tokens(data[off[a] : off[b]], off[a : b + 1] - off[a])
+        own, one = np.unique(feats[0], return_index=True)
+        sizes.append(np.diff(f))
+        words.append(feats[0].copy())
+        known.append(own)
+        kinds.append(feats[:, one])
         a = b
-    del data
-    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[0]) for x in pieces]))])
-    words = np.concatenate([x[2] for x in pieces])
-    pieces = [x[1] for x in pieces]
+    del data, feats
+    first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    words = np.concatenate(words)
     # A word's features are those of its type, so sums over tokens are taken by type first.
-    _, one, kind = np.unique(words, return_index=True, return_inverse=True)
-    kind = kind.astype(np.int32)
-    feats = np.concatenate(pieces, 1)[:, one]
-    del pieces
+    types, one = np.unique(np.concatenate(known), return_index=True)
+    kind = np.searchsorted(types, words).astype(np.int32)
+    feats = np.concatenate(kinds, 1)[:, one]
+    names, feats = (lambda x: (x[0], x[1].reshape(feats.shape).astype(np.int32)))(np.unique(feats.ravel(), return_inverse=True))
+    del known, kinds
+    many = len(names)
     keep = _distinct(words, first, y == 1)
     del words
     blocks = _blocks(first)
     nt, nc = int((keep & (y == 1)).sum()), int((keep & (y == 0)).sum())
-    bad = np.zeros(len(one), bool)  # types that are typical of label 1
+    bad = np.zeros(len(types), bool)  # types that are typical of label 1
     held = [np.unique(owners(first[a : b + 1]).astype(np.int64) << 32 | kind[first[a] : first[b]]) for a, b in blocks]
     for f in feats:
-        t, c = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+        t, c = np.zeros(many, np.int64), np.zeros(many, np.int64)
         for (a, _), pairs in zip(blocks, held, strict=True):
-            pairs = np.unique((pairs >> 32) << BITS | f[pairs & 0xFFFFFFFF])
-            d, g = (pairs >> BITS) + a, pairs & ((1 << BITS) - 1)
-            t += np.bincount(g[keep[d] & (y[d] == 1)], minlength=1 << BITS)
-            c += np.bincount(g[keep[d] & (y[d] == 0)], minlength=1 << BITS)
+            pairs = np.unique((pairs >> 32) * many + f[pairs & 0xFFFFFFFF])
+            d, g = pairs // many + a, pairs % many
+            t += np.bincount(g[keep[d] & (y[d] == 1)], minlength=many)
+            c += np.bincount(g[keep[d] & (y[d] == 0)], minlength=many)
         odds = np.log((t + 0.5) / (nt + 1)) - np.log((c + 0.5) / (nc + 1))
         bad |= ((t >= max(3, 0.012 * nt)) & (odds > np.log(12)))[f]
     del held
-    w, step = np.zeros(1 << BITS), np.full(1 << BITS, 0.5)
+    w, step = np.zeros(many), np.full(many, 0.5)
     theta, tstep = np.array([-4.0, 0, 0, 0, 0]), np.full(5, 0.3)  # bias, transitions
-    old, told = np.zeros(1 << BITS), np.zeros(5)
+    old, told = np.zeros(many), np.zeros(5)
 
     def field(a: int, b: int, by_type: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Marginals of the tokens of texts a to b, forward ratios, and emissions times backward ratios."""
@@ -210,19 +231,19 @@ def train_bytes(data: np.ndarray, off: np.ndarray, labels: list[int], rounds: in
 
     for _ in range(rounds):
         grad, tgrad = -0.02 * w, -0.02 * theta
-        by_type, sums = theta[0] + w[feats].sum(0), np.zeros(len(one))
+        by_type, sums = theta[0] + w[feats].sum(0), np.zeros(len(types))
         for d0, d1 in blocks:
             own = kind[first[d0] : first[d1]]
             doc = owners(first[d0 : d1 + 1]) + d0
             target, use, (p, r, eb) = bad[own] & (y[doc] == 1), keep[doc], field(d0, d1, by_type)
             miss = (target - p) * use
-            sums += np.bincount(own, miss, len(one))
+            sums += np.bincount(own, miss, len(types))
             # Transitions: pairs as labelled less their marginals.
             pair = np.flatnonzero((doc[1:] == doc[:-1]) & use[1:])
             state = 2 * target[pair] + target[pair + 1]
             tgrad += np.append(miss.sum(), np.bincount(state, minlength=4) - pair_marginals(r[pair], eb[pair + 1], theta[1:].reshape(2, 2)).sum(1))
         for f in feats:
-            grad += np.bincount(f, sums, 1 << BITS)
+            grad += np.bincount(f, sums, many)
         for g, o, st, x in ((grad, old, step, w), (tgrad, told, tstep, theta)):
             sign = g * o
             st *= np.where(sign > 0, 1.2, np.where(sign < 0, 0.5, 1.0))
@@ -231,20 +252,20 @@ def train_bytes(data: np.ndarray, off: np.ndarray, labels: list[int], rounds: in
             x += np.sign(g) * st
             o[:] = g
         theta[1:] = np.clip(theta[1:], -4, 4)
-    by_type = theta[0] + w[feats].sum(0)
-    w = w.astype(np.float32)
+    model = table_of(names, w)
+    by_type = theta[0] + weights(model, names)[feats].sum(0, dtype=np.float64)
     x, top = np.concatenate([doc_features(field(a, b, by_type)[0], first[a : b + 1] - first[a]) for a, b in blocks])[keep], np.zeros(3)
     t = y[keep]
     for _ in range(30):  # Newton's method with a ridge
         q = 1 / (1 + np.exp(-x @ top))
         h = (x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(3)
         top += np.clip(np.linalg.solve(h, x.T @ (t - q) - 0.1 * top), -2, 2)
-    return {"w": w, "bias": float(theta[0]), "trans": theta[1:].reshape(2, 2).copy(), "top": top}
+    return {**model, "bias": float(theta[0]), "trans": theta[1:].reshape(2, 2).copy(), "top": top}
 
 
 def score_batch(model: dict, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[dict]], np.ndarray]:
-    starts, ends, first, feats, _ = tokens(data, off)
-    p = marginals(model["bias"] + model["w"][feats].sum(0, dtype=np.float64), first, model["trans"])
+    starts, ends, first, feats = tokens(data, off)
+    p = marginals(model["bias"] + weights(model, feats).sum(0, dtype=np.float64), first, model["trans"])
     score = 1 / (1 + np.exp(-np.clip(doc_features(p, first) @ model["top"], -500, 500)))
     bad = np.flatnonzero(p >= 0.5)
     found: list[list[dict]] = [[] for _ in range(len(off) - 1)]

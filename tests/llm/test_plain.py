@@ -152,7 +152,8 @@ def scored(model, text):
     s, e = (np.array([x[i] for x in at], np.int64) for i in (0, 1))
     if len(at):
         feats = [words.word_hashes(low, s, e)] + [words.mix(words.word_hashes(low, s, np.minimum(e, s + k)) + np.uint64(k)) for k in toxicity.PREFIXES]
-        emission = model["bias"] + sum(model["w"][(f >> np.uint64(64 - toxicity.BITS)).astype(np.int64)].astype(float) for f in feats)
+        weight = lambda f: float(model["w"][f >> 64 - toxicity.BITS]) if model["mark"][f >> 64 - toxicity.BITS] == f & 0xFFFFFFFF else 0.0
+        emission = [model["bias"] + sum(weight(int(f)) for f in of) for of in zip(*feats, strict=True)]
     else:
         emission = []
     m = np.exp(model["trans"])
