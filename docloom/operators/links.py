@@ -180,15 +180,23 @@ def migrate(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def contained(slugs: DataFrame, files: DataFrame, least: int = 8) -> DataFrame:
     """slug -> file: equal, else the only file that contains it, else the only file (of ``least`` letters) that it contains.
 
-    Containment is found by shared eight-letter grams, so no cross join is needed;
-    shorter slugs are found by the files' grams of their own length.
+    Whatever contains a text has all its eight-letter grams, so it is looked for by the rarest of
+    them alone; a gram that the other side lacks rules the text out. Shorter slugs are found by
+    the files' grams of their own length.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - least + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(least))))
-    s = slugs.select("slug").distinct()
-    f = files.select("file").distinct()
-    pairs = s.select("slug", F.explode(grams(F.col("slug"))).alias("g")).join(f.select("file", F.explode(grams(F.col("file"))).alias("g")), "g").select("slug", "file").distinct()
+    s, f = slugs.select("slug").distinct(), files.select("file").distinct()
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - least + 1), lambda i: F.substring(c, i, F.lit(least))))
+    of = lambda x, c: x.filter(F.length(c) >= least).select(c, F.explode(grams(F.col(c))).alias("g"))
+    sg, fg = of(s, "slug"), of(f, "file")
+
+    def inside(inner: DataFrame, c: str, outer: DataFrame) -> DataFrame:
+        many = outer.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        rare = inner.join(many, "g", "left").groupBy(c).agg(F.count_if(F.col("n").isNull()).alias("none"), F.min_by("g", "n").alias("g")).filter("none = 0")
+        return rare.select(c, "g").join(outer, "g").select("slug", "file")
+
     parts = F.expr(f"array_distinct(flatten(transform(sequence(1, {least - 1}), n -> transform(sequence(1, greatest(length(file) - n + 1, 1)), i -> substring(file, i, n)))))")
-    pairs = pairs.union(s.filter(F.length("slug") < least).join(f.select("file", F.explode(parts).alias("slug")), "slug").select("slug", "file")).distinct()
+    short = s.filter(F.length("slug") < least).join(f.select("file", F.explode(parts).alias("slug")), "slug").select("slug", "file")
+    pairs = inside(sg, "slug", fg).unionByName(inside(fg, "file", sg)).unionByName(short).distinct()
     pairs = pairs.withColumn("tier", F.when(F.col("slug") == F.col("file"), 1).when(F.expr("contains(file, slug)"), 2).when(F.expr("contains(slug, file)") & (F.length("file") >= least), 3)).filter("tier is not null")
     tiers = pairs.groupBy("slug", "tier").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("file")).filter("n = 1")
     best = tiers.groupBy("slug").agg(F.min(F.struct("tier", "file")).alias("b"))

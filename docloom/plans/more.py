@@ -193,7 +193,7 @@ query("x46_mapping_confidence", "WITH m AS (SELECT DISTINCT l_partkey AS k, l_su
         B.read(s, d, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("c")).distinct().join(B.read(s, d, "part").select(F.col("p_partkey").alias("k"), "p_name"), "k")
     )
 )
-over("r11_fill_from_donors", "markdown", lambda m: guidance.fill_from_donors(m.select(F.concat(F.lit("f/"), "doc_id").alias("path"), F.concat(F.lit("aligned_rev: 1\n"), F.when(F.col("doc_id") % 7 == 0, F.replace("text", F.lit("Text.\n- [ ] a"), F.lit("[Termin 1]"))).otherwise(F.col("text"))).alias("text")), templates.PLAIN, 60, 2).select(F.regexp_extract("path", r"(\d+)$", 1).cast("long").alias("doc_id"), F.regexp_extract("text", r"aligned_rev: (\d+)", 1).alias("rev"), F.col("text").contains("Text.").alias("filled")))
+over("r11_fill_from_donors", "markdown", lambda m: guidance.fill_from_donors(m.select(F.concat(F.lit("f/"), "doc_id").alias("path"), F.concat(F.lit("aligned_rev: 1\n"), F.when(F.col("doc_id") % 7 == 0, F.replace("text", F.lit("Text.\n- [ ] a"), F.lit("[Termin 1]"))).otherwise(F.col("text"))).alias("text")), templates.PLAIN, 60, 2).select(F.regexp_extract("path", r"(\d+)$", 1).cast("long").alias("doc_id"), F.regexp_extract("text", r"aligned_rev: (\d+)", 1).alias("rev"), F.col("text").contains("Text.").alias("filled")), "SELECT doc_id, '2' AS rev, TRUE AS filled FROM markdown WHERE doc_id % 7 = 0 AND doc_id % 4 <> 0")
 
 # Smaller ones ----------------------------------------------------------------------------------
 over("a23_mapping_statistics", "mapping", lambda m: analytics.mapping_statistics(m, 0.3, ("N",)), "SELECT 'total' AS kind, NULL AS value, count(*) AS n FROM mapping UNION ALL SELECT 'reason', match_reason, count(*) FROM mapping GROUP BY 2 UNION ALL SELECT 'tier', CASE WHEN confidence IS NULL THEN 'none' WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END, count(*) FROM mapping GROUP BY 2 UNION ALL SELECT 'pending', NULL, count(*) FROM mapping WHERE confidence < 0.3 AND match_reason NOT IN ('N')")
@@ -226,3 +226,21 @@ query("r27_repair_columns", "SELECT c_custkey, c_name || ' żółć' AS a, c_nam
 query("f17_safe_changes", _with("markdown", _FOUND, "SELECT f[5] = 'y' AS safe, count(*) AS n FROM f GROUP BY 1"))(lambda s, d: fixes.findings(B.markdown(s, d)).groupBy("safe").agg(F.count(F.lit(1)).alias("n")))
 over("x18_x19_small", "links", lambda x: x.select("id", T.strength("required").alias("strength"), T.profile_of(F.when(F.col("id") % 3 == 0, "core").when(F.col("id") % 3 == 1, "imported_template").otherwise("odd")).alias("profile")), "SELECT id, CASE required WHEN 1 THEN 'required' ELSE 'navigational' END AS strength, CASE id % 3 WHEN 0 THEN 'core' WHEN 1 THEN 'imported_template' ELSE 'default' END AS profile FROM links")
 query("x48_utc_text", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")(lambda s, d: B.read(s, d, "events").select("event_id", T.utc_text(F.col("ts").cast("timestamp")).alias("at")))
+
+
+def _slugs(s, d):
+    p, name = B.read(s, d, "part"), F.replace("p_name", F.lit(" "), F.lit("_"))
+    slugs = p.select(F.concat(name, F.element_at(F.array(F.lit(""), F.lit("_guide"), F.lit("_guide_long"), F.concat(F.lit("_"), F.col("p_partkey") % 9)), (F.col("p_partkey") % 4 + 1).cast("int"))).alias("slug")).unionByName(p.select(F.substring("p_type", 1, 3).alias("slug")))
+    files = p.filter("p_partkey % 3 = 0").select(F.concat(F.lit("the_"), name, F.lit("_"), F.col("p_partkey") % 9, F.lit("_"), F.lower("p_brand")).alias("file")).unionByName(p.filter("p_partkey % 3 = 1").select(F.concat(name, F.lit("_guide")).alias("file"))).unionByName(p.filter("p_partkey < 5").select(F.concat(F.lit("x"), "p_type", F.lit("y")).alias("file")))
+    return slugs, files
+
+
+query("j20_contained", "WITH s AS (SELECT DISTINCT replace(p_name, ' ', '_') || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '_guide' WHEN 2 THEN '_guide_long' ELSE '_' || (p_partkey % 9) END AS slug FROM part UNION SELECT substr(p_type, 1, 3) FROM part), f AS (SELECT 'the_' || replace(p_name, ' ', '_') || '_' || (p_partkey % 9) || '_' || lower(p_brand) AS file FROM part WHERE p_partkey % 3 = 0 UNION SELECT replace(p_name, ' ', '_') || '_guide' FROM part WHERE p_partkey % 3 = 1 UNION SELECT 'x' || p_type || 'y' FROM part WHERE p_partkey < 5), p AS (SELECT slug, file, CASE WHEN slug = file THEN 1 WHEN contains(file, slug) THEN 2 WHEN contains(slug, file) AND length(file) >= 8 THEN 3 END AS tier FROM s, f), t AS (SELECT slug, tier, min(file) AS file FROM p WHERE tier IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 1) SELECT slug, arg_min(file, tier) AS file, min(tier) AS tier FROM s LEFT JOIN t USING (slug) GROUP BY 1")(
+    lambda s, d: links.contained(*_slugs(s, d))
+)
+query("r13_mend_ghosts", "SELECT 'D' || p_partkey AS doc_uid, CASE WHEN p_partkey % 17 <> 0 THEN CASE WHEN p_partkey % 19 = 0 THEN 'ORPHAN' ELSE 'core/g' || (p_partkey % 7) || '/' || p_partkey || '.md' END WHEN p_name IN (SELECT p_name FROM part WHERE p_partkey % 2 = 0) THEN 'core/' || replace(p_name, ' ', '-') || '.md' ELSE 'ORPHAN' END AS path, p_partkey % 17 = 0 AS mended FROM part")(
+    lambda s, d: sync.mend_ghosts(B.docs(s, d), B.read(s, d, "part").filter("p_partkey % 2 = 0").select(F.concat(F.lit("x/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(".md")).alias("path")).distinct())
+)
+query("g3_contract", "SELECT 'u' AS scope_uid, 1 AS version, p_brand || ',' || p_type AS inputs, '' AS gates FROM part WHERE p_partkey = 1")(
+    lambda s, d: services.contract(B.guidance(s, d).select(F.when(F.col("id") == 1, "u").otherwise("v").alias("scope_uid"), F.lit(1).alias("version"), F.col("refs").alias("inputs_json"), F.lit("[bad").alias("gates_json")), "u").select("scope_uid", "version", F.array_join("inputs", ",").alias("inputs"), F.array_join("gates", ",").alias("gates"))
+)
