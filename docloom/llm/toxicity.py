@@ -27,6 +27,7 @@ from .words import LOWER, NOT_LETTER, U, gram_hashes, mix, owners, slices, spans
 BITS = 20  # of the table of weights
 PREFIXES = (3, 4, 5, 6)
 SEGMENT = 64
+NEAR = 1 << 20  # bytes of text scored at once
 BLOCK = 1 << 17  # tokens of the sample worked off at once in training
 OUT = "score double, n_tokens long, n_toxic_tokens long, spans array<struct<start:int,end:int>>"
 
@@ -319,7 +320,7 @@ def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            for a, b, data, off in slices(batch, "text"):
+            for a, b, data, off in slices(batch, "text", NEAR):
                 s, bad, found, n = score_batch(held.value, data, off)
                 cols = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(s, pa.float64()), pa.array(n, pa.int64()), pa.array(bad, pa.int64()), pa.array(found, kind)], [*keep, "score", "n_tokens", "n_toxic_tokens", "spans"])
@@ -336,7 +337,7 @@ def drop(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, off in slices(batch, "text"):
+            for a, b, data, off in slices(batch, "text", NEAR):
                 part = batch.slice(a, b - a).filter(pa.array(score_batch(held.value, data, off)[0] < threshold))
                 if part.num_rows:
                     yield part
