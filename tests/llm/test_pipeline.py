@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from docloom.llm import decontaminate, mixing, ngram_join
+from docloom.llm import decontaminate, mixing, ngram_join, store
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -39,3 +39,22 @@ def test_awkward_rows(spark, sf_dir, tmp_path):
             assert out.columns == docs.columns
             docs = spark.read.parquet(str(tmp_path / name))
     assert docs.count() >= 2
+
+
+def test_empty_table(spark, sf_dir):
+    docs = spark.createDataFrame([], "doc_id long, text string, source string, lang string, n_chars long, __row int, cls string")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.isEmpty() and (name == "mixing" or out.columns == docs.columns)
+
+
+def test_result_of_a_run(spark, sf_dir):
+    """run() gives what the stages give one after the other, and leaves no tables but those its result reads."""
+    before = store.written()
+    out = corpus_pipeline.run(spark, sf_dir)
+    rows = out.collect()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = store.materialize(stage(spark, docs, sf_dir))
+    assert sorted({r.doc_id for r in rows}) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    store.sweep(before)
