@@ -14,21 +14,25 @@ def _best(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def top_similar(left: DataFrame, right: DataFrame, least: float, k: int) -> DataFrame:
+def top_similar(left: DataFrame, right: DataFrame, least: float, k: int, repeats: bool = True) -> DataFrame:
     """left (a, tokens), right (b, tokens) -> a, b, score, rank: the k best b of each a, by Jaccard and then b.
 
-    Rows with the same token set are worked off as one, so many equal titles cost one.
+    Rows with the same token set are worked off as one, so many equal titles cost one (on the left
+    only with ``repeats``: long texts hardly repeat, and their tokens are then taken once).
     Sets meet token by token and overlaps are summed: no pair without a common token is
     ever made and no text travels.
     """
     keyed = lambda x, n: x.select(n, F.array_sort("tokens").alias("tokens")).filter(F.size("tokens") > 0).withColumn("set", F.sha2(F.array_join("tokens", " ").cast("binary"), 256))
-    l, r = keyed(left, "a"), keyed(right, "b")
-    tokens = lambda x, s: x.groupBy("set").agg(F.any_value("tokens").alias("tokens")).select(F.col("set").alias(s), F.size("tokens").alias(f"n_{s}"), F.explode("tokens").alias("t"))
-    hits = tokens(l, "x").join(tokens(r, "y"), "t").groupBy("x", "y", "n_x", "n_y").agg(F.count(F.lit(1)).alias("c"))
+    tokens = lambda x, s: x.select(F.col("set").alias(s), F.size("tokens").alias(f"n_{s}"), F.explode("tokens").alias("t"))
+    once = lambda x: x.groupBy("set").agg(F.any_value("tokens").alias("tokens"))
+    l, r = keyed(left, "a") if repeats else left.withColumnRenamed("a", "set"), keyed(right, "b")
+    hits = tokens(once(l) if repeats else l, "x").join(tokens(once(r), "y"), "t").groupBy("x", "y", "n_x", "n_y").agg(F.count(F.lit(1)).alias("c"))
     score = F.col("c") / (F.col("n_x") + F.col("n_y") - F.col("c"))
     pairs = hits.select("x", "y", score.alias("score")).filter(F.col("score") >= least)
     members = _best(r.select(F.col("set").alias("y"), "b"), "y", ["b"], k).drop("rank")
     best = _best(pairs.join(members, "y").select("x", "b", "score"), "x", [F.desc("score"), "b"], k)
+    if not repeats:
+        return best.select(F.col("x").alias("a"), "b", "score", "rank")
     return l.select("a", F.col("set").alias("x")).join(best, "x").select("a", "b", "score", "rank")
 
 

@@ -118,7 +118,7 @@ def _similar(s, d):
     stop = ("the", "and", "of")
     left = B.read(s, d, "documents").select(F.col("doc_id").alias("a"), T.tokens(F.substring("text", 1, 1 << 30), 5, stop).alias("tokens"))
     right = B.read(s, d, "benchmark").select(F.col("item_id").alias("b"), T.tokens(F.col("text"), 5, stop).alias("tokens"))
-    return matching.top_similar(left, right, 0.02, 5)
+    return matching.top_similar(left, right, 0.02, 5, repeats=False)
 
 
 query("j21_w5_top_similar", "WITH l AS (SELECT doc_id AS a, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda t: length(t) >= 5)) AS x FROM documents), r AS (SELECT item_id AS b, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda t: length(t) >= 5)) AS y FROM benchmark), p AS (SELECT a, b, len(x) AS n, len(y) AS m, t FROM (SELECT a, x, unnest(x) AS t FROM l) JOIN (SELECT b, y, unnest(y) AS t FROM r) USING (t)), s AS (SELECT a, b, count(*)::DOUBLE / (any_value(n) + any_value(m) - count(*)) AS score FROM p GROUP BY 1, 2) SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b)::INT AS rank FROM s WHERE score >= 0.02 QUALIFY rank <= 5")(_similar)

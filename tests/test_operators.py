@@ -90,7 +90,8 @@ def test_sources(spark, tmp_path):
 def test_matching_and_history(spark):
     left = spark.createDataFrame([(1, ["a", "b"]), (2, ["z"])], "a long, tokens array<string>")
     right = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c"]), (3, [])], "b long, tokens array<string>")
-    assert [(r.a, r.b, round(r.score, 3)) for r in matching.top_similar(left, right, 0.1, 5).orderBy("rank").collect()] == [(1, 1, 1.0), (1, 2, 0.333)]
+    for repeats in (True, False):
+        assert [(r.a, r.b, round(r.score, 3)) for r in matching.top_similar(left, right, 0.1, 5, repeats).orderBy("rank").collect()] == [(1, 1, 1.0), (1, 2, 0.333)]
     old, new = (spark.createDataFrame(x, "path string, hash string") for x in ([("a", "1"), ("b", "2"), ("c", "3")], [("a", "1"), ("d", "2"), ("e", "4")]))
     assert sorted(r.kind for r in history.transitions(old, new).collect()) == ["added", "kept", "moved", "removed"]
     assert analytics.totals(spark.createDataFrame([], "path string"), spark.createDataFrame([], "doc_path string")).first().pct == 0.0
