@@ -39,7 +39,7 @@ FLUSH = 1_000_000  # anchors that a task aggregates at once
 SEEDS = 1 << 17  # seeds that are extended at once, and bytes of the words around them
 SEED_BYTES = 48 << 20
 HOT = 4096  # occurrences beyond which an anchor's windows are dealt one by one
-HOT_BITS = 22
+HOT_LESS, LEAST_BITS = 4, 16  # so many bits fewer has the filter of such anchors, but these at least
 NEAR = 1 << 20  # bytes of text whose seeds are cut out at once
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept_text string"
 
@@ -258,7 +258,7 @@ def repeats(docs: DataFrame, min_words: int = 50, log2_bits: int = 26, hot: int
 
     by_hash = src.mapInArrow(seed, "h long, doc_id long, n long").repartition(parts(spark), "h").sortWithinPartitions("h")
     both = materialize(by_hash.mapInArrow(shared, "h long, hot boolean"), "shared")
-    filters = spark.sparkContext.broadcast((bloom.build(both, "h", log2_bits), bloom.build(both.filter("hot"), "h", HOT_BITS)))
+    filters = spark.sparkContext.broadcast((bloom.build(both, "h", log2_bits), bloom.build(both.filter("hot"), "h", max(log2_bits - HOT_LESS, LEAST_BITS))))
     discard(both)
     names, kind = ["h", "h2", "doc_id", "pos", "n", "left", "around"], "h long, h2 long, doc_id long, pos int, n int, left int, around binary"
 
