@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, ngram_join, pii, substring_dedup, token_count, toxicity, url_filter, warc
+from . import decontaminate, exact_dedup, filter_audit, manifest, mixing, ngram_join, packing, pii, substring_dedup, token_count, toxicity, url_filter, warc
 from .store import shared_dir
 
 
@@ -68,6 +68,19 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_read(spark, sf_dir, "documents"), with_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.prove(_read(spark, sf_dir, "documents"), manifest.tampered_leaf())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_mixing, op2_toxicity, op3_decontaminate, op4_ngram_jaccard, op5_substring_dedup, op6_url_filter, op7_exact_dedup, op8_warc, op9_pii, op10_token_count, pipeline)
+    own = (op1_mixing, op2_toxicity, op3_decontaminate, op4_ngram_jaccard, op5_substring_dedup, op6_url_filter, op7_exact_dedup, op8_warc, op9_pii, op10_token_count, op11_filter_audit, op12_packing, op13_manifest, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -126,6 +139,46 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHE
 }
 
 
+ORACLES["op11_filter_audit"] = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY x) AS first FROM t),
+d AS (SELECT part, doc_id, len(ws) < 100 AS a, 100 * len(list_distinct(ws)) < 80 * len(ws) AS b, 100 * (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g'))) > 10 * length(x) AS c,
+        regexp_matches(x, '[#$%&*|]') AS d, coalesce(first < doc_id, false) AS e FROM w),
+l AS (SELECT doc_id, max(coalesce((quality = 1)::INT, 0)) AS good, max(coalesce((toxic = 1)::INT, 0)) AS toxic FROM labels GROUP BY doc_id),
+h AS (SELECT part, (CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END) AS failed,
+        count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM d LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM f p, f q, f r, f s, f t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+s AS (SELECT filter_order, step::INT AS step, filter_order[step] AS f, filter_order[1:step - 1] AS before, filter_order[1:step] AS upto FROM o, range(1, 6) g(step)),
+j AS (SELECT part, filter_order, step, f, n, good, toxic, failed = f AS only_this, contains(failed, f) AS fails,
+        failed <> '' AND translate(failed, before, '') <> failed AS gone, translate(failed, upto, '') = failed AS stays FROM s, h),
+r AS (SELECT part, filter_order, step, f, sum(n * stays::INT)::BIGINT AS kept, sum(n * (fails AND NOT gone)::INT)::BIGINT AS removed, sum(n * (fails AND gone)::INT)::BIGINT AS redundant,
+        sum(n * only_this::INT)::BIGINT AS unique_fails, sum(good * (fails AND NOT gone)::INT)::BIGINT AS good_lost, sum(toxic * (fails AND NOT gone)::INT)::BIGINT AS toxic_lost FROM j GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r"""
+
+ORACLES["op13_manifest"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '') AS part, n_chars,
+    [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text] AS v,
+    list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda x, c: list_reduce(list_concat([xor(x, c)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))) AS crc FROM documents),
+e AS (SELECT doc_id, part, [coalesce(octet_length(encode(x))::VARCHAR || ':' || x, '-') for x in v] AS f,
+    (coalesce(xor(crc, 4294967295) % 7 = 0, false) AND n_chars IS NOT NULL) AS t, octet_length(encode((n_chars + 1)::VARCHAR))::VARCHAR || ':' || (n_chars + 1)::VARCHAR AS g FROM d),
+l AS (SELECT doc_id, part, sha256(array_to_string(f, '')) AS leaf, CASE WHEN t THEN sha256(f[1] || f[2] || f[3] || g || f[5]) ELSE sha256(array_to_string(f, '')) END AS claim,
+    row_number() OVER (PARTITION BY part ORDER BY doc_id) - 1 AS idx FROM e),
+t AS (SELECT part, 0 AS lvl, idx, leaf AS h FROM l UNION ALL
+    SELECT part, lvl + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER (PARTITION BY part) AS c FROM t) WHERE c > 1 GROUP BY part, lvl, idx // 2),
+s AS (SELECT part, h, lvl, row_number() OVER (ORDER BY part) - 1 AS idx FROM (SELECT part, h, lvl FROM t QUALIFY lvl = max(lvl) OVER (PARTITION BY part))),
+u AS (SELECT 0 AS lvl, idx, h FROM s UNION ALL
+    SELECT lvl + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER () AS c FROM u) WHERE c > 1 GROUP BY lvl, idx // 2),
+p AS (SELECT doc_id, part, leaf, 0 AS lvl, idx, claim AS node, '' AS proof FROM l UNION ALL
+    SELECT p.doc_id, p.part, p.leaf, p.lvl + 1, p.idx // 2, sha256(CASE WHEN p.idx % 2 = 0 THEN p.node || coalesce(t.h, '') ELSE t.h || p.node END), p.proof || coalesce(t.h, '')
+    FROM p JOIN s ON p.part = s.part AND p.lvl < s.lvl LEFT JOIN t ON t.part = p.part AND t.lvl = p.lvl AND t.idx = xor(p.idx, 1)),
+q AS (SELECT p.doc_id, p.leaf, s.h AS subroot, 0 AS lvl, s.idx, p.node, p.proof FROM p JOIN s ON p.part = s.part AND p.lvl = s.lvl UNION ALL
+    SELECT q.doc_id, q.leaf, q.subroot, q.lvl + 1, q.idx // 2, sha256(CASE WHEN q.idx % 2 = 0 THEN q.node || coalesce(u.h, '') ELSE u.h || q.node END), q.proof || coalesce(u.h, '')
+    FROM q LEFT JOIN u ON u.lvl = q.lvl AND u.idx = xor(q.idx, 1) WHERE q.lvl < (SELECT max(lvl) FROM u))
+SELECT doc_id, leaf, subroot, u.h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = u.h AS verified FROM q JOIN u ON q.lvl = u.lvl WHERE u.lvl = (SELECT max(lvl) FROM u)"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
