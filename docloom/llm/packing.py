@@ -9,7 +9,8 @@ Pieces then take the planned slots by their rank within their length, which is t
 within the task that made them plus the pieces of that length in earlier tasks.
 
 Texts are tokenised by distinct segments: a segment starts at a space before a visible
-character, where a byte-level pre-tokeniser always starts a new token.
+character, and at an ASCII mark behind an ASCII letter or digit, where a byte-level
+pre-tokeniser always starts a new token.
 """
 
 from __future__ import annotations
@@ -30,8 +31,13 @@ from .words import distinct_words, slices
 
 CAPACITY = 1024
 END_ID = 2
-CACHE = 400_000  # segments kept in a task at most
+CACHE = 250_000  # segments of a generation; a task keeps two
+BATCH = 1 << 14  # bytes of new segments encoded at once
 CACHED = 64  # bytes of the longest segment kept
+ALNUM, MARK = np.zeros(256, bool), np.zeros(256, bool)
+MARK[0x21:0x7F] = True
+ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = True
+MARK &= ~ALNUM
 GROUP = 1 << 19  # segments told apart at once
 
 
@@ -52,36 +58,78 @@ class Segments:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
-        self.cache: dict[bytes, np.ndarray] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         # White space beyond ASCII starts with C2, E1, E2 or E3; before an added token the text is cut otherwise.
         opens = np.zeros(256, bool)
         opens[0x21:0x7F] = opens[0xC3:0xE1] = opens[0xE4:0xF5] = True
         for t in self.tokenizer.get_added_tokens_decoder().values():
             opens[t.content.encode()[:1][0]] = False
         self.opens = opens
+        # Bytes of each token: one a character of its name, but for added tokens.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.size[i] = len(token)
+        self.added = []
+        for i, t in self.tokenizer.get_added_tokens_decoder().items():
+            self.size[i] = len(t.content.encode())
+            self.added.append(t.content.encode())
 
     def starts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """The first byte of each segment; texts that aren't empty start one."""
         new = np.zeros(len(data) + 1, bool)
         new[:-2] = (data[:-1] == 32) & self.opens[data[1:]]
+        if not any(t in memoryview(data).tobytes() for t in self.added):  # these may hold such a place
+            new[1:-1] |= ALNUM[data[:-1]] & MARK[data[1:]]
         new[off[:-1]] = True
         return np.flatnonzero(new[:-1])
 
-    def _ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-        raw, out, new = memoryview(data), [], []
-        for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-            key = bytes(raw[s:e])
-            out.append(self.cache.get(key))
-            if out[-1] is None:
-                new.append((i, key))
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for (i, key), got in zip(some, self.tokenizer.encode_batch_fast([key.decode("utf-8", "replace") for _, key in some], add_special_tokens=False), strict=True):
-                out[i] = np.array(got.ids, np.uint32)
-                if len(key) <= CACHED:
-                    self.cache[key] = out[i]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
+    def _run(self, keys: list[bytes]) -> list[bytes] | None:
+        """Ids of segments that begin with a space, encoded as one text and cut where segments end; None if tokens don't end there."""
+        try:
+            text = b"".join(keys).decode()
+        except UnicodeDecodeError:
+            return None
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        ends, want = np.cumsum(self.size[ids]), np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)))
+        at = np.searchsorted(ends, want)
+        if not len(ids) or at[-1] >= len(ends) or not (ends[at] == want).all():
+            return None
+        raw, last = ids.tobytes(), (4 * (at + 1)).tolist()
+        return [raw[a:b] for a, b in zip([0, *last[:-1]], last, strict=True)]
+
+    def _one(self, key: bytes) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([key.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32).tobytes()
+
+    def _ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The ids of segments as bytes of 32-bit numbers. What was met lately is kept: a full generation becomes the old one."""
+        raw, out = memoryview(data), []
+        young, old = self.young, self.old
+        new: list[int] = []
+        keys = [bytes(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        for i, key in enumerate(keys):
+            got = young.get(key)
+            if got is None and (got := old.get(key)) is not None:
+                young[key] = got
+            elif got is None:
+                new.append(i)
+            out.append(got)
+        batch: list[int] = []
+        size = 0
+        for k, i in enumerate(new):
+            if keys[i][:1] == b" ":
+                batch.append(i)
+                size += len(keys[i])
+            else:
+                out[i] = self._one(keys[i])
+            if batch and (size >= BATCH or k + 1 == len(new)):
+                for j, x in zip(batch, self._run([keys[j] for j in batch]) or [self._one(keys[j]) for j in batch], strict=True):
+                    out[j] = x
+                batch, size = [], 0
+        young.update((keys[i], out[i]) for i in new if len(keys[i]) <= CACHED)
+        if len(young) > CACHE:
+            self.young, self.old = {}, young
         return out
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +143,8 @@ class Segments:
             s, e = starts[a : a + GROUP], ends[a : a + GROUP]
             index, number = distinct_words(data, s, e)
             ids = self._ids(data, s[index], e[index])
-            size = np.array([len(x) for x in ids], np.int64)
-            at, pool = np.cumsum(size) - size, np.concatenate(ids)
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            at, pool = np.cumsum(size) - size, np.frombuffer(b"".join(ids), np.uint32)
             n = size[number]
             per[a + 1 : a + 1 + len(n)] = n
             flat.append(pool[np.arange(int(n.sum())) + np.repeat(at[number] - (np.cumsum(n) - n), n)])
