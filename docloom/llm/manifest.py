@@ -84,17 +84,18 @@ def _step(fanout: int) -> int:
     return step
 
 
-def _levels(size: int, done: int, fanout: int) -> int:
-    return min(_step(fanout), height(size, fanout) - done)
+def _levels(size: int, done: int, fanout: int, step: int) -> int:
+    return min(step, height(size, fanout) - done)
 
 
 def _up(nodes: DataFrame, done: int, fanout: int) -> DataFrame:
     """One round: (part, size, idx, node) -> the same for the nodes of runs; ``done`` levels came before."""
-    width = fanout ** _step(fanout)
+    step = _step(fanout)
+    width = fanout**step
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         t = table.sort_by("idx").to_pydict()
-        top = reduce_run(t["node"], _levels(t["size"][0], done, fanout), fanout)[-1][0]
+        top = reduce_run(t["node"], _levels(t["size"][0], done, fanout, step), fanout)[-1][0]
         return pa.table({"part": [key[0].as_py()], "size": t["size"][:1], "idx": [key[1].as_py()], "node": [top]})
 
     return nodes.withColumn("run", F.floor(F.col("idx") / width)).groupBy("part", "run").applyInArrow(run, "part string, size long, idx long, node string")
@@ -102,11 +103,12 @@ def _up(nodes: DataFrame, done: int, fanout: int) -> DataFrame:
 
 def _down(nodes: DataFrame, paths: DataFrame, done: int, fanout: int) -> DataFrame:
     """Paths of nodes: their siblings of this round, then those of the run's node. ``paths``: (part, run, path)."""
-    width = fanout ** _step(fanout)
+    step = _step(fanout)
+    width = fanout**step
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         t, above = left.sort_by("idx").to_pydict(), right.column("path").to_pylist()[0]
-        tree = reduce_run(t["node"], _levels(t["size"][0], done, fanout), fanout)
+        tree = reduce_run(t["node"], _levels(t["size"][0], done, fanout, step), fanout)
         path = [[x for pair in siblings(tree, i, fanout) for x in pair] + above for i in range(len(t["idx"]))]
         return pa.table({"part": t["part"], "run": t["idx"], "path": pa.array(path, pa.list_(pa.string()))})
 
@@ -160,7 +162,8 @@ def prove(docs: DataFrame, claim: Column | None = None, fanout: int = FANOUT) ->
     rows = rows.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), low), "head": F.conv(F.substring("node", 1, 15), 16, 10).cast("long"), "row": F.monotonically_increasing_id()})
     rows = materialize(rows, "leaves")
     placed = ranked(rows, "part", ["id", "head", "row"], ["id", "node", "row"])
-    width = fanout ** _step(fanout)
+    step = _step(fanout)
+    width = fanout**step
     leaves = materialize(placed.select("doc_id", "part", "size", F.col("rank").alias("idx"), "node", "claim"), "ranked")
     rounds, tops = _tree(leaves.select("part", "size", "idx", "node"), fanout)
     # The parts are leaves of the upper tree.
@@ -182,7 +185,7 @@ def prove(docs: DataFrame, claim: Column | None = None, fanout: int = FANOUT) ->
         above = list(zip(up["path"][::2], up["path"][1::2], strict=True))
         tail = "".join(up["path"])
         nodes = t.column("node").to_pylist()
-        tree = reduce_run(nodes, _levels(t.column("size")[0].as_py(), 0, fanout), fanout)
+        tree = reduce_run(nodes, _levels(t.column("size")[0].as_py(), 0, fanout, step), fanout)
         proof, folded = [], []
         for i, claim in enumerate(t.column("claim").to_pylist()):
             path = list(siblings(tree, i, fanout))
