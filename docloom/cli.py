@@ -12,11 +12,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import analytics, audit, fixes, graph, services
-from docloom.sources import files
+from docloom.sources import files, schemas
 
 
 def _table(spark: SparkSession, args, name: str):
-    return spark.read.parquet(f"{args.tables.rstrip('/')}/{name}.parquet")
+    """A table; columns that an older one lacks are there, as nulls."""
+    df = spark.read.parquet(f"{args.tables.rstrip('/')}/{name}.parquet")
+    return schemas.conform(df, name) if name in ("mapping", "regulation_mapping") else df
 
 
 def find(spark, args) -> int:
@@ -129,18 +131,32 @@ def _summary(plan) -> None:
 
 
 def review(spark, args) -> int:
-    """What a saved plan holds."""
-    _summary(fixes.load_plan(spark, args.plan))
+    """What a saved plan holds, by rule; with ``--verbose`` change by change."""
+    plan = fixes.selected(fixes.load_plan(spark, args.plan), args.filter)
+    _summary(plan)
+    if args.verbose:
+        for r in plan.orderBy("path", "seq").toLocalIterator():
+            print(f"  {r.path}  {r.rule_id}  {r.section or ''}".rstrip())
     return 0
 
 
+def apply(spark, args) -> int:
+    """Apply a saved plan; 1 if a document of it isn't there."""
+    if not _exists(spark, args.plan):
+        print(f"error: no plan {args.plan}", file=sys.stderr)
+        return 1
+    lost: list[str] = []
+    out = fixes.apply_saved(spark, args.plan, args.filter, args.target, args.backup, lost.append, args.write_diff, args.write_result)
+    for r in out.groupBy("status").count().orderBy("status").collect():
+        print(f"{r.status}  {r['count']}")
+    print(*lost, sep="\n", file=sys.stderr, end="\n" if lost else "")
+    return int(bool(lost))
+
+
 def bootstrap(spark, args) -> int:
-    """Empty tables of a profile that aren't there yet, with a key column each."""
-    for name in services.PROFILES[args.profile]:
-        path = f"{args.tables.rstrip('/')}/{name}.parquet"
-        if not _exists(spark, path):
-            spark.createDataFrame([], "id string").write.parquet(path)
-            print(f"made {path}")
+    """Empty typed tables of a profile that aren't there yet."""
+    for path in schemas.bootstrap(spark, args.tables, args.profile):
+        print(f"made {path}")
     return 0
 
 
@@ -149,7 +165,7 @@ def _exists(spark, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-COMMANDS = {f.__name__.removesuffix("_all"): f for f in (find, contract, validate, check, rhythm, coverage, audit_all, backfill, report, fix, review, bootstrap)}
+COMMANDS = {f.__name__.removesuffix("_all"): f for f in (find, contract, validate, check, rhythm, coverage, audit_all, backfill, report, fix, review, apply, bootstrap)}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -184,7 +200,17 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--only-safe", action=argparse.BooleanOptionalAction, default=True)
     x.add_argument("--target")
     x.add_argument("--backup")
-    sub.add_parser("review").add_argument("plan")
+    v = sub.add_parser("review")
+    v.add_argument("plan")
+    v.add_argument("--filter", choices=fixes.FILTERS, default="all")
+    v.add_argument("--verbose", action="store_true")
+    y = sub.add_parser("apply")
+    y.add_argument("plan")
+    y.add_argument("--filter", choices=fixes.FILTERS, default="safe")
+    y.add_argument("--target", required=True)
+    y.add_argument("--backup", required=True)
+    y.add_argument("--write-diff")
+    y.add_argument("--write-result")
     return p
 
 

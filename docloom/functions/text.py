@@ -239,6 +239,16 @@ def json_list_error(c) -> Column:
     return F.when(x.isNull() | (F.trim(x) == ""), None).when(parsed.isNull(), "bad JSON").when(~F.expr(f"schema_of_variant(try_parse_json(`{c}`))").startswith("ARRAY"), "not a list")
 
 
+#: What ends a line, as Python's ``str.splitlines`` has it.
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
+def splitlines(c) -> Column:
+    """The lines of a text without their ends; an end of the text's last line starts no further one, and an empty text has none."""
+    parts = F.split(_s(c), LINE_END, -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
 #: Forms of headings: any level, second level only, and second level with or without a space.
 HEADING_FORMS = {"all": r"(?m)^(?:#{1,6})\s+(.+)$", "second": r"(?m)^##\s+(.+)$", "loose": r"(?m)^(?:#{1,6})\s*([^#\s].*)$"}
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.sources import files, sinks
+from docloom.sources import files, sinks, versions
 
 from .templates import REQUIRED
 
@@ -82,13 +82,37 @@ def apply_safe(docs: DataFrame, plan: DataFrame) -> DataFrame:
     return x.select("path", "text", "new_text", h("text").alias("hash_before"), h("new_text").alias("hash_after"))
 
 
-def save_plan(plan: DataFrame, path: str, run_id: str, mode: str, root: str) -> None:
-    """A plan as JSON lines, one a change."""
-    plan.select(F.lit(run_id).alias("run_id"), F.lit(mode).alias("mode"), F.lit(root).alias("root"), "*").write.mode("overwrite").json(path)
+#: Which changes of a plan: all, those that may be applied without review, or the others.
+FILTERS = ("all", "safe", "review")
+VERSION = "1.0"
+
+
+def selected(plan: DataFrame, which: str = "all") -> DataFrame:
+    """The changes of a plan that a filter names."""
+    if which not in FILTERS:
+        raise ValueError(f"filter {which!r} is none of {', '.join(FILTERS)}")
+    return plan if which == "all" else plan.filter(F.col("safe") if which == "safe" else ~F.col("safe"))
+
+
+def save_plan(plan: DataFrame, path: str, run_id: str, mode: str, root: str, total_files: int | None = None) -> None:
+    """A plan as JSON lines: a document's changes a line, in the form in which plans are read.
+
+    A change's details are a map, so an action with other details needs no other form. No line holds
+    more than one document's changes, so a plan of any size is written by many tasks.
+    """
+    detail = F.map_from_entries(F.array_compact(F.array(F.when(F.col("section").isNotNull(), F.struct(F.lit("section"), F.col("section"))))))
+    change = F.struct("seq", F.struct(F.col("path").alias("file"), "rule_id", "severity", "action", detail.alias("detail"), F.col("safe").alias("safe_autofix")).alias("c"))
+    # Ordered by seq alone: maps can't be compared.
+    own = F.transform(F.array_sort(F.collect_list(change), lambda x, y: x["seq"] - y["seq"]), lambda x: x["c"])
+    rows = plan.groupBy("path").agg(own.alias("changes"))
+    head = {"schema_version": VERSION, "run_id": run_id, "mode": mode, "root": root, "total_files": total_files}
+    rows.select(*(F.lit(v).alias(k) for k, v in head.items()), "changes").write.mode("overwrite").json(path)
 
 
 def load_plan(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("run_id string, mode string, root string, path string, seq int, rule_id string, severity string, action string, section string, safe boolean").json(path)
+    """A saved plan, edited or not: run_id, mode, root, path, seq, rule_id, severity, action, section, safe."""
+    x = files.plan(spark, path)
+    return x.select("run_id", "mode", "root", F.col("file").alias("path"), "seq", "rule_id", "severity", "action", F.col("detail")["section"].alias("section"), F.coalesce("safe_autofix", F.lit(False)).alias("safe"))
 
 
 def run(spark: SparkSession, root: str, mode: str, output_plan: str, run_id: str, only_safe: bool = True, target: str | None = None, backup: str | None = None, on_error: Callable[[str], None] | None = None) -> DataFrame:
@@ -96,31 +120,60 @@ def run(spark: SparkSession, root: str, mode: str, output_plan: str, run_id: str
 
     analyze returns the plan; dry-run path and diff of each document that would change;
     apply path, hashes and status. apply writes the changed texts to ``target`` and the old ones to
-    ``backup`` as tables (path, text): Spark's commit makes each appear as a whole or not
-    at all. ``on_error`` is told of documents that aren't there.
+    ``backup`` as versioned tables (path, text): each version appears as a whole or not at all, the
+    backup first. ``on_error`` is told of documents that aren't there.
     """
     if mode not in MODES:
         raise ValueError(f"mode {mode!r} is none of {', '.join(MODES)}")
     if mode == "apply" and not (target and backup):
         raise ValueError("apply needs a target and a backup folder")
     docs = files.texts(spark, root, [".md"], [], keep_bad=True)
-    save_plan(findings(docs), output_plan, run_id, mode, root)
+    save_plan(findings(docs), output_plan, run_id, mode, root, docs.select("path").count())
     plan = load_plan(spark, output_plan)
     if mode == "analyze":
         return plan
-    done = apply_plan(docs, plan, only_safe or mode == "dry-run")
     if mode == "dry-run":
+        done = apply_plan(docs, plan, True)
         return sinks.unified_diff(done.filter("status = 'changed'"), "text", "new_text", "path").select("path", "diff")
-    changed = done.filter("status = 'changed'")
-    changed.select("path", "text").write.mode("overwrite").parquet(backup)
-    changed.select("path", F.col("new_text").alias("text")).write.mode("overwrite").parquet(target)
-    out = done.select("path", "hash_before", "hash_after", "status")
-    if on_error:
-        for r in out.filter("status = 'error'").toLocalIterator():
-            on_error(f"{r.path}: not found")
+    return write_changes(docs, selected(plan, "safe" if only_safe else "all"), target, backup, on_error)
+
+
+def write_changes(docs: DataFrame, plan: DataFrame, target: str, backup: str, on_error: Callable[[str], None] | None = None, diff: str | None = None, result: str | None = None) -> DataFrame:
+    """Apply all changes of a plan: path, hash_before, hash_after, status of its documents.
+
+    ``backup`` and then ``target`` get a new version with the old and the new texts of what changes.
+    ``diff`` gets the unified diffs as text, ``result`` the returned rows as JSON lines.
+    """
+    spark = docs.sparkSession
+    done = apply_plan(docs, plan, only_safe=False).persist()
+    try:
+        changed = done.filter("status = 'changed'")
+        versions.Table(spark, backup).refresh(lambda _: changed.select("path", "text"))
+        versions.Table(spark, target).refresh(lambda _: changed.select("path", F.col("new_text").alias("text")))
+        out = done.select("path", "hash_before", "hash_after", "status")
+        if diff:
+            sinks.unified_diff(changed, "text", "new_text", "path").sortWithinPartitions("path").select("diff").write.mode("overwrite").text(diff)
+        if result:
+            out.write.mode("overwrite").json(result)
+        if on_error:
+            for r in out.filter("status = 'error'").toLocalIterator():
+                on_error(f"{r.path}: not found")
+    finally:
+        done.unpersist()
     return out
 
 
+def apply_saved(spark: SparkSession, plan: str, which: str, target: str, backup: str, on_error: Callable[[str], None] | None = None, diff: str | None = None, result: str | None = None) -> DataFrame:
+    """Apply a saved plan, as it was reviewed: the changes of a filter, to the documents below the plan's root."""
+    todo = load_plan(spark, plan)
+    root = todo.select("root").first()
+    if root is None:
+        docs = spark.createDataFrame([], "path string, text string")
+    else:
+        docs = files.texts(spark, root.root, [".md"], [], keep_bad=True)
+    return write_changes(docs, selected(todo, which), target, backup, on_error, diff, result)
+
+
 def plan_summary(plan: DataFrame) -> DataFrame:
     return plan.groupBy("rule_id", "severity", "safe").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("files"))
 

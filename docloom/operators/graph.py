@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.sources import sinks, versions
+
 from . import quality
 
 
@@ -53,11 +55,60 @@ def nodes(docs: DataFrame, sections: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_uid").alias("node_uid"), F.lit("doc").alias("kind"), F.lit(None).cast("string").alias("parent_node_uid"), "title").unionByName(sec)
 
 
-def two_hops(edges: DataFrame) -> DataFrame:
-    """Inferred edges: pairs two steps apart that have no edge of their own. The rule is our own."""
+CELL = 256  # ends of a hub that meet in a cell, on either side
+PREDECESSOR, ALGORITHM = "migrate_edges_manual", "infer_v1"
+
+
+def two_hops(edges: DataFrame, cell: int = CELL) -> DataFrame:
+    """Inferred edges: pairs two steps apart that have no edge of their own. The rule is our own.
+
+    A node's incoming and outgoing edges are dealt into cells of about ``cell`` by ``cell``, each a key of
+    the join: a hub's pairs spread over as many tasks as it has cells, and an edge is sent to a
+    row or column of cells only.
+    """
     e = edges.select("from_node", "to_node").distinct()
-    hop = e.join(e.select(F.col("from_node").alias("to_node"), F.col("to_node").alias("far")), "to_node").select("from_node", F.col("far").alias("to_node")).distinct()
-    return hop.filter("from_node <> to_node").join(e, ["from_node", "to_node"], "left_anti")
+    share = lambda n, c: F.ceil(F.coalesce(n, F.lit(1)) / cell).cast("int").alias(c)
+    into = e.groupBy(F.col("to_node").alias("mid")).agg(F.count(F.lit(1)).alias("n_in"))
+    out = e.groupBy(F.col("from_node").alias("mid")).agg(F.count(F.lit(1)).alias("n_out"))
+    hubs = into.join(out, "mid").select("mid", share(F.col("n_in"), "rows"), share(F.col("n_out"), "columns"))
+    # A node is one cell but for the hubs, so only these are looked up.
+    hubs = hubs.filter("rows > 1 or columns > 1")
+
+    def dealt(mid: str, other: str, own: str, across: str) -> DataFrame:
+        x = e.select(F.col(mid).alias("mid"), F.col(other).alias(other)).join(hubs, "mid", "left").fillna(1, ["rows", "columns"])
+        mine = F.pmod(F.xxhash64(other), F.col(own)).cast("int").alias(own[0])
+        return x.select("mid", other, mine, F.explode(F.sequence(F.lit(0), F.col(across) - 1)).alias(across[0]))
+
+    hop = dealt("to_node", "from_node", "rows", "columns").join(dealt("from_node", "to_node", "columns", "rows"), ["mid", "r", "c"])
+    pairs = hop.filter("from_node <> to_node").select("from_node", "to_node").distinct()
+    return pairs.join(e, ["from_node", "to_node"], "left_anti")
+
+
+def gate(log: DataFrame, kind: str) -> str | None:
+    """Why a stage may not run after ``kind``: its last row of the run log is missing or a failure. Null if it may."""
+    last = log.filter(F.col("kind") == kind).orderBy(F.desc("ran_at_utc"), F.desc("sync_id")).select("status").first()
+    if last is None:
+        return f"missing sync_runs kind={kind}"
+    return f"sync_runs kind={kind} status={last.status}" if last.status == "FAIL" else None
+
+
+def infer_edges(spark: SparkSession, edges: DataFrame, log: str, target: str, run_id: str, ran_at: str) -> DataFrame | None:
+    """The stage that infers edges: gated on the run log, its result a version of ``target``, its own row in the log.
+
+    If the predecessor isn't in the log, or failed, nothing is written and the row is a WARN with
+    ``skip: gate:`` and why. Else it is OK with the gate, the number of new edges and the algorithm;
+    FAIL if the work fails, and ``target`` keeps its former version.
+    """
+    why = gate(sinks.read_log(spark, log), PREDECESSOR)
+    with sinks.logged(spark, run_id, ran_at, "graph_edges_inferred", log) as say:
+        if why:
+            say.skip(f"skip: gate: {why}")
+            return None
+        table = versions.Table(spark, target)
+        table.refresh(lambda _: two_hops(edges).withColumn("source", F.lit(ALGORITHM)))
+        found = table.read()
+        say.note(f"gate=ok inserted_total={found.count()} algorithm={ALGORITHM}")
+    return found
 
 
 def influence(edges: DataFrame) -> DataFrame:

@@ -46,12 +46,19 @@ def resolve(links: DataFrame, sections: DataFrame, overrides: DataFrame | None =
     return x.select("id", uid.alias("to_uid"), "method", conf.alias("confidence"))
 
 
-def both_ends(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Links of which both ends are resolved: the smaller confidence; ``mixed`` if the methods differ; notes if the context decided."""
+def both_ends(a: DataFrame, b: DataFrame, links: DataFrame) -> DataFrame:
+    """Links of which both ends are resolved: the smaller confidence; ``mixed`` if the methods differ; notes: the context document if it decided.
+
+    a, b: resolved origins and targets (id, to_uid, method, confidence); links (id, context_doc_uid; of those with
+    from_type and to_type only links between sections count).
+    """
     x = a.filter("to_uid is not null").select("id", F.col("to_uid").alias("from_uid"), F.col("method").alias("m1"), F.col("confidence").alias("c1"))
     y = b.filter("to_uid is not null").select("id", "to_uid", F.col("method").alias("m2"), F.col("confidence").alias("c2"))
-    both = x.join(y, "id").select("id", "from_uid", "to_uid", F.when(F.col("m1") == F.col("m2"), F.col("m1")).otherwise("mixed").alias("method"), F.least("c1", "c2").alias("confidence"))
-    return both.withColumn("notes", F.when(F.col("method") == "context_doc", "context document"))
+    for kind in {"from_type", "to_type"} & set(links.columns):
+        links = links.filter(F.col(kind) == "section")
+    both = x.join(y, "id").join(links.select("id", "context_doc_uid"), "id")
+    method = F.when(F.col("m1") == F.col("m2"), F.col("m1")).otherwise("mixed")
+    return both.select("id", "from_uid", "to_uid", method.alias("method"), F.least("c1", "c2").alias("confidence"), F.when(method == "context_doc", F.col("context_doc_uid")).alias("notes"))
 
 
 def label_audit(links: DataFrame, sections: DataFrame) -> DataFrame:

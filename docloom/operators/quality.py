@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from docloom.functions import text as T
@@ -18,13 +14,19 @@ REQUIRED = ("metadane", "cel dokumentu", "fazy cyklu życia", "szybkie powiązan
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, line_no (from 1), line."""
-    return docs.select(key, F.posexplode(F.split(text, "\n"))).select(key, (F.col("pos") + 1).alias("line_no"), F.col("col").alias("line"))
+    return docs.select(key, F.posexplode(T.splitlines(text))).select(key, (F.col("pos") + 1).alias("line_no"), F.col("col").alias("line"))
+
 
+#: Fixed value: a line that is a heading, its marks and its text (which may be empty).
+HEADING = r"(?U)^(#{1,6})\s+(.*)$"
 
-def headings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Headings with level, text, line, end line, anchor, ordinal among equal anchors, and the path of headings above."""
-    x = lines(docs, key).withColumn("n_lines", F.max("line_no").over(Window.partitionBy(key)))
-    x = x.filter(F.col("line").rlike(r"^#{1,6}\s+\S")).select(key, "line_no", "n_lines", F.length(F.regexp_extract("line", "^(#+)", 1)).alias("level"), F.trim(F.regexp_extract("line", r"^#+\s+(.*)$", 1)).alias("heading"))
+
+def headings(docs: DataFrame, key: str = "doc_id", empty: bool = True) -> DataFrame:
+    """Headings (those without a text too, if ``empty``) with level, text, line, end line (the line before the next heading, else the last), anchor, ordinal among equal anchors, and the path of headings above."""
+    x = docs.select(key, T.splitlines("text").alias("ls")).select(key, F.size("ls").alias("n_lines"), F.posexplode("ls").alias("line_no", "line"))
+    x = x.filter(F.col("line").rlike(HEADING)).select(key, (F.col("line_no") + 1).alias("line_no"), "n_lines", F.length(F.regexp_extract("line", HEADING, 1)).alias("level"), T.strip(F.regexp_extract("line", HEADING, 2)).alias("heading"))
+    if not empty:
+        x = x.filter("heading <> ''")
     w = Window.partitionBy(key).orderBy("line_no")
     x = x.withColumn("end_line", F.coalesce(F.lead("line_no").over(w) - 1, F.col("n_lines"))).withColumn("anchor", T.slug_section(F.col("heading")))
     x = x.withColumn("ordinal", F.row_number().over(Window.partitionBy(key, "anchor").orderBy("line_no")))
@@ -41,6 +43,22 @@ def headings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return x.select(key, "line_no", "end_line", "level", "heading", "anchor", "ordinal", path.alias("heading_path"))
 
 
+def sections(docs: DataFrame, key: str = "doc_uid", rebuilt: bool = False) -> DataFrame:
+    """The section table of Markdown texts: section_uid, key, start_line, end_line, level, heading, heading_norm, anchor, ordinal, heading_path, status.
+
+    A section reaches to the line before the next heading, whatever its level. Its status is that of
+    its body, the lines below its heading. ``rebuilt`` has the rules by which single documents are done anew: marks without a
+    text are no headings, and a section is a placeholder by fewer signs and else unknown.
+    """
+    heads = headings(docs.select(key, "text"), key, not rebuilt)
+    judge = T.rebuilt_status if rebuilt else T.placeholder_status
+    own = F.collect_list(F.struct("line_no", "end_line", "level", "heading", "anchor", "ordinal", "heading_path")).alias("s")
+    x = docs.select(key, T.splitlines("text").alias("ls")).join(heads.groupBy(key).agg(own), key)
+    body = lambda s: F.array_join(F.slice(F.col("ls"), s["line_no"] + 1, s["end_line"] - s["line_no"]), "\n")
+    x = x.select(key, F.explode(F.transform("s", lambda s: F.struct(s.alias("s"), judge(T.strip(body(s))).alias("status")))).alias("x")).select(key, "x.s.*", "x.status")
+    return x.select(T.section_uid(F.col(key), F.col("anchor"), F.col("ordinal")).alias("section_uid"), key, F.col("line_no").alias("start_line"), "end_line", "level", "heading", T.heading_norm(F.col("heading")).alias("heading_norm"), "anchor", "ordinal", "heading_path", "status")
+
+
 def short_paths(docs: DataFrame, key: str = "doc_id", title: str = "title", text: str = "text") -> DataFrame:
     """Second- and third-level headings with their path: the first top heading (else the title), the last second-level one, the heading."""
     top = F.trim(F.regexp_extract(text, r"(?m)^#[ \t]+([^\n]+)$", 1))
@@ -52,29 +70,23 @@ def short_paths(docs: DataFrame, key: str = "doc_id", title: str = "title", text
     return x.withColumn("above", above).select(key, (F.col("line_no") + 1).alias("line_no"), "level", "heading", path.alias("heading_path"), "anchor")
 
 
+LEVELS = range(13)
+
+
 def parents(sections: DataFrame) -> DataFrame:
-    """doc_uid, ordinal, level -> ordinal of the nearest section above with a lower level (null: the document) and kind."""
-    x = sections.select("doc_uid", "ordinal", "level")
-    schema = StructType([*x.schema.fields, StructField("parent", x.schema["ordinal"].dataType)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, open_ = None, []  # the sections above that may still be parents, by rising level
-        for batch in batches:
-            out = []
-            for d, o, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if d != doc:
-                    doc, open_ = d, []
-                if v is None:
-                    out.append(None)
-                    continue
-                while open_ and open_[-1][0] >= v:
-                    open_.pop()
-                out.append(open_[-1][1] if open_ else None)
-                open_.append((v, o))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, batch.column(1).type)], names=schema.names)
-
-    found = x.repartition("doc_uid").sortWithinPartitions("doc_uid", "ordinal").mapInArrow(run, schema)
-    return found.select("doc_uid", "ordinal", "level", "parent", F.when(F.col("level") == 2, "sec").otherwise("subsec").alias("kind"))
+    """doc_uid, ordinal, level -> ordinal of the nearest section above with a lower level (null: the document) and kind.
+
+    The last section of each level is carried along an ordered window; of the lower ones the
+    greatest ordinal is the parent. A section without a level has no parent and is none; levels
+    beyond 12 are an error.
+    """
+    above = Window.partitionBy("doc_uid").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    level = F.col("level")
+    known = F.when(level.isNull() | level.between(LEVELS[0], LEVELS[-1]), level).otherwise(F.raise_error(F.format_string("no heading has level %s", level.cast("string"))))
+    last = {f"__{k}": F.max(F.when(level == k, F.col("ordinal"))).over(above) for k in LEVELS}
+    lower = [F.when(level > k, F.col(f"__{k}")) for k in LEVELS]
+    x = sections.select("doc_uid", "ordinal", known.alias("level")).withColumns(last)
+    return x.select("doc_uid", "ordinal", "level", F.greatest(*lower).alias("parent"), F.when(level == 2, "sec").otherwise("subsec").alias("kind"))
 
 
 #: What makes a line a checkbox, a bullet, part of a table, a link, and a phase.
@@ -87,12 +99,68 @@ LINES = {
 }
 
 
+def _marks(line: Column) -> Column:
+    """What a line adds to a section's metrics."""
+    return F.struct(F.length(line).cast("long").alias("chars"), F.lit(1).cast("long").alias("lines"), *(line.rlike(p).cast("long").alias(n) for n, p in LINES.items()))
+
+
+METRICS = ("chars", "lines", *LINES)
+
+
+def _total(marks: Column) -> Column:
+    zero = F.struct(*(F.lit(0).cast("long").alias(m) for m in METRICS))
+    return F.aggregate(marks, zero, lambda a, x: F.struct(*((a[m] + x[m]).alias(m) for m in METRICS)))
+
+
 def line_metrics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """chars, lines, and how many lines are of each kind in LINES; counted in place without exploding."""
-    ls = F.split(F.col(text), "\n")
-    count = lambda p: F.size(F.filter("ls", lambda x: x.rlike(p))).cast("long")
-    counts = [count(p).alias(name) for name, p in LINES.items()]
-    return docs.select(key, text, ls.alias("ls")).select(key, F.length(text).cast("long").alias("chars"), F.size("ls").cast("long").alias("lines"), *counts)
+    """chars (without line ends), lines, and how many lines are of each kind in LINES, of whole documents; counted in place without exploding."""
+    return docs.select(key, _total(F.transform(T.splitlines(text), _marks)).alias("m")).select(key, "m.*")
+
+
+def section_metrics(sections: DataFrame, docs: DataFrame, key: str = "doc_uid") -> DataFrame:
+    """section_uid, key and the metrics of a section's lines, from its start line to its end line.
+
+    sections (section_uid, key, start_line, end_line), docs (key, text). A missing start is the first line; a
+    missing end, 0 or one beyond the text is the last. Each document is cut into lines once; its
+    sections are slices of these, so neither lines nor texts are repeated by section. Sections
+    without a document have no metrics.
+    """
+    own = F.collect_list(F.struct("section_uid", F.coalesce("start_line", F.lit(0)).alias("a"), F.coalesce("end_line", F.lit(0)).alias("b"))).alias("s")
+    # Sorted, so that the join needs no further shuffle of the sections; texts move once.
+    x = docs.select(key, F.col("text")).join(sections.groupBy(key).agg(own), key)
+    x = x.select(key, "s", F.transform(T.splitlines("text"), _marks).alias("m"))
+
+    def of(s: Column) -> Column:
+        first = F.greatest(s["a"], F.lit(1))
+        last = F.when(s["b"] == 0, F.size("m")).otherwise(F.least(s["b"], F.size("m")))
+        return F.struct(s["section_uid"].alias("section_uid"), _total(F.slice("m", first, F.greatest(last - first + 1, F.lit(0)))).alias("m"))
+
+    return x.select(key, F.explode(F.transform("s", of)).alias("x")).select("x.section_uid", key, "x.m.*")
+
+
+def document_rollup(docs: DataFrame, sections: DataFrame, metrics: DataFrame, edges: DataFrame | None = None, unresolved: int = 0, key: str = "doc_uid") -> DataFrame:
+    """One row per document with a text: sections, placeholders, checkboxes, phase_bullets, missing_required, links_without_rationale, unresolved.
+
+    docs (key, origin, text); sections (section_uid, key, status, heading_norm); metrics of them. ``edges`` (from_kind, from_uid,
+    strength, rationale): required ones of documents without a reason are counted. ``unresolved`` is one number for all.
+    Required headings are asked of origin ``core`` alone; a heading that begins with one counts.
+    """
+    c = F.col
+    begins = [F.max(c("heading_norm").startswith(r)).alias(f"r{i}") for i, r in enumerate(REQUIRED)]
+    x = sections.join(metrics.select("section_uid", key, "checkboxes", "phases"), ["section_uid", key], "left")
+    own = x.groupBy(key).agg(F.count(F.lit(1)).alias("sections"), F.count_if(c("status") == "placeholder").alias("placeholders"), F.sum("checkboxes").alias("checkboxes"), F.sum("phases").alias("phase_bullets"), *begins)
+    out = docs.filter("text is not null").select(key, "origin").join(own, key, "left")
+    if edges is None:
+        out = out.withColumn("bare", F.lit(0))
+    else:
+        bare = edges.filter((c("from_kind") == "doc") & (c("strength") == "required") & (F.trim(F.coalesce("rationale", F.lit(""))) == "")).groupBy(c("from_uid").alias(key)).agg(F.count(F.lit(1)).alias("bare"))
+        out = out.join(bare, key, "left")
+    lacking = F.lit(len(REQUIRED)) - sum((F.coalesce(c(f"r{i}"), F.lit(False)).cast("int") for i in range(len(REQUIRED))), F.lit(0))
+    count = lambda n, as_: F.coalesce(n, F.lit(0)).cast("long").alias(as_)
+    return out.select(
+        key, "origin", *(count(n, n) for n in ("sections", "placeholders", "checkboxes", "phase_bullets")),
+        F.when(T.profile_of(c("origin")) == "core", lacking).otherwise(0).cast("long").alias("missing_required"), count("bare", "links_without_rationale"), F.lit(unresolved).cast("long").alias("unresolved"),
+    )
 
 
 def section_score(m: DataFrame) -> DataFrame:
@@ -104,22 +172,32 @@ def section_score(m: DataFrame) -> DataFrame:
 
 
 def required_coverage(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """How many of the required headings a document has, and how many it lacks."""
-    hs = F.transform(F.regexp_extract_all(F.col("text"), F.lit(r"(?m)^#{1,6}[ \t]+([^\n]+)$"), F.lit(1)), T.heading_norm)
-    n = F.size(F.array_intersect(F.array(*map(F.lit, REQUIRED)), F.col("hs"))).cast("long")
-    return docs.select(key, hs.alias("hs")).select(key, n.alias("n_required"), (F.lit(len(REQUIRED)) - n).alias("n_missing"))
+    """How many of the required headings a document has, a longer heading that begins with one counting, and how many it lacks.
+
+    Where docs has an ``origin``, they are asked of the core documents alone: others lack none.
+    """
+    heads = F.filter(T.splitlines("text"), lambda x: x.rlike(HEADING))
+    hs = F.transform(heads, lambda x: T.heading_norm(F.regexp_extract(x, HEADING, 2)))
+    begun = lambda r: F.exists("hs", lambda h: h.startswith(r)).cast("long")
+    n = sum(map(begun, REQUIRED), F.lit(0).cast("long"))
+    asked = T.profile_of(F.col("origin")) == "core" if "origin" in docs.columns else F.lit(True)
+    return docs.select(key, hs.alias("hs"), asked.alias("asked")).select(key, n.alias("n_required"), F.when(F.col("asked"), F.lit(len(REQUIRED)) - n).otherwise(0).alias("n_missing"))
 
 
 def edge_health(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """edges (id, to_uid, strength, rationale; source if there is one) -> status and reasons against the existing nodes (uid).
+    """edges (id, to_uid, strength, rationale; to_kind and source if there are) -> status and reasons against the existing nodes (uid; kind if there is one).
 
-    Content links hold raw references, so they are unresolved (warn) and their targets aren't looked for.
+    With kinds, a target is looked for among the documents or the sections as its edge says, and
+    targets of other kinds aren't looked for. Nor are those of content links: they hold raw references, so they are unresolved (warn).
     """
-    x = edges.join(nodes.select(F.col("uid").alias("to_uid")).distinct().withColumn("there", F.lit(True)), "to_uid", "left")
+    kinds = "to_kind" in edges.columns and "kind" in nodes.columns
+    there = nodes.select(F.col("uid").alias("to_uid"), *([F.col("kind").alias("to_kind")] if kinds else [])).distinct().withColumn("there", F.lit(True))
+    x = edges.join(there, ["to_uid", "to_kind"] if kinds else ["to_uid"], "left")
     raw = F.col("source") == "content_links" if "source" in edges.columns else F.lit(False)
+    looked = F.coalesce(F.col("to_kind").isin("doc", "section"), F.lit(False)) if kinds else F.lit(True)
     blank = F.trim(F.coalesce("rationale", F.lit(""))) == ""
-    missing, blocked, weak = ~raw & F.col("there").isNull(), blank & (F.col("strength") == "blocking"), blank & (F.col("strength") == "required")
-    reasons = F.array(F.when(raw, "unresolved_content_link"), F.when(missing, "missing_target"), F.when(blocked | weak, "missing_rationale"))
+    missing, blocked, weak = ~raw & looked & F.col("there").isNull(), blank & (F.col("strength") == "blocking"), blank & (F.col("strength") == "required")
+    reasons = F.array(F.when(raw, "CONTENT_LINK_UNRESOLVED"), F.when(missing, "TARGET_MISSING"), F.when(blocked | weak, "MISSING_RATIONALE"))
     return x.select("id", F.when(missing | blocked, "fail").when(raw | weak, "warn").otherwise("ok").alias("status"), F.array_join(F.array_compact(reasons), ",").alias("reasons"))
 
 

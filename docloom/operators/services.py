@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import hmac
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
@@ -128,15 +130,57 @@ def contract(contracts: DataFrame, uid: str) -> DataFrame:
     return own.select("scope_uid", "version", *(T.json_list(c).alias(c[:-5]) for c in ("inputs_json", "outputs_json", "gates_json", "impact_json") if c in contracts.columns))
 
 
+def templates_of(mapping: DataFrame, standard: str | None = None, least: float = 0.0) -> DataFrame:
+    x = mapping.filter(F.col("confidence") >= least)
+    return x.filter(F.col("standard_code") == standard) if standard is not None else x
+
+
 def templates(mapping: DataFrame, standard: str | None = None, least: float = 0.0, limit: int = LIMIT, offset: int = 0) -> DataFrame:
     """A page of mapped documents by confidence; ties by the other columns."""
     if not LEAST_LIMIT <= limit <= MOST_LIMIT or offset < 0:
         raise ValueError(f"limit must be {LEAST_LIMIT} to {MOST_LIMIT}, offset 0 or more")
-    x = mapping.filter(F.col("confidence") >= least)
-    x = x.filter(F.col("standard_code") == standard) if standard is not None else x
+    x = templates_of(mapping, standard, least)
     return x.orderBy(F.desc("confidence"), "doc_path", "standard_code", "match_reason").offset(offset).limit(limit)
 
 
+#: How pages of mapped documents are ordered: columns, and whether the greatest come first (nulls last) or the least (nulls first).
+BY_CONFIDENCE = (("confidence", True), ("doc_path", False), ("standard_code", False), ("match_reason", False))
+
+
+def page_after(df: DataFrame, order: tuple[tuple[str, bool], ...], limit: int = LIMIT, after: str | None = None) -> tuple[list[Row], str | None]:
+    """A page of at most ``limit`` rows and the cursor of what follows (null at the end).
+
+    The cursor holds the order key of the last row and how many rows with that key were given, so
+    rows that tie are neither lost nor repeated. A page is the top of what isn't before the cursor:
+    no page is sorted through to reach the next, and the filter goes to the scan.
+    """
+    if not LEAST_LIMIT <= limit <= MOST_LIMIT:
+        raise ValueError(f"limit must be {LEAST_LIMIT} to {MOST_LIMIT}")
+    key, seen = None, 0
+    if after:
+        try:
+            key, seen = json.loads(base64.urlsafe_b64decode(after.encode()))
+            if len(key) != len(order) or seen < 1:
+                raise ValueError
+        except (ValueError, TypeError) as e:
+            raise ValueError("bad cursor") from e
+        same, later = F.lit(True), F.lit(False)
+        for (c, down), v in zip(order, key, strict=True):
+            at = F.lit(v).cast(df.schema[c].dataType)
+            beyond = (F.col(c).isNotNull() if v is None else F.col(c) > at) if not down else (F.lit(False) if v is None else F.col(c).isNull() | (F.col(c) < at))
+            later |= same & beyond
+            same &= F.col(c).isNull() if v is None else F.coalesce(F.col(c) == at, F.lit(False))
+        df = df.filter(later | same)
+    by = [F.desc_nulls_last(c) if down else F.asc_nulls_first(c) for c, down in order]
+    rows = df.orderBy(*by).limit(seen + limit + 1).collect()[seen:]
+    more, rows = len(rows) > limit, rows[:limit]
+    if not more:
+        return rows, None
+    last = [rows[-1][c] for c, _ in order]
+    given = sum([r[c] for c, _ in order] == last for r in rows)
+    return rows, base64.urlsafe_b64encode(json.dumps([last, given + (seen if last == key else 0)], default=str).encode()).decode()
+
+
 def mappings_of(mapping: DataFrame, path: str) -> DataFrame:
     return mapping.filter(F.col("doc_path") == path).orderBy("standard_code", "match_reason")
 

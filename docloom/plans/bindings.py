@@ -80,6 +80,18 @@ def markdown(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "part").select(k.alias("doc_id"), _path("p_partkey").alias("path"), text.alias("text"))
 
 
+def notes(spark, sf_dir) -> DataFrame:
+    """doc_uid, origin, text: whole documents below and above headings, with every kind of line end, with and without a last one."""
+    k, lit = F.col("doc_id"), F.lit
+    head = F.concat(lit("# T"), k.cast("string"), lit("\r\n## Cel dokumentu i zakres\n"))
+    tail = F.concat(
+        lit("\u2028- [ ] done\n### 1. Metadane dokumentu\u0085* item\n##  \n| a | b |\n- Faza 1: plan\rsee https://x.y and [a](b)"),
+        F.when(k % 5 == 0, "\n\n## Fazy cyklu \u017cycia\ntodo\x0c").when(k % 2 == 0, "\n").when(k % 7 == 0, "\r\n\n").otherwise(""),
+    )
+    origin = F.when(k % 3 == 0, "core").when(k % 3 == 1, "imported_template").otherwise("other")
+    return read(spark, sf_dir, "documents").select(k.cast("string").alias("doc_uid"), origin.alias("origin"), F.concat(head, F.coalesce("text", lit("")), tail).alias("text"))
+
+
 def _uid(key) -> F.Column:
     return F.upper(F.substring(F.sha2(F.concat(F.lit("D"), key.cast("string")).cast("binary"), 256), 1, 26))
 
@@ -129,6 +141,7 @@ def refs(spark, sf_dir) -> DataFrame:
 
 #: The same as DuckDB common table expressions.
 SQL = {
+    "notes": "notes AS (SELECT doc_id::VARCHAR AS doc_uid, CASE doc_id % 3 WHEN 0 THEN 'core' WHEN 1 THEN 'imported_template' ELSE 'other' END AS origin, '# T' || doc_id || chr(13) || chr(10) || '## Cel dokumentu i zakres' || chr(10) || coalesce(text, '') || chr(8232) || '- [ ] done' || chr(10) || '### 1. Metadane dokumentu' || chr(133) || '* item' || chr(10) || '##  ' || chr(10) || '| a | b |' || chr(10) || '- Faza 1: plan' || chr(13) || 'see https://x.y and [a](b)' || CASE WHEN doc_id % 5 = 0 THEN chr(10) || chr(10) || '## Fazy cyklu życia' || chr(10) || 'todo' || chr(12) WHEN doc_id % 2 = 0 THEN chr(10) WHEN doc_id % 7 = 0 THEN chr(13) || chr(10) || chr(10) ELSE '' END AS text FROM documents)",
     "docs": "docs AS (SELECT 'D' || p_partkey AS doc_uid, p_name AS title, CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 19 = 0 THEN 'ORPHAN' ELSE 'core/g' || (p_partkey % 7) || '/' || p_partkey || '.md' END AS path, CASE p_partkey % 3 WHEN 0 THEN 'core' WHEN 1 THEN 'imported_template' ELSE 'other' END AS origin FROM part)",
     "mapping": "mapping AS (SELECT 'core/g' || (l_partkey % 7) || '/' || l_partkey || '.md' AS doc_path, 'STD-' || (l_suppkey % 25) AS standard_code, l_returnflag AS match_reason, CASE WHEN l_tax <> 0 THEN l_discount * 10 END AS confidence FROM lineitem)",
     "standards": "standards AS (SELECT 'STD-' || s_suppkey AS standard_code, s_name AS standard_name FROM supplier)",

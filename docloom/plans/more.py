@@ -31,8 +31,8 @@ def _sides(f, x):
 
 
 query("j10_j11_references", _with("refs usections", _RESOLVED, "SELECT * FROM out"))(lambda s, d: _sides(lambda r: links.resolve_refs(r, B.usections(s, d)), B.refs(s, d)))
-query("j13_both_ends_of_references", _with("refs usections", _RESOLVED, "SELECT a.id, a.to_uid AS from_uid, b.to_uid, CASE WHEN a.method = b.method THEN a.method ELSE 'mixed' END AS method, least(a.confidence, b.confidence) AS confidence, CASE WHEN a.method = 'context_doc' AND b.method = 'context_doc' THEN 'context document' END AS notes FROM out a JOIN out b ON a.id = b.id AND a.side = 'from' AND b.side = 'to' WHERE a.to_uid IS NOT NULL AND b.to_uid IS NOT NULL"))(
-    lambda s, d: links.both_ends(*(links.resolve_refs(B.refs(s, d).select("id", F.col(c).alias("ref"), "context_doc_uid"), B.usections(s, d)) for c in ("from_ref", "to_ref")))
+query("j13_both_ends_of_references", _with("refs usections", _RESOLVED, "SELECT a.id, a.to_uid AS from_uid, b.to_uid, CASE WHEN a.method = b.method THEN a.method ELSE 'mixed' END AS method, least(a.confidence, b.confidence) AS confidence, CASE WHEN a.method = 'context_doc' AND b.method = 'context_doc' THEN context_doc_uid END AS notes FROM out a JOIN out b ON a.id = b.id AND a.side = 'from' AND b.side = 'to' JOIN refs r ON r.id = a.id AND from_type = 'section' AND to_type = 'section' WHERE a.to_uid IS NOT NULL AND b.to_uid IS NOT NULL"))(
+    lambda s, d: links.both_ends(*(links.resolve_refs(B.refs(s, d).select("id", F.col(c).alias("ref"), "context_doc_uid"), B.usections(s, d)) for c in ("from_ref", "to_ref")), B.refs(s, d))
 )
 query("j14_titled_references", _with("refs udocs usections", _ENDS, "SELECT e.id, e.side, s.section_uid AS to_uid, CASE WHEN u IS NULL THEN 'missing_doc' WHEN s.section_uid IS NULL THEN 'missing_section' ELSE 'context_doc' END AS method, CASE WHEN s.section_uid IS NULL THEN 0.0::DOUBLE ELSE 0.85::DOUBLE END AS confidence FROM (SELECT id, side, lower(trim(regexp_extract(ref, '^document::(.+?)::section::', 1))) AS t, replace(lower(trim(regexp_extract(ref, '::section::(.+)$', 1))), ' ', '-') AS a FROM ends WHERE ref ILIKE 'document::%::section::%') e LEFT JOIN (SELECT lower(title) AS t, min(doc_uid) AS u FROM udocs GROUP BY 1) USING (t) LEFT JOIN (SELECT doc_uid, anchor, max(section_uid) AS section_uid FROM usections GROUP BY 1, 2) s ON s.doc_uid = u AND anchor = a"))(
     lambda s, d: _sides(lambda r: links.resolve_titled(r, B.udocs(s, d), B.usections(s, d)), B.refs(s, d))
@@ -90,7 +90,7 @@ query("x2_x3_x4_anchors", "SELECT p_partkey, replace(lower(p_name), ' ', '-') AS
 query("x27_line_similarity", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS ratio FROM part")(
     lambda s, d: B.read(s, d, "part").select("p_partkey", U.line_similarity(F.concat("p_name", F.lit("\nb")), F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit("\nb"))).when(F.col("p_partkey") % 3 == 1, F.lit("c\nd")).otherwise(F.concat("p_name", F.lit("\nc")))).alias("ratio"))
 )
-_HEADINGS = r"WITH_VIEW, h AS (SELECT doc_id, i::INT AS line_no, len(l) AS n_lines, length(regexp_extract(l[i], '^(#+)', 1))::INT AS level, trim(regexp_extract(l[i], '^#+ (.*)$', 1)) AS heading, p_name AS h1 FROM (SELECT doc_id, p_name, string_split(text, chr(10)) AS l FROM markdown JOIN part ON p_partkey = doc_id), unnest(range(1, len(l) + 1)) AS u(i) WHERE regexp_matches(l[i], '^#{1,6} \S')), a AS (SELECT *, regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(lower(heading), '^(\d+\. )+', ''), '\s+', ' ', 'g'), '[^a-z0-9 -]', '', 'g'), ' ', '-'), '^-+|-+$', '', 'g') AS anchor, CASE WHEN level = 1 THEN heading WHEN level = 2 THEN h1 || ' > ' || heading ELSE h1 || ' > ' || last_value(CASE WHEN level = 2 THEN heading END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) || ' > ' || heading END AS heading_path FROM h) SELECT doc_id, line_no, lead(line_no - 1, 1, n_lines) OVER (PARTITION BY doc_id ORDER BY line_no)::INT AS end_line, level, heading, anchor, row_number() OVER (PARTITION BY doc_id, anchor ORDER BY line_no)::INT AS ordinal, heading_path FROM a"
+_HEADINGS = r"WITH_VIEW, h AS (SELECT doc_id, i::INT AS line_no, len(l) AS n_lines, length(regexp_extract(l[i], '^(#+)', 1))::INT AS level, trim(regexp_extract(l[i], '^#+ (.*)$', 1)) AS heading, p_name AS h1 FROM (SELECT doc_id, p_name, string_split(rtrim(text, chr(10)), chr(10)) AS l FROM markdown JOIN part ON p_partkey = doc_id), unnest(range(1, len(l) + 1)) AS u(i) WHERE regexp_matches(l[i], '^#{1,6} \S')), a AS (SELECT *, regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(lower(heading), '^(\d+\. )+', ''), '\s+', ' ', 'g'), '[^a-z0-9 -]', '', 'g'), ' ', '-'), '^-+|-+$', '', 'g') AS anchor, CASE WHEN level = 1 THEN heading WHEN level = 2 THEN h1 || ' > ' || heading ELSE h1 || ' > ' || last_value(CASE WHEN level = 2 THEN heading END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) || ' > ' || heading END AS heading_path FROM h) SELECT doc_id, line_no, lead(line_no - 1, 1, n_lines) OVER (PARTITION BY doc_id ORDER BY line_no)::INT AS end_line, level, heading, anchor, row_number() OVER (PARTITION BY doc_id, anchor ORDER BY line_no)::INT AS ordinal, heading_path FROM a"
 query("w1_w4_headings", _HEADINGS.replace("WITH_VIEW", V("markdown", "").rstrip()))(lambda s, d: quality.headings(B.markdown(s, d)))
 
 # Sections and their contracts ------------------------------------------------------------------
@@ -106,7 +106,7 @@ def _contracts(s, d):
 
 
 query("j1_x42_r18_scan_sections", "SELECT k::VARCHAR AS section_uid, (CASE WHEN l = 0 THEN 0 ELSE greatest(100 - CASE WHEN p THEN 40 ELSE 0 END - CASE WHEN l < 3 THEN 20 ELSE 0 END - CASE WHEN g THEN 10 ELSE 0 END, 0) END)::BIGINT AS score, CASE WHEN l = 0 THEN 'needs_structure' WHEN p OR l < 3 OR g THEN 'needs_content' ELSE 'ok' END AS status FROM (SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_partkey % 6 END AS l, p_partkey % 5 = 0 AS p, CASE WHEN p_partkey % 6 = 0 THEN (CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_partkey % 4 END) < 2 WHEN p_partkey % 3 = 0 THEN FALSE WHEN p_brand < 'Brand#2' THEN (CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_partkey % 4 END) < 1 ELSE FALSE END AS g FROM part)")(lambda s, d: quality.scan_sections(*_contracts(s, d)))
-over("r20_content_link_health", "refs", lambda x: quality.edge_health(links.raw_edges(x.withColumns({"rationale": F.when(F.col("id") % 4 != 0, "why"), "direction": F.lit("x")})).withColumnRenamed("source_row_id", "id"), x.select(F.lit("none").alias("uid")).limit(0)).groupBy("status", "reasons").agg(F.count(F.lit(1)).alias("n")), "SELECT 'warn' AS status, CASE WHEN required = 1 AND id % 4 = 0 THEN 'unresolved_content_link,missing_rationale' ELSE 'unresolved_content_link' END AS reasons, count(*) AS n FROM refs GROUP BY 2")
+over("r20_content_link_health", "refs", lambda x: quality.edge_health(links.raw_edges(x.withColumns({"rationale": F.when(F.col("id") % 4 != 0, "why"), "direction": F.lit("x")})).withColumnRenamed("source_row_id", "id"), x.select(F.lit("none").alias("uid")).limit(0)).groupBy("status", "reasons").agg(F.count(F.lit(1)).alias("n")), "SELECT 'warn' AS status, CASE WHEN required = 1 AND id % 4 = 0 THEN 'CONTENT_LINK_UNRESOLVED,MISSING_RATIONALE' ELSE 'CONTENT_LINK_UNRESOLVED' END AS reasons, count(*) AS n FROM refs GROUP BY 2")
 
 
 def _graph_sections(s, d):
@@ -202,7 +202,7 @@ over("j33_label_audit_keys", "refs usections", lambda x, sc: links.label_audit(x
 query("j21_map_controls", "WITH d AS (SELECT 'a/' || replace(p_name, ' ', '_') || '.md' AS path, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda t: length(t) > 2)) AS x FROM part GROUP BY ALL), c AS (SELECT CASE WHEN p_size % 2 = 0 THEN 'E' ELSE 'O' END AS standard_code, p_partkey AS seq, p_partkey::VARCHAR AS control_id, list_distinct(list_filter(string_split(lower(p_name || ' ' || p_type), ' '), lambda t: length(t) > 2)) AS y FROM part WHERE p_size < 10), s AS (SELECT path, standard_code, control_id, seq, len(list_intersect(x, y))::DOUBLE / len(list_distinct(x || y)) AS s FROM d, c) SELECT path, standard_code, control_id, round_even(s, 4) AS confidence, row_number() OVER (PARTITION BY path, standard_code ORDER BY s DESC, seq)::INT AS rank FROM s WHERE s >= 0.3 QUALIFY rank <= 5")(
     lambda s, d: matching.map_controls(B.read(s, d, "part").select(F.concat(F.lit("a/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".md")).alias("path"), F.lit(None).cast("string").alias("title")).distinct(), B.read(s, d, "part").filter("p_size < 10").select(F.when(F.col("p_size") % 2 == 0, "E").otherwise("O").alias("standard_code"), F.col("p_partkey").alias("seq"), F.col("p_partkey").cast("string").alias("control_id"), F.concat_ws(" ", "p_name", "p_type").alias("title")), 0.3)
 )
-query("w4_short_paths", V("markdown", r"SELECT doc_id, i::INT AS line_no, level, heading, CASE WHEN level = 2 THEN p_name || ' > ' || heading ELSE p_name || ' > ' || above || ' > ' || heading END AS heading_path, regexp_replace(replace(regexp_replace(lower(heading), '[^a-z0-9 -]', '', 'g'), ' ', '-'), '-+', '-', 'g') AS anchor FROM (SELECT *, last_value(CASE WHEN level = 2 THEN heading END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS above FROM (SELECT doc_id, p_name, i, length(regexp_extract(l[i], '^(#+)', 1))::INT AS level, trim(regexp_extract(l[i], '^#+ (.*)$', 1)) AS heading FROM (SELECT doc_id, p_name, string_split(text, chr(10)) AS l FROM markdown JOIN part ON p_partkey = doc_id), unnest(range(1, len(l) + 1)) AS u(i) WHERE regexp_matches(l[i], '^#{2,3} ')))"))(lambda s, d: quality.short_paths(B.markdown(s, d).withColumn("title", F.lit("none"))))
+query("w4_short_paths", V("markdown", r"SELECT doc_id, i::INT AS line_no, level, heading, CASE WHEN level = 2 THEN p_name || ' > ' || heading ELSE p_name || ' > ' || above || ' > ' || heading END AS heading_path, regexp_replace(replace(regexp_replace(lower(heading), '[^a-z0-9 -]', '', 'g'), ' ', '-'), '-+', '-', 'g') AS anchor FROM (SELECT *, last_value(CASE WHEN level = 2 THEN heading END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS above FROM (SELECT doc_id, p_name, i, length(regexp_extract(l[i], '^(#+)', 1))::INT AS level, trim(regexp_extract(l[i], '^#+ (.*)$', 1)) AS heading FROM (SELECT doc_id, p_name, string_split(rtrim(text, chr(10)), chr(10)) AS l FROM markdown JOIN part ON p_partkey = doc_id), unnest(range(1, len(l) + 1)) AS u(i) WHERE regexp_matches(l[i], '^#{2,3} ')))"))(lambda s, d: quality.short_paths(B.markdown(s, d).withColumn("title", F.lit("none"))))
 over("x40_json_errors", "guidance", lambda g: g.select("id", F.when(F.col("id") % 5 == 0, '{"a":1}').otherwise(F.col("refs")).alias("refs")).select("id", T.json_list_error("refs").alias("error")), "SELECT id, CASE WHEN id % 5 = 0 THEN 'not a list' WHEN refs IS NOT NULL AND NOT json_valid(refs) THEN 'bad JSON' END AS error FROM guidance")
 over("x36_heading_forms", "markdown", lambda m: m.select("doc_id", F.size(T.headings_of("text")).alias("n_all"), F.size(T.headings_of("text", "second")).alias("n_second"), F.size(T.headings_of(F.concat("text", F.lit("##Tight\n#\n")), "loose")).alias("n_loose")), "SELECT doc_id, len(regexp_extract_all(text, '(?m)^#+ '))::INT AS n_all, len(regexp_extract_all(text, '(?m)^## '))::INT AS n_second, (len(regexp_extract_all(text, '(?m)^#+ ')) + 1)::INT AS n_loose FROM markdown")
 query("o4_nocase_order", "SELECT n_name, row_number() OVER (ORDER BY translate(n, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), n)::INT AS i FROM (SELECT n_name, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE n_name END || 'Ż' AS n FROM nation)")(

@@ -75,7 +75,7 @@ over("j5_j6_orphan_mappings", "mapping docs", lambda m, d: m.join(d.filter("path
 over("j7_unmapped_by_category", "docs mapping", lambda d, m: A.unmapped_by_category(d, m.filter("standard_code < 'STD-12' and confidence > 0.8")), f"SELECT split_part(path, '/', 2) AS category, count(*) AS n FROM docs WHERE {LIVE} AND path NOT IN (SELECT doc_path FROM mapping WHERE standard_code < 'STD-12' AND confidence > 0.8) GROUP BY 1")
 over("j15_dependencies", "edges", lambda e: links.dependencies(e.select(F.col("from_node").alias("from_doc"), F.col("to_node").alias("to_doc"), (F.col("weight") > 0.05).cast("int").alias("required"))), "SELECT from_node AS from_doc, to_node AS to_doc, CASE WHEN max((weight > 0.05)::INT) = 1 THEN 'requires' ELSE 'relates_to' END AS dependency_type FROM edges WHERE from_node <> to_node GROUP BY 1, 2")
 over("j16_g5_migrate_edges", "edges sections", lambda e, s: links.migrate(e.select(F.col("to_node").alias("id"), F.when(F.col("to_node") % 3 == 0, "doc").when(F.col("to_node") % 3 == 1, "section").otherwise("file").alias("kind"), F.when(F.col("to_node") % 10 == 0, F.lit("section::x")).otherwise(F.col("to_node").cast("string")).alias("uid")).distinct(), s.select(F.lit("section").alias("kind"), F.col("section_uid").cast("string").alias("uid"), F.concat(F.lit("n"), "section_uid").alias("node_uid"))), "SELECT DISTINCT to_node AS id, CASE WHEN to_node % 10 <> 0 AND to_node % 3 = 1 AND section_uid IS NOT NULL THEN 'n' || to_node END AS node_uid, CASE WHEN to_node % 10 = 0 THEN 'raw_section_ref' WHEN to_node % 3 = 2 THEN 'unsupported_kind' WHEN to_node % 3 = 1 AND section_uid IS NOT NULL THEN NULL ELSE 'missing_map' END AS reason FROM edges LEFT JOIN sections ON section_uid = to_node")
-over("j18_r20_edge_health", "edges sections", lambda e, s: quality.edge_health(e.select(F.col("from_node").alias("id"), F.col("to_node").alias("to_uid"), F.when(F.col("weight") > 0.07, "blocking").when(F.col("weight") > 0.03, "required").otherwise("navigational").alias("strength"), F.when(F.col("weight") < 0.09, "x").alias("rationale")), s.filter("ordinal <> 2").select(F.col("section_uid").alias("uid"))).groupBy("status", "reasons").agg(F.count(F.lit(1)).alias("n")), "SELECT status, reasons, count(*) AS n FROM (SELECT CASE WHEN to_node % 3 = 2 OR (weight >= 0.09 AND weight > 0.07) THEN 'fail' ELSE 'ok' END AS status, CASE WHEN to_node % 3 = 2 AND weight >= 0.09 THEN 'missing_target,missing_rationale' WHEN to_node % 3 = 2 THEN 'missing_target' WHEN weight >= 0.09 THEN 'missing_rationale' ELSE '' END AS reasons FROM edges) GROUP BY 1, 2")
+over("j18_r20_edge_health", "edges sections", lambda e, s: quality.edge_health(e.select(F.col("from_node").alias("id"), F.col("to_node").alias("to_uid"), F.when(F.col("weight") > 0.07, "blocking").when(F.col("weight") > 0.03, "required").otherwise("navigational").alias("strength"), F.when(F.col("weight") < 0.09, "x").alias("rationale")), s.filter("ordinal <> 2").select(F.col("section_uid").alias("uid"))).groupBy("status", "reasons").agg(F.count(F.lit(1)).alias("n")), "SELECT status, reasons, count(*) AS n FROM (SELECT CASE WHEN to_node % 3 = 2 OR (weight >= 0.09 AND weight > 0.07) THEN 'fail' ELSE 'ok' END AS status, CASE WHEN to_node % 3 = 2 AND weight >= 0.09 THEN 'TARGET_MISSING,MISSING_RATIONALE' WHEN to_node % 3 = 2 THEN 'TARGET_MISSING' WHEN weight >= 0.09 THEN 'MISSING_RATIONALE' ELSE '' END AS reasons FROM edges) GROUP BY 1, 2")
 over("j19_blockers", "edges sections", lambda e, s: quality.blockers(e.select(F.col("from_node").alias("from_uid"), F.col("to_node").alias("to_uid"), F.when(F.col("weight") > 0.07, "blocking").when(F.col("weight") > 0.03, "required").alias("strength")), s.select("section_uid", F.when(F.col("status") == "filled", "ok").otherwise("bad").alias("status"))), "SELECT to_node AS blocked_uid, from_node AS blocker_uid, CASE WHEN max((weight > 0.07)::INT) = 1 THEN 'H' ELSE 'M' END AS severity, 'UPSTREAM_REQUIRED_NOT_OK' AS reason_code, CASE WHEN max((weight > 0.07)::INT) = 1 THEN '{\"strength\":\"blocking\"}' ELSE '{\"strength\":\"required\"}' END AS evidence_json FROM edges WHERE weight > 0.03 AND from_node % 5 = 0 GROUP BY 1, 2")
 over("j29_collisions", "sections", lambda s: A.collisions(s.withColumn("k", F.concat("doc_uid", F.lit("|"), "heading_norm")), "k").select("section_uid", "k"), "SELECT section_uid, doc_uid || '|' || heading_norm AS k FROM sections QUALIFY count(*) OVER (PARTITION BY doc_uid, heading_norm) > 1")
 over("j32_find_by_standard", "mapping docs standards", lambda m, d, s: m.filter(F.col("standard_code").ilike("%std-1%")).join(d, m.doc_path == d.path).join(s, "standard_code").groupBy("doc_path", "title", "standard_code").agg(F.count(F.lit(1)).alias("n")), "SELECT doc_path, title, standard_code, count(*) AS n FROM mapping JOIN docs ON doc_path = path JOIN standards USING (standard_code) WHERE standard_code ILIKE '%std-1%' GROUP BY 1, 2, 3")
@@ -95,10 +95,6 @@ query("a16_longest_tag", "SELECT p_size, sum(n)::BIGINT AS n, arg_min(t, (-lengt
 query("a20_duplicate_content", "SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")(lambda s, d: A.duplicates(B.read(s, d, "documents"), "text", "doc_id"))
 over("a23_tiers", "mapping", A.tiers, "SELECT CASE WHEN confidence IS NULL THEN 'none' WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END AS tier, count(*) AS n FROM mapping GROUP BY 1")
 over("a25_cap_violations", "mapping", lambda m: A.cap_violations(m, ["doc_path", "standard_code"], 5), "SELECT doc_path, standard_code, count(*) AS n FROM mapping GROUP BY 1, 2 HAVING count(*) > 5")
-_LINES = "string_split(text, chr(10))"
-query("a11_line_metrics", "SELECT doc_id, length(text)::BIGINT AS chars, len(" + _LINES + ")::BIGINT AS lines, " + ", ".join(f"len(list_filter({_LINES}, lambda x: regexp_matches(x, '{p}')))::BIGINT AS {name}" for name, p in quality.LINES.items()) + " FROM documents")(lambda s, d: quality.line_metrics(B.read(s, d, "documents")))
-query("a12_rollup", "SELECT source, sum(length(text))::BIGINT AS chars, sum(len(string_split(text, chr(10))))::BIGINT AS lines FROM documents GROUP BY 1")(lambda s, d: quality.line_metrics(B.read(s, d, "documents")).join(B.read(s, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("chars").alias("chars"), F.sum("lines").alias("lines")))
-over("a13_required_coverage", "markdown", quality.required_coverage, "SELECT doc_id, (contains(text, '## Cel dokumentu')::INT + (doc_id % 5 = 1)::INT)::BIGINT AS n_required, (6 - contains(text, '## Cel dokumentu')::INT - (doc_id % 5 = 1)::INT)::BIGINT AS n_missing FROM markdown")
 over("w8_parents", "sections", lambda s: quality.parents(s.select("doc_uid", F.col("section_uid").alias("ordinal"), (F.col("section_uid") % 4 + 1).alias("level"))), "SELECT doc_uid, ordinal, level, CASE level WHEN 2 THEN m1 WHEN 3 THEN greatest(m1, m2) WHEN 4 THEN greatest(m1, m2, m3) END AS parent, CASE WHEN level = 2 THEN 'sec' ELSE 'subsec' END AS kind FROM (SELECT doc_uid, section_uid AS ordinal, section_uid % 4 + 1 AS level, max(CASE WHEN section_uid % 4 = 0 THEN section_uid END) OVER w AS m1, max(CASE WHEN section_uid % 4 = 1 THEN section_uid END) OVER w AS m2, max(CASE WHEN section_uid % 4 = 2 THEN section_uid END) OVER w AS m3 FROM sections WINDOW w AS (PARTITION BY doc_uid ORDER BY section_uid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))")
 over("r18_section_score", "sections", lambda s: quality.section_score(s.select("section_uid", (F.col("section_uid") % 6).alias("lines"), (F.col("status") == "placeholder").alias("placeholder"), (F.col("section_uid") % 4).alias("gates_missed"))), "SELECT section_uid, (CASE WHEN l = 0 THEN 0 ELSE greatest(100 - CASE WHEN p THEN 40 ELSE 0 END - CASE WHEN l < 3 THEN 20 ELSE 0 END - 10 * g, 0) END)::BIGINT AS score, CASE WHEN l = 0 THEN 'needs_structure' WHEN p OR l < 3 OR g > 0 THEN 'needs_content' ELSE 'ok' END AS status FROM (SELECT section_uid, section_uid % 6 AS l, status = 'placeholder' AS p, section_uid % 4 AS g FROM sections)")
 query("x41_x40_guidance_links", V("guidance", "SELECT DISTINCT id, unnest(CASE WHEN json_valid(refs) THEN from_json(refs, '[\"VARCHAR\"]') END) AS code FROM guidance"))(lambda s, d: B.guidance(s, d).select("id", F.explode(T.json_list("refs")).alias("code")).distinct())
@@ -201,7 +197,7 @@ over("e4_templates_page", "mapping", lambda m: services.templates(m.distinct(),
 over("e4_review", "mapping", lambda m: services.review(m, m.select("doc_path", "standard_code").distinct().select("doc_path", "standard_code", (F.col("standard_code") != "STD-1").alias("approve"), F.when(F.col("standard_code") == "STD-2", 0.9).alias("confidence")).filter("standard_code in ('STD-1', 'STD-2', 'STD-3')"), ["doc_path", "standard_code"]), "SELECT doc_path, standard_code, CASE WHEN standard_code IN ('STD-2', 'STD-3') THEN 'expert_reviewed' ELSE match_reason END AS match_reason, CASE standard_code WHEN 'STD-2' THEN 0.9::DOUBLE WHEN 'STD-3' THEN greatest(coalesce(confidence, 0), 0.8::DOUBLE) ELSE confidence END AS confidence FROM mapping WHERE standard_code <> 'STD-1'")
 
 
-from . import more  # noqa: E402, F401  registers its own queries
+from . import more, structure  # noqa: E402, F401  register their own queries
 
 
 def queries() -> dict:

@@ -39,6 +39,10 @@ class Application:
         head, _, rest = path.strip("/").partition("/")
         rows = lambda df: [r.asDict(recursive=True) for r in df.limit(services.MOST_LIMIT).collect()]
         try:
+            if head == "templates" and not rest and "after" in query:  # by cursor: empty for the first page
+                x = services.templates_of(self.table("mapping"), query.get("standard"), float(query.get("min_confidence", 0)))
+                page, following = services.page_after(x, services.BY_CONFIDENCE, int(query.get("limit", services.LIMIT)), query["after"])
+                return 200, {"items": [r.asDict(recursive=True) for r in page], "next": following}
             if head == "templates" and not rest:
                 return 200, rows(services.templates(self.table("mapping"), query.get("standard"), float(query.get("min_confidence", 0)), int(query.get("limit", services.LIMIT)), int(query.get("offset", 0))))
             if head == "coverage" and rest:

@@ -44,22 +44,42 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+#: A saved plan: a document of its own, with a change's details as a map.
+CHANGE = "file string, rule_id string, severity string, action string, detail map<string,string>, safe_autofix boolean"
+PLAN = f"schema_version string, run_id string, mode string, root string, total_files long, changes array<struct<{', '.join(c.replace(' ', ':', 1) for c in CHANGE.split(', '))}>>"
+
+
 def plan(spark: SparkSession, path: str) -> DataFrame:
-    """The changes of a saved fix plan."""
-    change = "struct<file:string,rule_id:string,severity:string,action:string,detail:map<string,string>,safe_autofix:boolean>"
-    return spark.read.option("multiLine", True).schema(f"run_id string, mode string, root string, changes array<{change}>").json(path).selectExpr("run_id", "mode", "inline(changes)")
+    """The changes of saved fix plans, with their place in the plan: a file is one JSON document, a folder's files have one a line."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    single = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
+    x = spark.read.option("multiLine", single).schema(PLAN).json(path)
+    return x.select("schema_version", "run_id", "mode", "root", "total_files", F.posexplode("changes").alias("seq", "c")).select("schema_version", "run_id", "mode", "root", "total_files", "seq", "c.*")
+
+
+def git_records(spark: SparkSession, path: str) -> DataFrame:
+    """record: each commit of ``git log --name-status`` in the form COMMIT|hash|date|subject|author and its files.
+
+    Records are cut by the reader itself, so one log of any length is read by many tasks.
+    """
+    x = spark.read.option("lineSep", "\nCOMMIT|").text(path)
+    return x.select(F.regexp_replace("value", r"\ACOMMIT\|", "").alias("record")).filter(F.trim("record") != "")
+
 
+def git_changes(records: DataFrame) -> DataFrame:
+    """One row per changed file: hash, date, subject, author, status (A, M, D or R), path, old_path. Subjects may hold bars."""
+    ls = F.split("record", "\r?\n")
+    head = F.split(F.element_at("ls", 1), r"\|")
+    n = F.size(head)
+    fields = {"hash": head[0], "date": head[1], "subject": F.array_join(F.slice(head, F.lit(3), F.greatest(n - 3, F.lit(1))), "|"), "author": F.when(n > 3, F.element_at(head, -1))}
+    x = records.select(ls.alias("ls")).select(*(v.alias(k) for k, v in fields.items()), F.explode("ls").alias("line"))
+    p = F.split("line", "\t")
+    return x.filter(F.col("line").rlike(r"^[AMDR]\d*\t")).select(*fields, F.substring("line", 1, 1).alias("status"), F.element_at(p, -1).alias("path"), F.when(F.size(p) > 2, p[1]).alias("old_path"))
 
-def git_log(lines: DataFrame) -> DataFrame:
-    """(file, line_no, line) of ``git log --name-status`` with COMMIT|hash|date|subject|author lines -> one row per changed file."""
-    from pyspark.sql.window import Window
 
-    w = Window.partitionBy("file").orderBy("line_no")
-    head = F.last(F.when(F.col("line").startswith("COMMIT|"), F.col("line")), ignorenulls=True).over(w)
-    p, c = F.split("line", "\t"), F.split("head", r"\|")
-    return lines.withColumn("head", head).filter(F.col("line").rlike(r"^[AMDR]\d*\t")).select(
-        c[1].alias("hash"), c[2].alias("date"), c[3].alias("subject"), c[4].alias("author"), F.substring("line", 1, 1).alias("status"), F.element_at(p, -1).alias("path"), F.when(F.size(p) > 2, p[1]).alias("old_path")
-    )
+def git_log(spark: SparkSession, path: str) -> DataFrame:
+    """The changed files of a git log."""
+    return git_changes(git_records(spark, path))
 
 
 def policy(spark: SparkSession, path: str) -> dict:

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import versions
+
 
 def full_refresh(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    """All rows anew, as a version of the table at ``path``: ``df`` may read the table itself, and a failure leaves it as it was."""
+    versions.Table(df.sparkSession, path).refresh(lambda _: df)
 
 
 def scoped_refresh(old: DataFrame, new: DataFrame, scope) -> DataFrame:
@@ -53,20 +56,47 @@ def delete_by_key(old: DataFrame, keys: DataFrame, key: list[str], unless=None)
     return old.filter(stay).unionByName(old.filter(~stay).join(named, key, "left_anti").select(old.columns))
 
 
+RUN_LOG = "sync_id string, ran_at_utc string, kind string, status string, notes string"
+
+
 def run_log(spark, run_id: str, ran_at: str, kind: str, status: str, notes: str, path: str) -> None:
-    spark.createDataFrame([(run_id, ran_at, kind, status, notes)], "sync_id string, ran_at_utc string, kind string, status string, notes string").write.mode("append").parquet(path)
+    spark.createDataFrame([(run_id, ran_at, kind, status, notes)], RUN_LOG).write.mode("append").parquet(path)
+
+
+def read_log(spark, path: str) -> DataFrame:
+    """The run log; empty if there is none yet."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.schema(RUN_LOG).parquet(path) if there else spark.createDataFrame([], RUN_LOG)
+
+
+class Notes:
+    """What a stage says of itself: notes, and what it skipped. Calling it skips."""
+
+    def __init__(self) -> None:
+        self.said: list[str] = []
+        self.skipped = False
+
+    def note(self, text: str) -> None:
+        self.said.append(text)
+
+    def skip(self, text: str) -> None:
+        self.skipped = True
+        self.said.append(text)
+
+    __call__ = skip
 
 
 @contextmanager
 def logged(spark, run_id: str, ran_at: str, kind: str, path: str):
     """A stage with its row in the run log: OK, WARN if the stage says that it skipped something, FAIL if it raises."""
-    skipped: list[str] = []
+    say = Notes()
     try:
-        yield skipped.append
+        yield say
     except Exception as e:
         run_log(spark, run_id, ran_at, kind, "FAIL", str(e)[:1000], path)
         raise
-    run_log(spark, run_id, ran_at, kind, "WARN" if skipped else "OK", "; ".join(skipped), path)
+    run_log(spark, run_id, ran_at, kind, "WARN" if say.skipped else "OK", "; ".join(say.said), path)
 
 
 def json_report(df: DataFrame, path: str, most: int = 10_000) -> None:

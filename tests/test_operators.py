@@ -83,8 +83,8 @@ def test_sources(spark, tmp_path):
     assert files.markdown(spark, str(tmp_path), recursive=False).count() == 1
     (tmp_path / "m.csv").write_text("path,hash_sha256_v2\na.md, \n ,x\n")
     assert [tuple(r) for r in files.manifest(spark, str(tmp_path / "m.csv")).collect()] == [("a.md", None)]
-    log = spark.createDataFrame([("f", i, x) for i, x in enumerate(["COMMIT|h|2024-01-01|s|me", "M\ta.md", "R100\tb.md\tc.md"])], "file string, line_no int, line string")
-    assert [(r.status, r.path, r.old_path) for r in files.git_log(log).orderBy("path").collect()] == [("M", "a.md", None), ("R", "c.md", "b.md")]
+    log = spark.createDataFrame([("h|2024-01-01|s|me\nM\ta.md\nR100\tb.md\tc.md",)], "record string")
+    assert [(r.status, r.path, r.old_path) for r in files.git_changes(log).orderBy("path").collect()] == [("M", "a.md", None), ("R", "c.md", "b.md")]
 
 
 def test_matching_and_history(spark):

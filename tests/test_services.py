@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import analytics, links, matching, services
-from docloom.sources import files, sinks
+from docloom.sources import files, sinks, versions
 
 
 @pytest.fixture()
@@ -81,7 +81,7 @@ def test_run_log_and_reports(spark, tmp_path):
     assert {r.label for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()} == {"a b", None}
     sinks.full_refresh(df, str(tmp_path / "t"))
     sinks.full_refresh(df.limit(1), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+    assert versions.Table(spark, str(tmp_path / "t")).read().count() == 1
     assert [r.json for r in sinks.json_column(df.filter("id = 1")).collect()] == ['{"id":1,"label":"a,b"}'] and "| 1 | a,b |" in sinks.markdown_table(df)
 
 
