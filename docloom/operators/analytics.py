@@ -138,8 +138,12 @@ def duplicates(df: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def collisions(df: DataFrame, key: str) -> DataFrame:
-    """All rows of keys that occur more than once."""
-    return df.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(key))).filter("__n > 1").drop("__n")
+    """All rows of keys that occur more than once; nulls are one key.
+
+    Keys are counted in each task before they are shuffled, and rows find theirs by a semi join that may be split where a key is hot.
+    """
+    many = df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__key")
+    return df.join(many, F.col(key).eqNullSafe(F.col("__key")), "left_semi")
 
 
 def longest_tag(df: DataFrame, code: str, tag: str) -> DataFrame:
@@ -150,3 +154,67 @@ def longest_tag(df: DataFrame, code: str, tag: str) -> DataFrame:
 
 def cap_violations(df: DataFrame, key: list[str], cap: int) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cap)
+
+
+# Lookups and filters by name -------------------------------------------------------------------
+
+
+def confident(mapping: DataFrame, code: str, least: float) -> DataFrame:
+    """Mappings of a standard from a confidence on; unknown confidences don't count."""
+    return mapping.filter((F.col("confidence") >= least) & (F.col("standard_code") == code))
+
+
+def count_of(df: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
+    """Rows of each of some values."""
+    return df.filter(F.col(column).isin(*values)).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+
+
+def blank(column: str):
+    """Whether a text is null or has nothing but blanks."""
+    return F.trim(F.coalesce(column, F.lit(""))) == ""
+
+
+def without_rationale(links: DataFrame) -> DataFrame:
+    """Links that don't say why, by id."""
+    return links.filter(blank("rationale")).select("id")
+
+
+def required_without_rationale(links: DataFrame, by: str = "context_doc_uid") -> DataFrame:
+    """How many required links of each document don't say why."""
+    return links.filter((F.col("required") == 1) & blank("rationale")).groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def out_of_range(edges: DataFrame, low: float, high: float) -> DataFrame:
+    """How many edges have a weight outside a range; unknown weights aren't."""
+    return edges.agg(F.count_if((F.col("weight") < low) | (F.col("weight") > high)).alias("n"))
+
+
+def bad_json(df: DataFrame, key: str, column: str) -> DataFrame:
+    """Keys of rows whose text is there and isn't JSON."""
+    return df.filter(F.expr(f"`{column}` IS NOT NULL AND try_parse_json(`{column}`) IS NULL")).select(key)
+
+
+def mapped_by_origin(mapping: DataFrame, docs: DataFrame) -> DataFrame:
+    """Mappings by the origin of their document and by standard; those without a document don't count.
+
+    Mappings are counted by path and standard before they meet the documents.
+    """
+    m = mapping.groupBy(F.col("doc_path").alias("path"), "standard_code").agg(F.count(F.lit(1)).alias("m"))
+    return m.join(docs.select("path", "origin"), "path").groupBy("origin", "standard_code").agg(F.sum("m").alias("n"))
+
+
+def orphans(mapping: DataFrame, docs: DataFrame) -> DataFrame:
+    """Paths that are mapped and no document has."""
+    return mapping.select("doc_path").distinct().join(docs.filter("path is not null").select(F.col("path").alias("doc_path")), "doc_path", "left_anti")
+
+
+def find(mapping: DataFrame, docs: DataFrame, standards: DataFrame, text: str) -> DataFrame:
+    """Documents mapped to known standards whose code has the text, ASCII letters of any case: doc_path, title, standard_code, n."""
+    m = mapping.filter(F.col("standard_code").ilike(f"%{text}%")).groupBy("doc_path", "standard_code").agg(F.count(F.lit(1)).alias("m"))
+    x = m.join(docs.select(F.col("path").alias("doc_path"), "title"), "doc_path").join(standards.select("standard_code"), "standard_code")
+    return x.groupBy("doc_path", "title", "standard_code").agg(F.sum("m").alias("n"))
+
+
+def first_of_each(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
+    """The first ``n`` distinct values of ``order`` for each ``by``, with their place."""
+    return df.select(by, order).distinct().withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(order))).filter(F.col("n") <= n)

@@ -69,7 +69,7 @@ def gap_summary(catalogue: DataFrame, gaps: DataFrame) -> DataFrame:
     names = ("present", "missing_required", "missing_recommended", "low_confidence")
     x = c.join(g, "standard_code", "full").select("standard_code", F.coalesce("entries", F.lit(0)).alias("entries"), *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
     status = F.when(F.col("missing_required") + F.col("missing_recommended") == 0, "OK").otherwise("GAPS")
-    return x.select("*", F.when(F.col("entries") > 0, F.round(F.col("present") * 100.0 / F.col("entries"), 1)).otherwise(0.0).alias("coverage"), status.alias("status"))
+    return x.select("*", F.when(F.col("entries") > 0, F.bround(F.col("present") * 100.0 / F.col("entries"), 1)).otherwise(0.0).alias("coverage"), status.alias("status"))
 
 
 def unmapped(docs: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ def mapping_confidence(mapping: DataFrame, standards: DataFrame, guided: DataFra
     b, n_guidance = F.coalesce("b", F.array().cast("array<string>")), F.coalesce("n_guidance", F.lit(0))
     score = F.least(F.lit(1.0), T.jaccard(words, b) * weight + F.least(n_guidance * bonus, F.lit(0.3)))
     evidence = F.concat(F.lit("tokens:"), F.array_join(F.array_sort(F.array_intersect(words, b)), ","), F.lit(" guidance_refs:"), n_guidance.cast("string"))
-    return x.select("doc_path", "standard_code", F.round(score, 4).alias("confidence"), evidence.alias("evidence"))
+    return x.select("doc_path", "standard_code", F.bround(score, 4).alias("confidence"), evidence.alias("evidence"))
 
 
 def branches(rows: DataFrame, titles: DataFrame, slugs: DataFrame, dimension: DataFrame) -> DataFrame:
@@ -174,3 +174,8 @@ def fill_from_donors(docs: DataFrame, targets: tuple[str, ...], least_bytes: int
     rev = F.regexp_extract(text, r"aligned_rev:\s*(\d+)", 1)
     bumped = F.when(rev != "", F.regexp_replace(text, F.lit(r"aligned_rev:\s*\d+"), F.concat(F.lit("aligned_rev: "), (rev.try_cast("long") + 1).cast("string")))).otherwise(text)
     return y.select("path", "donor", bumped.alias("text"))
+
+
+def code_links(guidance: DataFrame, column: str = "refs") -> DataFrame:
+    """id, code: each code of a guidance's JSON list once; null and bad lists have none."""
+    return guidance.select("id", F.explode(T.json_list(column)).alias("code")).distinct()

@@ -208,3 +208,15 @@ def contained(slugs: DataFrame, files: DataFrame, least: int = 8) -> DataFrame:
     tiers = pairs.groupBy("slug", "tier").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("file")).filter("n = 1")
     best = tiers.groupBy("slug").agg(F.min(F.struct("tier", "file")).alias("b"))
     return s.join(best, "slug", "left").select("slug", F.col("b.file").alias("file"), F.col("b.tier").alias("tier"))
+
+
+def structured(refs: DataFrame) -> DataFrame:
+    """Links of which an end is given by title and section, by id."""
+    like = lambda c: F.col(c).ilike("document::%::section::%")
+    return refs.filter(like("from_ref") | like("to_ref")).select("id")
+
+
+def first_section(links: DataFrame, sections: DataFrame, default: int = 0) -> DataFrame:
+    """id, uid: the first section of a link's context document, else ``default``."""
+    first = sections.groupBy(F.col("doc_uid").alias("context_doc_uid")).agg(F.min("section_uid").alias("first"))
+    return links.select("id", "context_doc_uid").join(first, "context_doc_uid", "left").select("id", F.coalesce("first", F.lit(default)).alias("uid"))

@@ -43,7 +43,7 @@ def links(spark, sf_dir) -> DataFrame:
     p = read(spark, sf_dir, "part")
     name = p.select("p_partkey", F.lower("p_name").alias("name"), F.col("p_brand").alias("brand"))
     n = F.greatest(p.select(F.max("p_partkey").alias("m")).scalar(), F.lit(1))
-    src = o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % n).alias("p_partkey"), F.when(F.col("o_orderkey") % 15 == 0, F.lit("no such label")).alias("bad"), (F.col("o_orderkey") % 2).cast("int").alias("required"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")).alias("rationale"))
+    src = o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % n).alias("p_partkey"), F.when(F.col("o_orderkey") % 15 == 0, F.lit("no such label")).alias("bad"), (F.col("o_orderkey") % 2).cast("int").alias("required"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("rationale"))
     return src.join(name, "p_partkey").select("id", F.coalesce("bad", "name").alias("to_ref"), F.when(F.col("id") % 7 != 0, F.col("brand")).alias("context_doc_uid"), "required", "rationale")
 
 
@@ -146,7 +146,7 @@ SQL = {
     "mapping": "mapping AS (SELECT 'core/g' || (l_partkey % 7) || '/' || l_partkey || '.md' AS doc_path, 'STD-' || (l_suppkey % 25) AS standard_code, l_returnflag AS match_reason, CASE WHEN l_tax <> 0 THEN l_discount * 10 END AS confidence FROM lineitem)",
     "standards": "standards AS (SELECT 'STD-' || s_suppkey AS standard_code, s_name AS standard_name FROM supplier)",
     "sections": "sections AS (SELECT p_partkey AS section_uid, p_brand AS doc_uid, lower(p_name) AS heading_norm, replace(lower(p_name), ' ', '-') AS anchor, p_partkey % 3 AS ordinal, CASE WHEN p_partkey % 5 = 0 THEN 'placeholder' ELSE 'filled' END AS status FROM part)",
-    "links": "links AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 15 = 0 THEN 'no such label' ELSE lower(p_name) END AS to_ref, CASE WHEN o_orderkey % 7 <> 0 THEN p_brand END AS context_doc_uid, (o_orderkey % 2)::INT AS required, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS rationale FROM orders JOIN part ON p_partkey = o_custkey % greatest((SELECT max(p_partkey) FROM part), 1))",
+    "links": "links AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 15 = 0 THEN 'no such label' ELSE lower(p_name) END AS to_ref, CASE WHEN o_orderkey % 7 <> 0 THEN p_brand END AS context_doc_uid, (o_orderkey % 2)::INT AS required, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS rationale FROM orders JOIN part ON p_partkey = o_custkey % greatest((SELECT max(p_partkey) FROM part), 1))",
     "edges": "edges AS (SELECT from_node, to_node, weight FROM (SELECT l_partkey AS from_node, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS to_node, l_discount AS weight FROM lineitem) WHERE to_node IS NOT NULL)",
     "changelog": "changelog AS (SELECT event_id AS id, 'core/T' || user_id || '.md' AS template_path, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS changed_at, event_type AS change_type, ts FROM events)",
     "udocs": "udocs AS (SELECT upper(substr(sha256('D' || p_partkey), 1, 26)) AS doc_uid, p_name || ' ' || (p_partkey % 500) AS title, 'core/g' || (p_partkey % 7) || '/' || p_partkey || '.md' AS path FROM part)",

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from docloom.functions import text as T
 from docloom.functions import unicode as U
 from docloom.operators import analytics as A
-from docloom.operators import graph, history, links, matching, packages, quality, raci, sections, services
+from docloom.operators import graph, guidance, history, links, matching, packages, quality, raci, sections, services
 from docloom.sources import sinks
 
 from . import bindings as B
@@ -40,7 +40,7 @@ over("a3_below_threshold", "mapping", lambda m: A.below(m, 500), "SELECT standar
 over("a4_totals", "docs mapping", A.totals, f"SELECT total, mapped, total - mapped AS unmapped, CASE WHEN total > 0 THEN mapped * 100.0::DOUBLE / total ELSE 0.0::DOUBLE END AS pct FROM (SELECT count(*) AS total FROM docs WHERE {LIVE}), (SELECT count(DISTINCT doc_path) AS mapped FROM mapping)")
 over("a5_standard_summary", "mapping", lambda m: A.standard_summary(m, "STD-3"), "SELECT standard_code, count(*) AS total, count(*) FILTER (confidence >= 0.5) AS sure, count(*) FILTER (confidence >= 0.7) AS very_sure, count(*) FILTER (confidence IS NULL) AS unknown, round_even(100.0::DOUBLE * count(*) FILTER (confidence >= 0.5) / count(*), 1) AS pct FROM mapping WHERE standard_code = 'STD-3' GROUP BY 1")
 over("a6_histograms", "sections docs", lambda s, d: A.histogram(s, "status", "section").unionByName(A.histogram(d, "origin", "doc")), "SELECT 'section' AS kind, status, count(*) AS n FROM sections GROUP BY 2 UNION ALL SELECT 'doc', origin, count(*) FROM docs GROUP BY 2")
-over("a7_filtered_count", "links", lambda x: x.filter("required = 1 and trim(coalesce(rationale, '')) = ''").groupBy("context_doc_uid").agg(F.count(F.lit(1)).alias("n")), "SELECT context_doc_uid, count(*) AS n FROM links WHERE required = 1 AND trim(coalesce(rationale, '')) = '' GROUP BY 1")
+over("a7_filtered_count", "links", A.required_without_rationale, "SELECT context_doc_uid, count(*) AS n FROM links WHERE required = 1 AND trim(coalesce(rationale, '')) = '' GROUP BY 1")
 _IDX = "idx AS (SELECT DISTINCT unnest([heading_norm, replace(heading_norm, ' ', '-'), lower(anchor)]) AS key, doc_uid, section_uid FROM sections), own AS (SELECT doc_uid, key, count(*) AS n, min(section_uid) AS uid FROM idx GROUP BY 1, 2), alls AS (SELECT key, count(*) AS n, min(section_uid) AS uid FROM idx GROUP BY 1), res AS (SELECT id, CASE WHEN own.n = 1 THEN 'context_doc' WHEN own.n > 1 THEN 'ambiguous' WHEN alls.n = 1 THEN 'global_unique' WHEN alls.n > 1 THEN 'ambiguous' ELSE 'missing' END AS method, own.uid AS u1, alls.uid AS u2 FROM links LEFT JOIN own ON own.doc_uid = context_doc_uid AND own.key = replace(to_ref, ' ', '-') LEFT JOIN alls ON alls.key = replace(to_ref, ' ', '-')), out AS (SELECT id, CASE method WHEN 'context_doc' THEN u1 WHEN 'global_unique' THEN u2 END AS to_uid, method, CASE method WHEN 'context_doc' THEN 0.95::DOUBLE WHEN 'global_unique' THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM res)"
 
 
@@ -62,25 +62,25 @@ query("j33_label_audit", _res("SELECT method, count(*) AS n FROM res GROUP BY 1"
 
 over("f1_live_docs", "docs", A.live, f"SELECT * FROM docs WHERE {LIVE}")
 over("f2_ghost_docs", "docs", A.ghosts, "SELECT * FROM docs WHERE path IS NULL")
-over("f3_threshold", "mapping", lambda m: m.filter("confidence >= 0.9 and standard_code = 'STD-7'"), "SELECT * FROM mapping WHERE confidence >= 0.9 AND standard_code = 'STD-7'")
+over("f3_threshold", "mapping", lambda m: A.confident(m, "STD-7", 0.9), "SELECT * FROM mapping WHERE confidence >= 0.9 AND standard_code = 'STD-7'")
 over("f4_search_log", "changelog", lambda c: A.search_log(c, path="t1", kind="click").drop("ts"), "SELECT id, template_path, changed_at, change_type FROM changelog WHERE template_path ILIKE '%t1%' AND change_type = 'click'")
-over("f10_blank_rationale", "links", lambda x: x.filter("rationale is null or trim(rationale) = ''").select("id"), "SELECT id FROM links WHERE rationale IS NULL OR trim(rationale) = ''")
-over("f13_weight_range", "edges", lambda e: e.filter("weight < 0 or weight > 0.09").agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM edges WHERE weight < 0 OR weight > 0.09")
-over("f14_bad_json", "guidance", lambda g: g.filter("refs is not null and try_parse_json(refs) is null").select("id"), "SELECT id FROM guidance WHERE refs IS NOT NULL AND NOT json_valid(refs)")
+over("f10_blank_rationale", "links", A.without_rationale, "SELECT id FROM links WHERE rationale IS NULL OR trim(rationale) = ''")
+over("f13_weight_range", "edges", lambda e: A.out_of_range(e, 0, 0.09), "SELECT count(*) AS n FROM edges WHERE weight < 0 OR weight > 0.09")
+over("f14_bad_json", "guidance", lambda g: A.bad_json(g, "id", "refs"), "SELECT id FROM guidance WHERE refs IS NOT NULL AND NOT json_valid(refs)")
 over("f15_pending", "mapping", lambda m: A.pending(m, 0.3, ("N",)), "SELECT * FROM mapping WHERE confidence < 0.3 AND match_reason NOT IN ('N')")
-over("f9_in_list", "mapping", lambda m: m.filter(F.col("standard_code").isin("STD-1", "STD-2")).groupBy("standard_code").count().withColumnRenamed("count", "n"), "SELECT standard_code, count(*) AS n FROM mapping WHERE standard_code IN ('STD-1', 'STD-2') GROUP BY 1")
-over("j2_mapping_docs", "mapping docs", lambda m, d: m.join(d, m.doc_path == d.path).groupBy("origin", "standard_code").agg(F.count(F.lit(1)).alias("n")), "SELECT origin, standard_code, count(*) AS n FROM mapping JOIN docs ON doc_path = path GROUP BY 1, 2")
+over("f9_in_list", "mapping", lambda m: A.count_of(m, "standard_code", ("STD-1", "STD-2")), "SELECT standard_code, count(*) AS n FROM mapping WHERE standard_code IN ('STD-1', 'STD-2') GROUP BY 1")
+over("j2_mapping_docs", "mapping docs", A.mapped_by_origin, "SELECT origin, standard_code, count(*) AS n FROM mapping JOIN docs ON doc_path = path GROUP BY 1, 2")
 over("j3_a22_family_coverage", "mapping standards", lambda m, s: A.family_coverage(m, s, "std-1%", 0.5), "SELECT standards, mapped, mapped * 100.0::DOUBLE / standards AS pct FROM (SELECT count(*) AS standards FROM standards WHERE standard_code ILIKE 'std-1%'), (SELECT count(*) AS mapped FROM (SELECT DISTINCT doc_path, standard_code FROM mapping WHERE confidence >= 0.5 AND standard_code IN (SELECT standard_code FROM standards WHERE standard_code ILIKE 'std-1%')))")
-over("j5_j6_orphan_mappings", "mapping docs", lambda m, d: m.join(d.filter("path is not null").select(F.col("path").alias("doc_path")), "doc_path", "left_anti").select("doc_path").distinct(), "SELECT DISTINCT doc_path FROM mapping WHERE NOT EXISTS (SELECT 1 FROM docs WHERE path = doc_path)")
+over("j5_j6_orphan_mappings", "mapping docs", A.orphans, "SELECT DISTINCT doc_path FROM mapping WHERE NOT EXISTS (SELECT 1 FROM docs WHERE path = doc_path)")
 over("j7_unmapped_by_category", "docs mapping", lambda d, m: A.unmapped_by_category(d, m.filter("standard_code < 'STD-12' and confidence > 0.8")), f"SELECT split_part(path, '/', 2) AS category, count(*) AS n FROM docs WHERE {LIVE} AND path NOT IN (SELECT doc_path FROM mapping WHERE standard_code < 'STD-12' AND confidence > 0.8) GROUP BY 1")
 over("j15_dependencies", "edges", lambda e: links.dependencies(e.select(F.col("from_node").alias("from_doc"), F.col("to_node").alias("to_doc"), (F.col("weight") > 0.05).cast("int").alias("required"))), "SELECT from_node AS from_doc, to_node AS to_doc, CASE WHEN max((weight > 0.05)::INT) = 1 THEN 'requires' ELSE 'relates_to' END AS dependency_type FROM edges WHERE from_node <> to_node GROUP BY 1, 2")
 over("j16_g5_migrate_edges", "edges sections", lambda e, s: links.migrate(e.select(F.col("to_node").alias("id"), F.when(F.col("to_node") % 3 == 0, "doc").when(F.col("to_node") % 3 == 1, "section").otherwise("file").alias("kind"), F.when(F.col("to_node") % 10 == 0, F.lit("section::x")).otherwise(F.col("to_node").cast("string")).alias("uid")).distinct(), s.select(F.lit("section").alias("kind"), F.col("section_uid").cast("string").alias("uid"), F.concat(F.lit("n"), "section_uid").alias("node_uid"))), "SELECT DISTINCT to_node AS id, CASE WHEN to_node % 10 <> 0 AND to_node % 3 = 1 AND section_uid IS NOT NULL THEN 'n' || to_node END AS node_uid, CASE WHEN to_node % 10 = 0 THEN 'raw_section_ref' WHEN to_node % 3 = 2 THEN 'unsupported_kind' WHEN to_node % 3 = 1 AND section_uid IS NOT NULL THEN NULL ELSE 'missing_map' END AS reason FROM edges LEFT JOIN sections ON section_uid = to_node")
 over("j18_r20_edge_health", "edges sections", lambda e, s: quality.edge_health(e.select(F.col("from_node").alias("id"), F.col("to_node").alias("to_uid"), F.when(F.col("weight") > 0.07, "blocking").when(F.col("weight") > 0.03, "required").otherwise("navigational").alias("strength"), F.when(F.col("weight") < 0.09, "x").alias("rationale")), s.filter("ordinal <> 2").select(F.col("section_uid").alias("uid"))).groupBy("status", "reasons").agg(F.count(F.lit(1)).alias("n")), "SELECT status, reasons, count(*) AS n FROM (SELECT CASE WHEN to_node % 3 = 2 OR (weight >= 0.09 AND weight > 0.07) THEN 'fail' ELSE 'ok' END AS status, CASE WHEN to_node % 3 = 2 AND weight >= 0.09 THEN 'TARGET_MISSING,MISSING_RATIONALE' WHEN to_node % 3 = 2 THEN 'TARGET_MISSING' WHEN weight >= 0.09 THEN 'MISSING_RATIONALE' ELSE '' END AS reasons FROM edges) GROUP BY 1, 2")
 over("j19_blockers", "edges sections", lambda e, s: quality.blockers(e.select(F.col("from_node").alias("from_uid"), F.col("to_node").alias("to_uid"), F.when(F.col("weight") > 0.07, "blocking").when(F.col("weight") > 0.03, "required").alias("strength")), s.select("section_uid", F.when(F.col("status") == "filled", "ok").otherwise("bad").alias("status"))), "SELECT to_node AS blocked_uid, from_node AS blocker_uid, CASE WHEN max((weight > 0.07)::INT) = 1 THEN 'H' ELSE 'M' END AS severity, 'UPSTREAM_REQUIRED_NOT_OK' AS reason_code, CASE WHEN max((weight > 0.07)::INT) = 1 THEN '{\"strength\":\"blocking\"}' ELSE '{\"strength\":\"required\"}' END AS evidence_json FROM edges WHERE weight > 0.03 AND from_node % 5 = 0 GROUP BY 1, 2")
 over("j29_collisions", "sections", lambda s: A.collisions(s.withColumn("k", F.concat("doc_uid", F.lit("|"), "heading_norm")), "k").select("section_uid", "k"), "SELECT section_uid, doc_uid || '|' || heading_norm AS k FROM sections QUALIFY count(*) OVER (PARTITION BY doc_uid, heading_norm) > 1")
-over("j32_find_by_standard", "mapping docs standards", lambda m, d, s: m.filter(F.col("standard_code").ilike("%std-1%")).join(d, m.doc_path == d.path).join(s, "standard_code").groupBy("doc_path", "title", "standard_code").agg(F.count(F.lit(1)).alias("n")), "SELECT doc_path, title, standard_code, count(*) AS n FROM mapping JOIN docs ON doc_path = path JOIN standards USING (standard_code) WHERE standard_code ILIKE '%std-1%' GROUP BY 1, 2, 3")
+over("j32_find_by_standard", "mapping docs standards", lambda m, d, s: A.find(m, d, s, "std-1"), "SELECT doc_path, title, standard_code, count(*) AS n FROM mapping JOIN docs ON doc_path = path JOIN standards USING (standard_code) WHERE standard_code ILIKE '%std-1%' GROUP BY 1, 2, 3")
 over("j24_keyword_rules", "sections", lambda s: matching.keyword_rules(s, [("metal", "M"), ("red", "R"), ("green", "G"), ("small", "S")], "section_uid", "heading_norm"), "SELECT section_uid, array_to_string(list_sort(list_filter([CASE WHEN contains(heading_norm, 'metal') THEN 'M' END, CASE WHEN contains(heading_norm, 'red') THEN 'R' END, CASE WHEN contains(heading_norm, 'green') THEN 'G' END, CASE WHEN contains(heading_norm, 'small') THEN 'S' END], lambda x: x IS NOT NULL)), ',') AS codes FROM sections WHERE heading_norm SIMILAR TO '.*(metal|red|green|small).*'")
-over("j17_fallback_lookup", "links sections", lambda x, s: x.select("id", F.col("context_doc_uid").alias("doc_uid")).join(s.groupBy("doc_uid").agg(F.min("section_uid").alias("first")), "doc_uid", "left").select("id", F.coalesce("first", F.lit(0)).alias("uid")), "SELECT id, coalesce((SELECT min(section_uid) FROM sections WHERE doc_uid = context_doc_uid), 0) AS uid FROM links")
+over("j17_fallback_lookup", "links sections", links.first_section, "SELECT id, coalesce((SELECT min(section_uid) FROM sections WHERE doc_uid = context_doc_uid), 0) AS uid FROM links")
 over("w6_last_wins", "edges", lambda e: links.one_of(e, ["from_node"], ["to_node", "weight"], last=True), "SELECT from_node, max(to_node) AS to_node, arg_max(weight, to_node * 100 + weight) AS weight FROM edges GROUP BY 1")
 over("w7_prefer_ordinal", "sections", lambda s: links.one_of(s, ["doc_uid", "heading_norm"], [F.desc(F.col("ordinal") == 1), "section_uid"]).select("doc_uid", "heading_norm", "section_uid"), "SELECT doc_uid, heading_norm, section_uid FROM sections QUALIFY row_number() OVER (PARTITION BY doc_uid, heading_norm ORDER BY (ordinal = 1) DESC, section_uid) = 1")
 over("w10_sessions", "changelog", lambda c: history.sessions(c.withColumn("user", F.col("template_path")), "user", "ts", 60).groupBy("user").agg(F.max("session").alias("n")), "SELECT template_path AS user, sum(x)::BIGINT AS n FROM (SELECT template_path, CASE WHEN ts - lag(ts) OVER (PARTITION BY template_path ORDER BY ts, id) > INTERVAL 60 MINUTE THEN 1 ELSE 0 END AS x FROM changelog) GROUP BY 1")
@@ -97,7 +97,7 @@ over("a23_tiers", "mapping", A.tiers, "SELECT CASE WHEN confidence IS NULL THEN
 over("a25_cap_violations", "mapping", lambda m: A.cap_violations(m, ["doc_path", "standard_code"], 5), "SELECT doc_path, standard_code, count(*) AS n FROM mapping GROUP BY 1, 2 HAVING count(*) > 5")
 over("w8_parents", "sections", lambda s: quality.parents(s.select("doc_uid", F.col("section_uid").alias("ordinal"), (F.col("section_uid") % 4 + 1).alias("level"))), "SELECT doc_uid, ordinal, level, CASE level WHEN 2 THEN m1 WHEN 3 THEN greatest(m1, m2) WHEN 4 THEN greatest(m1, m2, m3) END AS parent, CASE WHEN level = 2 THEN 'sec' ELSE 'subsec' END AS kind FROM (SELECT doc_uid, section_uid AS ordinal, section_uid % 4 + 1 AS level, max(CASE WHEN section_uid % 4 = 0 THEN section_uid END) OVER w AS m1, max(CASE WHEN section_uid % 4 = 1 THEN section_uid END) OVER w AS m2, max(CASE WHEN section_uid % 4 = 2 THEN section_uid END) OVER w AS m3 FROM sections WINDOW w AS (PARTITION BY doc_uid ORDER BY section_uid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))")
 over("r18_section_score", "sections", lambda s: quality.section_score(s.select("section_uid", (F.col("section_uid") % 6).alias("lines"), (F.col("status") == "placeholder").alias("placeholder"), (F.col("section_uid") % 4).alias("gates_missed"))), "SELECT section_uid, (CASE WHEN l = 0 THEN 0 ELSE greatest(100 - CASE WHEN p THEN 40 ELSE 0 END - CASE WHEN l < 3 THEN 20 ELSE 0 END - 10 * g, 0) END)::BIGINT AS score, CASE WHEN l = 0 THEN 'needs_structure' WHEN p OR l < 3 OR g > 0 THEN 'needs_content' ELSE 'ok' END AS status FROM (SELECT section_uid, section_uid % 6 AS l, status = 'placeholder' AS p, section_uid % 4 AS g FROM sections)")
-query("x41_x40_guidance_links", V("guidance", "SELECT DISTINCT id, unnest(CASE WHEN json_valid(refs) THEN from_json(refs, '[\"VARCHAR\"]') END) AS code FROM guidance"))(lambda s, d: B.guidance(s, d).select("id", F.explode(T.json_list("refs")).alias("code")).distinct())
+query("x41_x40_guidance_links", V("guidance", "SELECT DISTINCT id, unnest(CASE WHEN json_valid(refs) THEN from_json(refs, '[\"VARCHAR\"]') END) AS code FROM guidance"))(lambda s, d: guidance.code_links(B.guidance(s, d)))
 over("u5_ordered_union", "guidance", lambda g: g.select("id", F.array_join(F.filter(F.array_distinct(F.concat(T.json_list("refs"), F.array(F.lit("Z"), F.lit("Brand#11")))), lambda x: x != "Brand#12"), ",").alias("codes")), "SELECT id, array_to_string(list_filter(l || CASE WHEN list_contains(l, 'Brand#11') THEN ['Z'] ELSE ['Z', 'Brand#11'] END, lambda x: x <> 'Brand#12'), ',') AS codes FROM (SELECT id, coalesce(CASE WHEN json_valid(refs) THEN from_json(refs, '[\"VARCHAR\"]') END, []) AS l FROM guidance)")
 query("x1_anchor", r"SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name || ' -- ' || p_type)), '\s+', '-', 'g'), '-+', '-', 'g') AS anchor FROM part")(lambda s, d: B.read(s, d, "part").select("p_partkey", T.to_anchor(F.concat_ws(" -- ", "p_name", "p_type")).alias("anchor")))
 query("x5_snake_slug", "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || '#' || p_brand), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part")(lambda s, d: B.read(s, d, "part").select("p_partkey", T.to_slug(F.concat_ws("#", "p_name", "p_brand")).alias("slug")))
@@ -152,17 +152,16 @@ for _name, _f, _sql in (
 
 
 def _review(s, d):
-    x = B.read(s, d, "labels").select("doc_id", F.col("quality").alias("yes"))
-    m = B.read(s, d, "documents").select("doc_id", ((F.col("doc_id") % 10) / 10).alias("confidence"))
-    y = m.join(x, "doc_id", "left").filter("yes is null or yes = 1")
-    return y.select("doc_id", F.when(F.col("yes") == 1, T.approved_confidence(F.lit(None).cast("double"), F.col("confidence"))).otherwise(F.col("confidence")).alias("confidence"), F.when(F.col("yes") == 1, "expert_reviewed").otherwise("pending").alias("match_reason"))
+    m = B.read(s, d, "documents").select("doc_id", ((F.col("doc_id") % 10) / 10).alias("confidence"), F.lit("pending").alias("match_reason"))
+    decided = B.read(s, d, "labels").filter("quality is not null").select("doc_id", (F.col("quality") == 1).alias("approve"), F.lit(None).cast("double").alias("confidence"))
+    return services.review(m, decided, ["doc_id"])
 
 
 query("r24_x45_review_import", "SELECT doc_id, CASE WHEN quality = 1 THEN greatest((doc_id % 10)::DOUBLE / 10, 0.8::DOUBLE) ELSE (doc_id % 10)::DOUBLE / 10 END AS confidence, CASE WHEN quality = 1 THEN 'expert_reviewed' ELSE 'pending' END AS match_reason FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR quality = 1")(_review)
 over("u1_union_all", "edges links", lambda e, x: e.select(F.col("to_node").cast("string").alias("to_uid"), F.lit("doc_doc").alias("source")).unionByName(x.select(F.col("to_ref").alias("to_uid"), F.lit("content").alias("source"))).groupBy("source").agg(F.count(F.lit(1)).alias("n")), "SELECT source, count(*) AS n FROM (SELECT 'doc_doc' AS source FROM edges UNION ALL SELECT 'content' FROM links) GROUP BY 1")
 over("u2_set_difference", "docs mapping", lambda d, m: d.filter("path is not null").select("path").subtract(m.select(F.col("doc_path").alias("path"))), "SELECT path FROM docs WHERE path IS NOT NULL EXCEPT SELECT doc_path FROM mapping")
 over("o1_page", "mapping", lambda m: m.distinct().orderBy(F.desc_nulls_last("confidence"), "doc_path", "standard_code", "match_reason").offset(20).limit(50), "SELECT * FROM (SELECT DISTINCT * FROM mapping) ORDER BY confidence DESC NULLS LAST, doc_path, standard_code, match_reason LIMIT 50 OFFSET 20")
-over("o6_limit_per_group", "mapping", lambda m: m.select("standard_code", "doc_path").distinct().withColumn("n", F.row_number().over(Window.partitionBy("standard_code").orderBy("doc_path"))).filter("n <= 3"), "SELECT standard_code, doc_path, row_number() OVER (PARTITION BY standard_code ORDER BY doc_path)::INT AS n FROM (SELECT DISTINCT standard_code, doc_path FROM mapping) QUALIFY n <= 3")
+over("o6_limit_per_group", "mapping", lambda m: A.first_of_each(m, "standard_code", "doc_path", 3), "SELECT standard_code, doc_path, row_number() OVER (PARTITION BY standard_code ORDER BY doc_path)::INT AS n FROM (SELECT DISTINCT standard_code, doc_path FROM mapping) QUALIFY n <= 3")
 
 
 def _raci_docs(s, d):

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.operators import quality
+from docloom.functions import text as T
+from docloom.operators import fixes, gates, graph, quality, rebuild, services
+from docloom.sources import files, sinks, versions
 
 from . import bindings as B
 from .bindings import with_views as V
@@ -75,3 +77,118 @@ def _kinds(s, d):
 
 
 query("j18_r20_kinds", "WITH e AS (SELECT doc_id AS id, doc_id % 5 = 0 AS blank, doc_id % 3 = 0 AS req, (doc_id % 4 = 0 AND (doc_id % 8 >= 4 OR doc_id % 50 NOT IN (SELECT item_id FROM benchmark)) OR doc_id % 4 = 1 AND (doc_id % 8 < 4 OR doc_id % 50 NOT IN (SELECT item_id FROM benchmark))) AS gone FROM documents) SELECT id, CASE WHEN gone OR blank AND NOT req THEN 'fail' WHEN blank THEN 'warn' ELSE 'ok' END AS status, concat_ws(',', CASE WHEN gone THEN 'TARGET_MISSING' END, CASE WHEN blank THEN 'MISSING_RATIONALE' END) AS reasons FROM e")(_kinds)
+
+# Tables in versions, rebuilds, gates -----------------------------------------------------------
+
+
+def _orders(s, d):
+    return B.read(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"))
+
+
+@query("k1_k13_versions", "SELECT o_orderkey AS id, o_custkey AS k, o_totalprice * 2 AS v, 2 AS version FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, o_custkey, o_totalprice, 1 FROM orders UNION ALL SELECT o_orderkey, o_custkey, o_totalprice, 3 FROM orders")
+def _versions(s, d):
+    """A table refreshed from itself, read at each version, and rolled back."""
+    t = versions.Table(s, versions.scratch(s, "orders"))
+    t.refresh(lambda _: _orders(s, d))
+    t.refresh(lambda old: old.filter("id % 3 <> 0").withColumn("v", F.col("v") * 2))
+    t.rollback(1)
+    return t.read(1).withColumn("version", F.lit(1)).unionByName(t.read(2).withColumn("version", F.lit(2))).unionByName(t.read().withColumn("version", F.lit(3)))
+
+
+@query("k2_parts", "SELECT o_orderkey AS id, o_custkey AS k, CASE WHEN o_custkey % 10 = 3 THEN -o_totalprice ELSE o_totalprice END AS v FROM orders")
+def _parts(s, d):
+    """The rows of some keys replaced in a table cut into parts: only their parts are written."""
+    t = versions.Table(s, versions.scratch(s, "parts"), "k", 32)
+    t.replace_parts(_orders(s, d), [str(i) for i in range(32)])
+    new = _orders(s, d).filter("k % 10 = 3").withColumn("v", -F.col("v"))
+    touched = [r.p for r in new.select(t.part().alias("p")).distinct().collect()]  # 32 at most
+    t.replace_parts(t.read(parts=touched).filter("k % 10 <> 3").unionByName(new), touched)
+    return t.read()
+
+
+def _before(s, d):
+    """The notes as they were: some with another text, some not there yet, some that have gone since."""
+    k = F.col("doc_uid").try_cast("long")
+    n = B.notes(s, d)
+    old = n.filter(k % 7 != 1).select(F.col("doc_uid").alias("path"), F.when(k % 5 == 2, F.concat(F.lit("# Old\n"), "text")).otherwise(F.col("text")).alias("text"))
+    return old.unionByName(n.filter(k % 50 == 4).select(F.concat(F.lit("gone-"), "doc_uid").alias("path"), "text")), n.select(F.col("doc_uid").alias("path"), "text")
+
+
+query("s4_manifest_changes", V("notes", "SELECT doc_uid AS path, CASE WHEN doc_uid::BIGINT % 7 = 1 THEN 'added' ELSE 'changed' END AS change FROM notes WHERE doc_uid::BIGINT % 7 = 1 OR doc_uid::BIGINT % 5 = 2 UNION ALL SELECT 'gone-' || doc_uid, 'removed' FROM notes WHERE doc_uid::BIGINT % 50 = 4"))(
+    lambda s, d: (lambda old, new: rebuild.changes(rebuild.manifest(new), rebuild.manifest(old)).select("path", "change"))(*_before(s, d))
+)
+
+
+@query("s4_x21_k2_rebuild", _NOTES.replace("WHERE regexp_matches(line", "WHERE trim(regexp_extract(line, '" + _HEAD + "', 2)) <> '' AND regexp_matches(line").replace("lower(coalesce(string_agg", "(coalesce(string_agg") + " SELECT doc_uid AS path, start_line::INT AS start_line, end_line::INT AS end_line, level::INT AS level, heading, CASE WHEN contains(body, 'TODO') OR contains(body, '...') THEN 'placeholder' ELSE 'unknown' END AS status FROM body")
+def _rebuilt(s, d):
+    """Sections after a second run over changed documents: only those were cut anew."""
+    old, new = _before(s, d)
+    store = versions.scratch(s, "sections")
+    rebuild.rebuild(old, store)
+    rebuild.rebuild(new, store)
+    return rebuild.tables(s, store)[0].read().select("path", "start_line", "end_line", "level", "heading", "status")
+
+
+@query("g6_gated_inference", "WITH d AS (SELECT DISTINCT ps AS a, pt AS b FROM (SELECT l_partkey AS ps, l_suppkey + 1000000 AS pt FROM lineitem UNION ALL SELECT l_suppkey + 1000000, l_suppkey % 7 FROM lineitem)) SELECT a AS from_node, b AS to_node, 'infer_v1' AS source FROM (SELECT DISTINCT x.a, y.b FROM d x JOIN d y ON x.b = y.a WHERE x.a <> y.b) WHERE (a, b) NOT IN (SELECT (a, b) FROM d)")
+def _inferred(s, d):
+    """Inference after its predecessor's row in the run log: parts to groups of suppliers by way of the suppliers, who are hubs."""
+    x = B.read(s, d, "lineitem")
+    sup = F.col("l_suppkey") + 1_000_000
+    e = x.select(F.col("l_partkey").alias("from_node"), sup.alias("to_node")).unionByName(x.select(sup.alias("from_node"), (F.col("l_suppkey") % 7).alias("to_node")))
+    log = versions.scratch(s, "log")
+    sinks.run_log(s, "1", "2026-01-01T00:00:00Z", graph.PREDECESSOR, "OK", "", log)
+    return graph.infer_edges(s, e, log, versions.scratch(s, "inferred"), "2", "2026-01-01T00:01:00Z")
+
+
+def _gate_tables(s, d):
+    """Files and what is known of them: some without a record, some records stale, without a hash or without a file."""
+    k = F.col("doc_uid").cast("long")
+    n = B.notes(s, d)
+    files_ = n.filter(k % 11 != 3).select(F.col("doc_uid").alias("path"), F.when(k % 13 == 5, F.concat("text", F.lit("\U0001f680"))).when(k % 17 == 8, "copy").otherwise(F.col("text")).alias("text"))
+    title = F.concat(F.lit("t"), (k - k % 2).cast("string"))
+    known = n.filter(k % 19 != 7).select(F.col("doc_uid").alias("path"), F.when(k % 3 == 0, title).alias("title_norm"), F.when(k % 23 == 9, None).when(k % 29 == 6, "stale").otherwise(T.hash_v2("text")).alias("hash_sha256_v2"))
+    return files_, known, n.filter(k % 31 == 0)
+
+
+_GATED = (
+    "WITH n AS (SELECT doc_id AS k FROM documents), f AS (SELECT k FROM n WHERE k % 11 <> 3), r AS (SELECT k FROM n WHERE k % 19 <> 7), g AS ("
+    "SELECT 'emoji_files' AS gate, count(*) FILTER (k % 13 = 5) AS value FROM f UNION ALL SELECT 'files_without_record', count(*) FILTER (k % 19 = 7) FROM f UNION ALL SELECT 'records_without_file', count(*) FILTER (k % 11 = 3) FROM r "
+    "UNION ALL SELECT 'hash_missing', count(*) FILTER (k % 23 = 9) FROM r UNION ALL SELECT 'hash_differs', count(*) FILTER (k % 11 <> 3 AND k % 23 <> 9 AND (k % 29 = 6 OR k % 13 = 5 OR k % 17 = 8)) FROM r "
+    "UNION ALL SELECT 'collisions_title_norm', coalesce(sum(n) FILTER (n > 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM r WHERE k % 3 = 0 GROUP BY k - k % 2) "
+    "UNION ALL SELECT 'dup_content_hashes', count(*) FROM (SELECT 1 FROM f WHERE k % 17 = 8 AND k % 13 <> 5 HAVING count(*) > 1) UNION ALL SELECT 'anomalies_total', count(*) FILTER (k % 31 = 0) FROM n)"
+    " SELECT gate, value, CASE WHEN gate IN ('anomalies_total', 'hash_missing') THEN value - 1 END AS before, CASE WHEN gate IN ('anomalies_total', 'hash_missing') THEN 1::BIGINT END AS delta, CASE WHEN value > 0 AND gate IN ('emoji_files', 'files_without_record', 'records_without_file', 'hash_missing', 'hash_differs') THEN 'FAIL' ELSE 'OK' END AS status FROM g"
+)
+
+
+@query("r25_gates", _GATED)
+def _gated(s, d):
+    values = gates.measure(*_gate_tables(s, d))
+    return gates.judge(values, values.filter("gate in ('anomalies_total', 'hash_missing')").withColumn("value", F.col("value") - 1))
+
+
+@query("s11_git_log", "SELECT 'h' || o_orderkey AS hash, strftime(o_orderdate, '%Y-%m-%d') AS date, 'set | ' || o_orderpriority AS subject, o_clerk AS author, unnest(CASE WHEN o_orderkey % 2 = 0 THEN ['M'] ELSE ['R', 'A'] END) AS status, unnest(CASE WHEN o_orderkey % 2 = 0 THEN ['core/' || o_custkey || '.md'] ELSE ['new ' || o_custkey || '.md', 'COMMIT|' || o_orderkey] END) AS path, unnest(CASE WHEN o_orderkey % 2 = 0 THEN [NULL] ELSE ['old.md', NULL] END) AS old_path FROM (SELECT *, 'Me' AS o_clerk FROM (SELECT o_orderkey, o_custkey, o_orderdate, o_orderpriority FROM orders))")
+def _git(s, d):
+    """A log written by many tasks and read by many."""
+    o, lit = B.read(s, d, "orders"), F.lit
+    files_ = F.when(F.col("o_orderkey") % 2 == 0, F.concat(lit("M\tcore/"), "o_custkey", lit(".md"))).otherwise(F.concat(lit("R097\told.md\tnew "), "o_custkey", lit(".md\nA\tCOMMIT|"), "o_orderkey"))
+    path = versions.scratch(s, "gitlog")
+    o.select(F.concat(lit("COMMIT|h"), "o_orderkey", lit("|"), F.date_format("o_orderdate", "yyyy-MM-dd"), lit("|set | "), "o_orderpriority", lit("|Me\n\n"), files_).alias("value")).write.text(path)
+    return files.git_log(s, path)
+
+
+@query("s7_k15_saved_plan", V("markdown", "SELECT path, 0 AS seq, CASE WHEN starts_with(text, '---') THEN 'DOC.FRONTMATTER.NO_TITLE' ELSE 'DOC.FRONTMATTER.MISSING' END AS rule_id, CASE WHEN starts_with(text, '---') THEN 'WARNING' ELSE 'ERROR' END AS severity, 'report_only' AS action, NULL AS section FROM markdown WHERE NOT starts_with(text, '---') OR NOT contains(text, 'title:')"))
+def _plan(s, d):
+    """Findings written as a plan and read again, those for review alone."""
+    path = versions.scratch(s, "plan")
+    fixes.save_plan(fixes.findings(B.markdown(s, d)), path, "r1", "analyze", "core")
+    return fixes.selected(fixes.load_plan(s, path), "review").select("path", "seq", "rule_id", "severity", "action", "section")
+
+
+@query("o1_pages_by_key", V("mapping", "SELECT * FROM (SELECT DISTINCT * FROM mapping) ORDER BY confidence DESC NULLS LAST, doc_path NULLS FIRST, standard_code, match_reason LIMIT 60"))
+def _pages(s, d):
+    """Three pages of twenty, each found by the last one's cursor."""
+    m, rows, after = B.mapping(s, d).distinct(), [], None
+    for _ in range(3):
+        page, after = services.page_after(m, services.BY_CONFIDENCE, 20, after)
+        rows += page
+    return s.createDataFrame(rows, m.schema)

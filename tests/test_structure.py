@@ -341,3 +341,35 @@ def test_pages_by_key(spark, limit):
 
 def test_queries_are_there():
     assert {"a11_line_metrics", "w2_a11_section_metrics", "a12_rollup", "a13_required_coverage", "g6_two_hops"} <= set(registry.queries())
+
+
+# -- similarity
+
+
+@pytest.mark.parametrize("hot", [1, 3, 10_000])
+@pytest.mark.parametrize("repeats", [True, False])
+def test_similarity_with_frequent_tokens(spark, monkeypatch, hot, repeats):
+    from docloom.operators import matching
+
+    monkeypatch.setattr(matching, "HOT", hot)
+    rng = random.Random(8)
+    common, rare = ["plan", "doc", "it"], [f"r{i}" for i in range(30)]
+    make = lambda: sorted({*rng.choices(common, k=rng.randrange(4)), *rng.choices(rare, k=rng.choice([0, 0, 1, 3]))})
+    left, right = [(i, make()) for i in range(60)], [(i, make(), rng.choice("pq")) for i in range(80)]
+    for group in (None, "g"):
+        for least, k in ((0.05, 3), (0.4, 2)):
+            want = []
+            for a, x in left:
+                for g in {r[2] for r in right} if group else [None]:
+                    own = sorted((-len({*x} & {*y}) / len({*x} | {*y}), b) for b, y, h in right if (g is None or h == g) and {*x} & {*y})
+                    want += [(a, g, b, round(-s, 9), i) for i, (s, b) in enumerate([o for o in own if -o[0] >= least][:k], 1)]
+            l, r = spark.createDataFrame(left, "a long, tokens array<string>"), spark.createDataFrame(right, "b long, tokens array<string>, g string")
+            got = matching.top_similar(l, r, least, k, repeats, group).collect()
+            assert sorted(((x.a, x.g if group else None, x.b, round(x.score, 9), x["rank"]) for x in got), key=str) == sorted(want, key=str)
+
+
+def test_collisions_of_nulls(spark):
+    from docloom.operators import analytics
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, None), (5, "b")], "i int, k string")
+    assert sorted(r.i for r in analytics.collisions(df, "k").collect()) == [1, 2, 3, 4]
