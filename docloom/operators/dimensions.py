@@ -4,29 +4,105 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Codes of document types with their Polish and English names, and whether a template is provided.
+#: Codes of document types with their Polish and English names, usual owners and formats, and whether a template is provided.
 DOCUMENT_TYPES = (
-    ("POLICY", "Polityka", "Policy", True),
-    ("STANDARD", "Standard", "Standard", True),
-    ("PROCEDURE", "Procedura", "Procedure", True),
-    ("RUNBOOK", "Runbook operacyjny", "Runbook", True),
-    ("PLAYBOOK", "Playbook", "Playbook", True),
-    ("CHECKLIST", "Checklista", "Checklist", True),
-    ("SPEC", "Specyfikacja", "Specification", True),
-    ("ADR", "Decyzja architektoniczna", "Architecture Decision Record", True),
-    ("DESIGN", "Dokument projektowy", "Design Document", True),
-    ("REPORT", "Raport", "Report", True),
-    ("PLAN", "Plan", "Plan", True),
-    ("GUIDE", "Przewodnik", "Guide", True),
-    ("MATRIX", "Matryca", "Matrix", True),
-    ("REGISTER", "Rejestr", "Register", True),
-    ("CONTRACT", "Umowa / SLA", "Contract / SLA", False),
-    ("ASSESSMENT", "Ocena / Assessment", "Assessment", True),
-    ("POSTMORTEM", "Postmortem", "Postmortem", True),
-    ("RFC", "Wniosek o zmianę", "Request for Change", True),
-    ("ONBOARDING", "Dokumentacja wdrożeniowa", "Onboarding Documentation", True),
-    ("ARCHITECTURE", "Dokument architektoniczny", "Architecture Document", True),
+    ("POLICY", "Polityka", "Policy", "CISO / CTO / MGR", "Markdown / PDF", True),
+    ("STANDARD", "Standard", "Standard", "ARCH / SEC", "Markdown / PDF", True),
+    ("PROCEDURE", "Procedura", "Procedure", "OPS / DEVOPS", "Markdown", True),
+    ("RUNBOOK", "Runbook operacyjny", "Runbook", "SRE / OPS", "Markdown", True),
+    ("PLAYBOOK", "Playbook", "Playbook", "SRE / SEC", "Markdown", True),
+    ("CHECKLIST", "Checklista", "Checklist", "QA / OPS", "Markdown", True),
+    ("SPEC", "Specyfikacja", "Specification", "BA / DEV", "Markdown", True),
+    ("ADR", "Decyzja architektoniczna", "Architecture Decision Record", "ARCH / SA", "Markdown", True),
+    ("DESIGN", "Dokument projektowy", "Design Document", "ARCH / DEV", "Markdown / Diagram", True),
+    ("REPORT", "Raport", "Report", "PM / BA / MGR", "Markdown / PDF", True),
+    ("PLAN", "Plan", "Plan", "PM / PO", "Markdown", True),
+    ("GUIDE", "Przewodnik", "Guide", "DEVOPS / TRAIN", "Markdown", True),
+    ("MATRIX", "Matryca", "Matrix", "PM / BA", "Markdown / Tabela", True),
+    ("REGISTER", "Rejestr", "Register", "PM / RISK / MGR", "Markdown / Tabela", True),
+    ("CONTRACT", "Umowa / SLA", "Contract / SLA", "LEGAL / VENDOR", "PDF", False),
+    ("ASSESSMENT", "Ocena / Assessment", "Assessment", "SEC / AUDIT / RISK", "Markdown / PDF", True),
+    ("POSTMORTEM", "Postmortem", "Postmortem", "SRE / DEV", "Markdown", True),
+    ("RFC", "Wniosek o zmianę", "Request for Change", "CHANGE / MGR", "Markdown / Form", True),
+    ("ONBOARDING", "Dokumentacja wdrożeniowa", "Onboarding Documentation", "TRAIN / MGR", "Markdown", True),
+    ("ARCHITECTURE", "Dokument architektoniczny", "Architecture Document", "ARCH / EA", "Markdown / Diagram", True),
 )
+#: Public titles of the controls of ISO/IEC 27001:2022, annex A, by theme, and of the categories of NIST CSF 2.0, by function.
+ISO_CONTROLS = {
+    ("Organizational", "A.5"): (
+        "Policies for information security", "Information security roles and responsibilities", "Segregation of duties", "Management responsibilities", "Contact with authorities",
+        "Contact with special interest groups", "Threat intelligence", "Information security in project management", "Inventory of information and other associated assets",
+        "Acceptable use of information and other associated assets", "Return of assets", "Classification of information", "Labelling of information", "Information transfer", "Access control",
+        "Identity management", "Authentication information", "Access rights", "Information security in supplier relationships", "Addressing information security within supplier agreements",
+        "Managing information security in the ICT supply chain", "Monitoring, review and change management of supplier services", "Information security for use of cloud services",
+        "Information security incident management planning and preparation", "Assessment and decision on information security events", "Response to information security incidents",
+        "Learning from information security incidents", "Collection of evidence", "Information security during disruption", "ICT readiness for business continuity",
+        "Legal, statutory, regulatory and contractual requirements", "Intellectual property rights", "Protection of records", "Privacy and protection of PII",
+        "Independent review of information security", "Compliance with policies, rules and standards for information security", "Documented operating procedures",
+    ),
+    ("People", "A.6"): (
+        "Screening", "Terms and conditions of employment", "Information security awareness, education and training", "Disciplinary process",
+        "Responsibilities after termination or change of employment", "Confidentiality or non-disclosure agreements", "Remote working", "Information security event reporting",
+    ),
+    ("Physical", "A.7"): (
+        "Physical security perimeters", "Physical entry", "Securing offices, rooms and facilities", "Physical security monitoring", "Protecting against physical and environmental threats",
+        "Working in secure areas", "Clear desk and clear screen", "Equipment siting and protection", "Security of assets off-premises", "Storage media", "Supporting utilities", "Cabling security",
+        "Equipment maintenance", "Secure disposal or re-use of equipment",
+    ),
+    ("Technological", "A.8"): (
+        "User endpoint devices", "Privileged access rights", "Information access restriction", "Access to source code", "Secure authentication", "Capacity management", "Protection against malware",
+        "Management of technical vulnerabilities", "Configuration management", "Information deletion", "Data masking", "Data leakage prevention", "Information backup",
+        "Redundancy of information processing facilities", "Logging", "Monitoring activities", "Clock synchronization", "Use of privileged utility programs",
+        "Installation of software on operational systems", "Networks security", "Security of network services", "Segregation of networks", "Web filtering", "Use of cryptography",
+        "Secure development life cycle", "Application security requirements", "Secure system architecture and engineering principles", "Secure coding", "Security testing in development and acceptance",
+        "Outsourced development", "Separation of development, test and production environments", "Change management", "Test information", "Protection of information systems during audit testing",
+    ),
+}
+CSF_CATEGORIES = {
+    "GOVERN": (("GV.OC", "Organizational Context"), ("GV.RM", "Risk Management Strategy"), ("GV.RR", "Roles, Responsibilities, and Authorities"), ("GV.PO", "Policy"), ("GV.OV", "Oversight"), ("GV.SC", "Cybersecurity Supply Chain Risk Management")),
+    "IDENTIFY": (("ID.AM", "Asset Management"), ("ID.RA", "Risk Assessment"), ("ID.IM", "Improvement")),
+    "PROTECT": (("PR.AA", "Identity Management, Authentication, and Access Control"), ("PR.AT", "Awareness and Training"), ("PR.DS", "Data Security"), ("PR.PS", "Platform Security"), ("PR.IR", "Technology Infrastructure Resilience")),
+    "DETECT": (("DE.CM", "Continuous Monitoring"), ("DE.AE", "Adverse Event Analysis")),
+    "RESPOND": (("RS.MA", "Incident Management"), ("RS.AN", "Incident Analysis"), ("RS.CO", "Incident Response Reporting and Communication"), ("RS.MI", "Incident Mitigation")),
+    "RECOVER": (("RC.RP", "Incident Recovery Plan Execution"), ("RC.CO", "Incident Recovery Communication")),
+}
+#: Our own catalogue of what standards ask for: item, title, required, category, type of document, words.
+CATALOGUE = {
+    "ISO/IEC 27001": (
+        ("4.3", "Scope of the information security management system", True, "governance", "POLICY", "isms scope"),
+        ("5.2", "Information security policy", True, "governance", "POLICY", "isms policy"),
+        ("6.1.2", "Information security risk assessment process", True, "risk", "PROCEDURE", "risk assessment"),
+        ("6.1.3", "Statement of applicability", True, "risk", "REGISTER", "controls soa"),
+        ("9.2", "Internal audit programme", True, "audit", "PLAN", "internal audit"),
+        ("10.2", "Nonconformity and corrective action log", False, "audit", "REGISTER", "corrective action"),
+    ),
+    "ISO 22301": (
+        ("8.2", "Business impact analysis", True, "continuity", "ASSESSMENT", "bia impact"),
+        ("8.4", "Business continuity plan", True, "continuity", "PLAN", "bcp continuity"),
+        ("8.5", "Continuity exercise programme", False, "continuity", "PLAN", "exercise test"),
+    ),
+    "ISO/IEC 20000-1": (
+        ("8.2.4", "Service catalogue", True, "service", "REGISTER", "service catalogue"),
+        ("8.3.3", "Service level agreement", True, "service", "CONTRACT", "sla level"),
+        ("8.6.1", "Incident management procedure", True, "service", "PROCEDURE", "incident"),
+        ("8.5.1", "Change management procedure", True, "service", "PROCEDURE", "change"),
+    ),
+    "GDPR": (
+        ("30", "Records of processing activities", True, "privacy", "REGISTER", "processing records"),
+        ("33", "Personal data breach notification procedure", True, "privacy", "PROCEDURE", "breach notification"),
+        ("35", "Data protection impact assessment", True, "privacy", "ASSESSMENT", "dpia impact"),
+    ),
+    "NIST CSF 2.0": (
+        ("GV.PO", "Cybersecurity policy", True, "governance", "POLICY", "policy"),
+        ("ID.AM", "Asset inventory", True, "assets", "REGISTER", "asset inventory"),
+        ("RS.MA", "Incident response plan", True, "incident", "PLAN", "incident response"),
+        ("RC.RP", "Incident recovery plan", False, "incident", "PLAN", "recovery"),
+    ),
+    "DORA": (
+        ("6", "Digital operational resilience framework", True, "risk", "POLICY", "resilience"),
+        ("28", "Register of information on third-party providers", True, "suppliers", "REGISTER", "third party register"),
+    ),
+}
 #: Names of industries by ISIC division.
 ISIC = {
     "01": "Crop and animal production, hunting and related services",
@@ -126,7 +202,7 @@ SECTION_REGULATIONS = {
 
 
 def document_types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DOCUMENT_TYPES, "type_code string, name_pl string, name_en string, has_template boolean")
+    return spark.createDataFrame(DOCUMENT_TYPES, "type_code string, name_pl string, name_en string, typical_owner string, typical_format string, has_template boolean")
 
 
 def industries(spark: SparkSession) -> DataFrame:
@@ -138,3 +214,16 @@ def section_codes(spark: SparkSession, regulations: bool = False) -> DataFrame:
     of = SECTION_REGULATIONS if regulations else SECTION_STANDARDS
     rows = [(s, i, c) for s, codes in of.items() for i, c in enumerate(codes)]
     return spark.createDataFrame(rows, f"section_norm string, seq int, {'regulation' if regulations else 'standard'}_code string")
+
+
+def control_rows() -> list[tuple[str, int, str, str, str]]:
+    """standard_code, seq, control_id, title, theme of the controls of two public standards."""
+    iso = [(f"{prefix}.{i}", title, theme) for (theme, prefix), titles in ISO_CONTROLS.items() for i, title in enumerate(titles, 1)]
+    csf = [(code, title, function) for function, pairs in CSF_CATEGORIES.items() for code, title in pairs]
+    return [(name, seq, *row) for name, rows in (("ISO/IEC 27001", iso), ("NIST CSF 2.0", csf)) for seq, row in enumerate(rows)]
+
+
+def catalogue(spark: SparkSession) -> DataFrame:
+    """standard_code and the six fields of each entry; is_required is 0 or 1, as tables have it."""
+    rows = [(code, item, title, int(required), category, kind, words) for code, entries in CATALOGUE.items() for item, title, required, category, kind, words in entries]
+    return spark.createDataFrame(rows, "standard_code string, item_code string, title string, is_required int, category string, type_code string, keywords string")

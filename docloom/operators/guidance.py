@@ -8,15 +8,14 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.functions import unicode as U
 
+from . import dimensions
 from . import sections as S
 from .matching import top_similar
 
 #: Our own thresholds of title similarity: they aren't documented anywhere. A mapped document needs less.
 HIGH, MEDIUM, BOOST = 0.6, 0.4, 0.15
-#: States that a document passes through; controls of two public standards by theme or function.
+#: States that a document passes through.
 STATES = ("draft", "review", "approved", "active", "archived")
-ISO_THEMES = (("Organizational", "A.5", 37), ("People", "A.6", 8), ("Physical", "A.7", 14), ("Technological", "A.8", 34))
-CSF_FUNCTIONS = (("GOVERN", "GV", ("OC", "RM", "RR", "PO", "OV", "SC")), ("IDENTIFY", "ID", ("AM", "RA", "IM")), ("PROTECT", "PR", ("AA", "AT", "DS", "PS", "IR")), ("DETECT", "DE", ("CM", "AE")), ("RESPOND", "RS", ("MA", "AN", "CO", "MI")), ("RECOVER", "RC", ("RP", "CO")))
 #: Keywords of titles and the guidance for them; the texts are our own. The first that fits counts.
 ARCHETYPES = (
     ("quantum", "Describe the key exchange (QKD, BB84) and how keys are renewed."),
@@ -138,10 +137,8 @@ def lifecycle(docs: DataFrame) -> DataFrame:
 
 
 def controls(spark: SparkSession) -> DataFrame:
-    """standard_code, control_id, theme of the controls of two public standards."""
-    iso = [("ISO/IEC 27001", f"{prefix}.{i}", theme) for theme, prefix, n in ISO_THEMES for i in range(1, n + 1)]
-    csf = [("NIST CSF 2.0", f"{code}.{x}", function) for function, code, cats in CSF_FUNCTIONS for x in cats]
-    return spark.createDataFrame(iso + csf, "standard_code string, control_id string, theme string")
+    """standard_code, seq, control_id, title, theme of the controls of two public standards."""
+    return spark.createDataFrame(dimensions.control_rows(), "standard_code string, seq int, control_id string, title string, theme string")
 
 
 def seed(old: DataFrame, new: DataFrame, key: list[str], replace: bool = False) -> DataFrame:

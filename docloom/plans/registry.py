@@ -191,7 +191,8 @@ over("r10_inject", "markdown", lambda m: m.select("doc_id", F.sha2(sections.inje
 query("j22_best_donor", "WITH w AS (SELECT p_name, list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z]+'), lambda t: length(t) > 2)) AS x, count(*) AS n, min(p_partkey) AS d1, min(p_partkey) FILTER (p_partkey > m) AS d2 FROM part JOIN (SELECT p_name, min(p_partkey) AS m FROM part GROUP BY 1) USING (p_name) GROUP BY 1), c AS (SELECT a.p_name, s.score, unnest([b.d1, b.d2]) AS donor FROM w a, w b, LATERAL (SELECT len(list_intersect(a.x, b.x))::DOUBLE / len(list_distinct(a.x || b.x)) AS score) s WHERE s.score >= 0.01) SELECT p_partkey, donor, score FROM part JOIN c USING (p_name) WHERE donor <> p_partkey QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, donor) = 1")(lambda s, d: sections.best_donors(B.read(s, d, "part"), B.read(s, d, "part"), "p_partkey", "p_name"))
 query("x33_r27_mojibake", "SELECT c_custkey, c_name || ' żółć' AS name FROM customer")(lambda s, d: U.repair(B.read(s, d, "customer").select("c_custkey", F.concat("c_name", F.lit(" \u017c\u00f3\u0142\u0107".encode().decode("cp1252"))).alias("name")), ["name"]).drop("changed"))
 query("x6_dash_slug", "SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') || '-ecole' AS slug FROM part")(lambda s, d: B.read(s, d, "part").select("p_partkey", U.dash_slug(F.concat("p_name", F.lit("  \u00c9cole!"))).alias("slug")))
-query("w11_r23_packages")(lambda s, d: packages.packages(B.read(s, d, "customer").groupBy(F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("code")).agg(F.count(F.lit(1)).alias("n")).withColumn("tag", F.lit("t"))))
+_CODES = "c AS (SELECT lpad(c_nationkey::VARCHAR, 2, '0') AS code, count(*) AS n, row_number() OVER (ORDER BY lpad(c_nationkey::VARCHAR, 2, '0')) AS i, (SELECT ceil(count(*) / 10) FROM customer) AS most FROM customer GROUP BY 1), w AS (SELECT i, code, n, 1 AS package, n AS size FROM c WHERE i = 1 UNION ALL SELECT c.i, c.code, c.n, CASE WHEN size + c.n > most AND package < 10 THEN package + 1 ELSE package END, CASE WHEN size + c.n > most AND package < 10 THEN c.n ELSE size + c.n END FROM w JOIN c ON c.i = w.i + 1)"
+query("w11_r23_packages", f"WITH RECURSIVE {_CODES} SELECT package::INT AS package, code, 't' AS tag, n FROM w")(lambda s, d: packages.packages(B.read(s, d, "customer").groupBy(F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("code")).agg(F.count(F.lit(1)).alias("n")).withColumn("tag", F.lit("t"))))
 over("e4_templates_page", "mapping", lambda m: services.templates(m.distinct(), "STD-3", 0.5, 50, 10), "SELECT * FROM (SELECT DISTINCT * FROM mapping) WHERE confidence >= 0.5 AND standard_code = 'STD-3' ORDER BY confidence DESC, doc_path, standard_code, match_reason LIMIT 50 OFFSET 10")
 over("e4_review", "mapping", lambda m: services.review(m, m.select("doc_path", "standard_code").distinct().select("doc_path", "standard_code", (F.col("standard_code") != "STD-1").alias("approve"), F.when(F.col("standard_code") == "STD-2", 0.9).alias("confidence")).filter("standard_code in ('STD-1', 'STD-2', 'STD-3')"), ["doc_path", "standard_code"]), "SELECT doc_path, standard_code, CASE WHEN standard_code IN ('STD-2', 'STD-3') THEN 'expert_reviewed' ELSE match_reason END AS match_reason, CASE standard_code WHEN 'STD-2' THEN 0.9::DOUBLE WHEN 'STD-3' THEN greatest(coalesce(confidence, 0), 0.8::DOUBLE) ELSE confidence END AS confidence FROM mapping WHERE standard_code <> 'STD-1'")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import fixes, gates, graph, quality, rebuild, services
+from docloom.operators import dimensions, fixes, gates, graph, guidance, matching, quality, rebuild, services
 from docloom.sources import files, sinks, versions
 
 from . import bindings as B
@@ -192,3 +192,63 @@ def _pages(s, d):
         page, after = services.page_after(m, services.BY_CONFIDENCE, 20, after)
         rows += page
     return s.createDataFrame(rows, m.schema)
+
+
+# Dimensions that come with the library, over the given tables ------------------------------------
+
+
+def _values(rows) -> str:
+    """SQL of rows of text and numbers."""
+    text = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return "(VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows) + ")"
+
+
+_ISIC = list(dimensions.ISIC)
+_KEYS = list(dimensions.SECTION_STANDARDS)
+_PAIRS = [(k, i, c) for k, codes in dimensions.SECTION_STANDARDS.items() for i, c in enumerate(codes)]
+
+
+def _pick(values: list[str], column: str):
+    """One of some values by a number; null beyond them."""
+    return F.try_element_at(F.lit(values), (F.col(column) % (len(values) + 3) + 1).cast("int"))
+
+
+@query("s12_j27_industries", f"SELECT c_custkey, coalesce(name, 'no code') AS name FROM (SELECT c_custkey, list_extract({[*_ISIC]}, c_custkey % {len(_ISIC) + 3} + 1) AS code FROM customer) LEFT JOIN {_values(dimensions.ISIC.items())} i(code, name) USING (code)")
+def _industries(s, d):
+    """Customers with the names of the industries of the shipped table."""
+    rows = B.read(s, d, "customer").select("c_custkey", F.coalesce(_pick(_ISIC, "c_custkey"), F.concat(F.lit("none "), "c_custkey")).alias("code"))
+    names = guidance.branch_names(rows.select("code", F.lit(" no  code ").alias("tag")).distinct(), dimensions.industries(s))
+    return rows.join(names, "code").select("c_custkey", "name")
+
+
+@query("s12_r14_section_codes", f"WITH k AS (SELECT o_orderkey AS id, list_extract({_KEYS}, o_orderkey % {len(_KEYS) + 3} + 1) AS section_norm FROM orders), c AS (SELECT section_norm, list(code ORDER BY seq) AS l FROM {_values(_PAIRS)} p(section_norm, seq, code) WHERE code <> 'NIS2' GROUP BY 1) SELECT id, '[\"' || array_to_string(l, '\",\"') || '\"]' AS codes FROM k LEFT JOIN c USING (section_norm)")
+def _section_codes(s, d):
+    """Guidance of sections enriched with the standards of the shipped table, those that are known."""
+    o = B.read(s, d, "orders")
+    asked = o.select(F.col("o_orderkey").alias("id"), F.lit("none").alias("doc_title"), F.upper(F.coalesce(_pick(_KEYS, "o_orderkey"), F.lit("?"))).alias("section_title"))
+    extra = dimensions.section_codes(s)
+    none = o.select(F.lit("x").alias("doc_path"), F.lit("x").alias("standard_code")).limit(0)
+    return guidance.enrich(asked, none.select(F.col("doc_path").alias("path"), F.col("doc_path").alias("title")), none, extra, extra.filter("standard_code <> 'NIS2'").select("standard_code"), "standard_code")
+
+
+_TITLES = [r[3] for r in dimensions.control_rows()]
+_WORDS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: length(t) > 2 AND NOT list_contains({1}, t)))"
+
+
+@query("s13_j21_controls", f"WITH d AS (SELECT 'p' || p_partkey || '.md' AS path, list_extract({_TITLES}, p_partkey % {len(_TITLES) + 3} + 1) || ' ' || p_name AS t FROM part), x AS (SELECT path, {_WORDS.format('t', list(T.CONTROL_STOP))} AS a FROM d WHERE t IS NOT NULL), c AS (SELECT *, {_WORDS.format('title', list(T.CONTROL_STOP))} AS b FROM {_values(dimensions.control_rows())} v(standard_code, seq, control_id, title, theme)), s AS (SELECT path, standard_code, seq, control_id, len(list_intersect(a, b))::DOUBLE / len(list_distinct(a || b)) AS s FROM x, c) SELECT path, standard_code, control_id, round_even(s, 4) AS confidence, row_number() OVER (PARTITION BY path, standard_code ORDER BY s DESC, seq)::INT AS rank FROM s WHERE s >= 0.05 QUALIFY rank <= 5")
+def _controls(s, d):
+    """Documents mapped to the controls that come with the library."""
+    docs = B.read(s, d, "part").select(F.concat(F.lit("p"), "p_partkey", F.lit(".md")).alias("path"), F.concat(_pick(_TITLES, "p_partkey"), F.lit(" "), "p_name").alias("title")).filter("title is not null")
+    return matching.map_controls(docs, guidance.controls(s))
+
+
+_ITEMS = [(f"{code} {e[0]}", e[1]) for code, entries in dimensions.CATALOGUE.items() for e in entries]
+
+
+@query("s13_j23_catalogue", f"WITH e AS (SELECT * FROM {_values(_ITEMS)} v(entry, t)), d AS (SELECT 'p' || lpad(p_partkey::VARCHAR, 9, '0') AS path, list_extract({[t for _, t in _ITEMS]}, p_partkey % {len(_ITEMS) + 5} + 1) AS title FROM part) SELECT entry, min(path) AS path, t AS title, 'exact' AS confidence FROM e JOIN d ON title = t GROUP BY 1, 3")
+def _catalogue(s, d):
+    """The best document for each entry of the shipped catalogue."""
+    titles = [t for _, t in _ITEMS]
+    docs = B.read(s, d, "part").select(F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("path"), F.try_element_at(F.lit(titles), (F.col("p_partkey") % (len(titles) + 5) + 1).cast("int")).alias("title"))
+    entries = dimensions.catalogue(s).select(F.concat_ws(" ", "standard_code", "item_code").alias("entry"), F.col("title").alias("doc_title"))
+    return guidance.match_catalogue(entries, docs.filter("title is not null"))
