@@ -54,32 +54,42 @@ def findings(docs: DataFrame) -> DataFrame:
     return x.select("path", "seq", "f.*")
 
 
-def apply_plan(docs: DataFrame, plan: DataFrame, only_safe: bool = True) -> DataFrame:
-    """The documents of a plan (path, seq, action, section, safe), each changed in order.
-
-    path, text, new_text, hash_before, hash_after, status: changed, skipped (nothing to do,
-    or no difference) or error (no such document).
-    """
+def _todo(plan: DataFrame, only_safe: bool) -> DataFrame:
+    """path and its changes in order, as structs."""
     use = (F.col("action") != "report_only") & (F.col("safe") | F.lit(not only_safe))
-    todo = plan.groupBy("path").agg(F.array_sort(F.collect_list(F.when(use, F.struct("seq", "action", "section")))).alias("todo"))
+    return plan.groupBy("path").agg(F.array_sort(F.collect_list(F.when(use, F.struct("seq", "action", "section")))).alias("todo"))
+
+
+def _changed(text: str, todo: str) -> Column:
+    """The text after its changes; a null text, or none to do, leaves it as it is."""
     filled = F.create_map(*(F.lit(x) for pair in PLACEHOLDERS.items() for x in pair))
 
     def one(text: Column, c: Column) -> Column:
         grown = F.concat(F.regexp_replace(text, r"\n+\z", ""), F.lit("\n\n"), c["section"], F.lit("\n"), F.coalesce(filled[c["section"]], F.lit(OTHER_PLACEHOLDER)))
         return F.when(c["action"] == "insert_section", grown).when(c["action"] == "strip_emoji", F.regexp_replace(text, EMOJI, "")).otherwise(text)
 
-    x = todo.join(docs.select("path", "text"), "path", "left").withColumn("new_text", F.aggregate("todo", F.col("text"), one))
-    h = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return F.when(F.size(todo) > 0, F.aggregate(todo, F.col(text), one)).otherwise(F.col(text))
+
+
+def _hash(c: str) -> Column:
+    return F.sha2(F.col(c).cast("binary"), 256)
+
+
+def apply_plan(docs: DataFrame, plan: DataFrame, only_safe: bool = True) -> DataFrame:
+    """The documents of a plan (path, seq, action, section, safe), each changed in order.
+
+    path, text, new_text, hash_before, hash_after, status: changed, skipped (nothing to do,
+    or no difference) or error (no such document).
+    """
+    x = _todo(plan, only_safe).join(docs.select("path", "text"), "path", "left").withColumn("new_text", _changed("text", "todo"))
     status = F.when(F.col("text").isNull(), "error").when(F.col("text") == F.col("new_text"), "skipped").otherwise("changed")
-    return x.select("path", "text", "new_text", h("text").alias("hash_before"), h("new_text").alias("hash_after"), status.alias("status"))
+    return x.select("path", "text", "new_text", _hash("text").alias("hash_before"), _hash("new_text").alias("hash_after"), status.alias("status"))
 
 
 def apply_safe(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """All documents after a plan's safe changes, with hashes before and after."""
-    done = apply_plan(docs, plan).select("path", F.col("new_text").alias("__new"))
-    x = docs.join(done, "path", "left").select("path", "text", F.coalesce("__new", "text").alias("new_text"))
-    h = lambda c: F.sha2(F.col(c).cast("binary"), 256)
-    return x.select("path", "text", "new_text", h("text").alias("hash_before"), h("new_text").alias("hash_after"))
+    """All documents after a plan's safe changes, with hashes before and after. Texts meet their changes in one join."""
+    x = docs.select("path", "text").join(_todo(plan, True), "path", "left").withColumn("new_text", _changed("text", "todo"))
+    return x.select("path", "text", "new_text", _hash("text").alias("hash_before"), _hash("new_text").alias("hash_after"))
 
 
 #: Which changes of a plan: all, those that may be applied without review, or the others.

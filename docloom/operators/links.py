@@ -18,10 +18,13 @@ def _keys():
     return F.array_distinct(F.array("heading_norm", F.regexp_replace("heading_norm", " ", "-"), F.lower("anchor")))
 
 
-def label_index(sections: DataFrame, by_doc: bool) -> DataFrame:
-    """key (and doc_uid) -> number of sections and the smallest one; keys are heading, heading with dashes, anchor."""
+def label_index(sections: DataFrame, by_doc: bool, exact: bool = True) -> DataFrame:
+    """key (and doc_uid) -> number of sections and the smallest one; keys are heading, heading with dashes, anchor.
+
+    Without ``exact`` the number is 1 or 2 for more: told by the smallest and the largest, it needs one shuffle of one row a key and task.
+    """
     rows = sections.select("section_uid", "doc_uid", F.explode(_keys()).alias("key")).filter("key is not null and key <> ''")
-    return rows.groupBy(*(["doc_uid"] if by_doc else []), "key").agg(F.countDistinct("section_uid").alias("n"), F.min("section_uid").alias("uid"))
+    return rows.groupBy(*(["doc_uid"] if by_doc else []), "key").agg((F.countDistinct("section_uid") if exact else F.when(F.min("section_uid") == F.max("section_uid"), 1).otherwise(2)).alias("n"), F.min("section_uid").alias("uid"))
 
 
 def resolve(links: DataFrame, sections: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
@@ -30,8 +33,8 @@ def resolve(links: DataFrame, sections: DataFrame, overrides: DataFrame | None =
     An override comes first; then the label in its context document if it is unique
     there; if it is ambiguous there, that ends the search; then the whole library.
     """
-    own = label_index(sections, True).select(F.col("doc_uid").alias("context_doc_uid"), "key", F.col("n").alias("n_doc"), F.col("uid").alias("uid_doc"))
-    whole = label_index(sections, False).select("key", F.col("n").alias("n_all"), F.col("uid").alias("uid_all"))
+    own = label_index(sections, True, exact=False).select(F.col("doc_uid").alias("context_doc_uid"), "key", F.col("n").alias("n_doc"), F.col("uid").alias("uid_doc"))
+    whole = label_index(sections, False, exact=False).select("key", F.col("n").alias("n_all"), F.col("uid").alias("uid_all"))
     # Whatever a label with spaces finds, its dashed form finds too, as every heading is indexed by both.
     x = links.withColumn("key", F.replace("to_ref", F.lit(" "), F.lit("-"))).join(own, ["context_doc_uid", "key"], "left").join(whole, "key", "left")
     if overrides is not None:
