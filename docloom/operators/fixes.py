@@ -145,17 +145,17 @@ def run(spark: SparkSession, root: str, mode: str, output_plan: str, run_id: str
     if mode == "dry-run":
         done = apply_plan(docs, plan, True)
         return sinks.unified_diff(done.filter("status = 'changed'"), "text", "new_text", "path").select("path", "diff")
-    return write_changes(docs, selected(plan, "safe" if only_safe else "all"), target, backup, on_error)
+    return write_changes(docs, plan, target, backup, on_error, only_safe=only_safe)
 
 
-def write_changes(docs: DataFrame, plan: DataFrame, target: str, backup: str, on_error: Callable[[str], None] | None = None, diff: str | None = None, result: str | None = None) -> DataFrame:
-    """Apply all changes of a plan: path, hash_before, hash_after, status of its documents.
+def write_changes(docs: DataFrame, plan: DataFrame, target: str, backup: str, on_error: Callable[[str], None] | None = None, diff: str | None = None, result: str | None = None, only_safe: bool = False) -> DataFrame:
+    """Apply the changes of a plan, or the safe ones: path, hash_before, hash_after, status of its documents.
 
     ``backup`` and then ``target`` get a new version with the old and the new texts of what changes.
     ``diff`` gets the unified diffs as text, ``result`` the returned rows as JSON lines.
     """
     spark = docs.sparkSession
-    done = apply_plan(docs, plan, only_safe=False).persist()
+    done = apply_plan(docs, plan, only_safe).persist()
     try:
         changed = done.filter("status = 'changed'")
         versions.Table(spark, backup).refresh(lambda _: changed.select("path", "text"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.functions import unicode as U
 from docloom.operators import audit, fixes, graph, guidance, history, links, quality, raci, sync, templates
-from docloom.sources import sinks
+from docloom.sources import sinks, versions
 
 UID = "01ABCDEFGHJKMNPQRSTVWXYZ00"
 
@@ -105,9 +105,9 @@ def test_plan_and_apply(spark, tmp_path):
     assert set(diffs) == {"a.md", "d.md"} and "+## Cel dokumentu\n" in diffs["a.md"] and "-no front ☀\n+no front \n" in diffs["d.md"]
     done = fixes.run(spark, str(root), "apply", str(tmp_path / "plan"), "r3", target=str(tmp_path / "new"), backup=str(tmp_path / "old"))
     assert {name(r.path): r.status for r in done.collect()} == {"a.md": "changed", "c.md": "error", "d.md": "changed"}
-    new = {name(r.path): r.text for r in spark.read.parquet(str(tmp_path / "new")).collect()}
+    new = {name(r.path): r.text for r in versions.Table(spark, str(tmp_path / "new")).read().collect()}
     want = "---\ntitle: T\n---\n## Zakres i granice\n\n## Cel dokumentu\n" + fixes.PLACEHOLDERS["## Cel dokumentu"].rstrip("\n") + "\n\n## Wejścia i wyjścia\n" + fixes.PLACEHOLDERS["## Wejścia i wyjścia"]
-    assert new["a.md"] == want and spark.read.parquet(str(tmp_path / "old")).count() == 2
+    assert new["a.md"] == want and versions.Table(spark, str(tmp_path / "old")).read().count() == 2
     again = fixes.apply_plan(spark.createDataFrame([("a.md", want)], "path string, text string"), spark.createDataFrame([("a.md", 0, "strip_emoji", None, True), ("gone", 0, "report_only", None, False)], "path string, seq int, action string, section string, safe boolean"))
     assert {r.path: r.status for r in again.collect()} == {"a.md": "skipped", "gone": "error"}
     with pytest.raises(ValueError):
