@@ -21,6 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .joins import spread
+from .store import materialize
+
 CHUNK = 1 << 20
 ID = "urn:docloom:page:"
 HEX, B32HEX, B32 = 16, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -64,9 +67,10 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, chunk: int =
     """
     body = F.coalesce("html", F.lit("")).cast("binary")
     src = pages.select("page_id", "url", body.alias("body")).withColumns({"digest": base32_sha1(F.col("body")), "size": F.octet_length("body")})
-    seen = src.select("page_id", "digest", "size")
+    seen = materialize(src.select("page_id", "digest", "size"), "payloads")
     owner = seen.groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("size") >= min_bytes)).drop("n")
-    revisit = seen.join(owner, ["digest", "size"]).filter(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "first").distinct()
+    # Copies of one payload, of an empty page say, don't meet in one task.
+    revisit = spread(seen, owner, ["digest", "size"], ["page_id"]).filter(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "first").distinct()
     # Payloads move once, by page_id, which no group of copies can fill.
     src = src.drop("size").join(revisit, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left").select("page_id", "url", "body", "digest", "first", F.col("again_digest").isNotNull().alias("again"))
     rows = _records(chunk, date)
