@@ -55,12 +55,12 @@ def exact_groups(docs: DataFrame, leaves: int | None = None) -> DataFrame:
     rows = digests(docs)
     rows = rows.select("*", F.monotonically_increasing_id().alias("row"))
     rows = materialize(rows.withColumn("run", F.pmod(F.xxhash64("row"), F.lit(size)).cast("int")), "digests")
-    # Greatest struct first: most code points, then ids (null last), then the row number.
-    best = F.struct("n_points", F.coalesce(-F.col("doc_id"), F.lit(-(2**63))).alias("neg"), (-F.col("row")).alias("nrow"))
-    tree = [rows.groupBy("run", *KEY).agg(F.max(best).alias("best"), F.count(F.lit(1)).alias("n"))]
+    # Least struct first: most code points, then ids (null last), then the row number.
+    best = F.struct((-F.col("n_points")).alias("fewer"), F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    tree = [rows.groupBy("run", *KEY).agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("n"))]
     tree[0] = materialize(tree[0], "runs0")
     for level in range(levels):
-        up = tree[-1].withColumn("run", F.floor(F.col("run") / FAN).cast("int")).groupBy("run", *KEY).agg(F.max("best").alias("best"), F.sum("n").alias("n"))
+        up = tree[-1].withColumn("run", F.floor(F.col("run") / FAN).cast("int")).groupBy("run", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
         tree.append(materialize(up, f"runs{level + 1}") if level + 1 < levels else up)
     down = tree.pop().select("run", *KEY, "best", "n")
     while tree:
@@ -68,5 +68,4 @@ def exact_groups(docs: DataFrame, leaves: int | None = None) -> DataFrame:
         parent = down.withColumnRenamed("run", "up")
         down = child.join(parent, ["up", *KEY]).select("run", *KEY, "best", "n")
     out = rows.join(down, ["run", *KEY])
-    keep = F.when(F.col("best.neg") == -(2**63), F.lit(None)).otherwise(-F.col("best.neg")).cast("long")
-    return out.select("doc_id", keep.alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == -F.col("best.nrow")).alias("kept"), "text_sha256")
+    return out.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
