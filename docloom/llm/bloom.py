@@ -11,7 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .store import parts
 from .words import U, mix
 
 CHUNKS = 64
@@ -21,19 +23,37 @@ def _bits(x: np.ndarray, log2: int) -> list[np.ndarray]:
     return [mix(x.view(U) ^ U(c)) >> U(64 - log2) for c in (0x51ED27, 0x2F0B4C)]
 
 
-def add_up(df: DataFrame, numpy_type: str, op) -> dict[int, bytes]:
-    """(chunk, data) rows, chunk by chunk combined by ``op``; every task holds one array per chunk it has."""
+FAN = 64  # arrays that one task combines on the way up, about
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a = np.frombuffer(d, numpy_type)
-                held[k] = op(held[k], a) if k in held else a.copy()
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([a.tobytes() for a in held.values()], pa.binary())], ["chunk", "data"])
 
-    return {r.chunk: r.data for r in df.repartition(CHUNKS // 4, "chunk").mapInArrow(run, "chunk int, data binary").collect()}
+def add_up(df: DataFrame, numpy_type: str, op, wide: str | None = None) -> dict[int, bytes]:
+    """(chunk, data) rows, chunk by chunk combined by ``op``, as arrays of type ``wide`` (by default as they are).
+
+    They go up a tree: the tasks that made them are in groups, each group's arrays of a chunk meet in one
+    task, then the groups' do, so no task reads more than about ``FAN`` arrays of a chunk however many there are.
+    """
+    wide = wide or numpy_type
+
+    def combine(kind: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                for k, g, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    a = np.frombuffer(d, kind)
+                    held[k, g] = op(held[k, g], a) if (k, g) in held else a.astype(wide)
+            for (k, g), a in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([g], pa.int32()), pa.array([a.tobytes()], pa.binary())], ["chunk", "group", "data"])
+
+        return run
+
+    n = parts(df.sparkSession)
+    # As many levels as the cluster's own number of partitions asks for, as that of the tasks isn't known yet.
+    groups = [g for g in (n, n // FAN, n // FAN**2) if g > FAN] + [1]
+    rows, kind = df.select("chunk", F.spark_partition_id().alias("group"), "data"), numpy_type
+    for g in groups:
+        rows = rows.withColumn("group", F.pmod("group", F.lit(g))).repartition(min(n, CHUNKS * g), "chunk", "group")
+        rows, kind = rows.mapInArrow(combine(kind), "chunk int, group int, data binary"), wide
+    return {r.chunk: r.data for r in rows.collect()}
 
 
 def build(df: DataFrame, column: str, log2: int = 26) -> np.ndarray:

@@ -29,17 +29,18 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .components import components
+from .joins import BUCKETS, inner, largest
 from .store import discard, materialize, parts
 from .words import U, blobs, mix, shingle_sets, signed, slices
 
 COUNT_BITS = 20
 COUNT_CHUNKS = 64
-BLOCK = 256  # candidates verified at once
+BLOCK = 128  # candidates verified at once
 RUN = 1 << 18  # rows of a cell in memory at once in the first round
 PAIRS = 1 << 16
+CELL_BLOCK = 4096  # classes of a cell that meet in a task, on either side
 SENT = 1 << 20  # candidate pairs that are sent to the sets; more are joined by a shuffle of both
 MOST_SHARED = 10_000  # hashes that different sets share
-BUCKETS = 64  # of a component, on the way down
 LEAST_BITS, MOST_BITS = 64, 1 << 24  # of a set's parities
 
 
@@ -135,9 +136,10 @@ def folded(x: np.ndarray, width: int) -> np.ndarray:
 def _near_enough(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Without the pairs whose parities already differ too much; nothing that is similar goes."""
     need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    own = rows.join(need, "cls", "left_semi").select("cls", F.col("n").alias("size"), "data").dropDuplicates(["cls"])
+    # Copies go in the tasks that read them, before a class is shuffled.
+    own = rows.select("cls", F.col("n").alias("size"), "data").dropDuplicates(["cls"]).join(need, "cls", "left_semi")
     side = lambda x: own.select(F.col("cls").alias(x), F.col("size").alias(f"n_{x}"), F.col("data").alias(f"data_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "data_a", "data_b")
+    both = inner(pairs, side("a"), ["a"], ["b"], largest(pairs, ["a"])).join(side("b"), "b").select("a", "b", "n_a", "n_b", "data_a", "data_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,12 +203,12 @@ def _prefixes(docs: DataFrame, counts, k: int, percent: int, bits: int, shared)
     return docs.select("text").mapInArrow(run, "h long, cls long, n int, pos int")
 
 
-CELL = "h long, cls long, n int, pos int, head long, head_n int, head_pos int"
+CELL = "h long, cls long, n int, pos int, head long, head_n int, head_pos int, m int"
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by h and cls: those of shingles with two classes or more, with the head of their cell."""
-    names = [x.split()[0] for x in CELL.split(", ")]
+    """Rows come sorted by h and cls: those of shingles with two classes or more, with the head of their cell and its number of classes (RUN for a huge one)."""
+    names, huge = [x.split()[0] for x in CELL.split(", ")], None
 
     def emit(h, cls, n, pos) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(h), bool)
@@ -219,7 +221,8 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = order[cut][cell]
         keep = size[cell] > 1
         if keep.any():
-            cols = [x[keep] for x in (h, cls, n, pos, cls[head], n[head], pos[head])]
+            m = np.where(h == huge, RUN, np.minimum(size[cell], RUN)) if huge is not None else np.minimum(size[cell], RUN)
+            cols = [x[keep] for x in (h, cls, n, pos, cls[head], n[head], pos[head], m.astype(np.int32))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
     held: list[np.ndarray] | None = None
@@ -233,6 +236,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from emit(*(x[:end] for x in held))
             held = [x[end:] for x in held]
         elif len(held[0]) > RUN:  # a huge cell goes in parts that share their plainest member
+            huge = held[0][0]
             yield from emit(*held)
             best = np.lexsort((held[1], held[3] / held[2]))[:1]
             held = [x[best] for x in held]
@@ -248,25 +252,54 @@ def _possible(n1, p1, n2, p2, percent: int):
     return np.minimum(n1 - p1, n2 - p2) >= needed(n1, n2, percent)
 
 
+def _dealt_cells(named: DataFrame, most: int) -> DataFrame:
+    """Rows of large cells (h, cls, n, pos, comp) with the pair of blocks (i, j) in which they meet others; i = j is a block with itself.
+
+    Cells of up to ``most`` classes are one block. In a larger one the classes of the cell's largest component
+    are blocks of their own kind, which never meet each other: a similar pair among them is connected already.
+    So a cell in which nearly all is connected costs its size times the few other blocks.
+    """
+    sizes = named.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"))
+    sizes = sizes.groupBy("h").agg(F.sum("m").alias("all"), F.max(F.struct("m", "comp")).alias("top")).filter(F.col("all") > most)
+    blocks = lambda n: F.ceil(n / most).cast("int")
+    large = sizes.select("h", F.col("top.comp").alias("main"), blocks(F.col("top.m")).alias("n_main"), blocks(F.col("all") - F.col("top.m")).alias("n_rest"))
+    dealt = named.withColumn("spread_bucket", F.pmod(F.xxhash64("cls"), F.lit(BUCKETS)).cast("int"))
+    asked = dealt.select("h", "spread_bucket").distinct().join(large, "h")
+    x = dealt.join(asked, ["h", "spread_bucket"], "left").drop("spread_bucket")
+    rest = F.col("comp") != F.col("main")
+    # Blocks of the rest are numbered from 0, those of the main component come behind them.
+    own = F.when(F.col("main").isNull(), 0).when(rest, F.pmod(F.xxhash64("cls", "h"), F.col("n_rest"))).otherwise(F.col("n_rest") + F.pmod(F.xxhash64("cls", "h"), F.col("n_main"))).cast("int")
+    others = F.when(F.col("main").isNull(), F.array(F.lit(0))).when(F.col("n_rest") == 0, F.array().cast("array<int>")).when(rest, F.sequence(F.lit(0), F.col("n_rest") + F.col("n_main") - 1)).otherwise(F.sequence(F.lit(0), F.col("n_rest") - 1))
+    x = x.withColumn("own", own).withColumn("other", F.explode(others))
+    return x.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "n", "pos", "comp", "own")
+
+
 def _open_pairs(percent: int):
-    """Rows come sorted by h: cls, n, pos, comp. Pairs of different components whose positions allow the overlap.
+    """Rows come sorted by h, i and j: cls, n, pos, comp, own block. Pairs of different components whose positions allow the overlap.
 
-    The members of the largest component of a cell are only compared with the others.
+    Within a block, the members of its largest component are only compared with the others; two blocks' members only with each other's.
     """
 
-    def emit(cls, n, pos, comp, seen: set) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        names, where, size = np.unique(comp, return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            return
+    def emit(i, j, cls, n, pos, comp, own, seen: set) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         low = n.min()
         # No partner can be smaller than the cell's smallest set.
         able = (n - pos) * 100 >= percent * (np.maximum(low, n - pos) + pos)
-        rest = np.flatnonzero((where != size.argmax()) & able)
-        for i in rest.tolist():
-            ok = np.flatnonzero((comp != comp[i]) & _possible(n, pos, n[i], pos[i], percent))
+        if i == j:
+            names, where, size = np.unique(comp, return_inverse=True, return_counts=True)
+            if len(names) < 2:
+                return
+            asks = np.flatnonzero((where != size.argmax()) & able)
+            mates = slice(None)
+        else:  # the smaller side asks
+            sides = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            less, mates = sorted(sides, key=len)
+            asks = less[able[less]]
+        m_cls, m_n, m_pos, m_comp = cls[mates], n[mates], pos[mates], comp[mates]
+        for k in asks.tolist():
+            ok = np.flatnonzero((m_comp != comp[k]) & _possible(m_n, m_pos, n[k], pos[k], percent))
             if len(ok):
-                a, b = np.minimum(cls[ok], cls[i]), np.maximum(cls[ok], cls[i])
-                fresh = [j for j, key in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if key not in seen and not seen.add(key)]
+                a, b = np.minimum(m_cls[ok], cls[k]), np.maximum(m_cls[ok], cls[k])
+                fresh = [x for x, key in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if key not in seen and not seen.add(key)]
                 if len(seen) > PAIRS:
                     seen.clear()
                 yield a[fresh], b[fresh]
@@ -275,36 +308,43 @@ def _open_pairs(percent: int):
         held: list[np.ndarray] | None = None
         seen: set = set()
 
-        def flush(h, *cols) -> Iterator[pa.RecordBatch]:
-            cut = np.append(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])), len(h))
+        def flush(cols, cut) -> Iterator[pa.RecordBatch]:
             for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                for a, b in emit(*(c[x:y] for c in cols), seen):
+                for a, b in emit(int(cols[1][x]), int(cols[2][x]), *(c[x:y] for c in cols[3:]), seen):
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(5)]
+            cols = [c.to_numpy() for c in batch.columns]
             if not len(cols[0]):
                 continue
             held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            end = int(np.searchsorted(held[0], held[0][-1]))
-            if end:
-                yield from flush(*(x[:end] for x in held))
-                held = [x[end:] for x in held]
+            cut = _starts(held[:3])
+            yield from flush(held, cut)
+            held = [x[cut[-1] :] for x in held]
         if held is not None:
-            yield from flush(*held)
+            yield from flush(held, np.append(_starts(held[:3]), len(held[0])))
 
     return run
 
 
+def _starts(keys: list[np.ndarray]) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) of classes those that are similar. sets: cls, members (sorted hashes as bytes)."""
-    degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = pairs.join(degree, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    n_of = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    most, total = n_of.agg(F.max("n"), F.sum("n")).first()
+    degree = n_of.select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = inner(pairs, degree, ["a"], ["b"], most or 0).withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     cands = dealt.select("a", "block", F.col("b").alias("cls"))
     asks = degree.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("cls"))
     rows = cands.select("a", "block", "cls", F.lit(1).alias("role")).unionByName(asks.select("a", "block", "cls", F.lit(0).alias("role")))
-    rows = sets.join(F.broadcast(rows) if pairs.count() <= SENT else rows, "cls")
+    rows = sets.join(F.broadcast(rows) if (total or 0) <= SENT else rows, "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, query, ids, own = None, None, [], []
@@ -367,6 +407,13 @@ def _sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, class_bits
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "cls long, members binary")
 
 
+def _scale(got: dict[int, bytes]) -> np.ndarray:
+    """The table of counts as 16-bit logarithms, in steps of less than a thousandth."""
+    size = (1 << COUNT_BITS) // COUNT_CHUNKS
+    table = np.frombuffer(b"".join(got.get(c, bytes(8 * size)) for c in range(COUNT_CHUNKS)), np.int64)
+    return np.minimum(np.log2(table + 1.0) * 1000, 65_535).astype(np.uint16)
+
+
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75, class_bits: int = 64) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, class_id, class_size.
 
@@ -391,10 +438,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75, class_bits: i
     shared = spark.sparkContext.broadcast(np.array(sorted(found), np.int64).view(U))
     full = full.select("doc_id", "n", (F.when(F.col("one").isin(found), F.col("two")).otherwise(F.col("one")) if found else F.col("one")).alias("cls"), "data")
     rows = full.drop("data")
-    got = bloom.add_up(scan.filter("kind = 1").select(F.col("n").cast("int").alias("chunk"), "data"), "int32", np.add)
-    size = (1 << COUNT_BITS) // COUNT_CHUNKS
-    table = np.frombuffer(b"".join(got.get(c, bytes(4 * size)) for c in range(COUNT_CHUNKS)), np.int32)
-    counts = spark.sparkContext.broadcast((np.log2(np.maximum(table, 0) + 1.0) * 2000).astype(np.uint16))  # finer than one per cent
+    got = bloom.add_up(scan.filter("kind = 1").select(F.col("n").cast("int").alias("chunk"), "data"), "int32", np.add, "int64")
+    counts = spark.sparkContext.broadcast(_scale(got))
     n = parts(spark)
     reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size"))
     cells = materialize(_prefixes(docs, counts, k, percent, class_bits, shared).repartition(n, "h").sortWithinPartitions("h", "cls").mapInArrow(_cells, CELL), "cells")
@@ -403,9 +448,17 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75, class_bits: i
     stars = materialize(_near_enough(stars, full, percent), "stars")
     links = materialize(_verified(stars, _sets(docs, stars, reps.select("cls", "least"), k, class_bits, shared), percent), "links")
     comp = components(links)
-    named = cells.select("h", "cls", "n", "pos").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "n", "pos", F.coalesce("root", "cls").alias("comp"))
-    opened = materialize(named.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_open_pairs(percent), "a long, b long").distinct(), "open")
-    discard(cells, stars)
+    named = cells.select("h", "cls", "n", "pos", "m").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "n", "pos", F.coalesce("root", "cls").alias("comp"), "m")
+    big, whole = [], F.lit(0)
+    block = lambda x: x.select("h", whole.alias("i"), whole.alias("j"), "cls", "n", "pos", "comp", whole.alias("own"))
+    if (cells.agg(F.max("m")).first()[0] or 0) <= CELL_BLOCK:
+        dealt = block(named)
+    else:
+        big = [materialize(named.filter(F.col("m") > CELL_BLOCK).drop("m"), "big-cells")]
+        dealt = block(named.filter(F.col("m") <= CELL_BLOCK)).unionByName(_dealt_cells(big[0], CELL_BLOCK))
+    dealt = dealt.repartition(n, "h", "i", "j").sortWithinPartitions("h", "i", "j")
+    opened = materialize(dealt.mapInArrow(_open_pairs(percent), "a long, b long").distinct(), "open")
+    discard(cells, stars, *big)
     more = materialize(_near_enough(opened, full, percent), "pairs")
     discard(opened)
     if not more.isEmpty():
@@ -423,6 +476,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75, class_bits: i
     top = low.groupBy("root").agg(F.min("least").alias("component_id"))
     down = low.select("root", "bucket").join(top, "root")
     classes = linked.join(down, ["root", "bucket"]).select("cls", "component_id", "class_size").unionByName(named.filter("root is null").select("cls", F.col("least").alias("component_id"), "class_size"))
-    out = rows.filter("n > 0").join(classes, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("cls").alias("class_id"), "class_size")
+    copies = reps.agg(F.max("class_size")).first()[0] or 0
+    out = inner(rows.filter("n > 0"), classes, ["cls"], ["doc_id"], copies).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("cls").alias("class_id"), "class_size")
     alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return out.unionByName(alone)
