@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,14 +23,24 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 HEADING = r"(?U)^(#{1,6})\s+(.*)$"
 
 
-def headings(docs: DataFrame, key: str = "doc_id", empty: bool = True) -> DataFrame:
-    """Headings (those without a text too, if ``empty``) with level, text, line, end line (the line before the next heading, else the last), anchor, ordinal among equal anchors, and the path of headings above."""
-    x = docs.select(key, T.splitlines("text").alias("ls")).select(key, F.size("ls").alias("n_lines"), F.posexplode("ls").alias("line_no", "line"))
-    x = x.filter(F.col("line").rlike(HEADING)).select(key, (F.col("line_no") + 1).alias("line_no"), "n_lines", F.length(F.regexp_extract("line", HEADING, 1)).alias("level"), T.strip(F.regexp_extract("line", HEADING, 2)).alias("heading"))
-    if not empty:
-        x = x.filter("heading <> ''")
+def headings(docs: DataFrame, key: str = "doc_id", empty: bool = True, judge: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Headings (those without a text too, if ``empty``) with level, text, line, end line (the line before the next heading, else the last), anchor, ordinal among equal anchors, and the path of headings above.
+
+    With ``judge`` also the status that it gives a heading's body, the lines up to the end line. A text is cut into lines once and only its headings become rows.
+    """
+    line = lambda x, i: F.struct((i + 1).alias("line_no"), F.length(F.regexp_extract(x, HEADING, 1)).alias("level"), T.strip(F.regexp_extract(x, HEADING, 2)).alias("heading"))
+    x = docs.select(key, T.splitlines("text").alias("ls"))
+    found = F.filter(F.transform("ls", lambda x, i: F.when(x.rlike(HEADING), line(x, i))), lambda h: h.isNotNull() & (F.lit(empty) | (h["heading"] != "")))
+    x = x.select(key, "ls", F.size("ls").alias("n_lines"), found.alias("hs"))
+
+    def row(h: Column, i: Column) -> Column:
+        end = F.coalesce(F.try_element_at("hs", i + 2)["line_no"] - 1, F.col("n_lines"))
+        body = T.strip(F.array_join(F.slice("ls", h["line_no"] + 1, F.greatest(end - h["line_no"], F.lit(0))), "\n"))
+        more = [] if judge is None else [judge(body).alias("status")]
+        return F.struct(h["line_no"].alias("line_no"), end.alias("end_line"), h["level"].alias("level"), h["heading"].alias("heading"), *more)
+
+    x = x.select(key, F.explode(F.transform("hs", row)).alias("h")).select(key, "h.*").withColumn("anchor", T.slug_section(F.col("heading")))
     w = Window.partitionBy(key).orderBy("line_no")
-    x = x.withColumn("end_line", F.coalesce(F.lead("line_no").over(w) - 1, F.col("n_lines"))).withColumn("anchor", T.slug_section(F.col("heading")))
     x = x.withColumn("ordinal", F.row_number().over(Window.partitionBy(key, "anchor").orderBy("line_no")))
     top = lambda k: F.last(F.when(F.col("level") == k, F.struct("line_no", "heading")), ignorenulls=True).over(w)
     for k in range(1, 7):
@@ -40,7 +52,7 @@ def headings(docs: DataFrame, key: str = "doc_id", empty: bool = True) -> DataFr
         fresh = F.col(f"__{k}.line_no") > F.coalesce(F.greatest(*above) if len(above) > 1 else above[0], F.lit(0)) if above else F.lit(True)
         parts.append(F.when((F.col("level") >= k) & F.col(f"__{k}").isNotNull() & fresh, F.col(f"__{k}.heading")))
     path = F.array_join(F.array_compact(F.array(*parts)), " > ")
-    return x.select(key, "line_no", "end_line", "level", "heading", "anchor", "ordinal", path.alias("heading_path"))
+    return x.select(key, "line_no", "end_line", "level", "heading", "anchor", "ordinal", path.alias("heading_path"), *([] if judge is None else ["status"]))
 
 
 def sections(docs: DataFrame, key: str = "doc_uid", rebuilt: bool = False) -> DataFrame:
@@ -50,12 +62,7 @@ def sections(docs: DataFrame, key: str = "doc_uid", rebuilt: bool = False) -> Da
     its body, the lines below its heading. ``rebuilt`` has the rules by which single documents are done anew: marks without a
     text are no headings, and a section is a placeholder by fewer signs and else unknown.
     """
-    heads = headings(docs.select(key, "text"), key, not rebuilt)
-    judge = T.rebuilt_status if rebuilt else T.placeholder_status
-    own = F.collect_list(F.struct("line_no", "end_line", "level", "heading", "anchor", "ordinal", "heading_path")).alias("s")
-    x = docs.select(key, T.splitlines("text").alias("ls")).join(heads.groupBy(key).agg(own), key)
-    body = lambda s: F.array_join(F.slice(F.col("ls"), s["line_no"] + 1, s["end_line"] - s["line_no"]), "\n")
-    x = x.select(key, F.explode(F.transform("s", lambda s: F.struct(s.alias("s"), judge(T.strip(body(s))).alias("status")))).alias("x")).select(key, "x.s.*", "x.status")
+    x = headings(docs.select(key, "text"), key, not rebuilt, T.rebuilt_status if rebuilt else T.placeholder_status)
     return x.select(T.section_uid(F.col(key), F.col("anchor"), F.col("ordinal")).alias("section_uid"), key, F.col("line_no").alias("start_line"), "end_line", "level", "heading", T.heading_norm(F.col("heading")).alias("heading_norm"), "anchor", "ordinal", "heading_path", "status")
 
 
@@ -117,38 +124,36 @@ def line_metrics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(key, _total(F.transform(T.splitlines(text), _marks)).alias("m")).select(key, "m.*")
 
 
-def section_metrics(sections: DataFrame, docs: DataFrame, key: str = "doc_uid") -> DataFrame:
-    """section_uid, key and the metrics of a section's lines, from its start line to its end line.
+def section_metrics(sections: DataFrame, docs: DataFrame, key: str = "doc_uid", keep: tuple[str, ...] = ()) -> DataFrame:
+    """section_uid, key, the columns to ``keep`` and the metrics of a section's lines, from its start line to its end line.
 
     sections (section_uid, key, start_line, end_line), docs (key, text). A missing start is the first line; a
     missing end, 0 or one beyond the text is the last. Each document is cut into lines once; its
     sections are slices of these, so neither lines nor texts are repeated by section. Sections
     without a document have no metrics.
     """
-    own = F.collect_list(F.struct("section_uid", F.coalesce("start_line", F.lit(0)).alias("a"), F.coalesce("end_line", F.lit(0)).alias("b"))).alias("s")
-    # Sorted, so that the join needs no further shuffle of the sections; texts move once.
+    own = F.collect_list(F.struct("section_uid", F.coalesce("start_line", F.lit(0)).alias("a"), F.coalesce("end_line", F.lit(0)).alias("b"), *keep)).alias("s")
     x = docs.select(key, F.col("text")).join(sections.groupBy(key).agg(own), key)
     x = x.select(key, "s", F.transform(T.splitlines("text"), _marks).alias("m"))
 
     def of(s: Column) -> Column:
         first = F.greatest(s["a"], F.lit(1))
         last = F.when(s["b"] == 0, F.size("m")).otherwise(F.least(s["b"], F.size("m")))
-        return F.struct(s["section_uid"].alias("section_uid"), _total(F.slice("m", first, F.greatest(last - first + 1, F.lit(0)))).alias("m"))
+        return F.struct(s["section_uid"].alias("section_uid"), *(s[c].alias(c) for c in keep), _total(F.slice("m", first, F.greatest(last - first + 1, F.lit(0)))).alias("m"))
 
-    return x.select(key, F.explode(F.transform("s", of)).alias("x")).select("x.section_uid", key, "x.m.*")
+    return x.select(key, F.explode(F.transform("s", of)).alias("x")).select("x.section_uid", key, *(f"x.{c}" for c in keep), "x.m.*")
 
 
-def document_rollup(docs: DataFrame, sections: DataFrame, metrics: DataFrame, edges: DataFrame | None = None, unresolved: int = 0, key: str = "doc_uid") -> DataFrame:
+def document_rollup(docs: DataFrame, metrics: DataFrame, edges: DataFrame | None = None, unresolved: int = 0, key: str = "doc_uid") -> DataFrame:
     """One row per document with a text: sections, placeholders, checkboxes, phase_bullets, missing_required, links_without_rationale, unresolved.
 
-    docs (key, origin, text); sections (section_uid, key, status, heading_norm); metrics of them. ``edges`` (from_kind, from_uid,
+    docs (key, origin, text); metrics of sections with their status and heading_norm. ``edges`` (from_kind, from_uid,
     strength, rationale): required ones of documents without a reason are counted. ``unresolved`` is one number for all.
     Required headings are asked of origin ``core`` alone; a heading that begins with one counts.
     """
     c = F.col
     begins = [F.max(c("heading_norm").startswith(r)).alias(f"r{i}") for i, r in enumerate(REQUIRED)]
-    x = sections.join(metrics.select("section_uid", key, "checkboxes", "phases"), ["section_uid", key], "left")
-    own = x.groupBy(key).agg(F.count(F.lit(1)).alias("sections"), F.count_if(c("status") == "placeholder").alias("placeholders"), F.sum("checkboxes").alias("checkboxes"), F.sum("phases").alias("phase_bullets"), *begins)
+    own = metrics.groupBy(key).agg(F.count(F.lit(1)).alias("sections"), F.count_if(c("status") == "placeholder").alias("placeholders"), F.sum("checkboxes").alias("checkboxes"), F.sum("phases").alias("phase_bullets"), *begins)
     out = docs.filter("text is not null").select(key, "origin").join(own, key, "left")
     if edges is None:
         out = out.withColumn("bare", F.lit(0))

@@ -31,13 +31,14 @@ query("a11_line_metrics", f"SELECT doc_id, {_MARKS} FROM documents LEFT JOIN (SE
 def _metrics(s, d):
     docs = B.notes(s, d)
     secs = quality.sections(docs)
-    return docs, secs, quality.section_metrics(secs, docs)
+    return docs, quality.section_metrics(secs, docs, keep=("status", "heading_norm"))
 
 
 @query("w2_a11_section_metrics", _NOTES + f" SELECT doc_uid, start_line::INT AS start_line, end_line::INT AS end_line, level::INT AS level, heading, norm AS heading_norm, status, chars, lines, {', '.join(quality.LINES)} FROM st")
 def _sections(s, d):
-    _, secs, m = _metrics(s, d)
-    return secs.join(m, ["section_uid", "doc_uid"]).select("doc_uid", "start_line", "end_line", "level", "heading", "heading_norm", "status", *quality.METRICS)
+    docs = B.notes(s, d)
+    facts = ("start_line", "end_line", "level", "heading", "heading_norm", "status")
+    return quality.section_metrics(quality.sections(docs), docs, keep=facts).select("doc_uid", *facts, *quality.METRICS)
 
 
 _HAS = " + ".join(f"bool_or(starts_with(norm, '{r}'))::INT" for r in quality.REQUIRED)
@@ -50,8 +51,8 @@ def _edges(s, d):
 
 
 def _rollup(s, d):
-    docs, secs, m = _metrics(s, d)
-    return quality.document_rollup(docs, secs, m, _edges(s, d), 3)
+    docs, m = _metrics(s, d)
+    return quality.document_rollup(docs, m, edges=_edges(s, d), unresolved=3)
 
 
 query("a12_rollup", _NOTES + _ROLL + " SELECT *, (doc_uid::BIGINT % 8 = 0)::BIGINT AS links_without_rationale, 3::BIGINT AS unresolved FROM rolled")(_rollup)

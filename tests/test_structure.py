@@ -65,7 +65,7 @@ def test_rollup(spark):
     docs = spark.createDataFrame([("a", "core", "## Metadane i x\n- [ ] y\n- Faza 1: z\n## Cel dokumentu\n"), ("b", "other", ""), ("c", "core", None), ("d", "imported_template", "## Q\n")], "doc_uid string, origin string, text string")
     secs = quality.sections(docs)
     edges = spark.createDataFrame([("doc", "a", "required", " "), ("doc", "a", "required", "why"), ("section", "a", "required", None), ("doc", "b", "navigational", None)], "from_kind string, from_uid string, strength string, rationale string")
-    out = {r.doc_uid: tuple(r)[2:] for r in quality.document_rollup(docs, secs, quality.section_metrics(secs, docs), edges, 7).collect()}
+    out = {r.doc_uid: tuple(r)[2:] for r in quality.document_rollup(docs, quality.section_metrics(secs, docs, keep=("status", "heading_norm")), edges, 7).collect()}
     assert out == {"a": (2, 1, 1, 1, 4, 1, 7), "b": (0, 0, 0, 0, 0, 0, 7), "d": (1, 1, 0, 0, 0, 0, 7)}
     need = {r.doc_id: (r.n_required, r.n_missing) for r in quality.required_coverage(docs.withColumnRenamed("doc_uid", "doc_id")).collect()}
     assert need == {"a": (2, 4), "b": (0, 0), "c": (0, 6), "d": (0, 0)}
