@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
+from .joins import spread
 from .store import materialize
 from .words import LOWER, U, gram_hashes, inside, mix, signed, slices, spans, word_hashes
 
@@ -188,14 +189,27 @@ def _joined(bench: DataFrame, src: DataFrame, name: str) -> DataFrame:
     rows = src.select("__row", "__text").filter(F.col("__text").isNotNull())
     known = src.sparkSession.sparkContext.broadcast(bloom.build(i, "h"))  # few seeds of documents go beyond their task
     d = seeds_of(rows, kinds, lambda w, first, seed: seeds(w, first, seed[0]), known)
-    pairs = d.withColumnRenamed("id", "__row").join(i.select(F.col("id").alias("item"), "mask", "h", F.col("pos").alias("item_pos")), ["mask", "h"]).select("__row", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
-    both = pairs.join(bench, "item").join(rows, "__row").select("__row", "item_id", "shift", "__text", "text")
+    # A seed, or an item, that very many documents have is spread over tasks.
+    d = materialize(d.withColumnRenamed("id", "__row"), "hits")
+    pairs = spread(d, i.select(F.col("id").alias("item"), "mask", "h", F.col("pos").alias("item_pos")), ["mask", "h"], ["__row"])
+    pairs = materialize(pairs.select("__row", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct(), "pairs")
+    both = spread(pairs, bench, ["item"], ["__row"]).join(rows, "__row").select("__row", "item_id", "shift", "__text", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = lambda r: words_of(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[0]
+        last, dw = None, None
         for batch in batches:
-            out = []
-            for row, item_id, shift, text, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                (dw, _), (iw, _) = (words_of(np.frombuffer(r, np.uint8), np.array([0, len(r)])) for r in (text.encode("utf-8", "replace"), item.encode("utf-8", "replace")))
+            out, items = [], {}
+            for row, item_id, shift, text, item in zip(*batch.columns, strict=True):
+                row, item_id, shift = row.as_py(), item_id.as_py(), shift.as_py()
+                if row != last:  # rows come by document, whose words are cut once
+                    last, dw = row, words(text.as_py().encode("utf-8", "replace"))
+                if item_id not in items:
+                    items[item_id] = {}
+                own, item = items[item_id], item.as_py()
+                if item not in own:
+                    own[item] = words(item.encode("utf-8", "replace"))
+                iw = own[item]
                 got = verify(dw, iw, shift)
                 if got and (len(iw) >= SPAN or got[3] == len(iw)):
                     out.append((row, item_id, *got))
@@ -204,6 +218,6 @@ def _joined(bench: DataFrame, src: DataFrame, name: str) -> DataFrame:
 
     found = both.mapInArrow(check, "__id long, item_id long, doc_word long, item_word long, n_words long, n_equal long")
     row = F.struct("item_id", *(F.col(c).cast("int").alias(c) for c in ("doc_word", "item_word", "n_words", "n_equal")))
-    lists = found.groupBy("__id").agg(F.collect_list(row).alias("__found"))
+    lists = found.groupBy("__id").agg(F.array_sort(F.collect_list(row)).alias("__found"))
     keep = [F.col(f"`{c}`") for c in src.columns[:-2]]
     return src.join(lists, F.col("__row") == F.col("__id"), "left").select(*keep, F.coalesce("__found", F.array().cast(OVERLAPS)).alias(name))
