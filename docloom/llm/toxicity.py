@@ -289,11 +289,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: in
     """Train on at most ``max_toxic`` + ``max_clean`` labelled documents, those with the smallest hashes of their ids.
 
     Of these, texts that would bring the total in this order above ``max_bytes`` don't count.
-    ``learn``: a condition on doc_id; other rows are never learnt from.
+    ``learn``: a condition on doc_id; other rows are never learnt from. A doc_id that is labelled more
+    than once is toxic if one of its labels is; null labels and ids don't count.
     """
     own = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    own = own if learn is None else own.filter(learn)
-    some = [own.filter(F.col("toxic") == v).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in ((1, max_toxic), (0, max_clean))]
+    own = (own if learn is None else own.filter(learn)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    some = [own.filter(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in ((1, max_toxic), (0, max_clean))]
     sample = F.broadcast(some[0].unionByName(some[1]))  # max_toxic + max_clean rows at most
     got = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
     got = materialize(got.withColumn("size", F.octet_length(F.coalesce("text", F.lit("")))), "sample")
