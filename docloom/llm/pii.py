@@ -184,8 +184,11 @@ def _date(m: Column, key: str) -> Column:
     return _with(F.struct(p.alias("p")), lambda x: _with(run(x), permuted))
 
 
+EMAIL_DIGITS = 20  # 80 bits: two of 10**9 addresses hardly ever get one name
+
+
 def _email(m: Column, key: str) -> Column:
-    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws(":", F.lit(key), F.lower(m)).cast("binary"), 256), 1, 12), F.lit("@"), F.substring_index(m, "@", -1))
+    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws(":", F.lit(key), F.lower(m)).cast("binary"), 256), 1, EMAIL_DIGITS), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def pseudonym(m: Column, key: str) -> Column:
