@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .joins import inner
 from .store import discard, materialize
 
 BUCKET_ROWS = 1_000
@@ -99,11 +100,11 @@ def mix(docs: DataFrame, repetition_limit: float | None = 2.0, target_entropy: f
     sizes = materialize(sizes, "sources")
     spec = materialize(plan(sizes, repetition_limit, target_entropy, budget), "plan")
     discard(sizes)
-    total, docs_, bare_ = spec.agg(F.sum(F.col("tokens") * F.col("passes")), F.sum("docs"), F.sum("bare")).first()
+    total, docs_, bare_, most = spec.agg(F.sum(F.col("tokens") * F.col("passes")), F.sum("docs"), F.sum("bare"), F.max("docs")).first()
     n_blocks = max(1, math.ceil((total or 0) / block_tokens), math.ceil((bare_ or 0) / block_tokens))
     buckets = max(1, math.ceil((docs_ or 0) / BUCKET_ROWS))
-    # The plan is sent to all tasks only if its written size allows it.
-    copies = rows.join(spec.drop("docs", "bare", "alpha"), "key").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.when(bare, 0).otherwise(F.greatest(F.ceil("passes").cast("int") - 1, F.lit(0))))))
+    # The plan is sent to all tasks only if its written size allows it; a large source's rows are spread.
+    copies = inner(rows, spec.drop("docs", "bare", "alpha"), ["key"], ["row"], most or 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.when(bare, 0).otherwise(F.greatest(F.ceil("passes").cast("int") - 1, F.lit(0))))))
     # The hash as an unsigned number, in the order of the buckets; buckets in groups, so that no sum walks over a whole source.
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "epoch", "doc_id", "row"), 1)
     copies = copies.withColumn("u", u).withColumn("bucket", F.least(F.floor(F.col("u") / float(1 << 63) * buckets), F.lit(buckets - 1)).cast("int"))
