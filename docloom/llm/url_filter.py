@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import spread
 from .store import parts
 
 MAX_RULES = 200_000  # rules sent to every task at most; beyond it rules are joined by host suffix
@@ -110,6 +111,7 @@ def _by_suffix(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     labels = F.split("host", r"\.")
     suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     size = F.length("rule_host") + F.length("rule_path")
-    hits = urls.withColumn("rule_host", F.explode(F.array_distinct(F.concat(suffix, F.array(F.lit("")))))).join(rules, "rule_host").filter(F.expr("startswith(path, rule_path)"))
+    hits = urls.withColumn("rule_host", F.explode(F.array_distinct(F.concat(suffix, F.array(F.lit(""))))))
+    hits = spread(hits, rules, ["rule_host"], ["page_id", "path"]).filter(F.expr("startswith(path, rule_path)"))
     best = hits.groupBy("row").agg(F.max(F.struct(size, F.length("rule_host").alias("hl"), F.concat("rule_host", "rule_path").alias("rule"), "verdict")).alias("b"))
     return urls.join(best, "row", "left").select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
