@@ -73,7 +73,7 @@ def pseudonym(m, key):
     whole = lambda p: re.fullmatch(p, m, re.A)
     d = re.sub("[^0-9]", "", m)
     if "@" in m:
-        return "u" + hashlib.sha256(f"{key}:{m.lower()}".encode()).hexdigest()[:12] + "@" + m.rpartition("@")[2]
+        return "u" + hashlib.sha256(f"{key}:{m.lower()}".encode()).hexdigest()[:20] + "@" + m.rpartition("@")[2]
     if whole(pii.DATE):
         return date(m, key)
     if whole(pii.SSN):
