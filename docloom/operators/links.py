@@ -1,7 +1,9 @@
 """Resolution of labels to sections, document dependencies and edges.
 
 Each strategy is one equi-join against an index that is aggregated beforehand, so a
-label costs one row however many sections carry it.
+label costs one row however many sections carry it. An index grows with the library, so joins
+with one are sorted merges by hint: by its files' compressed size Spark would
+send it whole to the driver and to every executor.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def resolve(links: DataFrame, sections: DataFrame, overrides: DataFrame | None =
     own = label_index(sections, True, exact=False).select(F.col("doc_uid").alias("context_doc_uid"), "key", F.col("n").alias("n_doc"), F.col("uid").alias("uid_doc"))
     whole = label_index(sections, False, exact=False).select("key", F.col("n").alias("n_all"), F.col("uid").alias("uid_all"))
     # Whatever a label with spaces finds, its dashed form finds too, as every heading is indexed by both.
-    x = links.withColumn("key", F.replace("to_ref", F.lit(" "), F.lit("-"))).join(own, ["context_doc_uid", "key"], "left").join(whole, "key", "left")
+    x = links.withColumn("key", F.replace("to_ref", F.lit(" "), F.lit("-"))).join(own.hint("merge"), ["context_doc_uid", "key"], "left").join(whole.hint("merge"), "key", "left")
     if overrides is not None:
         x = x.join(overrides.select(F.col("label_norm").alias("to_ref"), F.col("section_uid").alias("uid_over")), "to_ref", "left")
     else:
@@ -95,8 +97,8 @@ def resolve_refs(refs: DataFrame, sections: DataFrame, overrides: DataFrame | No
     refs = refs.select("id", F.trim("ref").alias("ref"), "context_doc_uid")
     at = explicit(refs.select("ref").distinct())
     there = sections.groupBy("doc_uid", "anchor", "ordinal").agg(F.min("section_uid").alias("uid"))
-    found = at.join(there, ["doc_uid", "anchor", "ordinal"], "left").select("ref", "uid")
-    direct = refs.join(found, "ref").select("id", F.col("uid").alias("to_uid"), F.when(F.col("uid").isNull(), "missing").otherwise("explicit").alias("method"), F.when(F.col("uid").isNull(), 0.0).otherwise(1.0).alias("confidence"))
+    found = at.join(there.hint("merge"), ["doc_uid", "anchor", "ordinal"], "left").select("ref", "uid")
+    direct = refs.join(found.hint("merge"), "ref").select("id", F.col("uid").alias("to_uid"), F.when(F.col("uid").isNull(), "missing").otherwise("explicit").alias("method"), F.when(F.col("uid").isNull(), 0.0).otherwise(1.0).alias("confidence"))
     label = T.norm_label(F.regexp_extract("ref", LABEL, 1))
     named = refs.filter(F.col("ref").rlike(LABEL)).select("id", label.alias("to_ref"), "context_doc_uid")
     return direct.unionByName(resolve(named, sections, overrides))

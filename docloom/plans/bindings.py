@@ -120,7 +120,8 @@ def refs(spark, sf_dir) -> DataFrame:
     p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     n = F.greatest(p.select(F.max("p_partkey").alias("m")).scalar(), F.lit(1))
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % n).alias("k"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % n).alias("j"))
-    x = o.join(p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("kn")), "k").join(p.select(F.col("p_partkey").alias("j"), F.col("p_name").alias("jn"), F.col("p_brand").alias("jb")), "j")
+    # Parts grow with the references, so they aren't sent whole to every task (see operators/links.py).
+    x = o.join(p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("kn")).hint("merge"), "k").join(p.select(F.col("p_partkey").alias("j"), F.col("p_name").alias("jn"), F.col("p_brand").alias("jb")).hint("merge"), "j")
     i, k, j = F.col("id"), F.col("k"), F.col("j")
     form, lit = i % 8, F.lit
     own = _title(F.col("kn"), k)
