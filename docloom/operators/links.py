@@ -61,7 +61,7 @@ def both_ends(a: DataFrame, b: DataFrame, links: DataFrame) -> DataFrame:
     y = b.filter("to_uid is not null").select("id", "to_uid", F.col("method").alias("m2"), F.col("confidence").alias("c2"))
     for kind in {"from_type", "to_type"} & set(links.columns):
         links = links.filter(F.col(kind) == "section")
-    both = x.join(y, "id").join(links.select("id", "context_doc_uid"), "id")
+    both = x.join(y.hint("merge"), "id").join(links.select("id", "context_doc_uid").hint("merge"), "id")
     method = F.when(F.col("m1") == F.col("m2"), F.col("m1")).otherwise("mixed")
     return both.select("id", "from_uid", "to_uid", method.alias("method"), F.least("c1", "c2").alias("confidence"), F.when(method == "context_doc", F.col("context_doc_uid")).alias("notes"))
 

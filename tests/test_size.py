@@ -5,7 +5,7 @@ import pytest
 from docloom.plans import registry
 
 
-@pytest.mark.parametrize("name", ["j10_j11_references"])
+@pytest.mark.parametrize("name", ["j10_j11_references", "j13_both_ends_of_references"])
 def test_no_index_is_broadcast(spark, sf_dir, name):
     plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
