@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,7 @@ def nodes(docs: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 CELL = 256  # ends of a hub that meet in a cell, on either side
+SLICE = 1 << 26  # pairs that are made distinct at once, about
 PREDECESSOR, ALGORITHM = "migrate_edges_manual", "infer_v1"
 
 
@@ -67,21 +70,53 @@ def two_hops(edges: DataFrame, cell: int = CELL) -> DataFrame:
     row or column of cells only.
     """
     e = edges.select("from_node", "to_node").distinct()
-    share = lambda n, c: F.ceil(F.coalesce(n, F.lit(1)) / cell).cast("int").alias(c)
+    # A node is one cell but for the hubs, so only these are looked up.
+    hubs = _middles(e, cell).select("mid", "rows", "columns").filter("rows > 1 or columns > 1")
+    looked = lambda x: x.join(hubs, "mid", "left").fillna(1, ["rows", "columns"])
+    pairs = _pairs(_dealt(e, looked, *INTO).join(_dealt(e, looked, *OUT), ["mid", "r", "c"]))
+    return pairs.join(e, ["from_node", "to_node"], "left_anti")
+
+
+#: Of the edges into a node and out of it: the node, the other end, what deals an edge, and what it is repeated along.
+INTO, OUT = ("to_node", "from_node", "rows", "columns"), ("from_node", "to_node", "columns", "rows")
+
+
+def _middles(e: DataFrame, cell: int) -> DataFrame:
+    """mid, n_in, n_out, rows, columns: the nodes with edges both in and out, and their cells."""
+    share = lambda n: F.ceil(F.col(n) / cell).cast("int")
     into = e.groupBy(F.col("to_node").alias("mid")).agg(F.count(F.lit(1)).alias("n_in"))
     out = e.groupBy(F.col("from_node").alias("mid")).agg(F.count(F.lit(1)).alias("n_out"))
-    hubs = into.join(out, "mid").select("mid", share(F.col("n_in"), "rows"), share(F.col("n_out"), "columns"))
-    # A node is one cell but for the hubs, so only these are looked up.
-    hubs = hubs.filter("rows > 1 or columns > 1")
+    return into.join(out, "mid").select("mid", "n_in", "n_out", share("n_in").alias("rows"), share("n_out").alias("columns"))
 
-    def dealt(mid: str, other: str, own: str, across: str) -> DataFrame:
-        x = e.select(F.col(mid).alias("mid"), F.col(other).alias(other)).join(hubs, "mid", "left").fillna(1, ["rows", "columns"])
-        mine = F.pmod(F.xxhash64(other), F.col(own)).cast("int").alias(own[0])
-        return x.select("mid", other, mine, F.explode(F.sequence(F.lit(0), F.col(across) - 1)).alias(across[0]))
 
-    hop = dealt("to_node", "from_node", "rows", "columns").join(dealt("from_node", "to_node", "columns", "rows"), ["mid", "r", "c"])
-    pairs = hop.filter("from_node <> to_node").select("from_node", "to_node").distinct()
-    return pairs.join(e, ["from_node", "to_node"], "left_anti")
+def _dealt(e: DataFrame, looked, mid: str, other: str, own: str, across: str) -> DataFrame:
+    x = looked(e.select(F.col(mid).alias("mid"), F.col(other).alias(other)))
+    mine = F.pmod(F.xxhash64(other), F.col(own)).cast("int").alias(own[0])
+    return x.select("mid", other, mine, F.explode(F.sequence(F.lit(0), F.col(across) - 1)).alias(across[0]))
+
+
+def _pairs(hop: DataFrame) -> DataFrame:
+    return hop.filter("from_node <> to_node").select("from_node", "to_node").distinct()
+
+
+def two_hops_by_slices(edges: DataFrame, folder: str, cell: int = CELL, most: int = SLICE) -> Iterator[DataFrame]:
+    """The rows of ``two_hops`` in slices by the hash of from_node, of about ``most`` pairs before equal ones are merged.
+
+    Pairs may be many times the edges, and all of them at once are shuffled and spilled to disk several times over.
+    Each slice has to be written before the next one is asked for; then the disk holds edges, one
+    slice and the result. The edges, and those out of a node in the middle, are written to ``folder`` once.
+    Only a single from_node with more than ``most`` pairs makes a slice larger.
+    """
+    e = versions.written(edges.select("from_node", "to_node").distinct(), f"{folder}/edges")
+    mids = versions.written(_middles(e, cell), f"{folder}/middles")
+    # By the size of their files these two would be sent whole to the driver and every task.
+    looked = lambda x: x.join(mids.select("mid", "rows", "columns").hint("merge"), "mid")
+    out = versions.written(_dealt(e, looked, *OUT), f"{folder}/out").hint("merge")
+    n = -(-(mids.agg(F.sum(F.col("n_in") * F.col("n_out"))).first()[0] or 1) // most)
+    for i in range(n):
+        own = e.filter(F.pmod(F.xxhash64("from_node", F.lit("slice")), F.lit(n)) == i) if n > 1 else e
+        pairs = _pairs(_dealt(own, looked, *INTO).join(out, ["mid", "r", "c"]))
+        yield pairs.join(own.hint("merge"), ["from_node", "to_node"], "left_anti")
 
 
 def gate(log: DataFrame, kind: str) -> str | None:
@@ -105,7 +140,8 @@ def infer_edges(spark: SparkSession, edges: DataFrame, log: str, target: str, ru
             say.skip(f"skip: gate: {why}")
             return None
         table = versions.Table(spark, target)
-        table.refresh(lambda _: two_hops(edges).withColumn("source", F.lit(ALGORITHM)))
+        with versions.temporary(spark, "edges") as folder:
+            table.refresh_by(x.withColumn("source", F.lit(ALGORITHM)) for x in two_hops_by_slices(edges, folder))
         found = table.read()
         say.note(f"gate=ok inserted_total={found.count()} algorithm={ALGORITHM}")
     return found
