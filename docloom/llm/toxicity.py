@@ -1,6 +1,6 @@
 """Toxicity by a linear-chain conditional random field with two states.
 
-Training runs on the driver on a bounded sample of labelled documents
+Training runs in one task on a bounded sample of labelled documents, so the driver gets the model and no text
 (``max_toxic``, ``max_clean`` and ``max_bytes`` are its documented bounds). Document labels are
 turned into token labels first: in toxic documents, tokens with a word or prefix
 that is far more frequent among toxic than among clean documents count as toxic.
@@ -14,6 +14,7 @@ Scoring is one pass over the texts without a shuffle; the model has a fixed size
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -303,11 +304,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: in
         if r["size"] <= room:
             room -= r["size"]
             chosen.append((r.doc_id, r.toxic))
+    if not chosen:
+        discard(got)
+        return train([], [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        model = train_bytes(*text_bytes(table.column("text")), table.column("toxic").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
     ids = docs.sparkSession.createDataFrame(chosen, got.select("doc_id", "toxic").schema)
-    table = got.join(F.broadcast(ids), ["doc_id", "toxic"]).orderBy("doc_id", "toxic").select("toxic", "text").toArrow()
+    rows = got.join(F.broadcast(ids), ["doc_id", "toxic"]).repartition(1).sortWithinPartitions("doc_id", "toxic")
+    model = pickle.loads(rows.select("toxic", "text").mapInArrow(run, "model binary").first().model)
     discard(got)
-    data, off = text_bytes(table.column("text"))
-    return train_bytes(data, off, table.column("toxic").to_pylist())
+    return model
 
 
 def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
