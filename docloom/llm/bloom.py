@@ -26,15 +26,17 @@ def _bits(x: np.ndarray, log2: int) -> list[np.ndarray]:
 FAN = 64  # arrays that one task combines on the way up, about
 
 
-def add_up(df: DataFrame, numpy_type: str, op, wide: str | None = None) -> dict[int, bytes]:
+def add_up(df: DataFrame, numpy_type: str, op, wide: str | None = None, last=None) -> dict[int, bytes]:
     """(chunk, data) rows, chunk by chunk combined by ``op``, as arrays of type ``wide`` (by default as they are).
 
+    ``last`` is applied to each chunk's total in its task, so the driver gets what it makes of it.
+
     They go up a tree: the tasks that made them are in groups, each group's arrays of a chunk meet in one
     task, then the groups' do, so no task reads more than about ``FAN`` arrays of a chunk however many there are.
     """
     wide = wide or numpy_type
 
-    def combine(kind: str):
+    def combine(kind: str, last):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[tuple[int, int], np.ndarray] = {}
             for batch in batches:
@@ -42,6 +44,7 @@ def add_up(df: DataFrame, numpy_type: str, op, wide: str | None = None) -> dict[
                     a = np.frombuffer(d, kind)
                     held[k, g] = op(held[k, g], a) if (k, g) in held else a.astype(wide)
             for (k, g), a in held.items():
+                a = a if last is None else last(a)
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([g], pa.int32()), pa.array([a.tobytes()], pa.binary())], ["chunk", "group", "data"])
 
         return run
@@ -52,7 +55,7 @@ def add_up(df: DataFrame, numpy_type: str, op, wide: str | None = None) -> dict[
     rows, kind = df.select("chunk", F.spark_partition_id().alias("group"), "data"), numpy_type
     for g in groups:
         rows = rows.withColumn("group", F.pmod("group", F.lit(g))).repartition(min(n, CHUNKS * g), "chunk", "group")
-        rows, kind = rows.mapInArrow(combine(kind), "chunk int, group int, data binary"), wide
+        rows, kind = rows.mapInArrow(combine(kind, last if g == 1 else None), "chunk int, group int, data binary"), wide
     return {r.chunk: r.data for r in rows.collect()}
 
 

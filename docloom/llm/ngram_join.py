@@ -137,9 +137,9 @@ def _near_enough(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Without the pairs whose parities already differ too much; nothing that is similar goes."""
     need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     # Copies go in the tasks that read them, before a class is shuffled.
-    own = rows.select("cls", F.col("n").alias("size"), "data").dropDuplicates(["cls"]).join(need, "cls", "left_semi")
+    own = rows.select("cls", F.col("n").alias("size"), "data").dropDuplicates(["cls"]).join(need.hint("merge"), "cls", "left_semi")
     side = lambda x: own.select(F.col("cls").alias(x), F.col("size").alias(f"n_{x}"), F.col("data").alias(f"data_{x}"))
-    both = inner(pairs, side("a"), ["a"], ["b"], largest(pairs, ["a"])).join(side("b"), "b").select("a", "b", "n_a", "n_b", "data_a", "data_b")
+    both = inner(pairs, side("a"), ["a"], ["b"], largest(pairs, ["a"])).join(side("b").hint("merge"), "b").select("a", "b", "n_a", "n_b", "data_a", "data_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -385,7 +385,7 @@ def _sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, class_bits
     A Bloom filter over documents, and over (class, document), picks them in a scan, so
     other texts aren't cut into shingles or shuffled; the join that follows is exact.
     """
-    named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(reps, "cls")
+    named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(reps.hint("merge"), "cls")
     least = F.coalesce("least", F.lit(-1))
     key = F.col("cls").bitwiseXOR(F.shiftleft(least, 17)).bitwiseXOR(least)
     bits = docs.sparkSession.sparkContext.broadcast(bloom.build(named.select(F.explode(F.array(key, least)).alias("key")), "key", 24))
@@ -407,11 +407,16 @@ def _sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, class_bits
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "cls long, members binary")
 
 
-def _scale(got: dict[int, bytes]) -> np.ndarray:
-    """The table of counts as 16-bit logarithms, in steps of less than a thousandth."""
+def _logs(counts: np.ndarray) -> np.ndarray:
+    """Counts as 16-bit logarithms, in steps of less than a thousandth."""
+    return np.minimum(np.log2(counts + 1.0) * 1000, 65_535).astype(np.uint16)
+
+
+def _scale(got: dict[int, bytes], kind=np.int64) -> np.ndarray:
+    """The table of logarithms of its parts: counts, or logarithms (16 bits) that tasks have taken."""
     size = (1 << COUNT_BITS) // COUNT_CHUNKS
-    table = np.frombuffer(b"".join(got.get(c, bytes(8 * size)) for c in range(COUNT_CHUNKS)), np.int64)
-    return np.minimum(np.log2(table + 1.0) * 1000, 65_535).astype(np.uint16)
+    parts = (np.frombuffer(got[c], kind) if c in got else np.zeros(size, kind) for c in range(COUNT_CHUNKS))
+    return np.concatenate([x if kind == np.uint16 else _logs(x) for x in parts])
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75, class_bits: int = 64) -> DataFrame:
@@ -438,8 +443,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75, class_bits: i
     shared = spark.sparkContext.broadcast(np.array(sorted(found), np.int64).view(U))
     full = full.select("doc_id", "n", (F.when(F.col("one").isin(found), F.col("two")).otherwise(F.col("one")) if found else F.col("one")).alias("cls"), "data")
     rows = full.drop("data")
-    got = bloom.add_up(scan.filter("kind = 1").select(F.col("n").cast("int").alias("chunk"), "data"), "int32", np.add, "int64")
-    counts = spark.sparkContext.broadcast(_scale(got))
+    got = bloom.add_up(scan.filter("kind = 1").select(F.col("n").cast("int").alias("chunk"), "data"), "int32", np.add, "int64", _logs)
+    counts = spark.sparkContext.broadcast(_scale(got, np.uint16))
     n = parts(spark)
     reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size"))
     cells = materialize(_prefixes(docs, counts, k, percent, class_bits, shared).repartition(n, "h").sortWithinPartitions("h", "cls").mapInArrow(_cells, CELL), "cells")
@@ -470,7 +475,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75, class_bits: i
     discard(links, more)
     # Classes to documents: the least id of each class, then of each component, which goes down by way of its buckets,
     # so that a component of very many classes doesn't meet in one task.
-    named = reps.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
+    named = reps.join(comp.withColumnRenamed("node", "cls").hint("merge"), "cls", "left")
     linked = named.filter("root is not null").withColumn("bucket", F.pmod(F.xxhash64("cls"), F.lit(BUCKETS)))
     low = linked.groupBy("root", "bucket").agg(F.min("least").alias("least"))
     top = low.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -48,9 +48,15 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
         spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(f"{folder}/{tag}")
     out._folder = folder
+    release(spark)
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver's JVM collect what a query has left (plans, and broadcasts and shuffles that nothing refers to), so that its heap doesn't grow from query to query."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables. Nothing that is still to be read may depend on them."""
     for t in tables:
