@@ -58,7 +58,10 @@ def nodes(docs: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 CELL = 256  # ends of a hub that meet in a cell, on either side
-SLICE = 1 << 26  # pairs that are made distinct at once, about
+SLICE = 1 << 29  # pairs that are made at once, about
+HEAVY = 1 << 16  # pairs and edges of a node that one row may hold
+TASK = 1 << 22  # pairs and edges of a task, about
+SENT = 1 << 19  # nodes with their numbers that are sent to every task
 PREDECESSOR, ALGORITHM = "migrate_edges_manual", "infer_v1"
 
 
@@ -99,24 +102,57 @@ def _pairs(hop: DataFrame) -> DataFrame:
     return hop.filter("from_node <> to_node").select("from_node", "to_node").distinct()
 
 
-def two_hops_by_slices(edges: DataFrame, folder: str, cell: int = CELL, most: int = SLICE) -> Iterator[DataFrame]:
+def two_hops_by_slices(edges: DataFrame, folder: str, cell: int = CELL, most: int = SLICE, heavy: int = HEAVY) -> Iterator[DataFrame]:
     """The rows of ``two_hops`` in slices by the hash of from_node, of about ``most`` pairs before equal ones are merged.
 
-    Pairs may be many times the edges, and all of them at once are shuffled and spilled to disk several times over.
+    Pairs may be many times the edges, so they aren't shuffled: a middle's ends are one list, which goes along
+    its incoming edges to their from_node and is merged there with the others. A from_node with more than
+    ``heavy`` pairs and edges has no lists; its pairs are made distinct one by one, in slices of their own.
     Each slice has to be written before the next one is asked for; then the disk holds edges, one
-    slice and the result. The edges, and those out of a node in the middle, are written to ``folder`` once.
+    slice and the result. The edges, and the lists, are written to ``folder`` once.
     Only a single from_node with more than ``most`` pairs makes a slice larger.
     """
-    e = versions.written(edges.select("from_node", "to_node").distinct(), f"{folder}/edges")
-    mids = versions.written(_middles(e, cell), f"{folder}/middles")
-    # By the size of their files these two would be sent whole to the driver and every task.
-    looked = lambda x: x.join(mids.select("mid", "rows", "columns").hint("merge"), "mid")
-    out = versions.written(_dealt(e, looked, *OUT), f"{folder}/out").hint("merge")
-    n = -(-(mids.agg(F.sum(F.col("n_in") * F.col("n_out"))).first()[0] or 1) // most)
+    e = versions.written(edges.select("from_node", "to_node").dropna().distinct(), f"{folder}/edges")
+    ends = versions.written(e.groupBy(F.col("to_node").alias("mid")).agg(F.count(F.lit(1)).alias("n_in")), f"{folder}/ends")
+    onward = versions.written(e.withColumnRenamed("from_node", "mid").join(_sent(ends.select("mid"), ends), "mid", "left_semi"), f"{folder}/onward")
+    n_out = onward.groupBy("mid").agg(F.count(F.lit(1)).alias("n_out"))
+    share = lambda n: F.ceil(F.col(n) / cell).cast("int")
+    mids = versions.written(n_out.join(ends.hint("merge"), "mid").select("mid", "n_in", "n_out", share("n_in").alias("rows"), share("n_out").alias("columns")), f"{folder}/middles")
+    sent = lambda *names: _sent(mids.select("mid", *names), mids)
+    x = onward.join(sent("rows", "n_out").filter(F.col("n_out") <= heavy), "mid").groupBy("mid", "rows").agg(F.collect_list("to_node").alias("ends"))
+    # By the size of its files it would be sent whole to the driver and every task, as the two below.
+    lists = versions.written(x.select("mid", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), "ends"), f"{folder}/lists").hint("merge")
+    cost = e.withColumnRenamed("to_node", "mid").join(sent("n_out"), "mid", "left").groupBy("from_node").agg(F.sum(F.coalesce("n_out", F.lit(0)) + 1).alias("cost"))
+    large = versions.written(cost.filter(F.col("cost") > heavy), f"{folder}/heavy").hint("merge")
+    total = (mids.agg(F.sum(F.col("n_in") * F.col("n_out"))).first()[0] or 0) + e.count()
+    many = large.agg(F.sum("cost")).first()[0] or 0
+    for own, size in _sliced(e.join(large, "from_node", "left_anti") if many else e, total - many, most):
+        yield _merged(own, lists, sent("rows"), size)
+    if many:
+        looked = lambda x: x.join(sent("rows", "columns"), "mid")
+        out = versions.written(_dealt(e, looked, *OUT), f"{folder}/out").hint("merge")
+        for own, _ in _sliced(e.join(large, "from_node", "left_semi"), many, most):
+            yield _pairs(_dealt(own, looked, *INTO).join(out, ["mid", "r", "c"])).join(own.hint("merge"), ["from_node", "to_node"], "left_anti")
+
+
+def _sent(x: DataFrame, known: DataFrame) -> DataFrame:
+    """``x`` to be joined: whole to every task if ``known``, a table that was written, has few rows, else by sorted merge."""
+    return F.broadcast(x) if known.count() <= SENT else x.hint("merge")
+
+
+def _sliced(e: DataFrame, cost: int, most: int) -> Iterator[tuple[DataFrame, int]]:
+    n = -(-max(cost, 1) // most)
     for i in range(n):
-        own = e.filter(F.pmod(F.xxhash64("from_node", F.lit("slice")), F.lit(n)) == i) if n > 1 else e
-        pairs = _pairs(_dealt(own, looked, *INTO).join(out, ["mid", "r", "c"]))
-        yield pairs.join(own.hint("merge"), ["from_node", "to_node"], "left_anti")
+        yield e.filter(F.pmod(F.xxhash64("from_node", F.lit("slice")), F.lit(n)) == i) if n > 1 else e, -(-cost // n)
+
+
+def _merged(own: DataFrame, lists: DataFrame, rows: DataFrame, cost: int) -> DataFrame:
+    """The pairs of ``own`` from the ends of its middles: a from_node's lists meet in one row."""
+    cells = own.withColumnRenamed("to_node", "mid").join(rows, "mid", "left")
+    near = cells.withColumn("r", F.coalesce(F.pmod(F.xxhash64("from_node"), F.col("rows")), F.lit(0)).cast("int"))
+    far = near.join(lists, ["mid", "r"], "left").select("from_node", "mid", "ends").repartition(1 + cost // TASK, "from_node")
+    both = far.groupBy("from_node").agg(F.flatten(F.collect_list("ends")).alias("ends"), F.collect_list("mid").alias("near"))
+    return both.select("from_node", F.explode(F.array_except("ends", F.array_append("near", F.col("from_node")))).alias("to_node"))
 
 
 def gate(log: DataFrame, kind: str) -> str | None:
@@ -141,7 +177,7 @@ def infer_edges(spark: SparkSession, edges: DataFrame, log: str, target: str, ru
             return None
         table = versions.Table(spark, target)
         with versions.temporary(spark, "edges") as folder:
-            table.refresh_by(x.withColumn("source", F.lit(ALGORITHM)) for x in two_hops_by_slices(edges, folder))
+            table.refresh_by(two_hops_by_slices(edges, folder), constant=("source", ALGORITHM))
         found = table.read()
         say.note(f"gate=ok inserted_total={found.count()} algorithm={ALGORITHM}")
     return found

@@ -157,18 +157,26 @@ class Table:
         last = self.entry()
         return self._write(last, build(self.read() if last else None), {}, note or {})
 
-    def refresh_by(self, slices: Iterable[DataFrame], note: dict | None = None) -> int:
-        """All rows anew, slice by slice: each is written, and its shuffle files deleted, before the next one is asked for. One commit at the end."""
+    def refresh_by(self, slices: Iterable[DataFrame], note: dict | None = None, constant: tuple[str, str] | None = None) -> int:
+        """All rows anew, slice by slice: each is written, and its shuffle files deleted, before the next one is asked for. One commit at the end.
+
+        ``constant``: a last column's name and its one value, kept as the folder's name and not row by row.
+        """
         if self.parts > 1:
             raise ValueError("a table in one part")
+        if constant and not all(re.fullmatch(r"\w+", x) for x in constant):
+            raise ValueError("a constant of letters, digits and _")
+        within = "/{}={}".format(*constant) if constant else ""
         last = self.entry()
         version = (last["version"] if last else 0) + 1
         folder, schema = f"v{version}-{uuid.uuid4().hex[:12]}", None
         for rows in slices:
-            schema = written(rows, f"{self.path}/{folder}").schema.jsonValue()
+            schema = written(rows, f"{self.path}/{folder}{within}").schema
         if schema is None:
             raise ValueError("no slice")
-        self._publish(version, {WHOLE: folder}, schema, note or {})
+        if constant:
+            schema = T.StructType([*schema, T.StructField(constant[0], T.StringType())])
+        self._publish(version, {WHOLE: folder}, schema.jsonValue(), note or {})
         return version
 
     def replace_parts(self, rows: DataFrame, touched: list[str], note: dict | None = None) -> int:
