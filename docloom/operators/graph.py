@@ -149,7 +149,8 @@ def _sliced(e: DataFrame, cost: int, most: int) -> Iterator[tuple[DataFrame, int
 def _merged(own: DataFrame, lists: DataFrame, rows: DataFrame, cost: int) -> DataFrame:
     """The pairs of ``own`` from the ends of its middles: a from_node's lists meet in one row."""
     cells = own.withColumnRenamed("to_node", "mid").join(rows, "mid", "left")
-    near = cells.withColumn("r", F.coalesce(F.pmod(F.xxhash64("from_node"), F.col("rows")), F.lit(0)).cast("int"))
+    # Edges into a node without ends meet nothing, so any cell will do.
+    near = cells.withColumn("r", F.pmod(F.xxhash64("from_node"), F.coalesce("rows", F.lit(1 << 30))).cast("int"))
     far = near.join(lists, ["mid", "r"], "left").select("from_node", "mid", "ends").repartition(1 + cost // TASK, "from_node")
     both = far.groupBy("from_node").agg(F.flatten(F.collect_list("ends")).alias("ends"), F.collect_list("mid").alias("near"))
     return both.select("from_node", F.explode(F.array_except("ends", F.array_append("near", F.col("from_node")))).alias("to_node"))
